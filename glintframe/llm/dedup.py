@@ -75,7 +75,8 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hexed = F.lower(F.hex("sha")).alias("text_sha256")
     alone = tested.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), hexed)
     some = tested.where("maybe")
-    groups = some.groupBy("sha").agg(F.max(F.struct("doc_id", "uid")).alias("keep"), F.count("*").alias("group_size"))
+    # written, so that the join below has both sides from plain exchanges and a hot digest's rows can be split
+    groups = written(some.groupBy("sha").agg(F.max(F.struct("doc_id", "uid")).alias("keep"), F.count("*").alias("group_size")), "groups")
     found = some.join(groups, "sha").select(
         "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("keep.uid")).alias("kept"), hexed
     )
