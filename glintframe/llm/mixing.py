@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,10 +72,10 @@ def _pivot(rows: Iterator[tuple[int, int, int, float]], seed: int) -> Iterator[t
 
 
 def _rounds(seed: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["mix", "uid"], kind="stable")
-        got = dict(_pivot(zip(pdf.uid.tolist(), pdf["mix"].tolist(), pdf["size"].tolist(), pdf.p.tolist()), seed))
-        return pdf.assign(p=pdf.uid.map(got))
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("mix", "ascending"), ("uid", "ascending")])
+        got = dict(_pivot(zip(*(rows.column(c).to_pylist() for c in ("uid", "mix", "size", "p"))), seed))
+        return rows.set_column(rows.schema.get_field_index("p"), "p", pa.array([got[u] for u in rows.column("uid").to_pylist()], pa.float64()))
 
     return run
 
@@ -131,12 +131,12 @@ def mix(
         F.pmod(F.xxhash64("mix", F.lit(seed)), F.col("buckets")).alias("bucket"),
     )
     schema = "uid long, source string, size long, mix long, p double, bucket long"
-    at = written(state.groupBy("source", "bucket").applyInPandas(_rounds(seed), schema), "pivot")
+    at = written(state.groupBy("source", "bucket").applyInArrow(_rounds(seed), schema), "pivot")
     decided, most = [at.where(f"p = 0 or p = 1")], max([-(-r.n // bucket_rows) for r in totals], default=1)
     left = at.where("p <> 0 and p <> 1")
     while most > 1:
         most = -(-most // fan_in)
-        at = written(left.withColumn("bucket", F.floor(F.col("bucket") / fan_in)).groupBy("source", "bucket").applyInPandas(_rounds(seed), schema), "pivot")
+        at = written(left.withColumn("bucket", F.floor(F.col("bucket") / fan_in)).groupBy("source", "bucket").applyInArrow(_rounds(seed), schema), "pivot")
         decided.append(at.where("p = 0 or p = 1"))
         left = at.where("p <> 0 and p <> 1")
     coin = F.pmod(F.xxhash64("mix", F.lit(seed + 1)), F.lit(1 << 30)) / float(1 << 30)
