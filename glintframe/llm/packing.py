@@ -8,7 +8,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -108,13 +107,15 @@ def best_fit(lengths: list[int], size: int) -> tuple[list[int], list[int], list[
 def _packer(size: int, level: int, full: int):
     """Packs one group's items; a bin's number holds its level, group and place."""
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "item"], ascending=[False, True], kind="stable")
-        at, offset, fill = best_fit(pdf.length.tolist(), size)
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("length", "descending"), ("item", "ascending")])
+        bucket = rows.column("bucket")[0].as_py()
+        at, offset, fill = best_fit(rows.column("length").to_pylist(), size)
         at = np.array(at, dtype=np.int64)
-        bins = (np.int64(level) << 58) + (np.int64(key[0]) << 24) + at
+        bins = (np.int64(level) << 58) + (np.int64(bucket) << 24) + at
         room = np.array(fill, dtype=np.int64)[at]
-        return pd.DataFrame({"item": pdf["item"].to_numpy(), "bin": bins, "offset": np.array(offset, dtype=np.int64), "fill": room, "open": room < full, "bucket": key[0]})
+        cols = [rows.column("item").combine_chunks(), pa.array(bins), pa.array(offset, pa.int64()), pa.array(room), pa.array(room < full), pa.array(np.full(len(at), bucket, dtype=np.int64))]
+        return pa.Table.from_arrays(cols, names=["item", "bin", "offset", "fill", "open", "bucket"])
 
     return run
 
@@ -145,7 +146,7 @@ def pack(
     levels, level = [], 1
     while True:
         last = buckets == 1
-        at = written(now.groupBy("bucket").applyInPandas(_packer(size, level, 0 if last else full), schema), "bins")
+        at = written(now.groupBy("bucket").applyInArrow(_packer(size, level, 0 if last else full), schema), "bins")
         levels.append(at)
         if last:
             break
