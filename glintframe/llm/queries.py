@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glintframe.llm import chat, dedup, mixing, packing, quality, sharding
+from glintframe.llm import chat, dedup, html_extract, mixing, packing, quality, sharding, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,12 @@ def tokenizer() -> tuple[str, str, str]:
     return P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.archive_folder(spark)
+    index = warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    return warc.read_records(index, folder, payloads=False).drop("payload", "url")
+
+
 def op2_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = "\\### Assistant: </turn> ok"
     own = spark.createDataFrame([(-7, 0, "user", marked), (-7, 1, "assistant", marked)], "conv_id long, turn long, role string, text string")
@@ -42,10 +48,28 @@ def op6_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op8_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    """From the labels whose crc32(doc_id as text) mod 3 isn't 1."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
+    return toxicity.fit(docs, labels)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.scored(docs, toxicity_model(spark, docs, sf_dir))
+    return out.select(
+        F.col("id").alias("doc_id"), (F.crc32(F.col("id").cast("string")) % 3 == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer()).select(
         "doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset"
@@ -53,10 +77,17 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_prefix_targets, op3_exact_dedup, op4_byte_shards, op6_divergence_rules, op8_pivotal_mix, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_warc, op2_prefix_targets, op3_exact_dedup, op4_byte_shards, op6_divergence_rules, op7_text_density, op8_pivotal_mix, op9_toxicity, op10_best_fit_packing)}
 
 
 SQL = {
+    "op1_warc": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        q AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+        SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN first_id END AS refers_to
+        FROM q""",
     "op2_prefix_targets": r"""
         WITH told AS (
           SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -20,9 +20,9 @@ LOOKALIKES = {
 #: What a hidden letter may be.
 HIDDEN = "aeiou"
 #: Log probabilities of the channel: a letter written as a sign that looks like
-#: it; such a sign put in for nothing, at an edge of a word and inside it; a
-#: letter hidden by a star; a star put in for nothing.
-SWAPPED, EDGE, INSIDE, STARRED, STAR = math.log(0.3), math.log(0.2), math.log(0.01), math.log(0.1), math.log(0.3)
+#: it; such a sign put in for nothing at an edge of a word (the same, for a digit)
+#: and inside it; a sign repeated; a letter hidden by a star; a star for nothing.
+SWAPPED, EDGE, DIGIT_EDGE, INSIDE, AGAIN, STARRED, STAR = (math.log(p) for p in (0.3, 0.3, 0.02, 1e-5, 0.3, 0.1, 0.3))
 #: Classes of the character model: 0 is a word's edge, 27 any letter beyond a to z.
 CLASSES = 28
 #: Three or more characters that stand alone, one after the other.
@@ -83,10 +83,10 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
         else:
             edge = i == 0 or i + run == n
             if ch in LOOKALIKES:
-                gone = (EDGE if edge else INSIDE) / 1
+                gone = INSIDE if not edge else DIGIT_EDGE if ch.isdigit() else EDGE
                 out.append([(x, SWAPPED) for x in LOOKALIKES[ch]] + [("", gone)])
                 if run > 1:
-                    out.append([(x, SWAPPED) for x in LOOKALIKES[ch]] + [("", 0.0)])
+                    out.append([(x, SWAPPED) for x in LOOKALIKES[ch]] + [("", AGAIN)])
             elif ch == "*" and not edge:
                 out += [[(x, STARRED) for x in HIDDEN] + [("", STAR)]] * min(run, 3)
         i += run
@@ -236,7 +236,7 @@ def fit(
     train = once.mapInArrow(evidence, "toxic int, total double, most double, n long").collect()  # `sample` rows at most
     x = np.array([_design(r.total, r.most, r.n) for r in train])
     y = np.array([r.toxic for r in train], dtype=float)
-    beta, penalty = np.zeros(x.shape[1]), np.diag([1e-3, 0.3, 0.3, 0.3])
+    beta, penalty = np.zeros(x.shape[1]), np.diag([1e-3, 0.05, 0.05, 0.05])
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ beta)
