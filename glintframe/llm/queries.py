@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glintframe.llm import chat, dedup, html_extract, mixing, packing, quality, sharding, toxicity, warc
+from glintframe.llm import chat, dedup, html_extract, mixing, ngram_join, packing, quality, sharding, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op4_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
+
+
 def op6_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -77,7 +81,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc, op2_prefix_targets, op3_exact_dedup, op4_byte_shards, op6_divergence_rules, op7_text_density, op8_pivotal_mix, op9_toxicity, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_warc, op2_prefix_targets, op3_exact_dedup, op4_byte_shards, op5_ngram_join, op6_divergence_rules, op7_text_density, op8_pivotal_mix, op9_toxicity, op10_best_fit_packing)}
 
 
 SQL = {
