@@ -27,6 +27,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Let batches of rows for Python hold 4 MB of long texts at most, and not 64 MB,
+    which an executor's memory may not have room for: set for the session, unless
+    it has a value of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":
+        spark.conf.set(key, size)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path for one table in the shared folder."""
     return f"{shared_dir(spark)}/glintframe/{name}-{uuid.uuid4().hex}"

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glintframe.llm.common import connected, written
+from glintframe.llm.common import bounded_batches, connected, written
 from glintframe.llm.dedup import BLOCK_BITS, _is_set
 
 U = np.uint64
@@ -309,6 +309,7 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     empty table gives an empty table. Hashes have 64 bits.
     """
     spark = df.sparkSession
+    bounded_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     seen = written(docs.mapInArrow(_surveyed(width), "doc_id long, n long, sid long, part int, counts binary"), "survey")
     parts = seen.where("part is not null").select("part", "counts").repartition(16, "part").mapInArrow(_sum_parts, "part int, counts binary").collect()  # 64 rows

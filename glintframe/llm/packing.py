@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glintframe.llm.common import written
+from glintframe.llm.common import bounded_batches, written
 
 #: Texts of these characters only are split alike by both tokenizer libraries.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ‐-‧]*")
@@ -137,6 +137,7 @@ def pack(
     Null ids stay null, null and empty texts are one piece of one token, repeated
     rows are packed one by one. An empty table gives an empty table.
     """
+    bounded_batches(df.sparkSession)
     cut = written(pieces(df, tokenizer, id_col, text_col, size, end).withColumn("item", F.monotonically_increasing_id()), "pieces")
     whole = cut.where(F.col("length") >= size)
     items = cut.where(F.col("length") < size)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glintframe.llm.common import written
+from glintframe.llm.common import bounded_batches, written
 
 
 def byte_size(text: Column) -> Column:
@@ -47,6 +47,7 @@ def byte_shards(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text_co
     sent back. No window runs over the table.
     """
     spark = df.sparkSession
+    bounded_batches(df.sparkSession)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(
         F.col(id_col).cast("long").alias("doc_id"), byte_size(F.col(text_col)).alias("size"),
@@ -76,9 +77,10 @@ def byte_shards(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text_co
 
 def write_shards(df: DataFrame, path: str, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write df's rows to path/shard=k in slot order; returns what byte_shards does.
-    Ids must be unique here, as rows are matched with their shard by id."""
+    Ids must be unique here, as rows are matched with their shard by id; columns
+    named shard and slot are replaced."""
     where = byte_shards(df, shards, id_col, text_col)
-    placed = df.join(where.select(F.col("doc_id").alias(id_col), "shard", "slot"), id_col)
+    placed = df.drop("shard", "slot").join(where.select(F.col("doc_id").alias(id_col), "shard", "slot"), id_col)
     n = max(shards, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     placed.repartitionByRange(n, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
     return where

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glintframe.llm.common import bounded_batches, written
+
 #: Letters that a sign may stand for.
 LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
@@ -204,14 +206,13 @@ def fit(
     labels of both kinds every score is low.
     """
     spark = df.sparkSession
+    bounded_batches(df.sparkSession)
     model = Model(character_model(df, text_col))
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("toxic"))
     few = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)  # `sample` rows of 12 bytes at most
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(few), "_id").select("text", "toxic")
     shared = spark.sparkContext.broadcast(model.characters)
     seen = rows.mapInArrow(_train_rows(shared), "toxic int, words array<string>, sig string")
-    from glintframe.llm.common import written
-
     once = written(seen.groupBy("sig", "toxic").agg(F.first("words").alias("words")), "train")
     size = dict(once.groupBy("toxic").count().collect())
     n0, n1 = size.get(0, 0), size.get(1, 0)
@@ -291,6 +292,7 @@ def scored(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """(id, score) for each row: how likely its restored text is toxic. Null and
     empty texts have the score of a text without evidence; repeated rows and null
     ids are scored like others. Nothing shuffles; what a task remembers is bounded."""
+    bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_scorer(shared, cache_size), f"id {kind}, score double")
@@ -298,6 +300,7 @@ def scored(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def clean_rows(df: DataFrame, model: Model, text_col: str = "text", limit: float = 0.7, cache_size: int = 200_000) -> DataFrame:
     """df's rows with a score under limit, all columns as they are, in one pass."""
+    bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     names = df.columns
     coded = [f"c{i}" for i in range(len(names))]

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glintframe.llm.common import scratch, written
+from glintframe.llm.common import bounded_batches, scratch, written
 
 INDEX = "file string, offset long, length long, url string, digest string, record_type string, page_id long"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -112,6 +112,7 @@ def write_archives(df: DataFrame, folder: str, id_col: str = "page_id", url_col:
     index counts it only if the task ended well: files of lost attempts are never
     referred to.
     """
+    bounded_batches(df.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     keys = df.select(F.col(id_col).cast("long").alias("page"), F.sha2(text, 256).alias("sha"), F.octet_length(text).alias("n")).where(F.col("n") >= min_revisit)
     first = keys.groupBy("sha").agg(F.min("page").alias("keep"), F.count("*").alias("rows")).where("rows > 1")
