@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glintframe.llm.common import bounded_batches
+
 #: Elements that never hold main text.
 DROPPED = set("script style noscript template nav footer aside form button select option textarea input iframe object embed svg canvas audio video dialog menu head title".split())
 #: Words in class, id or role that mark what isn't main text.
@@ -19,6 +21,8 @@ MARKS = set(
     "newsletter subscribe subscription signup sidebar aside nav navbar navigation menu menubar breadcrumb breadcrumbs footer related recommended recommendations share sharing social "
     "comment comments disqus reply replies respond widget toolbar pagination pager login search paywall complementary contentinfo".split()
 )
+#: Of these, those that mark what holds articles of its own, unless the headline is in it too.
+INNER_MARKS = set("comment comments disqus reply replies respond related recommended recommendations ad ads advert adverts advertisement sponsored".split())
 #: The same outside an article only: inside one it may hold the headline.
 OUTER_MARKS = set("header masthead topbar".split())
 BLOCKS = set(
@@ -35,7 +39,9 @@ ENDS = {
 P_CLOSERS = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "body", "html", "caption", "dd", "dt"} | {"form", "nav", "footer", "aside", "menu"}
 SCOPES = {"table", "td", "th", "caption", "button", "object", "html", "body", "article", "section", "div"}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)/?\s*>|([^<]+|<)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)/?\s*>|([^<]+|<(?![a-zA-Z/!?]))", re.S)
+#: A tag whose quotes don't match ends at the next sign that can.
+BROKEN = re.compile(r"<(/?)([a-zA-Z]?[^\s/>]*)([^>]*)>()?", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -54,12 +60,12 @@ def tree(page: str) -> Node:
     root = at = Node("html", "", None)
     pos, end = 0, len(page)
     while pos < end:
-        m = TOKEN.match(page, pos)
+        m = TOKEN.match(page, pos) or BROKEN.match(page, pos)
         if not m:  # an unfinished tag
             break
         pos = m.end()
         closing, tag, attrs, text = m.groups()
-        if text is not None:
+        if text:
             at.items.append(text)
             continue
         if not tag:
@@ -109,12 +115,12 @@ def _elements(root: Node) -> list[Node]:
 
 def prune(nodes: list[Node]) -> None:
     """Mark what isn't main text by its element, class, id or role, or is hidden."""
-    holds = set()  # elements with an article inside aren't dropped for a name
+    holds, heads = set(), set()  # elements with an article inside, and with a headline, aren't dropped for a name
     for x in nodes:
-        if x.tag in ("article", "main"):
-            p = x.parent
-            while p and p not in holds:
-                holds.add(p)
+        for there, tags in ((holds, ("article", "main")), (heads, ("h1",))):
+            p = x.parent if x.tag in tags else None
+            while p and p not in there:
+                there.add(p)
                 p = p.parent
     inside = {nodes[0]: False}
     for x in nodes:
@@ -129,7 +135,8 @@ def prune(nodes: list[Node]) -> None:
             style = found.get("style", "").replace(" ", "").lower()
             hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
             named = names & MARKS or (not inner and names & OUTER_MARKS)
-            x.gone = bool(hidden or (named and x not in holds and (x.tag not in ("article", "main") or names & {"comment", "comments", "reply", "ad", "advert", "advertisement", "related"})))
+            own = x in holds or x.tag in ("article", "main")
+            x.gone = bool(hidden or (named and not own) or (names & INNER_MARKS and x not in heads))
 
 
 def measure(nodes: list[Node]) -> None:
@@ -265,6 +272,7 @@ def extract(df: DataFrame, html_col: str = "html", text_col: str = "text", n_col
     Page by page and without a shuffle; a null page has an empty text, repeated
     rows are extracted alike, and a page is never cut short.
     """
+    bounded_batches(df.sparkSession)
     rest = [c for c in df.columns if c not in (html_col, text_col, n_col)]
     flat = df.select(*[F.col(f"`{c}`") for c in rest], F.col(html_col).alias("_page"))
     schema = flat.drop("_page").schema.add("_text", "string")

@@ -33,7 +33,7 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = (5, 2, 1)
         if not over:
             return out | {s: each * w for s, w in open_.items()}
         for s in over:
-            out[s] = cap * sizes[s]
+            out[s] = float(cap * sizes[s])
             left -= out[s]
             del open_[s]
     return out
