@@ -25,8 +25,8 @@ U = np.uint64
 COUNTERS = 1 << 23
 #: Bits of the filter of n-grams that may be shared (sent to all tasks as well).
 FILTER_BITS = 1 << 27
-#: 64-bit words of a set's parity map.
-PARITY = 4
+#: 64-bit words of a set's parity map, and of the folded one that goes with its n-grams.
+PARITY, FOLDED = 8, 2
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256))
@@ -46,7 +46,7 @@ _tables: dict[str, np.ndarray] = {}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse mod 2^64, kept from call to call."""
     if len(_tables.get("up", ())) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         with np.errstate(over="ignore"):
             for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
                 steps = np.full(size, U(base))
@@ -80,7 +80,7 @@ def _chunks(offsets: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
         lo = min(hi, n)
 
 
-def gram_sets(texts: pa.Array, width: int, chunk: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def gram_sets(texts: pa.Array, width: int, chunk: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first text, past the last, size of each one's set, all sets' hashes one
     after the other, each sorted), chunk by chunk. A text's set has its distinct
     `width`-word n-grams; with fewer words, all of them as one; with none, nothing."""
@@ -145,24 +145,28 @@ def _parity(values: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
     return [_per_set(np.bitwise_xor, np.where(word == U(k), bit, U(0)), sizes).view(np.int64) for k in range(PARITY)]
 
 
+SURVEY = "doc_id long, n long, sid long, " + "".join(f"p{k} long, " for k in range(PARITY)) + "part int, counts binary"
+
+
 def _surveyed(width: int):
-    """First pass: (doc_id, n, sid) of each text, and at the end the counters, cut in parts."""
-    names, kinds = ("doc_id", "n", "sid", "part", "counts"), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    """First pass: (doc_id, n, sid, parity map) of each text, and at the end the
+    counters, cut in parts."""
+    names = [x.split()[0] for x in SURVEY.split(", ")]
+    kinds = [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[x.split()[1]] for x in SURVEY.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, dtype=np.int32)
         for b in batches:
-            sizes, sids = [], []
+            got = []
             for _, _, size, values in gram_sets(b.column("text"), width):
                 _count(counts, values)
-                sizes.append(size)
-                sids.append(_set_id(values, size))
-            n = len(b)
-            cols = [b.column("doc_id"), np.concatenate(sizes) if sizes else [], np.concatenate(sids) if sids else [], [None] * n, [None] * n]
+                got.append((size, _set_id(values, size), *_parity(values, size)))
+            cols = [b.column("doc_id"), *(np.concatenate(c) for c in zip(*got))] if got else [[] for _ in names[:-2]]
+            cols += [[None] * len(b)] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
         if counts.any():
             for k, part in enumerate(np.split(np.minimum(counts, 65535).astype("<u2"), 64)):
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((None, None, None, k, zlib.compress(part.tobytes(), 1)), kinds)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*[None] * (len(kinds) - 2), k, zlib.compress(part.tobytes(), 1)), kinds)], names=names)
 
     return run
 
@@ -187,16 +191,18 @@ def _least(n, num: int, den: int):
     return -(-n * num // den)
 
 
-def _prefixes(width: int, num: int, den: int, counts, remembered: int = 500_000):
-    """Second pass: the rarest n-grams of each set, with their places in it. Of sets
-    that a task meets again, it remembers so many, and tells them once."""
-    names = ["gram", "sid", "n", "pos", *[f"q{k}" for k in range(PARITY)]]
+def _prefixes(width: int, num: int, den: int, counts, remembered: int = 100_000):
+    """Second pass: the rarest n-grams of each set, with np, its size and their places
+    in it (see _n and _pos). Of sets that a task meets again, it remembers so many,
+    and tells them once."""
+    names = ["gram", "sid", "np", *[f"q{k}" for k in range(FOLDED)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare, told = counts.value, set()
         for b in batches:
             for _, _, size, values in gram_sets(b.column("text"), width):
                 sid, parity = _set_id(values, size), _parity(values, size)
+                folded = [np.bitwise_xor.reduce(parity[k::FOLDED]) for k in range(FOLDED)]
                 if len(told) > remembered:
                     told.clear()
                 fresh = np.zeros(len(size), dtype=bool)
@@ -214,7 +220,7 @@ def _prefixes(width: int, num: int, den: int, counts, remembered: int = 500_000)
                 pos = np.arange(len(doc)) - np.repeat(np.cumsum(held) - held, held)
                 keep = pos <= size[doc] - _least(size[doc], num, den)
                 doc, values, pos = doc[keep], values[keep], pos[keep]
-                cols = [values.view(np.int64), sid[doc], size[doc].astype(np.int32), pos.astype(np.int32), *[p[doc] for p in parity]]
+                cols = [values.view(np.int64), sid[doc], (pos << 32) + size[doc], *[q[doc] for q in folded]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
 
     return run
@@ -226,38 +232,67 @@ def _bitmap(df: DataFrame, value: str) -> DataFrame:
     return df.groupBy(F.floor(place / BLOCK_BITS).alias("block")).agg(F.bitmap_construct_agg(place % BLOCK_BITS).alias("bits"))
 
 
-def _shared_rows(bits):
+def _table(bitmap: DataFrame) -> np.ndarray:
+    """The bitmap's FILTER_BITS bits, 16 MB whatever the input, as an array."""
+    out = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    for block, raw in bitmap.collect():
+        out[block * BLOCK_BITS // 8 : (block + 1) * BLOCK_BITS // 8] = np.frombuffer(raw, dtype=np.uint8)
+    return out
+
+
+def _in_table(bits, column: str):
+    """Adds `there`: whether the column's value may be among those of a bitmap."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = bits.value
         for b in batches:
-            place = b.column("gram").to_numpy() % FILTER_BITS
-            yield b.filter(pa.array((table[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1))
+            place = b.column(column).to_numpy() % FILTER_BITS
+            there = (table[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(there)], names=[*b.schema.names, "there"])
 
     return run
 
 
+def _pos(np_: Column) -> Column:
+    return F.shiftright(np_, 32)
+
+
+def _n(np_: Column) -> Column:
+    return np_.bitwiseAND(F.lit((1 << 32) - 1))
+
+
+def _differ(words: int, name: str) -> Column:
+    """Bits in which a's and b's parity maps differ."""
+    return sum((F.bit_count(F.col(f"a.{name}{k}").bitwiseXOR(F.col(f"b.{name}{k}"))) for k in range(words)), F.lit(0))
+
+
 def _may_link(num: int, den: int) -> Column:
-    """Bounds on two rows a and b of one n-gram: sizes, places and parity maps."""
-    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-    both = a("n") + b("n")
-    apart = sum((F.bit_count(a(f"q{k}").bitwiseXOR(b(f"q{k}"))) for k in range(PARITY)), F.lit(0))
+    """Bounds on two rows a and b of one n-gram: sizes, places and folded parity maps."""
+    na, nb, pa_, pb = _n(F.col("a.np")), _n(F.col("b.np")), _pos(F.col("a.np")), _pos(F.col("b.np"))
     return (
-        (F.least(a("n"), b("n")) * den >= F.greatest(a("n"), b("n")) * num)
-        & (F.least(a("n") - a("pos"), b("n") - b("pos")) * (num + den) >= both * num)
-        & (apart * (num + den) <= both * (den - num))
+        (F.least(na, nb) * den >= F.greatest(na, nb) * num)
+        & (F.least(na - pa_, nb - pb) * (num + den) >= (na + nb) * num)
+        & (_differ(FOLDED, "q") * (num + den) <= (na + nb) * (den - num))
     )
 
 
-def _overlaps(num: int, den: int):
-    """Accumulates two whole sets' overlap; keeps pairs that are linked."""
+def _overlaps(width: int, num: int, den: int):
+    """Accumulates the overlap of two texts' whole sets; keeps pairs that are linked."""
+
+    def sets(texts: pa.Array) -> tuple[list[int], list[np.ndarray]]:
+        ids, out = [], []
+        for _, _, size, values in gram_sets(texts, width):
+            ids += _set_id(values, size).tolist()
+            out += np.split(values, np.cumsum(size)[:-1]) if len(size) else []
+        return ids, out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
-            for x, y in zip(b.column("ga"), b.column("gb")):
-                s, t = np.frombuffer(x.as_buffer(), dtype=U), np.frombuffer(y.as_buffer(), dtype=U)
-                if len(s) > len(t):
-                    s, t = t, s
+            for x, y, i, s, j, t in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), *sets(b.column("ta")), *sets(b.column("tb"))):
+                if (x, y) != (i, j) or not len(s) or not len(t):  # an id stood for another text as well
+                    keep.append(False)
+                    continue
                 n = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
                 keep.append(n * den >= num * (len(s) + len(t) - n))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -265,31 +300,22 @@ def _overlaps(num: int, den: int):
     return run
 
 
-def _whole_sets(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for _, _, size, values in gram_sets(b.column("text"), width):
-                ends = np.cumsum(size)
-                sets = [values[e - n : e].tobytes() for e, n in zip(ends.tolist(), size.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(_set_id(values, size)), pa.array(sets, pa.binary())], names=["sid", "grams"])
-
-    return run
-
-
-def _linked(pairs: DataFrame, docs: DataFrame, known: DataFrame, width: int, num: int, den: int) -> DataFrame:
+def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Of pairs(a, b) of sets those whose Jaccard similarity is num / den or more.
-    Only texts that stand for a set in a pair are read again."""
-    pairs = written(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-    needed = written(ids.join(known.groupBy("sid").agg(F.min("doc_id").alias("doc_id")), "sid").select("doc_id", F.xxhash64("doc_id").alias("h")), "needed")
-    bits = _bitmap(needed, "h").select(F.col("block").alias("_block"), "bits")
+
+    Whole parity maps come first; of pairs they can't tell apart, the texts that
+    stand for their sets are read again, and meet pair by pair.
+    """
+    a, b = (nodes.select(*[F.col(c).alias(f"{c}" if c.startswith("p") else f"{x}_{c}") for c in nodes.columns]).alias(x) for x in "ab")
+    met = pairs.join(a, F.col("a") == F.col("a.a_sid")).join(b, F.col("b") == F.col("b.b_sid"))
+    near = met.where(_differ(PARITY, "p") * (num + den) <= (F.col("a_n") + F.col("b_n")) * (den - num))
+    near = written(near.select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b"), F.col("a_doc").alias("da"), F.col("b_doc").alias("db")), "pairs")
+    bits = _bitmap(near.select(F.explode(F.array(F.xxhash64("da"), F.xxhash64("db"))).alias("h")), "h").select(F.col("block").alias("_block"), "bits")
     place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    some = docs.withColumn("_block", F.floor(place / BLOCK_BITS)).join(F.broadcast(bits), "_block").where(_is_set(F.col("bits"), place % BLOCK_BITS)).select("doc_id", "text")
-    texts = some.join(needed.select("doc_id"), "doc_id", "left_semi")
-    sets = written(texts.select("text").mapInArrow(_whole_sets(width), "sid long, grams binary").groupBy("sid").agg(F.first("grams").alias("grams")), "sets")
-    left = pairs.join(sets.select(F.col("sid").alias("a"), F.col("grams").alias("ga")), "a")
-    full = left.join(sets.select(F.col("sid").alias("b"), F.col("grams").alias("gb")), "b").select("a", "b", "ga", "gb")
-    return written(full.mapInArrow(_overlaps(num, den), "a long, b long"), "links")
+    some = docs.withColumn("_block", F.floor(place / BLOCK_BITS)).join(F.broadcast(bits), "_block").where(_is_set(F.col("bits"), place % BLOCK_BITS))
+    texts = written(some.groupBy("doc_id", F.xxhash64("text")).agg(F.first("text").alias("text")).select("doc_id", "text"), "texts")
+    full = near.join(texts.select(F.col("doc_id").alias("da"), F.col("text").alias("ta")), "da").join(texts.select(F.col("doc_id").alias("db"), F.col("text").alias("tb")), "db")
+    return written(full.select("a", "b", "ta", "tb").mapInArrow(_overlaps(width, num, den), "a long, b long"), "links")
 
 
 def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -311,42 +337,48 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     spark = df.sparkSession
     bounded_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    seen = written(docs.mapInArrow(_surveyed(width), "doc_id long, n long, sid long, part int, counts binary"), "survey")
+    seen = written(docs.mapInArrow(_surveyed(width), SURVEY), "survey")
     parts = seen.where("part is not null").select("part", "counts").repartition(16, "part").mapInArrow(_sum_parts, "part int, counts binary").collect()  # 64 rows
     counts = np.zeros(COUNTERS, dtype=np.uint16)
     for k, raw in parts:
         counts[k * (COUNTERS // 64) : (k + 1) * (COUNTERS // 64)] = np.frombuffer(zlib.decompress(raw), dtype="<u2")
-    known = seen.where("part is null").select("doc_id", "n", "sid")
+    known = seen.where("part is null").drop("part", "counts")
+    maps = [f"p{k}" for k in range(PARITY)]
+    nodes = written(known.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), *[F.first(p).alias(p) for p in maps]), "nodes")
 
-    schema = "gram long, sid long, n int, pos int" + "".join(f", q{k} long" for k in range(PARITY))
+    schema = "gram long, sid long, np long" + "".join(f", q{k} long" for k in range(FOLDED))
     rows = written(docs.select("text").mapInArrow(_prefixes(width, num, den, spark.sparkContext.broadcast(counts)), schema), "prefixes")
     shared = rows.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1")
-    table = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    for block, raw in _bitmap(shared, "gram").collect():  # FILTER_BITS at most
-        table[block * BLOCK_BITS // 8 : (block + 1) * BLOCK_BITS // 8] = np.frombuffer(raw, dtype=np.uint8)
-    rows = written(rows.mapInArrow(_shared_rows(spark.sparkContext.broadcast(table)), schema), "shared")
-
-    whole = F.struct("pos", "n", "sid", *[f"q{k}" for k in range(PARITY)])
-    front = rows.groupBy("gram").agg(F.min(whole).alias("p"), F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("gram", "p.*")
-    stars = rows.alias("a").join(front.alias("b"), (F.col("a.gram") == F.col("b.gram")) & (F.col("a.sid") != F.col("b.sid")) & _may_link(num, den))
+    table = _table(_bitmap(shared, "gram"))
+    rows = written(rows.mapInArrow(_in_table(spark.sparkContext.broadcast(table), "gram"), schema + ", there boolean").where("there").drop("there"), "shared")
+
+    front = written(rows.groupBy("gram").agg(F.min(F.struct("np", "sid")).alias("p"), F.max("sid").alias("hi"), F.min("sid").alias("lo")).where("lo <> hi").select("gram", F.col("p.sid").alias("lead")), "fronts")
+    met = rows.join(front, "gram")
+    heads = met.where("sid = lead").dropDuplicates(["gram"])
+    stars = met.where("sid <> lead").alias("a").join(heads.alias("b"), (F.col("a.gram") == F.col("b.gram")) & _may_link(num, den))
     pair = lambda x: x.select(F.least("a.sid", "b.sid").alias("a"), F.greatest("a.sid", "b.sid").alias("b")).distinct()
-    links = _linked(pair(stars), docs, known, width, num, den)
+    links = _linked(pair(stars), docs, nodes, width, num, den)
     groups = written(connected(links), "groups")
 
-    placed = written(rows.join(groups.select(F.col("id").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid")), "placed")
-    lead = placed.groupBy("gram").agg(F.min(F.struct("pos", "n", "sid", "component")).alias("p"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    lead = written(lead.select("gram", F.col("p.component").alias("lead")), "leads")
-    mixed = placed.join(lead, "gram")
-    apart = mixed.where("component <> lead")
-    across = apart.alias("a").join(
+    # most sets are linked with none: only those that may be meet the groups, the others are groups of their own
+    mine = spark.sparkContext.broadcast(_table(_bitmap(groups, "id")))
+    tested = lambda df, c: df.mapInArrow(_in_table(mine, c), df.select("*", F.lit(True).alias("there")).schema)
+
+    def grouped(df: DataFrame, of: str, name: str) -> DataFrame:
+        told = tested(df, of)
+        some = told.where("there").drop("there").join(groups.select(F.col("id").alias(of), F.col("component").alias(name)), of, "left").withColumn(name, F.coalesce(name, of))
+        return some.select(*df.columns, name).union(told.where("not there").select(*df.columns, F.col(of).alias(name)))
+
+    mixed = grouped(rows, "sid", "component").join(grouped(front, "lead", "group").drop("lead"), "gram")
+    across = mixed.where("component <> group").alias("a").join(
         mixed.alias("b"),
-        (F.col("a.gram") == F.col("b.gram")) & (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("b.lead")) | (F.col("a.sid") < F.col("b.sid"))) & _may_link(num, den),
+        (F.col("a.gram") == F.col("b.gram")) & (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("b.group")) | (F.col("a.sid") < F.col("b.sid"))) & _may_link(num, den),
     )
-    more = _linked(pair(across), docs, known, width, num, den)
+    more = _linked(pair(across), docs, nodes, width, num, den)
     if more.take(1):
         groups = written(connected(links.union(more)), "groups")
 
-    whole = known.join(groups.select(F.col("id").alias("sid"), "component"), "sid", "left").select("doc_id", "n", F.coalesce("component", "sid").alias("component"))
+    whole = known.select("doc_id", "n", "sid").join(groups.select(F.col("id").alias("sid"), "component"), "sid", "left").select("doc_id", "n", F.coalesce("component", "sid").alias("component"))
     whole = written(whole, "members")
     least = written(whole.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
     full = whole.where("n > 0").join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
