@@ -24,7 +24,7 @@ U = np.uint64
 #: Counters of n-grams by the first 23 bits of their hash; their sum is sent to all tasks (2 bytes each).
 COUNTERS = 1 << 23
 #: Bits of the filter of n-grams that may be shared (sent to all tasks as well).
-FILTER_BITS = 1 << 27
+FILTER_BITS = 1 << 26
 #: 64-bit words of a set's parity map, and of the folded one that goes with its n-grams.
 PARITY, FOLDED = 8, 2
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -233,7 +233,7 @@ def _bitmap(df: DataFrame, value: str) -> DataFrame:
 
 
 def _table(bitmap: DataFrame) -> np.ndarray:
-    """The bitmap's FILTER_BITS bits, 16 MB whatever the input, as an array."""
+    """The bitmap's FILTER_BITS bits, 8 MB whatever the input, as an array."""
     out = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
     for block, raw in bitmap.collect():
         out[block * BLOCK_BITS // 8 : (block + 1) * BLOCK_BITS // 8] = np.frombuffer(raw, dtype=np.uint8)
@@ -313,20 +313,22 @@ def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, num
     bits = _bitmap(near.select(F.explode(F.array(F.xxhash64("da"), F.xxhash64("db"))).alias("h")), "h").select(F.col("block").alias("_block"), "bits")
     place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
     some = docs.withColumn("_block", F.floor(place / BLOCK_BITS)).join(F.broadcast(bits), "_block").where(_is_set(F.col("bits"), place % BLOCK_BITS))
-    texts = written(some.groupBy("doc_id", F.xxhash64("text")).agg(F.first("text").alias("text")).select("doc_id", "text"), "texts")
+    # grouped by id, which both joins go by: a text moves once; rows that repeat an id and text are one
+    texts = some.groupBy("doc_id").agg(F.collect_set("text").alias("t")).select("doc_id", F.explode("t").alias("text"))
     full = near.join(texts.select(F.col("doc_id").alias("da"), F.col("text").alias("ta")), "da").join(texts.select(F.col("doc_id").alias("db"), F.col("text").alias("tb")), "db")
     return written(full.select("a", "b", "ta", "tb").mapInArrow(_overlaps(width, num, den), "a long, b long"), "links")
 
 
-def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 3, num: int = 90, den: int = 100, crowd: int = 32) -> DataFrame:
     """One row per row of df: doc_id, n_shingles (size of its set), component_id (the
     smallest id that links lead to, its own included).
 
     Two texts are linked when den * overlap >= num * union of their sets (see
-    gram_sets). Equal sets are one node. Nodes are first linked with the row of an
-    n-gram that stands nearest to its front, one candidate per row: that joins large
-    groups of near copies without their pairs. Then all pairs of different groups
-    that share a prefix n-gram and keep the bounds are looked at, so that no link
+    gram_sets). Equal sets are one node. Pairs that share a prefix n-gram and keep
+    the bounds are looked at: of n-grams with `crowd` rows or fewer all of them. Rows
+    of the others are first held against that which stands nearest to its front, one
+    pair per row: that joins large groups of near copies without their pairs. Then
+    those pairs are looked at whose groups are still different, so that no link
     between groups is missed. A pair within a group is of no consequence.
 
     Null and empty texts have no n-grams and are linked with nothing. A null id
@@ -347,17 +349,24 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     nodes = written(known.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), *[F.first(p).alias(p) for p in maps]), "nodes")
 
     schema = "gram long, sid long, np long" + "".join(f", q{k} long" for k in range(FOLDED))
-    rows = written(docs.select("text").mapInArrow(_prefixes(width, num, den, spark.sparkContext.broadcast(counts)), schema), "prefixes")
-    shared = rows.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1")
-    table = _table(_bitmap(shared, "gram"))
-    rows = written(rows.mapInArrow(_in_table(spark.sparkContext.broadcast(table), "gram"), schema + ", there boolean").where("there").drop("there"), "shared")
-
+    rare = spark.sparkContext.broadcast(counts)
+    rows = written(docs.select("text").mapInArrow(_prefixes(width, num, den, rare), schema), "prefixes")
+    rare.unpersist()
+    del counts, parts
+    often = written(rows.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1"), "often")
+    again, hot = (spark.sparkContext.broadcast(_table(_bitmap(often.where(x), "gram"))) for x in ("true", f"k > {crowd}"))
+    rows = rows.mapInArrow(_in_table(again, "gram"), schema + ", there boolean").where("there").drop("there")
+    rows = written(rows.mapInArrow(_in_table(hot, "gram"), schema + ", there boolean"), "shared")
+    again.unpersist(), hot.unpersist()
+
+    few, rows = rows.where("not there").drop("there"), rows.where("there").drop("there")
+    close = few.alias("a").join(few.alias("b"), (F.col("a.gram") == F.col("b.gram")) & (F.col("a.sid") < F.col("b.sid")) & _may_link(num, den))
     front = written(rows.groupBy("gram").agg(F.min(F.struct("np", "sid")).alias("p"), F.max("sid").alias("hi"), F.min("sid").alias("lo")).where("lo <> hi").select("gram", F.col("p.sid").alias("lead")), "fronts")
     met = rows.join(front, "gram")
     heads = met.where("sid = lead").dropDuplicates(["gram"])
     stars = met.where("sid <> lead").alias("a").join(heads.alias("b"), (F.col("a.gram") == F.col("b.gram")) & _may_link(num, den))
-    pair = lambda x: x.select(F.least("a.sid", "b.sid").alias("a"), F.greatest("a.sid", "b.sid").alias("b")).distinct()
-    links = _linked(pair(stars), docs, nodes, width, num, den)
+    pair = lambda x: x.select(F.least("a.sid", "b.sid").alias("a"), F.greatest("a.sid", "b.sid").alias("b"))
+    links = _linked(pair(close).union(pair(stars)).distinct(), docs, nodes, width, num, den)
     groups = written(connected(links), "groups")
 
     # most sets are linked with none: only those that may be meet the groups, the others are groups of their own
@@ -374,7 +383,7 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
         mixed.alias("b"),
         (F.col("a.gram") == F.col("b.gram")) & (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("b.group")) | (F.col("a.sid") < F.col("b.sid"))) & _may_link(num, den),
     )
-    more = _linked(pair(across), docs, nodes, width, num, den)
+    more = _linked(pair(across).distinct(), docs, nodes, width, num, den)
     if more.take(1):
         groups = written(connected(links.union(more)), "groups")
 
