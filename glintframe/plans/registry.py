@@ -1,11 +1,386 @@
-"""All queries of the imaging engine, with the SQL they are held against."""
+"""All queries of the imaging engine, with the SQL they are held against.
+
+Values that aren't exact in binary are rounded to six digits on both sides.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from glintframe.functions import expr, kernels
+from glintframe.operators import PIXEL, graph, motion, project, seeds, signal, stencil, units
+from glintframe.plans.adapters import SIDE, Inputs, sql
+from glintframe.runtime import written
+
+_queries: dict = {}
+_sql: dict[str, str] = {}
+
+
+def query(name: str, oracle: str | None = None, digits: int | None = None):
+    def add(fn):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            out = fn(Inputs(spark, sf_dir))
+            if digits is not None:
+                out = out.withColumns({c: F.round(c, digits) + F.lit(0.0) for c, t in out.dtypes if t == "double"})
+            return out
+
+        _queries[name] = run
+        if oracle:
+            _sql[name] = oracle
+        return fn
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
+
+
+# --- projections, selections, set operations --------------------------------
+
+query("topk_deglowed", sql("L", """, m AS (SELECT height, width, min(value) AS lo, max(value) AS hi FROM L GROUP BY ALL)
+    SELECT height, width, hi - lo AS value FROM m ORDER BY value DESC, height, width LIMIT 10"""))(
+    lambda i: project.top_pixels(project.projection(project.deglow(i.L)), 10)
+)
+query("deglow_min", sql("L", "SELECT frame, height, width, value - min(value) OVER (PARTITION BY height, width) AS value FROM L"))(lambda i: project.deglow(i.L))
+query("deglow_scaled", sql("E", "SELECT frame, height, width, round(value - 0.7 * min(value) OVER (PARTITION BY height, width), 6) + 0.0 AS value FROM E"), 6)(lambda i: project.deglow(i.E, 0.7))
+for _how, _fn in (("max", "max"), ("min", "min"), ("mean", "avg")):
+    query(f"proj_{_how}", sql("E", f"SELECT height, width, round({_fn}(value), 6) + 0.0 AS value FROM E GROUP BY ALL"), 6)(lambda i, how=_how: project.projection(i.E, how))
+query("proj_max_subset", sql("L", "SELECT height, width, max(value) AS value FROM L WHERE frame % 3 = 0 GROUP BY ALL"))(
+    lambda i: project.projection(i.L, "max", i.L.where("frame % 3 = 0").select("frame"))
+)
+query("frame_stride", sql("L", "SELECT * FROM L WHERE frame % 5 = 0"))(lambda i: project.stride(i.L, 5))
+query("coarsen_mean", sql("L", """SELECT (frame - frame % 3)::INT AS frame, (height - height % 2)::INT AS height, (width - width % 5)::INT AS width, round(avg(value), 6) + 0.0 AS value
+    FROM L GROUP BY frame - frame % 3, height - height % 2, width - width % 5 HAVING count(*) = 30"""), 6)(lambda i: project.coarsen(i.L, 3, 2, 5))
+query("clip_nonneg", sql("L", "SELECT frame, height, width, greatest(value - 100.0, 0.0) AS value FROM L"))(lambda i: project.clip(i.L.withColumn("value", F.col("value") - 100.0)))
+query("crop_pixels", sql("L bright", "SELECT L.* FROM L SEMI JOIN bright USING (height, width) WHERE frame BETWEEN 10 AND 40"))(lambda i: project.crop(project.select_pixels(i.L, i.bright), frame=(10, 40)))
+query("concat_frames", sql("L", """SELECT * FROM L UNION ALL SELECT (frame + (SELECT max(frame) + 1 FROM L))::INT, height, width, value * 2 FROM L
+    UNION ALL SELECT (frame + 2 * (SELECT max(frame) + 1 FROM L))::INT, height, width, value FROM L"""))(
+    lambda i: project.concat([i.L, i.L.withColumn("value", F.col("value") * 2), i.L])
+)
+query("concat_width", sql("L", "SELECT * FROM L UNION ALL SELECT frame, height, (width + 16)::INT, value + 1 FROM L"))(lambda i: project.concat([i.L, i.L.withColumn("value", F.col("value") + 1)], "width"))
+query("merge_datasets", sql("L", """SELECT height, width, hi, lo FROM (SELECT height, width, max(value) AS hi FROM L WHERE height < 11 GROUP BY ALL)
+    FULL JOIN (SELECT height, width, min(value) AS lo FROM L WHERE height > 4 GROUP BY ALL) USING (height, width)"""))(
+    lambda i: project.merge(project.projection(i.L.where("height < 11")).withColumnRenamed("value", "hi"), project.projection(i.L.where("height > 4"), "min").withColumnRenamed("value", "lo"), PIXEL)
+)
+query("split_overlap", sql("L", """SELECT (frame // 20)::INT AS part, * FROM L UNION ALL SELECT (frame // 20 - 1)::INT, * FROM L WHERE frame % 20 = 0 AND frame > 0"""))(lambda i: project.split_overlap(i.L, 20))
+query("part_projections", sql("L", """, p AS (SELECT (frame // 20)::INT AS part, * FROM L UNION ALL SELECT (frame // 20 - 1)::INT, * FROM L WHERE frame % 20 = 0 AND frame > 0)
+    SELECT part, height, width, max(value - lo) AS value FROM (SELECT *, min(value) OVER (PARTITION BY part, height, width) AS lo FROM p) GROUP BY ALL"""))(
+    lambda i: project.projection(project.deglow(project.split_overlap(i.L, 20), by=("part",)), by=("part",))
+)
+
+# --- stencils -----------------------------------------------------------------
+
+_REFLECT = f"CASE WHEN {{p}} < 0 THEN -1 - ({{p}}) WHEN {{p}} >= {SIDE} THEN {2 * SIDE - 1} - ({{p}}) ELSE {{p}} END"
+_REFLECT101 = f"CASE WHEN {{p}} < 0 THEN -({{p}}) WHEN {{p}} >= {SIDE} THEN {2 * SIDE - 2} - ({{p}}) ELSE {{p}} END"
+_REPLICATE = f"least(greatest({{p}}, 0), {SIDE - 1})"
+
+
+def _box(half: int, agg: str, border: str, where: str = "true", source: str = "L") -> str:
+    """SELECT of an aggregate over n.value, the values at (dy, dx) from each pixel;
+    those outside are taken from where `border` says, or left out."""
+    y, x = (border.format(p=p) if border else p for p in ("c.height + dy", "c.width + dx"))
+    return (
+        f"SELECT c.frame, c.height, c.width, any_value(c.value) AS own, {agg} FROM (SELECT c.*, ({y})::INT AS ny, ({x})::INT AS nx, dy, dx FROM {source} c, range({-half}, {half + 1}) a(dy), range({-half}, {half + 1}) b(dx) WHERE {where}) c "
+        f"JOIN {source} n ON n.frame = c.frame AND n.height = ny AND n.width = nx GROUP BY c.frame, c.height, c.width"
+    )
+
+
+_GAUSS = "list_value(0.0625, 0.25, 0.375, 0.25, 0.0625)"
+query("denoise_gaussian", sql("L", f"SELECT frame, height, width, s AS value FROM ({_box(2, f'sum(n.value * {_GAUSS}[(dy + 3)::INT] * {_GAUSS}[(dx + 3)::INT]) AS s', _REFLECT101)})"))(lambda i: stencil.denoise(i.L, "gaussian", 5))
+query("denoise_median", sql("L", f"SELECT frame, height, width, m AS value FROM ({_box(1, 'median(n.value) AS m', _REPLICATE)})"))(lambda i: stencil.denoise(i.L, "median", 3))
+query("denoise_bilateral", None)(lambda i: stencil.denoise(i.L, "bilateral", 5))
+query("denoise_anisotropic", None)(lambda i: stencil.denoise(i.L, "anisotropic"))
+query("bg_uniform", sql("L", f"SELECT frame, height, width, round(own - m, 6) + 0.0 AS value FROM ({_box(2, 'avg(n.value) AS m', _REFLECT)})"), 6)(lambda i: stencil.remove_background(i.L, "uniform", 5))
+_DISK = "dy * dy + dx * dx <= {r2}"
+query("dilate", sql("L", f"SELECT frame, height, width, m AS value FROM ({_box(2, 'max(n.value) AS m', '', _DISK.format(r2=4))})"))(lambda i: stencil.dilate(i.L, 2))
+query("erode", sql("L", f"SELECT frame, height, width, m AS value FROM ({_box(2, 'min(n.value) AS m', '', _DISK.format(r2=4))})"))(lambda i: stencil.erode(i.L, 2))
+query("bg_tophat", sql("L", f""", low AS (SELECT frame, height, width, m AS value FROM ({_box(3, 'min(n.value) AS m', '', _DISK.format(r2=9))})),
+    opened AS ({_box(3, 'max(n.value) AS m', '', _DISK.format(r2=9), 'low')})
+    SELECT L.frame, L.height, L.width, L.value - m AS value FROM L JOIN opened USING (frame, height, width)"""))(lambda i: stencil.remove_background(i.L, "tophat", 3))
+query("sobel", sql("L", f"SELECT frame, height, width, 0.5 * abs(gx) + 0.5 * abs(gy) AS value FROM ({_box(1, 'sum(n.value * dx * (2 - abs(dy))) AS gx, sum(n.value * dy * (2 - abs(dx))) AS gy', _REFLECT101)})"))(lambda i: stencil.sobel(i.L))
+for _kind, _own in (("max", "hi"), ("min", "lo")):
+    query(f"local_extreme_{_kind}", sql("L", f"SELECT frame, height, width, own AS value, own = {_own} AND hi - lo > 3 AS extreme FROM ({_box(2, 'max(n.value) AS hi, min(n.value) AS lo', '', _DISK.format(r2=4))})"))(
+        lambda i, kind=_kind: stencil.local_extreme(i.L, 2, kind, 3)
+    )
+
+
+def _tops(source: str, first: int, last: int, diff: float) -> str:
+    """CTEs `tops` (pixels that are a maximum at some radius) and `spots` (one per region)."""
+    parts = " UNION ".join(f"SELECT frame, height, width FROM ({_box(r, 'max(n.value) AS hi, min(n.value) AS lo', '', _DISK.format(r2=r * r), source)}) WHERE own = hi AND hi - lo > {diff}" for r in range(first, last))
+    return f""", tops AS (SELECT (frame * 65536 + height * 256 + width)::BIGINT AS id, * FROM ({parts})),
+    touch AS (SELECT a.id AS a, b.id AS b FROM tops a JOIN tops b ON a.frame = b.frame AND abs(a.height - b.height) <= 1 AND abs(a.width - b.width) <= 1),
+    reach(a, b) AS (SELECT id, id FROM tops UNION SELECT reach.a, touch.b FROM reach JOIN touch ON reach.b = touch.a),
+    spots AS (SELECT frame, floor(quantile_cont(height, 0.5))::INT AS height, floor(quantile_cont(width, 0.5))::INT AS width FROM tops JOIN (SELECT a, min(b) AS g FROM reach GROUP BY a) ON a = id GROUP BY frame, g)"""
+
+
+query("local_max_roll", sql("L", _tops("L", 1, 4, 3) + " SELECT frame, height, width FROM spots", True))(lambda i: graph.region_centres(stencil.local_max_any(i.L, 1, 4, 3).where("extreme")))
+
+
+def _frames(df: DataFrame) -> int:
+    return df.agg(F.max("frame") + 1).first()[0]
+
+
+_WINDOWS = """, n AS (SELECT max(frame) + 1 AS n, (ceil((max(frame) + 1) / 10.0) + 1)::INT AS k FROM L),
+    win AS (SELECT i, greatest(floor(i * (n - 1.0) / (k - 1) - 15), 0) AS a, least(ceil(i * (n - 1.0) / (k - 1) + 15), n) AS b FROM n, LATERAL (SELECT unnest(range(k)) AS i)),
+    shots AS (SELECT i::INT AS frame, height, width, max(value) AS value FROM L JOIN win ON L.frame >= a AND L.frame < b GROUP BY ALL)"""
+query("window_projections", sql("L", _WINDOWS + ' SELECT frame AS "window", height, width, value FROM shots'))(lambda i: project.window_projections(i.L, project.rolling_windows(_frames(i.L), 30, 10)))
+query("seeds_init", sql("L", _WINDOWS + _tops("shots", 2, 4, 2) + """, votes AS (SELECT height, width, count(DISTINCT frame)::INT AS seeds FROM spots GROUP BY ALL)
+    SELECT row_number() OVER (ORDER BY height, width) - 1 AS seed_id, height, width, seeds FROM votes""", True))(lambda i: seeds.find(i.L, _frames(i.L), 30, 10, 4, 2))
+query("seeds_init_random", None)(lambda i: seeds.find(i.L, _frames(i.L), 20, 10, 4, 2, method="random", draws=5))
+
+# --- percentiles, thresholds, masks -------------------------------------------
+
+query("ptp_q", sql("E", "SELECT height, width, round(quantile_cont(value, 0.999) - quantile_cont(value, 0.001), 6) + 0.0 AS ptp FROM E GROUP BY ALL"), 6)(lambda i: signal.ptp(i.E, keys=tuple(PIXEL)))
+query("pixel_percentiles", sql("E", "SELECT height, width, round(quantile_cont(value, 0.25), 6) + 0.0 AS q25, round(quantile_cont(value, 0.5), 6) + 0.0 AS q50, round(quantile_cont(value, 0.9), 6) + 0.0 AS q90 FROM E GROUP BY ALL"), 6)(
+    lambda i: i.E.groupBy(*PIXEL).agg(*[F.percentile("value", F.lit(q / 100)).alias(f"q{q}") for q in (25, 50, 90)])
+)
+query("intensity_refine", sql("L bright", """, img AS (SELECT height, width, max(value) AS v FROM L GROUP BY ALL),
+    s AS (SELECT min(v) AS lo, max(v) AS hi, round_even(count(*) / 10.0, 0)::INT AS k FROM img),
+    h AS (SELECT least(floor((v - lo) / ((hi - lo) / k)), k - 1)::INT AS bin, count(*) AS c FROM img, s GROUP BY ALL),
+    top AS (SELECT arg_max(bin, (c, -bin)) AS bin FROM h),
+    t AS (SELECT lo + round_even(bin * 0.5, 0) * ((hi - lo) / k) AS threshold FROM top, s)
+    SELECT seed_id, height, width, v > threshold AS mask_int FROM bright LEFT JOIN img USING (height, width), t"""))(lambda i: seeds.intensity_refine(project.projection(i.L), i.bright, 0.5))
+query("seed_mask_conjunction", sql("L bright", "SELECT row_number() OVER (ORDER BY height, width) - 1 AS seed_id, height, width FROM bright WHERE height % 2 = 0 AND width % 3 > 0"))(
+    lambda i: seeds.combined(i.bright.withColumns({"mask_a": F.col("height") % 2 == 0, "mask_b": F.col("width") % 3 > 0}), "mask_a", "mask_b").drop("mask_a", "mask_b")
+)
+
+# --- traces -------------------------------------------------------------------
+
+_BAND = """, n AS (SELECT count(DISTINCT frame) AS n FROM T), bins AS (SELECT unnest(range(round_even(0.25 * n, 0)::INT, round_even(0.5 * n, 0)::INT)) AS k, n FROM n),
+    power AS (SELECT unit_id, k, (pow(sum(value * cos(2 * pi() * k * frame / n)), 2) + pow(sum(value * sin(2 * pi() * k * frame / n)), 2)) / any_value(n) AS p FROM T, bins GROUP BY ALL)"""
+for _method, _sum in (("logmexp", "sqrt(exp(avg(ln(p + 2.220446049250313e-16))))"), ("mean", "sqrt(avg(p))"), ("sum", "sqrt(sum(p))"), ("median", "sqrt(median(p))")):
+    query(f"noise_fft_{_method}", sql("T", f"{_BAND} SELECT unit_id, round({_sum}, 6) + 0.0 AS sn FROM power GROUP BY unit_id"), 6)(lambda i, m=_method: signal.noise(i.T, method=m))
+query("noise_welch", None)(lambda i: signal.noise(i.T, estimator="welch"))
+_LOW = """, n AS (SELECT count(DISTINCT frame) AS n, floor(0.25 * count(DISTINCT frame))::INT AS c FROM T),
+    kern AS (SELECT d, (1 + 2 * coalesce((SELECT sum(cos(2 * pi() * k * d / n)) FROM range(1, 200) r(k) WHERE k < c), 0)) / n AS w FROM n, LATERAL (SELECT unnest(range(-n + 1, n)) AS d)),
+    low AS (SELECT a.unit_id, a.frame, any_value(a.value) AS x, sum(b.value * w) AS y FROM T a JOIN T b USING (unit_id) JOIN kern ON d = a.frame - b.frame GROUP BY a.unit_id, a.frame)"""
+query("lowpass_fft", sql("T", f"{_LOW} SELECT unit_id, frame, round(y, 6) + 0.0 AS value FROM low"), 6)(lambda i: signal.smooth(i.T, 0.25))
+query("highpass_fft", sql("T", f"{_LOW} SELECT unit_id, frame, round(x - y, 6) + 0.0 AS value FROM low"), 6)(lambda i: signal.smooth(i.T, 0.25, kind="high"))
+query("butter_lowpass", None, 6)(lambda i: signal.smooth(i.T, 0.1, "butter"))
+query("butter_highpass", None, 6)(lambda i: signal.smooth(i.T, 0.1, "butter", "high"))
+_PNR = f"""{_LOW}, q AS (SELECT unit_id, (quantile_cont(x, 0.999) - quantile_cont(x, 0.001)) / (quantile_cont(x - y, 0.999) - quantile_cont(x - y, 0.001)) AS pnr FROM low GROUP BY ALL)"""
+query("pnr", sql("T", f"{_PNR} SELECT unit_id, round(pnr, 6) + 0.0 AS pnr, pnr > 1.1 AS mask_pnr FROM q"), 6)(lambda i: signal.peak_to_noise(i.T, 0.25).withColumn("mask_pnr", F.col("pnr") > 1.1))
+query("pnr_refine", None)(lambda i: seeds.pnr_refine(i.L, i.bright, 0.25, 1.05))
+query("pnr_refine_auto", None)(lambda i: seeds.pnr_refine(i.L, i.bright, 0.25, "auto"))
+query("ks_refine", None)(lambda i: seeds.ks_refine(i.L, i.bright, 0.05))
+query("gmm_refine", None)(lambda i: seeds.gmm_refine(i.L, i.bright))
+query("med_baseline", sql("T", """, n AS (SELECT count(DISTINCT frame) AS n FROM T),
+    near AS (SELECT unit_id, frame, value, CASE WHEN p < 0 THEN -1 - p WHEN p >= n THEN 2 * n - 1 - p ELSE p END AS q FROM (SELECT unit_id, frame, value, frame + d AS p, n FROM T, n, range(-2, 3) r(d))),
+    mid AS (SELECT a.unit_id, a.frame, any_value(a.value) AS v, median(b.value) AS m FROM near a JOIN T b ON b.unit_id = a.unit_id AND b.frame = q GROUP BY a.unit_id, a.frame)
+    SELECT unit_id, frame, round(greatest(v - m, 0), 6) + 0.0 AS value FROM mid"""), 6)(lambda i: signal.above_baseline(i.T, 5))
+query("rising_runs", sql("T", """, up AS (SELECT *, coalesce(lead(value) OVER w > value, false) AS up FROM T WINDOW w AS (PARTITION BY unit_id ORDER BY frame)),
+    new AS (SELECT *, sum(CASE WHEN up AND NOT coalesce(was, false) THEN 1 ELSE 0 END) OVER (PARTITION BY unit_id ORDER BY frame) AS run FROM (SELECT *, lag(up) OVER (PARTITION BY unit_id ORDER BY frame) AS was FROM up)),
+    runs AS (SELECT unit_id, run, count(*) AS k, arg_max(value, frame) - arg_min(value, frame) AS rise FROM new WHERE up GROUP BY ALL)
+    SELECT u.unit_id, coalesce(arg_max(k, (rise, -run)), 0)::BIGINT AS rise_frames, round(coalesce(max(rise), 0), 6) + 0.0 AS rise FROM (SELECT DISTINCT unit_id FROM T) u LEFT JOIN runs USING (unit_id) GROUP BY u.unit_id"""), 6)(
+    lambda i: signal.longest_rise(i.T)
+)
+_ACOV = """, z AS (SELECT unit_id, frame, value - avg(value) OVER (PARTITION BY unit_id) AS z, count(*) OVER (PARTITION BY unit_id) AS n FROM T),
+    acov AS (SELECT a.unit_id, k::INT AS lag, coalesce(sum(a.z * b.z), 0) / any_value(a.n) AS acov FROM z a CROSS JOIN range(4) r(k) LEFT JOIN z b ON b.unit_id = a.unit_id AND b.frame = a.frame + k GROUP BY a.unit_id, k)"""
+query("acov_lags", sql("T", f"{_ACOV} SELECT unit_id, lag, round(acov, 6) + 0.0 AS acov FROM acov"), 6)(lambda i: signal.autocovariance(i.T, 3))
+query("ar1_coef", sql("T", f"""{_ACOV}{_BAND}, sn AS (SELECT unit_id, avg(p) AS sn2 FROM power GROUP BY ALL),
+    c AS (SELECT unit_id, lag, CASE WHEN lag = 0 THEN acov - sn2 ELSE acov END AS x, acov AS y FROM acov JOIN sn USING (unit_id))
+    SELECT a.unit_id, round(coalesce(sum(a.x * b.y) / nullif(sum(a.x * a.x), 0), 0), 6) + 0.0 AS g FROM c a JOIN c b ON a.unit_id = b.unit_id AND b.lag = a.lag + 1 WHERE a.lag < 2 GROUP BY a.unit_id"""), 6)(
+    lambda i: signal.ar1(i.T, signal.noise(i.T, method="mean"), 2)
+)
+query("ar_coef", None, 6)(lambda i: signal.ar(i.T, signal.noise(i.T, method="mean"), 2, 5))
+query("lstsq_scale", sql("T", f"{_LOW} SELECT unit_id, round(coalesce(sum(y * x) / nullif(sum(y * y), 0), 0), 6) + 0.0 AS scale FROM low GROUP BY unit_id"), 6)(lambda i: signal.scale_to(signal.smooth(i.T, 0.25), i.T))
+
+# --- graph --------------------------------------------------------------------
+
+_POINTS = ", pts AS (SELECT seed_id AS id, height, width FROM bright)"
+_PAIRS = """, pairs AS (SELECT a.id AS src, b.id AS dst, sqrt(pow(a.height - b.height, 2) + pow(a.width - b.width, 2)) AS distance FROM pts a JOIN pts b ON a.id < b.id
+    AND pow(a.height - b.height, 2) + pow(a.width - b.width, 2) <= {r2})"""
+_CORR = """, tr AS (SELECT seed_id AS id, frame, value FROM L JOIN bright USING (height, width)),
+    edges AS (SELECT src, dst, coalesce(CASE WHEN isnan(r) THEN 0 ELSE r END, 0) AS corr FROM (SELECT src, dst, covar_pop(a.value, b.value) / nullif(stddev_pop(a.value) * stddev_pop(b.value), 0) AS r
+      FROM pairs JOIN tr a ON a.id = src JOIN tr b ON b.id = dst AND b.frame = a.frame GROUP BY src, dst))"""
+_GROUPS = """, link AS (SELECT src AS a, dst AS b FROM edges WHERE corr > {c} UNION ALL SELECT dst, src FROM edges WHERE corr > {c}),
+    reach(a, b) AS (SELECT a, a FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+    groups AS (SELECT id, coalesce(g, id) AS g, g IS NULL AS alone FROM pts LEFT JOIN (SELECT a, min(b) AS g FROM reach GROUP BY a) ON a = id)"""
+
+
+def _points(i: Inputs) -> DataFrame:
+    return i.bright.select(F.col("seed_id").alias("id"), *PIXEL)
+
+
+def _edges(i: Inputs, radius: float) -> DataFrame:
+    rows = signal.arrays(seeds.traces_at(i.L, i.bright), ["seed_id"]).withColumnRenamed("seed_id", "id")
+    return graph.edge_correlation(graph.radius_pairs(_points(i), radius).select("src", "dst"), rows)
+
+
+query("radius_pairs", sql("L bright", _POINTS + _PAIRS.format(r2=9) + " SELECT src, dst, round(distance, 6) AS distance FROM pairs"), 6)(lambda i: graph.radius_pairs(_points(i), 3))
+query("edge_corr", sql("L bright", _POINTS + _PAIRS.format(r2=9) + _CORR + " SELECT src, dst, round(corr, 6) + 0.0 AS corr FROM edges"), 6)(lambda i: _edges(i, 3))
+query("label_connected", sql("L bright", _POINTS + _PAIRS.format(r2=9) + _CORR + _GROUPS.format(c=0.15) + """
+    SELECT id, (dense_rank() OVER (ORDER BY g) - 1)::INT AS label FROM groups""", True))(lambda i: graph.labels(_points(i), _edges(i, 3).where("corr > 0.15")))
+query("label_only_connected", sql("L bright", _POINTS + _PAIRS.format(r2=9) + _CORR + _GROUPS.format(c=0.15) + """
+    SELECT id, CASE WHEN alone THEN -1 ELSE r END::INT AS label FROM (SELECT *, dense_rank() OVER (ORDER BY g) - 1 AS r FROM groups)""", True))(
+    lambda i: graph.labels(_points(i), _edges(i, 3).where("corr > 0.15"), True)
+)
+query("seeds_merge", sql("L bright", _POINTS + _PAIRS.format(r2=9) + _CORR + _GROUPS.format(c=0.15) + """, img AS (SELECT height, width, max(value) AS v FROM L GROUP BY ALL),
+    best AS (SELECT arg_max(id, (v, -id)) AS id FROM groups JOIN bright ON seed_id = id JOIN img USING (height, width) GROUP BY g)
+    SELECT seed_id, height, width, seed_id IN (SELECT id FROM best) AS mask_mrg FROM bright""", True))(lambda i: seeds.merge(i.L, project.projection(i.L), i.bright, 3, 0.15))
+
+# --- units --------------------------------------------------------------------
+
+_SEEDS = ", sd AS (SELECT row_number() OVER (ORDER BY v DESC, height, width) - 1 AS unit_id, height, width FROM (SELECT height, width, max(value) AS v FROM E GROUP BY ALL) ORDER BY v DESC, height, width LIMIT 6)"
+query("initA", sql("E", _SEEDS + """, pr AS (SELECT s.unit_id, s.height AS sh, s.width AS sw, p.height, p.width FROM sd s JOIN (SELECT DISTINCT height, width FROM E) p
+      ON pow(s.height - p.height, 2) + pow(s.width - p.width, 2) <= 9 AND (s.height <> p.height OR s.width <> p.width)),
+    cr AS (SELECT unit_id, pr.height, pr.width, covar_pop(a.value, b.value) / (stddev_pop(a.value) * stddev_pop(b.value)) AS r FROM pr JOIN E a ON a.height = sh AND a.width = sw JOIN E b ON b.height = pr.height AND b.width = pr.width AND b.frame = a.frame GROUP BY ALL)
+    SELECT unit_id, height, width, round(r, 6) + 0.0 AS value FROM cr WHERE r > 0.02 UNION ALL SELECT unit_id, height, width, 1.0 FROM sd"""), 6)(
+    lambda i: units.init_footprints(i.E, seeds_of_top(i), 0.02, 3)
+)
+
+
+def seeds_of_top(i: Inputs) -> DataFrame:
+    top = project.top_pixels(project.projection(i.E), 6)
+    from pyspark.sql import Window
+
+    rank = F.row_number().over(Window.orderBy(F.desc("value"), *PIXEL)) - 1  # six rows
+    return top.select(rank.cast("long").alias("unit_id"), *PIXEL)
+
+
+query("initC", None, 6)(lambda i: units.init_traces(i.E, i.A))
+_OVER = """, sz AS (SELECT unit_id, count(*) AS n FROM A GROUP BY ALL), ov AS (SELECT a.unit_id AS src, b.unit_id AS dst, count(*) AS shared FROM A a JOIN A b USING (height, width) WHERE a.unit_id < b.unit_id GROUP BY ALL),
+    jac AS (SELECT src, dst, shared, shared / (p.n + q.n - shared)::DOUBLE AS jaccard FROM ov JOIN sz p ON p.unit_id = src JOIN sz q ON q.unit_id = dst)"""
+query("unit_overlap", sql("E A", _OVER + " SELECT src, dst, shared, round(jaccard, 6) AS jaccard FROM jac"), 6)(lambda i: units.overlaps(i.A))
+_UGROUPS = """, reach(a, b) AS (SELECT unit_id, unit_id FROM sz UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+    lab AS (SELECT unit_id, (dense_rank() OVER (ORDER BY g) - 1)::INT AS label FROM (SELECT a AS unit_id, min(b) AS g FROM reach GROUP BY a))"""
+query("unit_jaccard_groups", sql("E A", _OVER + ", link AS (SELECT src AS a, dst AS b FROM jac WHERE jaccard > 0.4 UNION ALL SELECT dst, src FROM jac WHERE jaccard > 0.4)" + _UGROUPS + " SELECT * FROM lab", True))(lambda i: units.jaccard_groups(i.A, 0.4))
+_MERGED = """, cc AS (SELECT src, dst, covar_pop(a.value, b.value) / (stddev_pop(a.value) * stddev_pop(b.value)) AS r FROM ov JOIN C a ON a.unit_id = src JOIN C b ON b.unit_id = dst AND b.frame = a.frame GROUP BY src, dst),
+    link AS (SELECT src AS a, dst AS b FROM cc WHERE r > 0.15 UNION ALL SELECT dst, src FROM cc WHERE r > 0.15)"""
+query("unit_merge", sql("E A C", _OVER + _MERGED + _UGROUPS + """, k AS (SELECT label, count(*) AS k FROM lab GROUP BY ALL)
+    SELECT 'A' AS var, label::BIGINT AS unit_id, NULL::INT AS frame, height, width, round(sum(value) / any_value(k), 6) + 0.0 AS value FROM A JOIN lab USING (unit_id) JOIN k USING (label) GROUP BY label, height, width
+    UNION ALL SELECT 'C', label, frame, NULL, NULL, round(sum(value) / any_value(k), 6) + 0.0 FROM C JOIN lab USING (unit_id) JOIN k USING (label) GROUP BY label, frame""", True), 6)(lambda i: _both(*units.merge(i.A, i.C, 0.15)))
+
+
+def _both(A: DataFrame, C: DataFrame) -> DataFrame:
+    none = F.lit(None).cast("int")
+    return A.select(F.lit("A").alias("var"), "unit_id", none.alias("frame"), *PIXEL, "value").union(C.select(F.lit("C"), "unit_id", "frame", none, none, "value"))
+
+
+_AC = ", ac AS (SELECT frame, height, width, sum(A.value * C.value) AS value FROM A JOIN C USING (unit_id) GROUP BY ALL)"
+query("compute_AtC", sql("E A C", _AC + " SELECT frame, height, width, round(value, 6) + 0.0 AS value FROM ac"), 6)(lambda i: units.reconstruction(i.A, i.C))
+_BF = _AC + """, rest AS (SELECT E.frame, E.height, E.width, greatest(E.value - coalesce(ac.value, 0), 0) AS value FROM E LEFT JOIN ac USING (frame, height, width)),
+    b AS (SELECT height, width, avg(value) AS value FROM rest GROUP BY ALL),
+    f AS (SELECT frame, sum(b.value * rest.value) / sum(b.value * b.value) AS value FROM rest JOIN b USING (height, width) GROUP BY frame)"""
+query("update_background", sql("E A C", _BF + """ SELECT 'b' AS var, NULL::INT AS frame, height, width, round(value, 6) + 0.0 AS value FROM b
+    UNION ALL SELECT 'f', frame, NULL, NULL, round(value, 6) + 0.0 FROM f"""), 6)(lambda i: _background(*units.update_background(i.E, i.A, i.C)))
+
+
+def _background(b: DataFrame, f: DataFrame) -> DataFrame:
+    none = F.lit(None).cast("int")
+    return b.select(F.lit("b").alias("var"), none.alias("frame"), *PIXEL, "value").union(f.select(F.lit("f"), "frame", none, none, "value"))
+
+
+query("compute_trace", sql("E A C", _BF + """, nrm AS (SELECT unit_id, sum(value * value) AS n FROM A GROUP BY ALL),
+    g AS (SELECT a.unit_id AS u1, b.unit_id AS u2, sum(a.value * b.value) AS g FROM A a JOIN A b USING (height, width) GROUP BY ALL),
+    ca AS (SELECT u1 AS unit_id, frame, sum(g * value) AS ca FROM g JOIN C ON C.unit_id = u2 GROUP BY ALL),
+    ya AS (SELECT unit_id, frame, sum((E.value - b.value * f.value) * A.value) AS ya FROM E JOIN A USING (height, width) JOIN b USING (height, width) JOIN f USING (frame) GROUP BY ALL)
+    SELECT unit_id, frame, round(greatest((ya - ca) / n + C.value, 0), 6) + 0.0 AS value FROM ya JOIN ca USING (unit_id, frame) JOIN nrm USING (unit_id) JOIN C USING (unit_id, frame)"""), 6)(lambda i: _yra(i))
+
+
+def _yra(i: Inputs) -> DataFrame:
+    b, f = units.update_background(i.E, i.A, i.C)
+    return units.traces(i.E, i.A, written(b, "b"), i.C, f)
+
+
+query("spatial_support", sql("E A", """SELECT DISTINCT unit_id, (height + dy)::INT AS height, (width + dx)::INT AS width FROM A, range(-1, 2) a(dy), range(-1, 2) b(dx)
+    WHERE dy * dy + dx * dx <= 1 AND height + dy BETWEEN 0 AND 7 AND width + dx BETWEEN 0 AND 7"""))(lambda i: units.support(i.A, 1, 8, 8))
+query("spatial_single_unit", sql("E A C", """SELECT unit_id, E.height, E.width, round(greatest(covar_pop(C.value, E.value) - 0.005, 0) / var_pop(C.value), 6) + 0.0 AS value
+    FROM E JOIN C USING (frame) WHERE unit_id = (E.height + E.width) % 10 GROUP BY unit_id, E.height, E.width"""), 6)(lambda i: _single(i))
+
+
+def _single(i: Inputs) -> DataFrame:
+    rows = signal.arrays(i.E, PIXEL).withColumn("unit_id", ((F.col("height") + F.col("width")) % 10).cast("long"))
+    x = signal.arrays(i.C, ["unit_id"]).withColumnRenamed("trace", "x")
+    return units.spatial_single(rows.join(x, "unit_id").withColumn("alpha", F.lit(0.005))).select("unit_id", *PIXEL, "value")
+
+
+query("spatial_size_filter", sql("E A", "SELECT unit_id, height, width, round(value, 6) + 0.0 AS value FROM A WHERE unit_id IN (SELECT unit_id FROM A GROUP BY unit_id HAVING count(*) > 30 AND count(*) < 40)"), 6)(lambda i: units.sized(i.A, 30, 40))
+query("spatial_normalize", sql("E A", "SELECT unit_id, height, width, round(value / max(value) OVER (PARTITION BY unit_id), 6) + 0.0 AS value FROM A"), 6)(lambda i: units.normalised(i.A)[0])
+query("unit_size", sql("E A", "SELECT unit_id, count(*) AS n FROM A WHERE value > 0 GROUP BY unit_id"))(lambda i: i.A.where("value > 0").groupBy("unit_id").agg(F.count("*").alias("n")))
+query("spatial_lasso_multi", None, 6)(lambda i: units.update_spatial(i.E, i.A, i.C, signal.noise(i.E, keys=tuple(PIXEL)), shape=(8, 8), radius=1, penalty=0.05, size=(3, None))[0])
+query("temporal_deconv", None, 6)(lambda i: units.update_temporal(i.T.select("unit_id", F.lit(0).alias("height"), F.col("unit_id").cast("int").alias("width"), F.lit(1.0).alias("value")).distinct(), i.T, penalty=0.1).drop("g"))
+
+# --- motion -------------------------------------------------------------------
+
+query("motion_rigid", None, 3)(lambda i: motion.estimate(i.L, upsample=10))
+query("motion_elastic", None)(lambda i: motion.estimate(project.crop(i.L, frame=(0, 5)), mesh=(1, 1), steps=10).select("frame", "rows", "columns"))
+query("apply_shift_integer", sql("L", """SELECT c.frame, c.height, c.width, coalesce(n.value, 0.0) AS value FROM L c
+    LEFT JOIN L n ON n.frame = c.frame AND n.height = c.height - (c.frame % 3 - 1) AND n.width = c.width - c.frame % 2"""))(
+    lambda i: motion.apply_integer(i.L, i.L.select("frame").distinct().select("frame", (F.col("frame") % 3 - 1).alias("dy"), (F.col("frame") % 2).alias("dx")))
+)
+query("apply_shift_bilinear", sql("L", f"""SELECT c.frame, c.height, c.width, CASE WHEN count(n.value) = 4 THEN sum(n.value * (CASE WHEN dy = 0 THEN 0.5 ELSE 0.5 END) * (CASE WHEN dx = -1 THEN 0.25 ELSE 0.75 END)) ELSE 0.0 END AS value
+    FROM L c CROSS JOIN range(0, 2) a(dy) CROSS JOIN range(-1, 1) b(dx) LEFT JOIN L n ON n.frame = c.frame AND n.height = c.height - dy AND n.width = c.width - dx GROUP BY c.frame, c.height, c.width"""))(
+    lambda i: motion.apply(i.L, i.L.select("frame").distinct().select("frame", F.lit(0.5).alias("dy"), F.lit(-0.25).alias("dx")))
+)
+query("motion_centred", sql("L", """, m AS (SELECT DISTINCT frame, (frame % 7) * 1.0 AS step FROM L),
+    c AS (SELECT frame, sum(step) OVER (ORDER BY frame) AS sh FROM m) SELECT frame, round(sh - avg(sh) OVER (), 6) + 0.0 AS dy FROM c"""), 6)(lambda i: _centred(i))
+
+
+def _centred(i: Inputs) -> DataFrame:
+    from pyspark.sql import Window
+
+    steps = i.L.select("frame").distinct().withColumn("at", F.sum((F.col("frame") % 7) * 1.0).over(Window.orderBy("frame")))  # one row per frame
+    return steps.crossJoin(F.broadcast(steps.agg(F.avg("at").alias("m")))).select("frame", (F.col("at") - F.col("m")).alias("dy"))
+
+
+# --- parameters, paths, clips ---------------------------------------------------
+
+_PARAMS = [("denoise", "method", "median", "ksize", "7", None, None, None, None, "Nan", "Nan"), ("seeds_merge", "thres_dist", "10", "thres_corr", "0.8", "noise_freq", "0.06", None, None, None, None),
+           ("get_noise", "noise_range", "(0.06, 0.5)", "Nan", "Nan", None, None, None, None, None, None), ("remove_glow", "deglow", "TRUE", None, None, None, None, None, None, None, None)]
+_VALUES = ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" for v in r) + ")" for r in _PARAMS)
+query("params_unpivot", f"""WITH p(function, p1, v1, p2, v2, p3, v3, p4, v4, p5, v5) AS (VALUES {_VALUES}),
+    u AS (SELECT function, p1 AS name, v1 AS value FROM p UNION ALL SELECT function, p2, v2 FROM p UNION ALL SELECT function, p3, v3 FROM p UNION ALL SELECT function, p4, v4 FROM p UNION ALL SELECT function, p5, v5 FROM p)
+    SELECT function, name, value, CASE WHEN regexp_full_match(value, '\\d+') THEN 'int' WHEN regexp_full_match(value, '\\d*\\.\\d+|\\d+\\.\\d*') THEN 'float' WHEN upper(value) IN ('TRUE', 'FALSE') THEN 'bool'
+      WHEN value LIKE '(%)' THEN 'tuple' ELSE 'string' END AS kind FROM u WHERE name IS NOT NULL AND lower(name) <> 'nan'""")(lambda i: _params(i))
+
+
+def _params(i: Inputs) -> DataFrame:
+    from glintframe.sources import params
+
+    table = i.spark.createDataFrame(_PARAMS, ", ".join(f"{c} string" for c in params.COLUMNS))
+    return params.unpivot(table).withColumn("kind", params.kind())
+
+
+query("path_metadata", """SELECT s_suppkey, split_part(p, '/', 3) AS session, split_part(p, '/', 2) AS animal, regexp_extract(p, '(\\d+)\\D*$', 1)::BIGINT AS number
+    FROM (SELECT s_suppkey, '/a' || s_nationkey || '/s' || s_suppkey || '/msCam' || (s_suppkey % 13) || '.avi' AS p FROM supplier)""")(
+    lambda i: i.table("supplier").withColumn("p", F.concat(F.lit("/a"), "s_nationkey", F.lit("/s"), "s_suppkey", F.lit("/msCam"), F.col("s_suppkey") % 13, F.lit(".avi"))).select(
+        "s_suppkey", expr.path_part(F.col("p"), 2).alias("session"), expr.path_part(F.col("p"), 3).alias("animal"), expr.file_number(F.col("p")).alias("number")
+    )
+)
+query("clip_intervals", sql("L", """SELECT clip, L.* FROM L JOIN (VALUES (0, 0.0, 1.5), (1, 1.2, 3.05), (2, 7.0, 7.0), (3, 8.0, 100.0)) c(clip, a, b) ON frame / 10.0 >= a AND frame / 10.0 < b"""))(lambda i: _clips(i))
+
+
+def _clips(i: Inputs) -> DataFrame:
+    from glintframe.sources import video
+
+    times = i.spark.createDataFrame([(0, 0.0, 1.5), (1, 1.2, 3.05), (2, 7.0, 7.0), (3, 8.0, 100.0)], "clip int, start double, end double")
+    return video.clips(i.L, times, 10.0)
+
+
+query("factors", "SELECT p_partkey, f::INT AS factor FROM part, LATERAL (SELECT unnest(range(1, p_partkey + 1)) AS f) WHERE p_partkey % f = 0")(
+    lambda i: i.table("part").select("p_partkey", F.explode(expr.factors(F.col("p_partkey"))).alias("factor"))
+)
+query("event_windows", """SELECT user_id AS unit_id, time_bucket(INTERVAL 1 DAY, ts)::TIMESTAMP AS start, round(sum(value), 6) + 0.0 AS value, count(*) AS n FROM events GROUP BY ALL""", 6)(lambda i: _events(i))
+
+
+def _events(i: Inputs) -> DataFrame:
+    from glintframe.streaming import traces
+
+    return traces.windowed(i.table("events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+query("pipeline_end_to_end", None, 6)(lambda i: _pipeline(i))
+
+
+def _pipeline(i: Inputs) -> DataFrame:
+    from glintframe.plans.pipeline import PLANTED, planted, run
+
+    out = run(planted(i.spark), PLANTED)
+    return out["C"].groupBy("unit_id").agg(F.count("*").alias("frames"), F.max("value").alias("peak")).join(out["A"].groupBy("unit_id").agg(F.count("*").alias("pixels")), "unit_id")
