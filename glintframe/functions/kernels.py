@@ -294,7 +294,8 @@ def registration(src: np.ndarray, dst: np.ndarray, upsample: int = 100) -> np.nd
     the nearest pixel first, then a matrix-multiplied transform of its surroundings
     at 1 / upsample of a pixel."""
     cross = np.fft.fft2(src) * np.conj(np.fft.fft2(dst))
-    cross /= np.maximum(np.abs(cross), 100 * EPS)
+    size = np.abs(cross)
+    cross /= np.maximum(size, max(1e-3 * size[1:, 1:].max(initial=0.0), 100 * EPS))  # frequencies that hold next to nothing count for less
     peak = np.abs(np.fft.ifft2(cross))
     shape = np.array(src.shape)
     shift = np.array(np.unravel_index(peak.argmax(), peak.shape), dtype=float)

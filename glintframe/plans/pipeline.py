@@ -88,7 +88,7 @@ def run(movie: DataFrame, params: dict | None = None) -> dict[str, DataFrame]:
 
 #: What the planted movie is analysed with.
 PLANTED = {
-    "denoise": {"method": "gaussian", "ksize": 3}, "remove_background": {"method": "tophat", "wnd": 7}, "estimate_motion": {"chunk": 5, "upsample": 10},
+    "remove_glow": {"factor": 0.0}, "denoise": {"method": "gaussian", "ksize": 3}, "remove_background": {"method": "tophat", "wnd": 7}, "estimate_motion": {"chunk": 5, "upsample": 10},
     "seeds_init": {"wnd_size": 40, "stp_size": 20, "max_wnd": 6, "diff_thres": 6}, "pnr_refine": {"noise_freq": 0.25, "thres": 1.5}, "ks_refine": {"sig": 0.05},
     "seeds_merge": {"thres_dist": 5, "thres_corr": 0.7, "noise_freq": 0.25}, "initialize": {"thres_corr": 0.6, "wnd": 6, "noise_freq": 0.25}, "init_merge": {"thres_corr": 0.8},
     "get_noise": {"noise_range": (0.25, 0.5)}, "first_spatial": {"dl_wnd": 2, "sparse_penal": 0.01, "size_thres": (5, None)},
@@ -99,8 +99,8 @@ CENTRES = ((7, 8), (8, 24), (20, 15), (25, 27), (26, 5))
 
 
 def planted_truth(frames: int = 120, side: int = 32, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(movie, traces, shifts): round units at CENTRES with decaying spikes, a glow,
-    noise, and frames moved by whole pixels."""
+    """(movie, traces, shifts): round units at CENTRES, always bright, with decaying
+    spikes, a glow, noise, and frames moved by whole pixels."""
     rng = np.random.default_rng(seed)
     y, x = np.mgrid[:side, :side]
     spikes = rng.random((len(CENTRES), frames)) < 0.05
@@ -109,7 +109,7 @@ def planted_truth(frames: int = 120, side: int = 32, seed: int = 7) -> tuple[np.
         traces[:, t] = (traces[:, t - 1] * 0.85 if t else 0) + spikes[:, t] * 60
     blobs = np.array([np.exp(-((y - cy) ** 2 + (x - cx) ** 2) / 5) for cy, cx in CENTRES])
     glow = 40 * np.exp(-((y - side / 2) ** 2 + (x - side / 2) ** 2) / 400)
-    movie = np.einsum("ut,uhw->thw", traces, blobs) + rng.normal(0, 1.5, (frames, side, side))
+    movie = np.einsum("ut,uhw->thw", traces + 30, blobs) + rng.normal(0, 1.5, (frames, side, side))
     shifts = np.zeros((frames, 2), dtype=int)
     shifts[frames // 3 : frames // 2] = (1, 0)
     return np.array([np.roll(f, s, (0, 1)) for f, s in zip(movie, shifts)]) + glow, traces, shifts
