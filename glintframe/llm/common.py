@@ -1,12 +1,17 @@
-"""Shared helpers: tables in the cluster's shared folder, and linking pairs into groups."""
+"""Shared helpers of the corpus operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+import pyarrow as pa
+from pyspark.sql import SparkSession
+
+from glintframe.runtime import connected, drop_written, scratch, shared_dir, written
+
+__all__ = ["SPACE", "SPACE_CHARS", "bounded_batches", "connected", "drop_written", "give_back", "scratch", "shared_dir", "written"]
 
 #: Characters that separate words, as a Java/Python regex class body.
 SPACE = r"\x20\x09-\x0D"
@@ -14,19 +19,6 @@ SPACE = r"\x20\x09-\x0D"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Only where it is unset and the
-    master is local, a temporary folder takes its place."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="glintframe-")
-        spark.conf.set("spark.checkpoint.dir", path)
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
 def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
     """Let batches of rows for Python hold 4 MB of long texts at most, and not 64 MB,
     which an executor's memory may not have room for: set for the session, unless
@@ -36,58 +28,14 @@ def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
         spark.conf.set(key, size)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path for one table in the shared folder."""
-    return f"{shared_dir(spark)}/glintframe/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written once as Parquet to the shared folder and read from there: the
-    lineage ends here, and a lost executor costs no more than a re-read."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_written(df: DataFrame) -> None:
-    """Remove the files behind a table made by written()."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for file in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
+def give_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the worker, which Spark keeps for later tasks, returns the
+    memory that it has freed to the system (where its C library can)."""
 
-def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Groups of the undirected graph edges(a, b), as (id, component), the
-    component being the smallest id reachable; ids without an edge don't occur.
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
 
-    Alternating large-star and small-star rounds; every round aggregates its
-    neighbourhoods map-side first and is written to the shared folder. A hub
-    costs no more than its degree in rows, in any round. Null ids and loops are
-    ignored; an empty table gives an empty table.
-    """
-    cur = written(
-        edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
-    )
-    was = None
-    for _ in range(max_rounds):
-        both = cur.select("a", "b").union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        # large star: neighbours above a node go to the least of its neighbourhood
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        # small star: the neighbours below a node, and the node, go to the least of them
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        nxt = written(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
-        now = nxt.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        drop_written(cur)
-        cur = nxt
-        if now == was:
-            break
-        was = now
-    else:
-        raise RuntimeError("components did not settle")
-    return cur.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.col("b").alias("component")).union(
-        cur.select("b").distinct().select(F.col("b").alias("id"), F.col("b").alias("component"))
-    )
+    return task

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glintframe.llm.common import bounded_batches, connected, written
+from glintframe.llm.common import bounded_batches, connected, give_back, written
 from glintframe.llm.dedup import BLOCK_BITS, _is_set
 
 U = np.uint64
@@ -240,15 +240,18 @@ def _table(bitmap: DataFrame) -> np.ndarray:
     return out
 
 
-def _in_table(bits, column: str):
-    """Adds `there`: whether the column's value may be among those of a bitmap."""
+def _in_table(bits, column: str, only=None):
+    """Adds `there`: whether the column's value may be among those of a bitmap. With
+    `only`, another one, rows that can't be among those of that are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = bits.value
+        def holds(table: np.ndarray) -> np.ndarray:
+            return (table[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+
         for b in batches:
             place = b.column(column).to_numpy() % FILTER_BITS
-            there = (table[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(there)], names=[*b.schema.names, "there"])
+            out = pa.RecordBatch.from_arrays([*b.columns, pa.array(holds(bits.value))], names=[*b.schema.names, "there"])
+            yield out if only is None else out.filter(pa.array(holds(only.value)))
 
     return run
 
@@ -313,10 +316,10 @@ def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, num
     bits = _bitmap(near.select(F.explode(F.array(F.xxhash64("da"), F.xxhash64("db"))).alias("h")), "h").select(F.col("block").alias("_block"), "bits")
     place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
     some = docs.withColumn("_block", F.floor(place / BLOCK_BITS)).join(F.broadcast(bits), "_block").where(_is_set(F.col("bits"), place % BLOCK_BITS))
-    # grouped by id, which both joins go by: a text moves once; rows that repeat an id and text are one
-    texts = some.groupBy("doc_id").agg(F.collect_set("text").alias("t")).select("doc_id", F.explode("t").alias("text"))
+    # rows that repeat an id and text are one; written, so that the joins can split the pairs of one text
+    texts = written(some.groupBy("doc_id").agg(F.collect_set("text").alias("t")).select("doc_id", F.explode("t").alias("text")), "texts")
     full = near.join(texts.select(F.col("doc_id").alias("da"), F.col("text").alias("ta")), "da").join(texts.select(F.col("doc_id").alias("db"), F.col("text").alias("tb")), "db")
-    return written(full.select("a", "b", "ta", "tb").mapInArrow(_overlaps(width, num, den), "a long, b long"), "links")
+    return written(full.select("a", "b", "ta", "tb").mapInArrow(give_back(_overlaps(width, num, den)), "a long, b long"), "links")
 
 
 def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 3, num: int = 90, den: int = 100, crowd: int = 32) -> DataFrame:
@@ -331,15 +334,15 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     those pairs are looked at whose groups are still different, so that no link
     between groups is missed. A pair within a group is of no consequence.
 
-    Null and empty texts have no n-grams and are linked with nothing. A null id
-    counts as no id: such a row may link others, and alone it has a null component.
+    Null and empty texts have no n-grams and are linked with nothing. A row with a
+    null id is linked with rows of an equal set only; alone it has a null component.
     Rows that repeat an id are nodes of their own. Other columns aren't read. An
     empty table gives an empty table. Hashes have 64 bits.
     """
     spark = df.sparkSession
     bounded_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    seen = written(docs.mapInArrow(_surveyed(width), SURVEY), "survey")
+    seen = written(docs.mapInArrow(give_back(_surveyed(width)), SURVEY), "survey")
     parts = seen.where("part is not null").select("part", "counts").repartition(16, "part").mapInArrow(_sum_parts, "part int, counts binary").collect()  # 64 rows
     counts = np.zeros(COUNTERS, dtype=np.uint16)
     for k, raw in parts:
@@ -350,21 +353,19 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
 
     schema = "gram long, sid long, np long" + "".join(f", q{k} long" for k in range(FOLDED))
     rare = spark.sparkContext.broadcast(counts)
-    rows = written(docs.select("text").mapInArrow(_prefixes(width, num, den, rare), schema), "prefixes")
+    rows = written(docs.select("text").mapInArrow(give_back(_prefixes(width, num, den, rare)), schema), "prefixes")
     rare.unpersist()
     del counts, parts
     often = written(rows.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1"), "often")
     again, hot = (spark.sparkContext.broadcast(_table(_bitmap(often.where(x), "gram"))) for x in ("true", f"k > {crowd}"))
-    rows = rows.mapInArrow(_in_table(again, "gram"), schema + ", there boolean").where("there").drop("there")
-    rows = written(rows.mapInArrow(_in_table(hot, "gram"), schema + ", there boolean"), "shared")
+    rows = written(rows.mapInArrow(give_back(_in_table(hot, "gram", again)), schema + ", there boolean"), "shared")
     again.unpersist(), hot.unpersist()
 
     few, rows = rows.where("not there").drop("there"), rows.where("there").drop("there")
     close = few.alias("a").join(few.alias("b"), (F.col("a.gram") == F.col("b.gram")) & (F.col("a.sid") < F.col("b.sid")) & _may_link(num, den))
-    front = written(rows.groupBy("gram").agg(F.min(F.struct("np", "sid")).alias("p"), F.max("sid").alias("hi"), F.min("sid").alias("lo")).where("lo <> hi").select("gram", F.col("p.sid").alias("lead")), "fronts")
-    met = rows.join(front, "gram")
-    heads = met.where("sid = lead").dropDuplicates(["gram"])
-    stars = met.where("sid <> lead").alias("a").join(heads.alias("b"), (F.col("a.gram") == F.col("b.gram")) & _may_link(num, den))
+    lead = F.min(F.struct("np", "sid", *[f"q{k}" for k in range(FOLDED)])).alias("p")
+    front = written(rows.groupBy("gram").agg(lead, F.max("sid").alias("hi"), F.min("sid").alias("lo")).where("lo <> hi").select("gram", "p.*"), "fronts")
+    stars = rows.alias("a").join(front.alias("b"), (F.col("a.gram") == F.col("b.gram")) & (F.col("a.sid") != F.col("b.sid")) & _may_link(num, den))
     pair = lambda x: x.select(F.least("a.sid", "b.sid").alias("a"), F.greatest("a.sid", "b.sid").alias("b"))
     links = _linked(pair(close).union(pair(stars)).distinct(), docs, nodes, width, num, den)
     groups = written(connected(links), "groups")
@@ -378,7 +379,8 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
         some = told.where("there").drop("there").join(groups.select(F.col("id").alias(of), F.col("component").alias(name)), of, "left").withColumn(name, F.coalesce(name, of))
         return some.select(*df.columns, name).union(told.where("not there").select(*df.columns, F.col(of).alias(name)))
 
-    mixed = grouped(rows, "sid", "component").join(grouped(front, "lead", "group").drop("lead"), "gram")
+    leads = grouped(front.select("gram", F.col("sid").alias("lead")), "lead", "group").drop("lead")
+    mixed = written(grouped(rows, "sid", "component").join(leads, "gram"), "mixed")  # a crowded n-gram's rows can be split again
     across = mixed.where("component <> group").alias("a").join(
         mixed.alias("b"),
         (F.col("a.gram") == F.col("b.gram")) & (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("b.group")) | (F.col("a.sid") < F.col("b.sid"))) & _may_link(num, den),
