@@ -86,7 +86,7 @@ def _mark(id_col: str, text_col: str) -> Column:
 
 def mix(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *,
-    weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, seed: int = 17, bucket_rows: int = 20_000, fan_in: int = 64, max_sources: int = 1_000_000,
+    weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, seed: int = 17, bucket_rows: int = 5_000, fan_in: int = 64, max_sources: int = 1_000_000,
 ) -> DataFrame:
     """One row per row of df: doc_id, source, size, source_size, target, copies, taken,
     and mix, the hash of id and text.
