@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glintframe.llm.common import bounded_batches, written
+from glintframe.llm.common import bounded_batches, give_back, written
 
 #: Texts of these characters only are split alike by both tokenizer libraries.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ‐-‧]*")
@@ -29,10 +31,9 @@ class Ids:
     """
 
     def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None) -> None:
-        from tokenizers import Tokenizer
-
-        self.slow, self.fast = Tokenizer.from_file(path), None
-        self.special = [t.content for t in self.slow.get_added_tokens_decoder().values()]
+        self.path, self.fast = path, None
+        with open(path, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f).get("added_tokens") or []]
         if ranks and pattern:
             import tiktoken
 
@@ -40,6 +41,13 @@ class Ids:
                 known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=known, special_tokens={})
 
+    @cached_property
+    def slow(self):
+        """Loaded when the first text needs it: it takes a worker's memory."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def __call__(self, text: str) -> np.ndarray:
         if self.fast and PLAIN.fullmatch(text) and not any(s in text for s in self.special):
             return np.array(self.fast.encode_ordinary(text), dtype="<u4")
@@ -72,7 +80,7 @@ def _pieces(args: tuple, size: int, end: int):
 def pieces(df: DataFrame, tokenizer: tuple, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, end: int = 0) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32): each text's ids, then the id
     `end`, cut where longer than size; a null text counts as empty."""
-    return df.select(F.col(id_col).cast("long"), text_col).mapInArrow(_pieces(tokenizer, size, end), PIECES)
+    return df.select(F.col(id_col).cast("long"), text_col).mapInArrow(give_back(_pieces(tokenizer, size, end)), PIECES)
 
 
 def best_fit(lengths: list[int], size: int) -> tuple[list[int], list[int], list[int]]:
