@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glintframe.llm.common import bounded_batches
+from glintframe.llm.common import bounded_batches, give_back
 
 #: Elements that never hold main text.
 DROPPED = set("script style noscript template nav footer aside form button select option textarea input iframe object embed svg canvas audio video dialog menu head title".split())
@@ -276,5 +276,5 @@ def extract(df: DataFrame, html_col: str = "html", text_col: str = "text", n_col
     rest = [c for c in df.columns if c not in (html_col, text_col, n_col)]
     flat = df.select(*[F.col(f"`{c}`") for c in rest], F.col(html_col).alias("_page"))
     schema = flat.drop("_page").schema.add("_text", "string")
-    out = flat.mapInArrow(_extract, schema)
+    out = flat.mapInArrow(give_back(_extract), schema)
     return out.select(*[F.col(f"`{c}`") for c in rest], F.col("_text").alias(text_col), F.length("_text").cast("long").alias(n_col))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glintframe.llm.common import bounded_batches, written
+from glintframe.llm.common import bounded_batches, give_back, written
 
 #: Letters that a sign may stand for.
 LOOKALIKES = {
@@ -57,7 +57,7 @@ def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def character_model(df: DataFrame, text_col: str = "text") -> np.ndarray:
     """log P(third class | first two), interpolated with shorter contexts, from the
     whole texts of all rows. One table of fixed size per task is summed up."""
-    rows = df.select(text_col).mapInArrow(_count_trigrams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+    rows = df.select(text_col).mapInArrow(give_back(_count_trigrams), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
     n = np.zeros(CLASSES**3)
     for gram, k in rows:  # CLASSES ** 3 at most
         n[gram] = k
@@ -212,7 +212,7 @@ def fit(
     few = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)  # `sample` rows of 12 bytes at most
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(few), "_id").select("text", "toxic")
     shared = spark.sparkContext.broadcast(model.characters)
-    seen = rows.mapInArrow(_train_rows(shared), "toxic int, words array<string>, sig string")
+    seen = rows.mapInArrow(give_back(_train_rows(shared)), "toxic int, words array<string>, sig string")
     once = written(seen.groupBy("sig", "toxic").agg(F.first("words").alias("words")), "train")
     size = dict(once.groupBy("toxic").count().collect())
     n0, n1 = size.get(0, 0), size.get(1, 0)
@@ -288,17 +288,17 @@ def _scorer(shared, cache_size: int):
     return run
 
 
-def scored(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", cache_size: int = 200_000) -> DataFrame:
+def scored(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", cache_size: int = 100_000) -> DataFrame:
     """(id, score) for each row: how likely its restored text is toxic. Null and
     empty texts have the score of a text without evidence; repeated rows and null
     ids are scored like others. Nothing shuffles; what a task remembers is bounded."""
     bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_scorer(shared, cache_size), f"id {kind}, score double")
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(give_back(_scorer(shared, cache_size)), f"id {kind}, score double")
 
 
-def clean_rows(df: DataFrame, model: Model, text_col: str = "text", limit: float = 0.7, cache_size: int = 200_000) -> DataFrame:
+def clean_rows(df: DataFrame, model: Model, text_col: str = "text", limit: float = 0.7, cache_size: int = 100_000) -> DataFrame:
     """df's rows with a score under limit, all columns as they are, in one pass."""
     bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -319,4 +319,4 @@ def clean_rows(df: DataFrame, model: Model, text_col: str = "text", limit: float
             b = held.pop(0)
             yield b.filter(pa.array(s.column("score").to_numpy() < limit))
 
-    return flat.mapInArrow(run, flat.schema).toDF(*names)
+    return flat.mapInArrow(give_back(run), flat.schema).toDF(*names)

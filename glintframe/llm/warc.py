@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glintframe.llm.common import bounded_batches, scratch, written
+from glintframe.llm.common import bounded_batches, give_back, scratch, written
 
 INDEX = "file string, offset long, length long, url string, digest string, record_type string, page_id long"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -119,7 +119,7 @@ def write_archives(df: DataFrame, folder: str, id_col: str = "page_id", url_col:
     again = keys.join(written(first, "repeated"), "sha").where("page > keep").select("page", F.col("keep").alias("refers")).distinct()
     pages = df.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), F.col(text_col).alias("html"))
     decided = pages.join(again, "page", "left").select("page", "url", "html", "refers")
-    return written(decided.mapInArrow(_writer(folder, date), INDEX), "warc-index")
+    return written(decided.mapInArrow(give_back(_writer(folder, date)), INDEX), "warc-index")
 
 
 def _reader(folder: str, gap: int, run_bytes: int, payloads: bool):
@@ -166,7 +166,7 @@ def read_records(index: DataFrame, folder: str, *, gap: int = 1 << 16, run_bytes
     where = index.select("file", "offset", "length")
     n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = where.repartition(n, "file", F.floor(F.col("offset") / slice_bytes)).sortWithinPartitions("file", "offset")
-    return dealt.mapInArrow(_reader(folder, gap, run_bytes, payloads), RECORDS)
+    return dealt.mapInArrow(give_back(_reader(folder, gap, run_bytes, payloads)), RECORDS)
 
 
 def archive_folder(spark) -> str:
