@@ -113,4 +113,72 @@ SQL = {
                row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC) = 1 AS kept,
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op4_byte_shards": r"""
+        WITH tab AS (
+          SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+        d AS (
+          SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size,
+                 xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT),
+                                 lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS text_crc32
+          FROM documents, tab),
+        p AS (
+          SELECT *, sum(size) OVER (ORDER BY doc_id, text_crc32, size ROWS UNBOUNDED PRECEDING) - size AS at_byte, sum(size) OVER () AS total,
+                 row_number() OVER (ORDER BY doc_id, text_crc32, size) AS place FROM d),
+        s AS (SELECT *, (at_byte * 16) // total AS shard FROM p)
+        SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'bytes' AS law, shard::INT AS shard,
+               row_number() OVER (PARTITION BY shard ORDER BY place) - 1 AS slot, NULL::INT AS grown_shard
+        FROM s""",
+    "op5_ngram_join": r"""
+        WITH RECURSIVE w AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        g AS (
+          SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] END AS gram
+          FROM w, LATERAL (SELECT unnest(range(1, greatest(len(w) - 1, 2))) AS i) WHERE len(w) > 0),
+        n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+        both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+        link AS (SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
+        edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+        reach(a, b) AS (SELECT a, b FROM edge UNION SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a)
+        SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id
+        FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) ON a = d.doc_id""",
+    "op6_divergence_rules": r"""
+        WITH d AS (SELECT doc_id, coalesce('=' || lang, '') AS lang, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM d),
+        win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS s FROM w, LATERAL (SELECT unnest(range(1, len(w) - 6)) AS i) WHERE len(w) >= 8),
+        rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
+        cov AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM rep, range(8) r(k) GROUP BY doc_id),
+        c1 AS (SELECT *, regexp_replace(t, '[a-z]+', '', 'g') AS r1 FROM w),
+        c2 AS (SELECT *, regexp_replace(r1, '[\x20\x09-\x0D]+', '', 'g') AS r2 FROM c1),
+        c3 AS (SELECT *, regexp_replace(r2, '[A-Z]+', '', 'g') AS r3 FROM c2),
+        c4 AS (SELECT *, regexp_replace(r3, '[\p{L}\p{M}]+', '', 'g') AS r4 FROM c3),
+        c5 AS (SELECT *, regexp_replace(r4, '\p{N}+', '', 'g') AS r5 FROM c4),
+        c6 AS (SELECT *, regexp_replace(r5, '[.,;:!?''"()\-]+', '', 'g') AS r6 FROM c5),
+        base AS (
+          SELECT doc_id, lang, w, len(w) AS n_words, list_sum(list_transform(w, lambda x: length(x)))::BIGINT AS word_chars,
+                 length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, length(t) AS chars,
+                 [length(t) - length(r1), length(r1) - length(r2), length(r2) - length(r3), length(r3) - length(r4), length(r4) - length(r5), length(r5) - length(r6), length(r6)] AS kinds
+          FROM c6),
+        cls AS (SELECT lang, k, sum(kinds[k])::DOUBLE AS n FROM base, range(1, 8) r(k) GROUP BY ALL),
+        cref AS (SELECT lang, k, n / greatest(sum(n) OVER (PARTITION BY lang), 1) AS q FROM cls),
+        tot AS (SELECT lang, sum(n_words) AS n FROM base GROUP BY lang),
+        cnt AS (SELECT lang, x, count(*) AS n FROM (SELECT lang, unnest(w) AS x FROM base) WHERE length(x) <= 8 GROUP BY ALL),
+        com AS (SELECT lang, x, cnt.n AS n FROM cnt JOIN tot USING (lang) WHERE cnt.n >= 0.005 * tot.n QUALIFY row_number() OVER (PARTITION BY lang ORDER BY cnt.n DESC, x) <= 12),
+        wref AS (SELECT lang, x, com.n / greatest(tot.n, 1)::DOUBLE AS q FROM com JOIN tot USING (lang)
+                 UNION ALL SELECT lang, NULL, (tot.n - coalesce((SELECT sum(n) FROM com WHERE com.lang = tot.lang), 0)) / greatest(tot.n, 1)::DOUBLE FROM tot),
+        hit AS (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, lang, unnest(w) AS x FROM base) JOIN com USING (lang, x) GROUP BY ALL),
+        own AS (SELECT b.doc_id, b.n_words, r.q, CASE WHEN r.x IS NULL THEN b.n_words - coalesce((SELECT sum(n) FROM hit h WHERE h.doc_id = b.doc_id), 0) ELSE coalesce(h.n, 0) END / greatest(b.n_words, 1)::DOUBLE AS p
+                FROM base b JOIN wref r USING (lang) LEFT JOIN hit h ON h.doc_id = b.doc_id AND h.x = r.x),
+        term(doc_id, kind, p, q) AS (
+          SELECT doc_id, 'w', p, q FROM own WHERE n_words >= 100
+          UNION ALL SELECT doc_id, 'c', kinds[k] / greatest(chars, 1)::DOUBLE, q FROM base JOIN cref USING (lang) WHERE chars >= 200),
+        js AS (
+          SELECT doc_id, kind, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 0)) AS dist
+          FROM term GROUP BY ALL),
+        far AS (SELECT DISTINCT doc_id FROM js WHERE dist > CASE WHEN kind = 'c' THEN 0.3 ELSE 0.45 END),
+        done AS (
+          SELECT base.*, coalesce(n_repeat_words, 0) AS n_repeat_words, n_words < 20 OR 100 * coalesce(n_repeat_words, 0) > 30 * n_words AS base_failed
+          FROM base LEFT JOIN cov USING (doc_id))
+        SELECT doc_id, n_words::BIGINT AS n_words, coalesce(word_chars, 0) AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+               base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM far) AS kept
+        FROM done""",
 }
