@@ -196,9 +196,13 @@ def _generate_back(g: np.ndarray, r: np.ndarray) -> np.ndarray:
     return _generate(g, r[::-1])[::-1]
 
 
-def deconvolve(y: np.ndarray, g: np.ndarray, sn: float, penalty: float = 1.0, zero: float = 1e-8, iterations: int = 600) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
-    """(c, s, b, c0): the calcium trace with non-negative spikes s, baseline b >= min(y)
-    and a decaying start c0 that minimise |y - c - b - c0| + sn * penalty * sum(s).
+def deconvolve(
+    y: np.ndarray, g: np.ndarray, sn: float, penalty: float = 1.0, zero: float = 1e-8, iterations: int = 600, segments: np.ndarray | None = None, start: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(c, s, b, c0): the calcium trace with non-negative spikes s, a baseline b >= min(y),
+    one value for each of the segments (numbers of frames; none: one), and a decaying
+    start c0 that minimise |y - c - b - c0| + sn * penalty * sum(s). `start` is a
+    trace to begin with.
 
     The norm isn't squared; as |r| = min over h > 0 of |r|^2 / 2h + h / 2, each outer
     step solves the squared problem, of weight h = |r|, by accelerated projected
@@ -206,36 +210,39 @@ def deconvolve(y: np.ndarray, g: np.ndarray, sn: float, penalty: float = 1.0, ze
     """
     t = len(y)
     if not np.isfinite(y).all() or not np.isfinite(g).all() or t < 3:
-        return np.zeros(t), np.zeros(t), 0.0, np.zeros(t)
+        return np.zeros(t), np.zeros(t), np.zeros(t), np.zeros(t)
+    part = np.zeros(t, dtype=int) if segments is None else np.asarray(segments, dtype=int)
+    count = np.maximum(np.bincount(part), 1)
     roots = np.roots(np.concatenate(([1.0], -g)))
     decay = float(np.clip(roots.real.max(initial=0.0), 0.0, 0.999999)) ** np.arange(t)
     low, lam = float(y.min()), sn * penalty
-    s, b, d = np.zeros(t), max(low, float(np.median(y))), 0.0
+    s = np.zeros(t) if start is None else np.maximum(_apply(g, start), 0)
+    b, d = np.full(len(count), max(low, float(np.median(y)))), 0.0
     probe = np.random.default_rng(0).standard_normal(t)
     for _ in range(30):  # the largest singular value of spikes -> trace
         probe = _generate_back(g, _generate(g, probe))
         probe /= np.linalg.norm(probe)
-    lipschitz = 1.05 * (np.linalg.norm(_generate_back(g, _generate(g, probe))) + t + float(decay @ decay))
-    h = max(np.linalg.norm(y - b), 1e-9)
-    zs, zb, zd, k = s.copy(), b, d, 1.0
+    lipschitz = 1.05 * (np.linalg.norm(_generate_back(g, _generate(g, probe))) + count.max() + float(decay @ decay))
+    h = max(np.linalg.norm(y - _generate(g, s) - b[part]), 1e-9)
+    zs, zb, zd, k = s.copy(), b.copy(), d, 1.0
     for i in range(iterations):
-        r = y - _generate(g, zs) - zb - zd * decay
+        r = y - _generate(g, zs) - zb[part] - zd * decay
         ns = np.maximum(zs + (_generate_back(g, r) - h * lam) / lipschitz, 0)
-        nb, nd = max(zb + r.sum() / lipschitz, low), max(zd + decay @ r / lipschitz, 0.0)
+        nb, nd = np.maximum(zb + np.bincount(part, r, len(count)) / lipschitz, low), max(zd + decay @ r / lipschitz, 0.0)
         nk = (1 + math.sqrt(1 + 4 * k * k)) / 2
         m = (k - 1) / nk
-        if (zs - ns) @ (ns - s) + (zb - nb) * (nb - b) + (zd - nd) * (nd - d) > 0:
+        if (zs - ns) @ (ns - s) + (zb - nb) @ (nb - b) + (zd - nd) * (nd - d) > 0:
             m, nk = 0.0, 1.0  # restart where momentum leads astray
         zs, zb, zd = ns + m * (ns - s), nb + m * (nb - b), nd + m * (nd - d)
         s, b, d, k = ns, nb, nd, nk
         if i % 20 == 19:
-            h = max(np.linalg.norm(y - _generate(g, s) - b - d * decay), 1e-9)
+            h = max(np.linalg.norm(y - _generate(g, s) - b[part] - d * decay), 1e-9)
     c = _generate(g, s)
     clean = lambda v: np.where(v > zero, v, 0.0)
-    return clean(c), clean(s), b if b > zero else 0.0, clean(d * decay)
+    return clean(c), clean(s), clean(b[part]), clean(d * decay)
 
 
-def deconvolution_objective(y: np.ndarray, g: np.ndarray, sn: float, penalty: float, s: np.ndarray, b: float, c0: np.ndarray) -> float:
+def deconvolution_objective(y: np.ndarray, g: np.ndarray, sn: float, penalty: float, s: np.ndarray, b: np.ndarray | float, c0: np.ndarray) -> float:
     return float(np.linalg.norm(y - _generate(g, s) - b - c0) + sn * penalty * s.sum())
 
 

@@ -27,6 +27,13 @@ def find(movie: DataFrame, n_frames: int, window: int = 500, step: int = 200, ma
     return numbered(votes).select("seed_id", *PIXEL, F.col("seeds").cast("int").alias("seeds"))
 
 
+def find_in_frame(image: DataFrame, max_radius: int = 10, diff: float = 2.0) -> DataFrame:
+    """The same in one image(height, width, value), at radii from 1; a max_radius of 1
+    or less stands for 100."""
+    tops = stencil.local_max_any(image.withColumn("frame", F.lit(0)), 1, max_radius if max_radius > 1 else 100, diff).where("extreme")
+    return numbered(graph.region_centres(tops).select(*PIXEL)).select("seed_id", *PIXEL, F.lit(1).alias("seeds"))
+
+
 def traces_at(movie: DataFrame, seeds: DataFrame) -> DataFrame:
     """(seed_id, frame, value) of the seeds' pixels."""
     return movie.join(seeds.select("seed_id", *PIXEL), PIXEL).select("seed_id", "frame", "value")

@@ -161,6 +161,22 @@ def remove_background(movie: DataFrame, method: str = "uniform", window: int = 5
     return movie.join(mean, [*by, *VOXEL]).select(*by, *VOXEL, (F.col("value") - F.col("_mean")).alias("value"))
 
 
+def preview_background(movie: DataFrame, method: str = "uniform", size: int = 5, by: tuple = ()) -> DataFrame:
+    """What is shown while parameters are chosen: less a box mean with borders as
+    reflect101, or less the opening by the ellipse in a size x size square."""
+    if method == "tophat":
+        return tophat(movie, by=by, widths=ellipse_widths(size + (size % 2 == 0)))
+    if method != "uniform":
+        raise ValueError(f"unknown background method {method}")
+    mean = box_mean(movie, size, "reflect101", by).withColumnRenamed("value", "_mean")
+    return movie.join(mean, [*by, *VOXEL]).select(*by, *VOXEL, (F.col("value") - F.col("_mean")).alias("value"))
+
+
+def edge_mask(movie: DataFrame, by: tuple = ()) -> DataFrame:
+    """Where the Sobel derivative, in whole grey levels, isn't 0: what contours follow."""
+    return sobel(movie, by).withColumn("edge", F.floor("value") > 0)
+
+
 def denoise(movie: DataFrame, method: str = "gaussian", size: int = 5, by: tuple = ()) -> DataFrame:
     """By frame: gaussian or median as windows, bilateral or anisotropic as numpy kernels."""
     if method == "gaussian":

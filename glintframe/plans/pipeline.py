@@ -35,8 +35,11 @@ def corrected(movie: DataFrame, p: dict) -> DataFrame:
     """De-glowed, denoised, without background, and motion-corrected."""
     if p["remove_glow"].get("factor"):
         movie = project.deglow(movie, p["remove_glow"]["factor"])
-    movie = stencil.denoise(movie, p["denoise"]["method"], p["denoise"]["ksize"])
-    movie = written(stencil.remove_background(movie, p["remove_background"]["method"], p["remove_background"]["wnd"]), "reference")
+    if p["denoise"] is not None:
+        movie = stencil.denoise(movie, p["denoise"]["method"], p["denoise"]["ksize"])
+    if p["remove_background"] is not None:
+        movie = stencil.remove_background(movie, p["remove_background"]["method"], p["remove_background"]["wnd"])
+    movie = written(movie, "reference")
     if p["estimate_motion"] is not None:
         movie = motion.apply(movie, motion.estimate(movie, **p["estimate_motion"]))
     return written(movie, "corrected")
@@ -125,3 +128,21 @@ def planted(spark: SparkSession) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a.ravel()) for a in (t, y, x, movie)], names=["frame", *PIXEL, "value"])
 
     return spark.range(1).coalesce(1).mapInArrow(make, "frame int, height int, width int, value double")
+
+
+def run_parts(movie: DataFrame, size: int = 100, params: dict | None = None) -> dict[str, DataFrame]:
+    """The analysis of each part of `size` frames (and the next one's first), after a
+    common correction: A and C with a leading column part. Parts follow each other;
+    units of different parts aren't matched."""
+    p = DEFAULTS | (params or {})
+    Y = corrected(movie, p)
+    parts = written(project.split_overlap(Y, size), "parts")
+    last, out = parts.agg(F.max("part")).first()[0], {}
+    for k in range(last + 1):
+        one = parts.where(F.col("part") == k).select((F.col("frame") - k * size).alias("frame"), *PIXEL, "value")
+        got = run(one, p | {"remove_glow": {}, "denoise": None, "remove_background": None, "estimate_motion": None})
+        for name in ("A", "C"):
+            var = got[name].withColumn("part", F.lit(k))
+            var = var.withColumn("frame", F.col("frame") + k * size) if name == "C" else var
+            out[name] = out[name].unionByName(var) if name in out else var
+    return out | {"Y": Y}

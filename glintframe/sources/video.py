@@ -94,3 +94,31 @@ def clips(movie: DataFrame, times: DataFrame, fps: float) -> DataFrame:
     first, last = F.ceil(F.col("start") * fps).cast("int"), F.ceil(F.col("end") * fps).cast("int") - 1
     listed = times.where(last >= first).select("clip", F.explode(F.sequence(first, last)).alias("frame"))
     return movie.join(listed, "frame").select("clip", "frame", "height", "width", "value")
+
+
+def avi_frames(path: str, data: bytes) -> Iterator[np.ndarray]:
+    """Frames of an uncompressed AVI of 8-bit grey or 24-bit colour pictures; colour
+    becomes grey by its luma. Other codecs need a decoder of one's own for load()."""
+    if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
+        raise ValueError(f"{path}: not an AVI file")
+    shape: tuple | None = None
+    at, ends = 12, len(data)
+    while at + 8 <= ends:
+        name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
+        if name == b"LIST":
+            at += 12
+            continue
+        body = data[at + 8 : at + 8 + size]
+        if name == b"strf" and shape is None and len(body) >= 40:
+            _, w, h, _, bits, codec = struct.unpack_from("<IiiHH4s", body)
+            if codec not in (b"\0\0\0\0", b"Y800", b"GREY", b"Y8  ") or bits not in (8, 24):
+                raise ValueError(f"{path}: codec {codec!r} with {bits} bits")
+            shape = (abs(h), w, bits // 8, h > 0 and codec == b"\0\0\0\0")
+        elif shape and name[2:] in (b"db", b"dc"):
+            h, w, planes, upwards = shape
+            line = -(-w * planes // 4) * 4 if len(body) >= -(-w * planes // 4) * 4 * h else w * planes
+            im = np.frombuffer(body, dtype=np.uint8, count=line * h).reshape(h, line)[:, : w * planes]
+            if planes == 3:
+                im = np.around(im.reshape(h, w, 3) @ np.array([0.114, 0.587, 0.299])).astype(np.uint8)
+            yield im[::-1] if upwards else im
+        at += 8 + size + size % 2

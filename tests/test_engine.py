@@ -215,6 +215,20 @@ def test_videos(spark, tmp_path):
     pages = [rng.integers(0, 60000, (3, 6), dtype=np.uint16).astype("<u2") for _ in range(3)]
     (tmp_path / "t1.tif").write_bytes(tiff(pages))
     assert (array_of(video.load(spark, str(tmp_path), video.tiff_pages, glob="*.tif"), (3, 3, 6)) == np.array(pages)).all()
+    def chunk(name, body):
+        return name + struct.pack("<I", len(body)) + body + b"\0" * (len(body) % 2)
+
+    def avi(ims, bits):
+        head = struct.pack("<IiiHH4s", 40, 5, 4, 1, bits, b"\0\0\0\0") + b"\0" * 20
+        line = lambda r: r.tobytes() + b"\0" * (-r.size % 4)
+        movi = b"".join(chunk(b"00db", b"".join(line(r) for r in im[::-1])) for im in ims)
+        body = b"AVI " + chunk(b"LIST", b"hdrl" + chunk(b"LIST", b"strl" + chunk(b"strf", head))) + chunk(b"LIST", b"movi" + movi)
+        return chunk(b"RIFF", body)
+
+    grey = rng.integers(0, 255, (3, 4, 5), dtype=np.uint8)
+    (tmp_path / "v1.avi").write_bytes(avi(grey, 8))
+    (tmp_path / "v2.avi").write_bytes(avi(np.repeat(grey[..., None], 3, -1), 24))
+    assert (array_of(video.load(spark, str(tmp_path), video.avi_frames, glob="*.avi"), (6, 4, 5)) == np.concatenate([grey, grey])).all()
     with pytest.raises(FileNotFoundError):
         video.load(spark, str(tmp_path), video.tiff_pages, glob="*.none")
 
@@ -257,3 +271,24 @@ def test_planted_units_are_recovered(spark):
         if any(np.corrcoef(traces[u], truth[k])[0, 1] > 0.8 for u in near):
             found.add(k)
     assert len(found) == 5 and len(centres) == 5
+
+
+def test_session(spark, tmp_path):
+    from glintframe.plans.session import Session
+
+    s = Session(pipeline.planted(spark).where("frame < 40"))
+    s.step("denoise", method="gaussian", ksize=3).step("background_removal", method="tophat", wnd=7).step("seeds_init", wnd_size=40, stp_size=20, max_wnd=6, diff_thres=6)
+    s.step("pnr_refine", noise_freq=0.25, thres=1.2).step("seeds_merge", thres_dist=5, thres_corr=0.7).step("initialize", thres_corr=0.6, wnd=6).step("get_noise", noise_range=(0.25, 0.5))
+    s.step("first_spatial", dl_wnd=2, sparse_penal=0.01, size_thres=(5, None)).step("first_temporal", noise_freq=0.25, jac_thres=0.2)
+    assert s["A"].select("unit_id").distinct().count() >= 3 and s["temporal"].count() > 0
+    for name in ("denoise", "remove_background", "seeds_init", "contours"):
+        assert s.preview(name, 3).count() > 0
+    s.save_params(str(tmp_path / "p"))
+    assert params.as_dict(params.read(spark, str(tmp_path / "p")))["seeds_init"]["max_wnd"] == 6
+    with pytest.raises(ValueError):
+        s.step("nothing")
+
+
+def test_parts(spark):
+    out = pipeline.run_parts(pipeline.planted(spark).where("frame < 80"), 40, pipeline.PLANTED)
+    assert {r.part for r in out["C"].select("part").distinct().collect()} == {0, 1} and out["C"].agg(F.max("frame")).first()[0] >= 78
