@@ -120,7 +120,7 @@ def merged(var: DataFrame, labels: DataFrame) -> DataFrame:
 
 def merge(A: DataFrame, C: DataFrame, correlation: float = 0.9, freq: float | None = None, more: tuple = ()) -> tuple:
     """A and C (and more variables) with units merged that overlap and correlate."""
-    labels = written(merge_labels(A, C, correlation, freq), "labels")
+    labels = written(merge_labels(A, C, correlation, freq), "labels", narrow=True)
     return tuple(merged(v, labels) for v in (A, C, *more))
 
 

@@ -27,12 +27,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/glintframe/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """df, written once as Parquet to the shared folder and read from there: the
-    lineage ends here, and a lost executor costs no more than a re-read."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    lineage ends here, and a lost executor costs no more than a re-read. Tables of
+    narrow rows take at most three files per core, as many tiny files cost more time,
+    and processes on local disks, than the rows in them."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    (df.coalesce(3 * spark.sparkContext.defaultParallelism) if narrow else df).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_written(df: DataFrame) -> None:
@@ -54,7 +57,7 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     ignored; an empty table gives an empty table.
     """
     cur = written(
-        edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
+        edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", narrow=True
     )
     was = None
     for _ in range(max_rounds):
@@ -65,7 +68,7 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # small star: the neighbours below a node, and the node, go to the least of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        nxt = written(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
+        nxt = written(small.select("e.a", "e.b").where("a <> b").distinct(), "edges", narrow=True)
         now = nxt.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         drop_written(cur)
         cur = nxt
