@@ -71,12 +71,12 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         df.select(F.col(id_col).alias("doc_id"), _digest(F.col(text_col)).alias("sha"), F.monotonically_increasing_id().alias("uid")), "digests"
     )
     bits, blocks = repeat_filter(rows, rows.count(), **filter_args)
-    tested = maybe_repeated(rows, written(bits, "filter"), blocks)
+    tested = maybe_repeated(rows, written(bits, "filter", narrow=True), blocks)
     hexed = F.lower(F.hex("sha")).alias("text_sha256")
     alone = tested.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), hexed)
     some = tested.where("maybe")
     # written, so that the join below has both sides from plain exchanges and a hot digest's rows can be split
-    groups = written(some.groupBy("sha").agg(F.max(F.struct("doc_id", "uid")).alias("keep"), F.count("*").alias("group_size")), "groups")
+    groups = written(some.groupBy("sha").agg(F.max(F.struct("doc_id", "uid")).alias("keep"), F.count("*").alias("group_size")), "groups", narrow=True)
     found = some.join(groups, "sha").select(
         "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("keep.uid")).alias("kept"), hexed
     )
@@ -95,7 +95,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     packed = packed.withColumn("sha", _digest(F.col(text)))
     rows = written(packed.select("sha"), "digests")
     bits, blocks = repeat_filter(rows, rows.count(), **filter_args)
-    tested = maybe_repeated(packed, written(bits, "filter"), blocks)
+    tested = maybe_repeated(packed, written(bits, "filter", narrow=True), blocks)
     whole = F.struct(*named)
     best = tested.where("maybe").groupBy("sha").agg(F.max_by(whole, F.struct(F.col(key), F.xxhash64(*named))).alias("r")).select("r.*")
     return tested.where("not maybe").select(*named).union(best.select(*named)).toDF(*cols)

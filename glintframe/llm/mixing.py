@@ -131,12 +131,12 @@ def mix(
         F.pmod(F.xxhash64("mix", F.lit(seed)), F.col("buckets")).alias("bucket"),
     )
     schema = "uid long, source string, size long, mix long, p double, bucket long"
-    at = written(state.groupBy("source", "bucket").applyInArrow(_rounds(seed), schema), "pivot")
+    at = written(state.groupBy("source", "bucket").applyInArrow(_rounds(seed), schema), "pivot", narrow=True)
     decided, most = [at.where(f"p = 0 or p = 1")], max([-(-r.n // bucket_rows) for r in totals], default=1)
     left = at.where("p <> 0 and p <> 1")
     while most > 1:
         most = -(-most // fan_in)
-        at = written(left.withColumn("bucket", F.floor(F.col("bucket") / fan_in)).groupBy("source", "bucket").applyInArrow(_rounds(seed), schema), "pivot")
+        at = written(left.withColumn("bucket", F.floor(F.col("bucket") / fan_in)).groupBy("source", "bucket").applyInArrow(_rounds(seed), schema), "pivot", narrow=True)
         decided.append(at.where("p = 0 or p = 1"))
         left = at.where("p <> 0 and p <> 1")
     coin = F.pmod(F.xxhash64("mix", F.lit(seed + 1)), F.lit(1 << 30)) / float(1 << 30)

@@ -349,14 +349,14 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
         counts[k * (COUNTERS // 64) : (k + 1) * (COUNTERS // 64)] = np.frombuffer(zlib.decompress(raw), dtype="<u2")
     known = seen.where("part is null").drop("part", "counts")
     maps = [f"p{k}" for k in range(PARITY)]
-    nodes = written(known.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), *[F.first(p).alias(p) for p in maps]), "nodes")
+    nodes = written(known.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), *[F.first(p).alias(p) for p in maps]), "nodes", narrow=True)
 
     schema = "gram long, sid long, np long" + "".join(f", q{k} long" for k in range(FOLDED))
     rare = spark.sparkContext.broadcast(counts)
     rows = written(docs.select("text").mapInArrow(give_back(_prefixes(width, num, den, rare)), schema), "prefixes")
     rare.unpersist()
     del counts, parts
-    often = written(rows.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1"), "often")
+    often = written(rows.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1"), "often", narrow=True)
     again, hot = (spark.sparkContext.broadcast(_table(_bitmap(often.where(x), "gram"))) for x in ("true", f"k > {crowd}"))
     rows = written(rows.mapInArrow(give_back(_in_table(hot, "gram", again)), schema + ", there boolean"), "shared")
     again.unpersist(), hot.unpersist()
@@ -364,11 +364,11 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     few, rows = rows.where("not there").drop("there"), rows.where("there").drop("there")
     close = few.alias("a").join(few.alias("b"), (F.col("a.gram") == F.col("b.gram")) & (F.col("a.sid") < F.col("b.sid")) & _may_link(num, den))
     lead = F.min(F.struct("np", "sid", *[f"q{k}" for k in range(FOLDED)])).alias("p")
-    front = written(rows.groupBy("gram").agg(lead, F.max("sid").alias("hi"), F.min("sid").alias("lo")).where("lo <> hi").select("gram", "p.*"), "fronts")
+    front = written(rows.groupBy("gram").agg(lead, F.max("sid").alias("hi"), F.min("sid").alias("lo")).where("lo <> hi").select("gram", "p.*"), "fronts", narrow=True)
     stars = rows.alias("a").join(front.alias("b"), (F.col("a.gram") == F.col("b.gram")) & (F.col("a.sid") != F.col("b.sid")) & _may_link(num, den))
     pair = lambda x: x.select(F.least("a.sid", "b.sid").alias("a"), F.greatest("a.sid", "b.sid").alias("b"))
     links = _linked(pair(close).union(pair(stars)).distinct(), docs, nodes, width, num, den)
-    groups = written(connected(links), "groups")
+    groups = written(connected(links), "groups", narrow=True)
 
     # most sets are linked with none: only those that may be meet the groups, the others are groups of their own
     mine = spark.sparkContext.broadcast(_table(_bitmap(groups, "id")))
@@ -387,11 +387,11 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     )
     more = _linked(pair(across).distinct(), docs, nodes, width, num, den)
     if more.take(1):
-        groups = written(connected(links.union(more)), "groups")
+        groups = written(connected(links.union(more)), "groups", narrow=True)
 
     whole = known.select("doc_id", "n", "sid").join(groups.select(F.col("id").alias("sid"), "component"), "sid", "left").select("doc_id", "n", F.coalesce("component", "sid").alias("component"))
     whole = written(whole, "members")
-    least = written(whole.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
+    least = written(whole.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id")), "least", narrow=True)
     full = whole.where("n > 0").join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return full.union(whole.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
 
@@ -401,9 +401,9 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     component. Rows without n-grams, and rows with a null id that stand alone, stay;
     of rows repeating an id and component one stays."""
     groups = components(df, id_col, text_col, width=width, num=num, den=den)
-    gone = written(groups.where("doc_id is null and component_id is not null or doc_id <> component_id").select("doc_id").distinct(), "gone")
+    gone = written(groups.where("doc_id is null and component_id is not null or doc_id <> component_id").select("doc_id").distinct(), "gone", narrow=True)
     out = df.join(gone.select(F.col("doc_id").alias("_gone")), F.col(id_col).cast("long").eqNullSafe(F.col("_gone")), "left_anti")
-    again = written(groups.where("doc_id = component_id and n_shingles > 0").groupBy("doc_id").count().where("count > 1"), "again")
+    again = written(groups.where("doc_id = component_id and n_shingles > 0").groupBy("doc_id").count().where("count > 1"), "again", narrow=True)
     if not again.take(1):
         return out
     twice = out.join(again.select(F.col("doc_id").alias("_again")), F.col(id_col) == F.col("_again"), "left_semi").dropDuplicates([id_col])

@@ -155,7 +155,7 @@ def pack(
     levels, level = [], 1
     while True:
         last = buckets == 1
-        at = written(now.groupBy("bucket").applyInArrow(_packer(size, level, 0 if last else full), schema), "bins")
+        at = written(now.groupBy("bucket").applyInArrow(_packer(size, level, 0 if last else full), schema), "bins", narrow=True)
         levels.append(at)
         if last:
             break

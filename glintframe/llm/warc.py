@@ -116,7 +116,7 @@ def write_archives(df: DataFrame, folder: str, id_col: str = "page_id", url_col:
     text = F.coalesce(F.col(text_col), F.lit(""))
     keys = df.select(F.col(id_col).cast("long").alias("page"), F.sha2(text, 256).alias("sha"), F.octet_length(text).alias("n")).where(F.col("n") >= min_revisit)
     first = keys.groupBy("sha").agg(F.min("page").alias("keep"), F.count("*").alias("rows")).where("rows > 1")
-    again = keys.join(written(first, "repeated"), "sha").where("page > keep").select("page", F.col("keep").alias("refers")).distinct()
+    again = keys.join(written(first, "repeated", narrow=True), "sha").where("page > keep").select("page", F.col("keep").alias("refers")).distinct()
     pages = df.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), F.col(text_col).alias("html"))
     decided = pages.join(again, "page", "left").select("page", "url", "html", "refers")
     return written(decided.mapInArrow(give_back(_writer(folder, date)), INDEX), "warc-index")
