@@ -59,16 +59,25 @@ def padded(movie: DataFrame, axis: str, before: int, after: int, mode: str, size
     return movie.withColumn(axis, F.explode(at))
 
 
-def separable(movie: DataFrame, rows: tuple, columns: tuple, mode: str, by: tuple = ()) -> DataFrame:
-    """Correlation with the outer product of two odd kernels."""
-    out = _sized(movie, by)
-    for axis, kernel, size in (("width", rows, "_w"), ("height", columns, "_h")):
-        half = len(kernel) // 2
+def correlations(movie: DataFrame, pairs: dict[str, tuple[tuple, tuple]], mode: str, by: tuple = ()) -> DataFrame:
+    """The movie with a column for each pair of odd kernels of one length, (along rows,
+    along columns): its correlation with their outer product. All in two passes."""
+    out = _sized(movie, by).withColumns({n: F.col("value") for n in pairs})
+    for axis, size, which in (("width", "_w", 0), ("height", "_h", 1)):
+        half = len(next(iter(pairs.values()))[which]) // 2
         w = _along(axis, by)
-        shifted = [F.col("value") if i == half else F.lag("value", half - i).over(w) if i < half else F.lead("value", i - half).over(w) for i in range(len(kernel))]
-        total = sum((k * x for k, x in zip(kernel, shifted) if k), F.lit(0.0))
-        out = padded(out, axis, half, half, mode, F.col(size)).withColumn("value", total).where((F.col(axis) >= 0) & (F.col(axis) < F.col(size)))
-    return out.select(*by, *VOXEL, "value")
+
+        def total(name: str, kernel: tuple) -> Column:
+            shifted = [F.col(name) if i == half else F.lag(name, half - i).over(w) if i < half else F.lead(name, i - half).over(w) for i in range(len(kernel))]
+            return sum((k * x for k, x in zip(kernel, shifted) if k), F.lit(0.0))
+
+        out = padded(out, axis, half, half, mode, F.col(size)).withColumns({n: total(n, k[which]) for n, k in pairs.items()}).where((F.col(axis) >= 0) & (F.col(axis) < F.col(size)))
+    return out.select(*by, *VOXEL, "value", *pairs)
+
+
+def separable(movie: DataFrame, rows: tuple, columns: tuple, mode: str, by: tuple = ()) -> DataFrame:
+    """Correlation with the outer product of two odd kernels of one length."""
+    return correlations(movie, {"_c": (rows, columns)}, mode, by).select(*by, *VOXEL, F.col("_c").alias("value"))
 
 
 def gaussian_kernel(size: int, sigma: float = 0.0) -> tuple[float, ...]:
@@ -85,14 +94,19 @@ def gaussian(movie: DataFrame, size: int = 5, sigma: float = 0.0, by: tuple = ()
     return separable(movie, kernel, kernel, "reflect101", by)
 
 
-def box_mean(movie: DataFrame, size: int, mode: str = "reflect", by: tuple = ()) -> DataFrame:
-    """Mean over size x size pixels; of an even size, the further one lies before."""
+def with_box_mean(movie: DataFrame, size: int, mode: str = "reflect", by: tuple = ()) -> DataFrame:
+    """The movie with `mean`, that of size x size pixels around; of an even size, the
+    further one lies before."""
     before, after = size // 2, (size - 1) // 2
-    out = _sized(movie, by)
+    out = _sized(movie, by).withColumn("mean", F.col("value"))
     for axis, n in (("width", "_w"), ("height", "_h")):
-        mean = F.avg("value").over(_along(axis, by).rowsBetween(-before, after))
-        out = padded(out, axis, before, after, mode, F.col(n)).withColumn("value", mean).where((F.col(axis) >= 0) & (F.col(axis) < F.col(n)))
-    return out.select(*by, *VOXEL, "value")
+        mean = F.avg("mean").over(_along(axis, by).rowsBetween(-before, after))
+        out = padded(out, axis, before, after, mode, F.col(n)).withColumn("mean", mean).where((F.col(axis) >= 0) & (F.col(axis) < F.col(n)))
+    return out.select(*by, *VOXEL, "value", "mean")
+
+
+def box_mean(movie: DataFrame, size: int, mode: str = "reflect", by: tuple = ()) -> DataFrame:
+    return with_box_mean(movie, size, mode, by).select(*by, *VOXEL, F.col("mean").alias("value"))
 
 
 def median(movie: DataFrame, size: int = 5, by: tuple = ()) -> DataFrame:
@@ -157,8 +171,7 @@ def remove_background(movie: DataFrame, method: str = "uniform", window: int = 5
         return tophat(movie, window, by)
     if method != "uniform":
         raise ValueError(f"unknown background method {method}")
-    mean = box_mean(movie, window, by=by).withColumnRenamed("value", "_mean")
-    return movie.join(mean, [*by, *VOXEL]).select(*by, *VOXEL, (F.col("value") - F.col("_mean")).alias("value"))
+    return with_box_mean(movie, window, by=by).select(*by, *VOXEL, (F.col("value") - F.col("mean")).alias("value"))
 
 
 def preview_background(movie: DataFrame, method: str = "uniform", size: int = 5, by: tuple = ()) -> DataFrame:
@@ -168,8 +181,7 @@ def preview_background(movie: DataFrame, method: str = "uniform", size: int = 5,
         return tophat(movie, by=by, widths=ellipse_widths(size + (size % 2 == 0)))
     if method != "uniform":
         raise ValueError(f"unknown background method {method}")
-    mean = box_mean(movie, size, "reflect101", by).withColumnRenamed("value", "_mean")
-    return movie.join(mean, [*by, *VOXEL]).select(*by, *VOXEL, (F.col("value") - F.col("_mean")).alias("value"))
+    return with_box_mean(movie, size, "reflect101", by).select(*by, *VOXEL, (F.col("value") - F.col("mean")).alias("value"))
 
 
 def edge_mask(movie: DataFrame, by: tuple = ()) -> DataFrame:
@@ -215,6 +227,5 @@ def local_max_any(movie: DataFrame, first: int, last: int, diff: float = 0.0, by
 def sobel(movie: DataFrame, by: tuple = ()) -> DataFrame:
     """Half the sum of the horizontal and the vertical derivative's sizes."""
     flat, step = (1.0, 2.0, 1.0), (-1.0, 0.0, 1.0)
-    dx = separable(movie, step, flat, "reflect101", by).withColumnRenamed("value", "_dx")
-    dy = separable(movie, flat, step, "reflect101", by).withColumnRenamed("value", "_dy")
-    return dx.join(dy, [*by, *VOXEL]).select(*by, *VOXEL, (0.5 * F.abs("_dx") + 0.5 * F.abs("_dy")).alias("value"))
+    both = correlations(movie, {"_dx": (step, flat), "_dy": (flat, step)}, "reflect101", by)
+    return both.select(*by, *VOXEL, (0.5 * F.abs("_dx") + 0.5 * F.abs("_dy")).alias("value"))
