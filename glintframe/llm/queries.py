@@ -169,7 +169,7 @@ SQL = {
         own AS (SELECT b.doc_id, b.n_words, r.q, CASE WHEN r.x IS NULL THEN b.n_words - coalesce((SELECT sum(n) FROM hit h WHERE h.doc_id = b.doc_id), 0) ELSE coalesce(h.n, 0) END / greatest(b.n_words, 1)::DOUBLE AS p
                 FROM base b JOIN wref r USING (lang) LEFT JOIN hit h ON h.doc_id = b.doc_id AND h.x = r.x),
         term(doc_id, kind, p, q) AS (
-          SELECT doc_id, 'w', p, q FROM own WHERE n_words >= 100
+          SELECT doc_id, 'w', p, q FROM own WHERE n_words >= 40
           UNION ALL SELECT doc_id, 'c', kinds[k] / greatest(chars, 1)::DOUBLE, q FROM base JOIN cref USING (lang) WHERE chars >= 200),
         js AS (
           SELECT doc_id, kind, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 0)) AS dist
