@@ -373,15 +373,29 @@ def _outline(mask: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def label_pixels(y: list[int], x: list[int], diagonal: bool = True) -> list[int]:
+    """Numbers from 1 of the regions that pixels, given in row-major order, lie in."""
+    at = {p: i for i, p in enumerate(zip(y, x))}
+    out, n = [0] * len(at), 0
+    near = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i or j) and (diagonal or not i or not j)]
+    for start, i in at.items():
+        if out[i]:
+            continue
+        n += 1
+        out[i], todo = n, [start]
+        while todo:
+            py, px = todo.pop()
+            for dy, dx in near:
+                k = at.get((py + dy, px + dx))
+                if k is not None and not out[k]:
+                    out[k] = n
+                    todo.append((py + dy, px + dx))
+    return out
+
+
 def regions(mask: np.ndarray) -> int:
     """Number of 8-connected regions."""
-    label = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
-    while True:
-        p = np.pad(label, 1)
-        best = np.max([p[i : i + mask.shape[0], j : j + mask.shape[1]] for i in range(3) for j in range(3)], axis=0) * mask
-        if (best == label).all():
-            return len(np.unique(label[mask]))
-        label = best
+    return max(label_pixels(*np.nonzero(mask)), default=0)
 
 
 def circularity(im: np.ndarray, most: int) -> float:

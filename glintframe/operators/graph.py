@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glintframe.functions import kernels
 from glintframe.operators import PIXEL
 from glintframe.runtime import connected
 
@@ -56,14 +58,23 @@ def labels(nodes: DataFrame, edges: DataFrame, only_connected: bool = False) ->
     return full.join(number, "component").select("id", label.cast("int").alias("label"))
 
 
+def region_labels(mask: DataFrame, by: tuple = ("frame",), diagonal: bool = False) -> DataFrame:
+    """(by..., height, width, label): the regions of each image of mask(by..., height,
+    width), touching by sides (or also corners), numbered from 1 in order of their
+    first pixels. A region lies in one image, so that one grouped map finds them all."""
+    rows = mask.select(*by, *PIXEL)
+    schema = rows.select("*", F.lit(1).cast("int").alias("label")).schema
+
+    def run(image: pa.Table) -> pa.Table:
+        image = image.sort_by([(c, "ascending") for c in PIXEL])
+        found = kernels.label_pixels(image.column("height").to_pylist(), image.column("width").to_pylist(), diagonal)
+        return image.append_column("label", pa.array(found, pa.int32()))
+
+    return rows.groupBy(*by).applyInArrow(run, schema)
+
+
 def region_centres(mask: DataFrame, by: tuple = ("frame",)) -> DataFrame:
     """One pixel for each 8-connected region of mask(by..., height, width): whole
     parts of the medians of its rows and columns."""
-    coded = mask.select(*by, *PIXEL).withColumn("_id", F.struct(*by, *PIXEL))
-    step = F.explode(F.array(*[F.struct(F.lit(i).alias("dy"), F.lit(j).alias("dx")) for i, j in ((0, 1), (1, -1), (1, 0), (1, 1))]))
-    moved = coded.select(*by, F.col("_id").alias("a"), "height", "width", step.alias("s")).select(*by, "a", (F.col("height") + F.col("s.dy")).alias("height"), (F.col("width") + F.col("s.dx")).alias("width"))
-    edges = moved.join(coded.withColumnRenamed("_id", "b"), [*by, *PIXEL]).select("a", "b")
-    groups = connected(edges)
-    full = coded.join(groups.select(F.col("id").alias("_id"), "component"), "_id", "left").withColumn("_c", F.coalesce("component", "_id"))
     half = lambda c: F.floor(F.percentile(c, F.lit(0.5))).cast("int").alias(c)
-    return full.groupBy(*by, "_c").agg(half("height"), half("width")).drop("_c")
+    return region_labels(mask, by, True).groupBy(*by, "label").agg(half("height"), half("width")).drop("label")

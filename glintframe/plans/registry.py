@@ -122,6 +122,14 @@ def _tops(source: str, first: int, last: int, diff: float) -> str:
 query("local_max_roll", sql("L", _tops("L", 1, 4, 3) + " SELECT frame, height, width FROM spots", True))(lambda i: graph.region_centres(stencil.local_max_any(i.L, 1, 4, 3).where("extreme")))
 
 
+query("region_labels", sql("L", """, m AS (SELECT frame, height, width, (height * 256 + width) AS id FROM L WHERE value > (SELECT 1.5 * avg(value) FROM L)),
+    touch AS (SELECT a.frame, a.id AS a, b.id AS b FROM m a JOIN m b ON a.frame = b.frame AND abs(a.height - b.height) + abs(a.width - b.width) <= 1),
+    reach(frame, a, b) AS (SELECT frame, id, id FROM m UNION SELECT r.frame, r.a, t.b FROM reach r JOIN touch t ON r.frame = t.frame AND r.b = t.a)
+    SELECT m.frame, height, width, (dense_rank() OVER (PARTITION BY m.frame ORDER BY g))::INT AS label FROM m JOIN (SELECT frame, a, min(b) AS g FROM reach GROUP BY ALL) r ON r.frame = m.frame AND a = id""", True))(
+    lambda i: graph.region_labels(i.L.crossJoin(F.broadcast(i.L.agg((F.avg("value") * 1.5).alias("t")))).where("value > t"))
+)
+
+
 def _frames(df: DataFrame) -> int:
     return df.agg(F.max("frame") + 1).first()[0]
 
