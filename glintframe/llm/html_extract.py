@@ -28,6 +28,8 @@ OUTER_MARKS = set("header masthead topbar".split())
 BLOCKS = set(
     "address article blockquote body caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Blocks that are made of blocks.
+HOLDERS = {"article", "main", "section", "div"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is text up to their own end tag.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp"}
@@ -172,40 +174,52 @@ def _path(x: Node) -> list[Node]:
     return out
 
 
+def _thin_out(top: Node, limit: float) -> None:
+    """Mark blocks of top that are mostly links and sparser than limit."""
+    stack = [top]
+    while stack:
+        for x in stack.pop().items:
+            if isinstance(x, str) or x.gone or x.tag not in BLOCKS:
+                continue
+            if x.link_chars * 2 > x.chars and x.density < limit:
+                x.gone = True
+            elif x.tag in HOLDERS:
+                stack.append(x)
+
+
 def select(nodes: list[Node]) -> list[Node]:
     """Subtrees that hold the main text, in page order: that with the largest sum
-    of densities, widened to the article it is in, and, where there is none, what
-    else hangs on its path to the body and is as dense as the path's sparsest
-    element."""
+    of densities, and what else hangs on its path to the body and is as dense as
+    the path's sparsest element.
+
+    An article or main element is a hint only: what lies around the outermost isn't
+    tried as a whole, and a subtree inside one is widened to it and to the articles
+    beside it, but for blocks that are mostly links and sparser than the path.
+    """
     there = [x for x in nodes if not x.gone and x.chars]
     if not there:
         return []
-    named = [x for x in there if x.tag in ("article", "main") or 'role="main"' in x.attrs]
-    pool = there
-    if named:
-        inner = set(named)
-        for x in there:
-            if x.parent in inner:
-                inner.add(x)
-        pool = [x for x in there if x in inner]
-    best = max(pool, key=lambda x: (x.total, x.density))
+    named = {x for x in there if x.tag in ("article", "main") or 'role="main"' in x.attrs}
+    around = {p for x in named if not named.intersection(_path(x)[1:]) for p in _path(x)[1:]}
+    best = max((x for x in there if x not in around), key=lambda x: (x.total, x.density))
     if not best.total and best.tag not in BLOCKS:
         best = best.parent or best
     path = _path(best)
-    if named:
-        around = [x for x in path if x.tag == "article"] or [x for x in path if x in set(named)]
-        if around:
-            top = around[-1] if around[-1].tag == "article" else around[0]
-            if top.tag == "article" and top.parent:  # parts of one article, side by side
-                return [x for x in top.parent.items if isinstance(x, Node) and not x.gone and x.tag == "article" and x.chars]
-            return [top]
     limit = min(x.density for x in path[:-1]) if len(path) > 1 else 0.0
+    hints = [x for x in path if x.tag == "article"][-1:] or [x for x in path if x in named][:1]
+    if hints:
+        best = hints[0]
+        path = _path(best)
+        _thin_out(best, limit)
+    parts = [x for x in best.parent.items if isinstance(x, Node) and x is not best and not x.gone and x.tag == "article" and x.link_chars * 2 <= x.chars] if hints and best.tag == "article" and best.parent else []
+    for x in parts:
+        _thin_out(x, limit)
     on = set(path)
     out = [x for p in path[1:] for x in p.items if isinstance(x, Node) and x not in on and not x.gone and x.chars and x.density >= limit and x.links * 3 <= max(x.tags, 3)]
     loose = [x for x in path[1:] if any(isinstance(k, str) and k.strip() for k in x.items)]
-    if loose:  # text that stands in the body itself
+    if loose and not named:  # text that stands in the body itself
         return [loose[-1]]
-    chosen = {*out, best}
+    chosen = {*out, *(x for x in parts if x.chars), best}
     return [x for x in _ordered(nodes[0]) if x in chosen]
 
 

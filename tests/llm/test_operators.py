@@ -333,6 +333,26 @@ def test_main_text(page, text):
     assert html_extract.main_text(page) == text
 
 
+LINKS = "<ul>" + "".join(f'<li><a href="/{i}">Some other story {i}</a>' for i in range(6)) + "</ul>"
+STORY = "".join(f"<p>Paragraph {i} of a story that goes on for quite a while, with commas, and without any links in it.</p>" for i in range(4))
+
+
+@pytest.mark.parametrize(
+    ("body", "there", "lost"),
+    [
+        (f"<article><h1>Title</h1>{STORY}<div>{LINKS}</div><p>End.</p></article>", ["Title", "Paragraph 3", "End."], ["other story"]),
+        (f"<main><h1>Title</h1><div>{STORY}</div><section>{LINKS}</section></main>", ["Title", "Paragraph 0"], ["other story"]),
+        (f"<article><p>Short.</p></article><div>{STORY}</div>", ["Paragraph 0", "Paragraph 3"], ["Short"]),
+        (f"<article><h1>Title</h1>{STORY}</article><article>{LINKS}</article>", ["Title", "Paragraph 0"], ["other story"]),
+        (f"<article><h1>Title</h1>{STORY}<p>See <a href='x'>this</a> too.</p></article>", ["Title", "See this too."], []),
+        (f"<main><article>{STORY}</article><article>{STORY.replace('Para', 'Second para')}</article></main>", ["Paragraph 0", "Second paragraph 0"], []),
+    ],
+)
+def test_density_chooses_in_articles_too(body, there, lost):
+    text = html_extract.main_text(f"<html><head><title>t</title></head><body>{body}</body></html>")
+    assert all(t in text for t in there) and not any(t in text for t in lost), text
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, "u", "<p>a&amp;b", "old", 0), (2, None, None, None, None), (None, "", "<p>" + "é " * 20000, "t", 1), (1, "u", "<p>a&amp;b", "old", 0)], "page_id long, url string, html string, text string, n_chars int")
     got = html_extract.extract(df)
