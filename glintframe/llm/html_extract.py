@@ -33,6 +33,8 @@ HOLDERS = {"article", "main", "section", "div"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is text up to their own end tag.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp"}
+#: What may stand in a head: any other element, or text, ends it.
+HEADS = set("base basefont bgsound link meta noframes noscript script style template title head html".split())
 #: What a start tag ends, if open, up to one of the second set.
 ENDS = {
     "li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}), "tr": ({"tr", "td", "th"}, {"table"}),
@@ -67,6 +69,8 @@ def tree(page: str) -> Node:
             break
         pos = m.end()
         closing, tag, attrs, text = m.groups()
+        while at.tag == "head" and (text.strip() if text else tag and not closing and tag.lower() not in HEADS):
+            at = at.parent
         if text:
             at.items.append(text)
             continue

@@ -353,6 +353,18 @@ def test_density_chooses_in_articles_too(body, there, lost):
     assert all(t in text for t in there) and not any(t in text for t in lost), text
 
 
+@pytest.mark.parametrize(
+    "start",
+    [
+        "<html><head><title>x</title><body>", "<head><meta charset=utf-8><title>x</title>", "<head><title>x</title><script>a</script>\n<BODY class=a>", "<head><link rel=x></head></head><body>",
+        "<head><template><div>gone</div></template><body>", "<head><head><body>", "<title>x</title>",
+    ],
+)
+def test_head_ends_where_the_body_starts(start):
+    assert html_extract.main_text(f"{start}<article><h1>Head</h1><p>One two.</article>") == "Head\nOne two."
+    assert html_extract.main_text(f"{start}just text") == "just text"
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, "u", "<p>a&amp;b", "old", 0), (2, None, None, None, None), (None, "", "<p>" + "é " * 20000, "t", 1), (1, "u", "<p>a&amp;b", "old", 0)], "page_id long, url string, html string, text string, n_chars int")
     got = html_extract.extract(df)
