@@ -318,7 +318,7 @@ query("temporal_deconv", None, 6)(lambda i: units.update_temporal(i.T.select("un
 # --- motion -------------------------------------------------------------------
 
 query("motion_rigid", None, 3)(lambda i: motion.estimate(i.L, upsample=10))
-query("motion_elastic", None)(lambda i: motion.estimate(project.crop(i.L, frame=(0, 5)), mesh=(1, 1), steps=10).select("frame", "rows", "columns"))
+query("motion_elastic", None)(lambda i: motion.estimate(i.L, mesh=(1, 1)).select("frame", "rows", "columns"))
 query("apply_shift_integer", sql("L", """SELECT c.frame, c.height, c.width, coalesce(n.value, 0.0) AS value FROM L c
     LEFT JOIN L n ON n.frame = c.frame AND n.height = c.height - (c.frame % 3 - 1) AND n.width = c.width - c.frame % 2"""))(
     lambda i: motion.apply_integer(i.L, i.L.select("frame").distinct().select("frame", (F.col("frame") % 3 - 1).alias("dy"), (F.col("frame") % 2).alias("dx")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from glintframe.functions import expr
 from glintframe.operators import frames, graph, motion, project, seeds, signal, stencil, units
-from glintframe.plans import pipeline
+from glintframe.plans import pipeline, registry
 from glintframe.sources import catalog, params, video
 from glintframe.streaming import traces as stream
 
@@ -155,6 +155,31 @@ def test_motion_is_found(spark):
     assert np.allclose(np.abs(by_template[4]), (0, 3))
 
 
+def test_elastic_motion_is_found(spark):
+    """Over three levels of chunks, with as many steps as the operator has."""
+    rng = np.random.default_rng(4)
+    y, x = np.mgrid[:32, :32]
+    im = sum(np.exp(-((y - cy) ** 2 + (x - cx) ** 2) / 12) for cy, cx in rng.uniform(7, 25, (9, 2)))
+    shifts = np.round(rng.uniform(-2, 2, (11, 2)) * 2) / 2
+    f = np.fft.fft2(im)
+    ky, kx = np.fft.fftfreq(32)[:, None], np.fft.fftfreq(32)[None]
+    a = np.array([np.fft.ifft2(f * np.exp(-2j * np.pi * (ky * dy + kx * dx))).real for dy, dx in shifts])
+    m = movie_of(spark, a)
+    found = motion.estimate(m, mesh=(1, 1)).collect()
+    assert sorted(r.frame for r in found) == list(range(11)) and {(r.rows, r.columns) for r in found} == {(4, 4)}
+    moved = np.array([np.array(r.coef).reshape(2, -1).mean(1) for r in sorted(found, key=lambda r: r.frame)])
+    rest = moved + shifts
+    assert np.abs(rest - rest.mean(0)).max() < 0.3
+    placed = array_of(motion.apply(m, spark.createDataFrame(found)), a.shape)[:, 6:-6, 6:-6]
+    assert placed.std(0).mean() < 0.2 * a[:, 6:-6, 6:-6].std(0).mean()
+
+
+def test_elastic_query_moves_all_frames(spark):
+    run = registry.queries()
+    rigid, elastic = (sorted(r.frame for r in run[q](spark, "/root/testdata/sf0.001").collect()) for q in ("motion_rigid", "motion_elastic"))
+    assert elastic == rigid == list(range(83))
+
+
 def test_motion_of_one_frame(spark):
     m = movie_of(spark, np.random.default_rng(0).random((1, 8, 8)))
     assert [(r.dy, r.dx) for r in motion.estimate(m).collect()] == [(0, 0)]
