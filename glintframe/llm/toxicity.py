@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,13 +26,18 @@ HIDDEN = "aeiou"
 #: it; such a sign put in for nothing at an edge of a word (the same, for a digit)
 #: and inside it; a sign repeated; a letter hidden by a star; a star for nothing.
 SWAPPED, EDGE, DIGIT_EDGE, INSIDE, AGAIN, STARRED, STAR = (math.log(p) for p in (0.3, 0.3, 0.02, 1e-5, 0.3, 0.1, 0.3))
+#: A sign or gap between letters for nothing and for a word's edge; a gap wider than
+#: others for these; a sign that looks like a letter for an edge; letters of a run
+#: on both sides of an edge.
+KEPT, SPLIT, WIDE_KEPT, WIDE_SPLIT, SIGN_SPLIT, RUN_SPLIT = (math.log(p) for p in (0.5, 0.5, 0.01, 0.99, 0.01, 0.1))
 #: Classes of the character model: 0 is a word's edge, 27 any letter beyond a to z.
 CLASSES = 28
 #: Three or more characters that stand alone, one after the other.
 SPACED = re.compile(r"(?<!\S)(?:\S[ \t]+){2,}\S(?!\S)")
 PLAIN = re.compile(r"[^\W\d_]+")
 RUN = re.compile(r"([^\W\d_])\1{2,}")
-NEEDS = re.compile(r"[0-9@$!|+(<€£*]|([^\W\d_])\1\1|[^\W\d_][.\-_~,'/\\]+[^\W\d_]")
+PARTS = re.compile(r"\S+")
+NEEDS = re.compile(r"[0-9@$!|+(<€£*]|([^\W\d_])\1\1|[^\W\d_](?:[.\-_~,'/\\:;\"&%#=^?)\[\]{}>’…–—·•]|\s)+[^\W\d_]")
 _STRIP = ".,;:?\"'()[]{}%&#*~^=_-/\\><"
 
 
@@ -71,53 +77,78 @@ def _class(ch: str) -> int:
     return ord(ch) - 96 if "a" <= ch <= "z" else 27
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """For each sign of a lower-case token, what it may be and at what log
-    probability; "" is nothing. Of a letter written three times or more, one or
-    two are meant."""
+def lattice(token: str, edges: bool = True) -> list[list[tuple[str, float]]]:
+    """For each sign of a lower-case token or run of lone characters, what it may be
+    and at what log probability; "" is nothing, " " a word's edge (with edges only).
+    Of a letter written three times or more, one or two are meant, or words that
+    meet in it."""
     out, i, n = [], 0, len(token)
+    gaps = [len(g) for g in re.findall(r"\s+", token)]
+    least = min(gaps, default=0)
     while i < n:
-        ch, run = token[i], 1
-        while i + run < n and token[i + run] == ch:
-            run += 1
+        ch, run, end = token[i], 1, i + 1
+        while end < n:
+            at = end
+            while ch.isalpha() and at < n and token[at].isspace() and at - end < least:
+                at += 1  # a narrow gap
+            if at == n or token[at] != ch:
+                break
+            run, end = run + 1, at + 1
         if ch.isalpha():
-            out += [[(ch, 0.0)]] * min(run, 2) if run < 3 else [[(ch, 0.0)], [(ch, -0.7), ("", -0.7)]]
+            spaced = edges and end - i > run
+            if run < 3 and spaced:
+                out += [[(ch, 0.0)], [("", KEPT), (" ", SPLIT)], [(ch, 0.0)]]
+            elif run < 3:
+                out += [[(ch, 0.0)]] * run
+            else:
+                out += [[(ch, 0.0)], [(ch, -0.7), ("", -0.7)] + ([(f" {ch}", RUN_SPLIT), (f"{ch} {ch}", RUN_SPLIT)] if spaced else [])]
+        elif ch.isspace():
+            out.append(([("", KEPT), (" ", SPLIT)] if run == least else [("", WIDE_KEPT), (" ", WIDE_SPLIT)]) if edges else [("", 0.0)])
         else:
-            edge = i == 0 or i + run == n
+            edge = i == 0 or end == n
+            split = [(" ", SIGN_SPLIT)] if edges and not edge and not ch.isdigit() else []
             if ch in LOOKALIKES:
                 gone = INSIDE if not edge else DIGIT_EDGE if ch.isdigit() else EDGE
-                out.append([(x, SWAPPED) for x in LOOKALIKES[ch]] + [("", gone)])
+                out.append([(x, SWAPPED) for x in LOOKALIKES[ch]] + [("", gone)] + split)
                 if run > 1:
                     out.append([(x, SWAPPED) for x in LOOKALIKES[ch]] + [("", AGAIN)])
             elif ch == "*" and not edge:
-                out += [[(x, STARRED) for x in HIDDEN] + [("", STAR)]] * min(run, 3)
-        i += run
+                out += [[(x, STARRED) for x in HIDDEN] + [("", STAR)] + split] * min(run, 3)
+            elif edges and not edge and not unicodedata.category(ch).startswith("M"):
+                out.append([("", KEPT), (" ", SPLIT)])
+        i = end
     return out
 
 
-def decode(token: str, model: list) -> str:
-    """The likeliest word behind a lower-case token: Viterbi over its lattice, the
-    states being the last two character classes."""
-    states = {(0, 0): (0.0, "")}
-    for options in lattice(token):
+def decode(token: str, model: list, edges: bool = True) -> str:
+    """The likeliest word or words behind a lower-case token or run of lone
+    characters: Viterbi over its lattice, the states being the last two character
+    classes."""
+    states: dict = {(0, 0): (0.0, None)}
+    for options in lattice(token, edges):
         new: dict = {}
         for (a, b), (score, word) in states.items():
-            row = model[a][b]
-            for ch, cost in options:
-                if ch:
-                    c = _class(ch)
-                    key, s, w = (b, c), score + cost + row[c], word + ch
-                else:
-                    key, s, w = (a, b), score + cost, word
-                if key not in new or new[key][0] < s:
-                    new[key] = (s, w)
+            for text, cost in options:
+                p, q, s, w = a, b, score + cost, word
+                for ch in text:
+                    if ch == " " and not q:  # an edge already
+                        continue
+                    c = 0 if ch == " " else _class(ch)
+                    s, p, q, w = s + model[p][q][c], q, c, (w, ch)
+                if (p, q) not in new or new[p, q][0] < s:
+                    new[p, q] = (s, w)
         states = new
-    return max(((s + model[a][b][0], w) for (a, b), (s, w) in states.items()), default=(0.0, ""))[1]
+    word = max(((s + (model[a][b][0] if b else 0.0), i, w) for i, ((a, b), (s, w)) in enumerate(states.items())), key=lambda x: x[:2], default=(0.0, 0, None))[2]
+    out = []
+    while word:
+        word, ch = word
+        out.append(ch)
+    return "".join(reversed(out)).strip()
 
 
-def restore(token: str, model: list) -> str:
-    """A white-space separated, lower-case token as the word it stands for: signs
-    around it gone, and decoded where it holds more than letters."""
+def restore(token: str, model: list, edges: bool = True) -> str:
+    """A lower-case token, or run of lone characters, as the word or words it stands
+    for: signs around it gone, and decoded where it holds more than letters."""
     if token.isalpha() and not RUN.search(token):
         return token
     core = token.strip(_STRIP)
@@ -126,20 +157,26 @@ def restore(token: str, model: list) -> str:
     letters = sum(ch.isalpha() for ch in core)
     if not letters or sum(ch.isdigit() for ch in core) > 2 * letters or len(core) > 60 or not NEEDS.search(core):
         return core
-    return decode(core, model)
+    return decode(core, model, edges)
 
 
-def words_of(text: str | None, model: list) -> tuple[list[str], list[str]]:
-    """A text's distinct lower-case tokens, and its runs of lone characters, joined."""
+def readings(token: str, model: list) -> list[str]:
+    """The distinct words that a token or run stands for, and, if these are several,
+    all of it as one."""
+    words = PARTS.findall(restore(token, model))
+    return words if len(words) < 2 else list({*words, "".join(PARTS.findall(restore(token, model, False)))})
+
+
+def words_of(text: str | None) -> tuple[list[str], list[str]]:
+    """A text's distinct lower-case tokens, and its runs of lone characters."""
     low = (text or "").lower()
-    return list(set(low.split())), ["".join(m.group().split()) for m in SPACED.finditer(low)]
+    return list(set(low.split())), [m.group() for m in SPACED.finditer(low)]
 
 
 def restored_text(text: str | None, model: np.ndarray) -> str:
-    """The whole text in lower case, each token restored, runs of lone characters joined."""
+    """The whole text in lower case, each token and each run of lone characters restored."""
     rows = model.tolist()
-    joined = SPACED.sub(lambda m: "".join(m.group().split()), (text or "").lower())
-    return re.sub(r"\S+", lambda m: restore(m.group(), rows), joined)
+    return re.sub(rf"{SPACED.pattern}|\S+", lambda m: restore(m.group(), rows), (text or "").lower())
 
 
 def features(word: str) -> list[str]:
@@ -174,8 +211,8 @@ def _train_rows(characters):
         for b in batches:
             label, words, sig = [], [], []
             for text, y in zip(b.column("text"), b.column("toxic").to_pylist()):
-                tokens, runs = words_of(text.as_py(), model)
-                found = sorted({restore(t, model) for t in tokens + runs} - {""})
+                tokens, runs = words_of(text.as_py())
+                found = sorted({w for t in tokens + runs for w in readings(t, model)})
                 marks = sorted(hash_of(w) for w in found)
                 label.append(y)
                 words.append(found)
@@ -257,30 +294,30 @@ def _scorer(shared, cache_size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         chars, weights, scale = model.characters.tolist(), model.weights, model.scale
-        known: dict[str, float] = {}  # a token's weight, forgotten from time to time
+        known: dict[str, tuple[float, float] | None] = {}  # a token's evidence, if any, forgotten from time to time
         get = known.get
 
-        def weigh(token: str) -> float:
-            w = restore(token, chars)
-            return max((weights.get(f, 0.0) for f in features(w)), default=0.0)
+        def weigh(token: str) -> tuple[float, float] | None:
+            found = _evidence(weights, readings(token, chars))
+            return found if found[0] else None
 
         for b in batches:
             out = []
             for text in b.column("text"):
-                tokens, runs = words_of(text.as_py(), chars)
+                tokens, runs = words_of(text.as_py())
                 if len(known) > cache_size:
                     known.clear()
                 total = most = 0.0
                 for t in tokens:
-                    v = get(t)
-                    if v is None:
+                    v = get(t, 0)
+                    if v == 0:
                         v = known[t] = weigh(t)
                     if v:
-                        total += v
-                        most = v if v > most else most
+                        total, most = total + v[0], max(most, v[1])
                 for t in runs:
                     v = weigh(t)
-                    total, most = total + v, max(most, v)
+                    if v:
+                        total, most = total + v[0], max(most, v[1])
                 z = sum(a * x for a, x in zip(scale, _design(total, most, len(tokens))))
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
             yield pa.RecordBatch.from_arrays([*(c for c, n in zip(b.columns, b.schema.names) if n != "text"), pa.array(out, pa.float64())], names=[*(n for n in b.schema.names if n != "text"), "score"])

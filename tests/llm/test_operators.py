@@ -423,6 +423,17 @@ def test_toxicity_of_hidden_words(spark, toxic_world):
     assert toxicity.scored(df.limit(0), model).count() == 0 and toxicity.clean_rows(df.limit(0), model).count() == 0
 
 
+def test_toxicity_of_words_that_meet(spark, toxic_world):
+    model = toxic_world[4]
+    clean = "la men tor ik osun dra pelsa vimen torla"
+    hidden = ["sa a g r u m b a k", "v i g r u m b a k", "g r u m b a k s n o t z e l", "grumbak/snotzel", "l'grumbak", "vimen:grumbak", "d r a  g r u m b a k", "la-grum8ak", "g r u u u u m b a k  i k"]
+    for h in hidden:
+        assert {"grumbak"} <= set(toxicity.restored_text(h, model.characters).split()), (h, toxicity.restored_text(h, model.characters))
+    twice = ["sa a g r u m b a k d r a w u r p i d o n", "vimen/grumbak l'snotzel"]
+    df = spark.createDataFrame([(0, clean), (1, clean + " d r a p e l vimen/torla"), *[(i + 2, f"{clean} {h}") for i, h in enumerate(twice)]], "doc_id long, text string")
+    assert {r.id: r.score >= 0.7 for r in toxicity.scored(df, model).collect()} == {0: False, 1: False, 2: True, 3: True}
+
+
 def test_toxicity_without_labels(spark):
     docs = helpers.docs(spark)
     model = toxicity.fit(docs, spark.createDataFrame([(1, None), (None, 1), (2, 7)], "doc_id long, toxic int"))
