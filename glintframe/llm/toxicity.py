@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 import unicodedata
@@ -30,13 +31,17 @@ SWAPPED, EDGE, DIGIT_EDGE, INSIDE, AGAIN, STARRED, STAR = (math.log(p) for p in
 #: others for these; a sign that looks like a letter for an edge; letters of a run
 #: on both sides of an edge.
 KEPT, SPLIT, WIDE_KEPT, WIDE_SPLIT, SIGN_SPLIT, RUN_SPLIT = (math.log(p) for p in (0.5, 0.5, 0.01, 0.99, 0.01, 0.1))
+#: A number of digits as they are, and each of its digits, repeated or not.
+NUMBER, DIGIT = math.log(0.05), math.log(0.1)
+#: Readings of a token's beginning that are followed up, in tokens of over LONG signs.
+BEAM, LONG = 64, 60
 #: Classes of the character model: 0 is a word's edge, 27 any letter beyond a to z.
 CLASSES = 28
 #: Three or more characters that stand alone, one after the other.
 SPACED = re.compile(r"(?<!\S)(?:\S[ \t]+){2,}\S(?!\S)")
 PLAIN = re.compile(r"[^\W\d_]+")
 RUN = re.compile(r"([^\W\d_])\1{2,}")
-PARTS = re.compile(r"\S+")
+PARTS = re.compile(r"[0-9]+|[^\s0-9]+")
 NEEDS = re.compile(r"[0-9@$!|+(<€£*]|([^\W\d_])\1\1|[^\W\d_](?:[.\-_~,'/\\:;\"&%#=^?)\[\]{}>’…–—·•]|\s)+[^\W\d_]")
 _STRIP = ".,;:?\"'()[]{}%&#*~^=_-/\\><"
 
@@ -79,7 +84,8 @@ def _class(ch: str) -> int:
 
 def lattice(token: str, edges: bool = True) -> list[list[tuple[str, float]]]:
     """For each sign of a lower-case token or run of lone characters, what it may be
-    and at what log probability; "" is nothing, " " a word's edge (with edges only).
+    and at what log probability; "" is nothing, " " a word's edge (with edges only),
+    a digit itself.
     Of a letter written three times or more, one or two are meant, or words that
     meet in it."""
     out, i, n = [], 0, len(token)
@@ -108,10 +114,16 @@ def lattice(token: str, edges: bool = True) -> list[list[tuple[str, float]]]:
             edge = i == 0 or end == n
             split = [(" ", SIGN_SPLIT)] if edges and not edge and not ch.isdigit() else []
             if ch in LOOKALIKES:
-                gone = INSIDE if not edge else DIGIT_EDGE if ch.isdigit() else EDGE
-                out.append([(x, SWAPPED) for x in LOOKALIKES[ch]] + [("", gone)] + split)
-                if run > 1:
-                    out.append([(x, SWAPPED) for x in LOOKALIKES[ch]] + [("", AGAIN)])
+                gone = EDGE if edge and not ch.isdigit() else DIGIT_EDGE if edge and end - i < n else INSIDE
+                one = [(x, SWAPPED) for x in LOOKALIKES[ch]]
+                if ch.isdigit():  # as it is, all of a run or none
+                    again = AGAIN if run > 1 else 0.0
+                    two = [(x + y, 2 * SWAPPED) for x, _ in one for y, _ in one] if run > 1 else []
+                    out.append([(x, c + again) for x, c in one] + two + [(ch * run, DIGIT), ("", gone + AGAIN * (run - 1))])
+                else:
+                    out.append([*one, ("", gone), *split])
+                    if run > 1:
+                        out.append([*one, ("", AGAIN)])
             elif ch == "*" and not edge:
                 out += [[(x, STARRED) for x in HIDDEN] + [("", STAR)] + split] * min(run, 3)
             elif edges and not edge and not unicodedata.category(ch).startswith("M"):
@@ -123,22 +135,31 @@ def lattice(token: str, edges: bool = True) -> list[list[tuple[str, float]]]:
 def decode(token: str, model: list, edges: bool = True) -> str:
     """The likeliest word or words behind a lower-case token or run of lone
     characters: Viterbi over its lattice, the states being the last two character
-    classes."""
-    states: dict = {(0, 0): (0.0, None)}
+    classes and whether a number ends there. Numbers are weighed against words; of
+    long tokens the BEAM best states go on."""
+    states: dict = {(0, 0, False): (0.0, None)}
+    beam = BEAM if len(token) > LONG else CLASSES**2 * 2
     for options in lattice(token, edges):
         new: dict = {}
-        for (a, b), (score, word) in states.items():
+        for (a, b, number), (score, word) in states.items():
             for text, cost in options:
-                p, q, s, w = a, b, score + cost, word
+                p, q, k, s, w = a, b, number, score + cost, word
                 for ch in text:
                     if ch == " " and not q:  # an edge already
+                        k = False
+                        continue
+                    if ch in LOOKALIKES:  # a digit as it is
+                        s, w = s + (0.0 if k else NUMBER), (w, ch)
+                        if q:
+                            s, p, q = s + model[p][q][0], q, 0
+                        k = True
                         continue
                     c = 0 if ch == " " else _class(ch)
-                    s, p, q, w = s + model[p][q][c], q, c, (w, ch)
-                if (p, q) not in new or new[p, q][0] < s:
-                    new[p, q] = (s, w)
-        states = new
-    word = max(((s + (model[a][b][0] if b else 0.0), i, w) for i, ((a, b), (s, w)) in enumerate(states.items())), key=lambda x: x[:2], default=(0.0, 0, None))[2]
+                    s, p, q, k, w = s + model[p][q][c], q, c, False, (w, ch)
+                if (p, q, k) not in new or new[p, q, k][0] < s:
+                    new[p, q, k] = (s, w)
+        states = new if len(new) <= beam else dict(heapq.nlargest(beam, new.items(), key=lambda x: x[1][0]))
+    word = max(((s + (model[a][b][0] if b else 0.0), i, w) for i, ((a, b, _), (s, w)) in enumerate(states.items())), key=lambda x: x[:2], default=(0.0, 0, None))[2]
     out = []
     while word:
         word, ch = word
@@ -148,14 +169,14 @@ def decode(token: str, model: list, edges: bool = True) -> str:
 
 def restore(token: str, model: list, edges: bool = True) -> str:
     """A lower-case token, or run of lone characters, as the word or words it stands
-    for: signs around it gone, and decoded where it holds more than letters."""
+    for: signs around it gone, and decoded, whatever its length, where it holds more
+    than letters."""
     if token.isalpha() and not RUN.search(token):
         return token
     core = token.strip(_STRIP)
     if core.isalpha() and not RUN.search(core):
         return core
-    letters = sum(ch.isalpha() for ch in core)
-    if not letters or sum(ch.isdigit() for ch in core) > 2 * letters or len(core) > 60 or not NEEDS.search(core):
+    if not NEEDS.search(core):
         return core
     return decode(core, model, edges)
 
@@ -164,7 +185,7 @@ def readings(token: str, model: list) -> list[str]:
     """The distinct words that a token or run stands for, and, if these are several,
     all of it as one."""
     words = PARTS.findall(restore(token, model))
-    return words if len(words) < 2 else list({*words, "".join(PARTS.findall(restore(token, model, False)))})
+    return words if len(words) < 2 else list({*words, "".join(restore(token, model, False).split())})
 
 
 def words_of(text: str | None) -> tuple[list[str], list[str]]:
@@ -180,8 +201,8 @@ def restored_text(text: str | None, model: np.ndarray) -> str:
 
 
 def features(word: str) -> list[str]:
-    """A word and the beginnings that it may share with its inflections."""
-    return [f"={word}", *(word[:n] for n in (4, 5, 6) if len(word) >= n)] if 2 <= len(word) <= 40 else []
+    """A word, up to 40 letters, and the beginnings that it may share with its inflections."""
+    return [f"={word}"] * (2 <= len(word) <= 40) + [word[:n] for n in (4, 5, 6) if len(word) >= n]
 
 
 @dataclass
@@ -286,8 +307,9 @@ def fit(
 
 
 def _features(w):
-    parts = [F.array(F.concat(F.lit("="), w))] + [F.when(F.length(w) >= n, F.array(F.substring(w, 1, n))).otherwise(F.array().cast("array<string>")) for n in (4, 5, 6)]
-    return F.when(F.length(w).between(2, 40), F.concat(*parts)).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    whole = F.when(F.length(w).between(2, 40), F.array(F.concat(F.lit("="), w))).otherwise(none)
+    return F.concat(whole, *[F.when(F.length(w) >= n, F.array(F.substring(w, 1, n))).otherwise(none) for n in (4, 5, 6)])
 
 
 def _scorer(shared, cache_size: int):

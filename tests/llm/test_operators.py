@@ -434,6 +434,19 @@ def test_toxicity_of_words_that_meet(spark, toxic_world):
     assert {r.id: r.score >= 0.7 for r in toxicity.scored(df, model).collect()} == {0: False, 1: False, 2: True, 3: True}
 
 
+def test_toxicity_of_digits_and_long_tokens(spark, toxic_world):
+    model = toxic_world[4]
+    rows = model.characters.tolist()
+    for hidden in ("9rum84k", "5n0723l", "5n07z31", "g-----------r-----------u-----------m-----------b-----------a-----------k", "gr" + "u" * 100 + "mbak", " ".join("grumbak") + "  " + "  ".join(map(" ".join, ["dra"] * 20)), "vimen-" * 20 + "grumbak"):
+        assert {"grumbak", "snotzel"} & set(toxicity.readings(hidden, rows)), (hidden, toxicity.readings(hidden, rows))
+    for number in ("2024", "10", "1999", "3000000", "12/2024", "7", "0" * 100):
+        assert toxicity.restore(number, rows) == number.replace("/", " ") or "/" in number, (number, toxicity.restore(number, rows))
+    clean = "la men tor ik osun dra pelsa vimen torla"
+    df = spark.createDataFrame([(0, clean + " 2024 1b9c 0815"), (1, clean + " 5n0723l 9rum84k"), (2, clean + " " + "vimen-" * 20 + "grumbak " + "snot-" + "-" * 80 + "zel")], "doc_id long, text string")
+    assert {r.id: r.score >= 0.7 for r in toxicity.scored(df, model).collect()} == {0: False, 1: True, 2: True}
+    assert toxicity.features("grumbak" + "la" * 30) == ["grum", "grumb", "grumba"]
+
+
 def test_toxicity_without_labels(spark):
     docs = helpers.docs(spark)
     model = toxicity.fit(docs, spark.createDataFrame([(1, None), (None, 1), (2, 7)], "doc_id long, toxic int"))
