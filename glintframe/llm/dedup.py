@@ -5,54 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glintframe.llm.common import written
-
-#: Bits in one row of the filter, as the bitmap_* functions lay them out.
-BLOCK_BITS = 32768
+from glintframe.llm.common import BLOCK_BITS, bit_blocks, counted, is_set, written
 
 
 def _digest(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
-def _places(digest: Column, blocks: int) -> tuple[Column, Column, Column]:
-    """Block and two bit positions within it."""
-    h = F.xxhash64(digest)
-    g = F.xxhash64(digest, F.lit(1))
-    return F.pmod(h, F.lit(blocks)), F.pmod(g, F.lit(BLOCK_BITS)), F.pmod(F.shiftright(g, 24), F.lit(BLOCK_BITS))
-
+def _slot(digest: Column, blocks: int) -> Column:
+    """The filter's slot of a digest, over all blocks."""
+    return F.pmod(F.xxhash64(digest), F.lit(blocks * BLOCK_BITS))
 
-def _is_set(bits: Column, place: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(bits, (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.getbit(byte, F.pmod(place, F.lit(8)).cast("int")) == 1
 
+def repeat_filter(digests: DataFrame, rows: int, *, bits_per_row: int = 32, max_bits: int = 1 << 28) -> tuple[DataFrame, int]:
+    """First pass over digests(sha): which slots of the filter two or more rows fall
+    into, as bitmaps (block, bits), and the number of blocks.
 
-def repeat_filter(digests: DataFrame, rows: int, *, bits_per_row: int = 16, max_bits: int = 1 << 27) -> tuple[DataFrame, int]:
-    """First pass over digests(sha): the bits that two or more rows set, as
-    (block, bits), and the number of blocks.
-
-    Rows set two bits of one block each. What shuffles is a count for each bit,
-    summed within tasks before. The filter has at most max_bits bits (16 MB), so
-    it can be broadcast whatever the input; where more than max_bits /
-    bits_per_row rows come, more rows are passed on to the exact comparison, and
-    the result is the same.
+    A counting Bloom filter with one slot per digest. Its counters are kept sparse:
+    what shuffles is a (slot, count) of two numbers for each slot that a task has met,
+    summed up within the task, which is less than dense bitmaps of every task once
+    there are more than a few tasks. What is sent to the second pass is one bit per
+    slot, max_bits (32 MB) at most, whatever the input. Where more than max_bits /
+    bits_per_row rows come, more rows are passed on to the exact comparison, and the
+    result is the same.
     """
-    blocks = max(1, min(max_bits, 1 << max(0, (rows * bits_per_row - 1)).bit_length()) // BLOCK_BITS)
-    block, one, two = _places(F.col("sha"), blocks)
-    hit = (
-        digests.select(block.alias("block"), F.explode(F.array_distinct(F.array(one, two))).alias("place"))
-        .groupBy("block", "place").agg(F.count("*").alias("n"))
-        .where("n > 1")
-    )
-    return hit.groupBy("block").agg(F.bitmap_construct_agg("place").alias("bits")), blocks
+    blocks = bit_blocks(rows, bits_per_row, max_bits)
+    hit = digests.groupBy(_slot(F.col("sha"), blocks).alias("slot")).agg(F.count("*").alias("n")).where("n > 1")
+    bits = hit.groupBy(F.floor(F.col("slot") / BLOCK_BITS).alias("block")).agg(F.bitmap_construct_agg(F.col("slot") % BLOCK_BITS).alias("bits"))
+    return bits, blocks
 
 
 def maybe_repeated(df: DataFrame, bits: DataFrame, blocks: int) -> DataFrame:
     """Second pass: df(sha, ...) with `maybe`, false only where no other row has
     this digest."""
-    block, one, two = _places(F.col("sha"), blocks)
-    out = df.withColumn("_block", block).join(F.broadcast(bits.select(F.col("block").alias("_block"), F.col("bits").alias("_bits"))), "_block", "left")
-    return out.withColumn("maybe", F.coalesce(_is_set(F.col("_bits"), one) & _is_set(F.col("_bits"), two), F.lit(False))).drop("_block", "_bits")
+    slot = _slot(F.col("sha"), blocks)
+    out = df.withColumn("_block", F.floor(slot / BLOCK_BITS)).join(F.broadcast(bits.select(F.col("block").alias("_block"), F.col("bits").alias("_bits"))), "_block", "left")
+    return out.withColumn("maybe", F.coalesce(is_set(F.col("_bits"), slot % BLOCK_BITS), F.lit(False))).drop("_block", "_bits")
 
 
 def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **filter_args) -> DataFrame:
@@ -67,16 +55,16 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whose digest can't be repeated pass straight through; only the others
     shuffle, and are counted within tasks before.
     """
-    rows = written(
+    rows, seen = counted(
         df.select(F.col(id_col).alias("doc_id"), _digest(F.col(text_col)).alias("sha"), F.monotonically_increasing_id().alias("uid")), "digests"
     )
-    bits, blocks = repeat_filter(rows, rows.count(), **filter_args)
-    tested = maybe_repeated(rows, written(bits, "filter", narrow=True), blocks)
+    bits, blocks = repeat_filter(rows, seen["rows"], **filter_args)
+    tested = maybe_repeated(rows, written(bits, "filter"), blocks)
     hexed = F.lower(F.hex("sha")).alias("text_sha256")
     alone = tested.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), hexed)
     some = tested.where("maybe")
     # written, so that the join below has both sides from plain exchanges and a hot digest's rows can be split
-    groups = written(some.groupBy("sha").agg(F.max(F.struct("doc_id", "uid")).alias("keep"), F.count("*").alias("group_size")), "groups", narrow=True)
+    groups = written(some.groupBy("sha").agg(F.max(F.struct("doc_id", "uid")).alias("keep"), F.count("*").alias("group_size")), "groups", rows=seen["rows"])
     found = some.join(groups, "sha").select(
         "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("keep.uid")).alias("kept"), hexed
     )
@@ -93,9 +81,9 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     packed = df.toDF(*named)
     key, text = named[cols.index(id_col)], named[cols.index(text_col)]
     packed = packed.withColumn("sha", _digest(F.col(text)))
-    rows = written(packed.select("sha"), "digests")
-    bits, blocks = repeat_filter(rows, rows.count(), **filter_args)
-    tested = maybe_repeated(packed, written(bits, "filter", narrow=True), blocks)
+    rows, seen = counted(packed.select("sha"), "digests")
+    bits, blocks = repeat_filter(rows, seen["rows"], **filter_args)
+    tested = maybe_repeated(packed, written(bits, "filter"), blocks)
     whole = F.struct(*named)
     best = tested.where("maybe").groupBy("sha").agg(F.max_by(whole, F.struct(F.col(key), F.xxhash64(*named))).alias("r")).select("r.*")
     return tested.where("not maybe").select(*named).union(best.select(*named)).toDF(*cols)

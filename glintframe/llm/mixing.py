@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glintframe.llm.common import SPACE, written
+from glintframe.llm.common import SPACE, counted, key_filter, maybe_in, written
 
 #: A fraction this near to 0 or 1 counts as decided.
 EPS = 1e-9
@@ -71,48 +71,92 @@ def _pivot(rows: Iterator[tuple[int, int, int, float]], seed: int) -> Iterator[t
         yield held[0], held[3]
 
 
-def _rounds(seed: int):
+def _scaled(todo: list[tuple], mass: float) -> list[tuple]:
+    """todo with its fractions raised or lowered in proportion, none above 1, until
+    their words come to `mass`, or as near as they can."""
+    full, free = 0.0, sorted(todo, key=lambda r: -r[3])
+    have = sum(n * p for _, _, n, p in todo)
+    while free:
+        c = max(mass - full, 0.0) / have if have > 0 else 0.0
+        if c * free[0][3] <= 1:
+            return [(u, m, n, min(1.0, c * p)) for u, m, n, p in todo]
+        _, _, n, p = free.pop(0)
+        full, have = full + n, have - n * p
+    return [(u, m, n, 1.0) for u, m, n, _ in todo]
+
+
+def _settled(todo: list[tuple], goal: float, seed: int, tries: int, depth: int = 3) -> tuple[float, dict[int, float]]:
+    """How far from `goal` the words end, and outcomes, all 0 or 1, that come near it.
+
+    Of a number of runs of coins that one counts which leaves least undecided. If
+    what it leaves is a row so large that the others can't settle it in pairs, that is
+    tried on either side, the others' fractions making up for it."""
+    size, near, best = {u: n for u, _, n, _ in todo}, 0.001 * max(goal, 0.0), None
+    for k in range(tries):
+        got = dict(_pivot(todo, seed + k))
+        left = max(got, key=lambda u: min(got[u], 1 - got[u]) * size[u], default=None)
+        over = 0.0 if left is None else min(got[left], 1 - got[left]) * size[left]
+        if best is None or over < best[0]:
+            best = (over, left, got)
+        if over <= near:
+            break
+    over, left, got = best
+    done = {u: float(p >= 0.5) for u, p in got.items()}
+    out = (abs(sum(size[u] * p for u, p in done.items()) - goal), done)
+    if left is not None and over > near and depth:
+        rest = [r for r in todo if r[0] != left]
+        for side in (0.0, 1.0):
+            mass = goal - side * size[left]
+            off, more = _settled(_scaled(rest, mass), mass, seed, max(tries // 8, 4), depth - 1)
+            out = min(out, (off, {**more, left: side}), key=lambda x: x[0])
+    return out
+
+
+def _rounds(seed: int, tries: int):
+    """Rounds one group. In a source's last group nothing stays undecided, and large
+    rows come first, as the others have to settle them (see _settled)."""
+
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("mix", "ascending"), ("uid", "ascending")])
-        got = dict(_pivot(zip(*(rows.column(c).to_pylist() for c in ("uid", "mix", "size", "p"))), seed))
-        return rows.set_column(rows.schema.get_field_index("p"), "p", pa.array([got[u] for u in rows.column("uid").to_pylist()], pa.float64()))
+        last = rows.column("buckets")[0].as_py() == 1
+        rows = rows.sort_by([("size", "descending")] * last + [("unit", "ascending")])
+        todo = list(zip(*(rows.column(c).to_pylist() for c in ("unit", "unit", "size", "p"))))
+        got = _settled(todo, sum(n * p for _, _, n, p in todo), seed, tries)[1] if last else dict(_pivot(todo, seed))
+        return rows.set_column(rows.schema.get_field_index("p"), "p", pa.array([got[u] for u in rows.column("unit").to_pylist()], pa.float64()))
 
     return run
 
 
-def _mark(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), F.coalesce(F.col(text_col), F.lit("")))
+def _unit(id_col: str, text_col: str, source_col: str) -> Column:
+    """Hash of id, text and source: rows that repeat these are one unit."""
+    source = F.col(source_col).cast("string")
+    return F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), F.coalesce(F.col(text_col), F.lit("")), F.coalesce(source, F.lit("")), source.isNull())
 
 
-def mix(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *,
-    weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, seed: int = 17, bucket_rows: int = 5_000, fan_in: int = 64, max_sources: int = 1_000_000,
-) -> DataFrame:
-    """One row per row of df: doc_id, source, size, source_size, target, copies, taken,
-    and mix, the hash of id and text.
+def _shared_out() -> Column:
+    """Of a unit's copies those of its row `at`."""
+    return (F.floor(F.col("copies") / F.col("rows")) + (F.col("at") < F.col("copies") % F.col("rows")).cast("int")).cast("int")
 
-    A row's expected number of copies is its source's target over its source's
-    size. All get the whole part; the fractional parts are rounded by the pivotal
-    method with words as mass, so that a source's words meet its target to within
-    one row's size. Rows are dealt by source and id hash into buckets of about
-    bucket_rows, each rounded by itself; a bucket leaves one undecided row at
-    most, and those meet in a tree, fan_in buckets at a time, until one per source
-    is left, which its own coin decides. Coins are hashes of ids, so reruns agree
-    on any layout.
 
-    Nulls: a null text has size 0, a null source is a source, a null id counts as
-    -1 in hashes. Which of the rows repeating an id and text gets a copy is open,
-    how many they get together is not. Rows of size 0 have one copy, which takes
-    no words. An empty table gives an empty table. Sources' totals (one row each; max_sources at most, or this
-    raises) are read by the driver.
-    """
+def _numbered(df: DataFrame) -> DataFrame:
+    """A written df(unit, uid, ...) with `at`, each row's place in its unit, from 0.
+    No group is larger than a unit's rows in one partition, whose number uid holds;
+    what partitions have together are a few numbers each."""
+    df = df.withColumn("_part", F.shiftright("uid", 33))
+    each = df.groupBy("unit", "_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("unit").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    each = written(each.select("unit", "_part", before.alias("_before")), "before")
+    own = F.row_number().over(Window.partitionBy("unit", "_part").orderBy("uid")) - 1
+    return df.withColumn("_own", own).join(each, ["unit", "_part"]).withColumn("at", F.col("_before") + F.col("_own")).drop("_part", "_own", "_before")
+
+
+def _units(df: DataFrame, id_col: str, text_col: str, source_col: str, weights, cap, seed, bucket_rows, fan_in, tries, max_sources) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """The table's narrow rows (written), what is planned for each source, its units
+    (unit, rows, copies of all these), and how many rows there are."""
     spark = df.sparkSession
-    rows = written(
-        df.select(
-            F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), _mark(id_col, text_col).alias("mix")
-        ).withColumn("uid", F.monotonically_increasing_id()),
-        "sizes",
+    narrow = df.select(
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), _unit(id_col, text_col, source_col).alias("unit")
     )
+    rows, seen = counted(narrow.withColumn("uid", F.monotonically_increasing_id()), "sizes")
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).limit(max_sources + 1).collect()
     if len(totals) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
@@ -121,51 +165,87 @@ def mix(
         [(r.source, r.source_size, goal[r.source], goal[r.source] / r.source_size if r.source_size else 0.0, max(1, -(-r.n // bucket_rows))) for r in totals],
         "source string, source_size long, target double, rate double, buckets long",
     )
-    known = F.broadcast(plan) if len(totals) <= 10_000 else plan
-    dealt = rows.alias("r").join(known.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source"))).select(
-        "doc_id", "r.source", "size", "mix", "uid", "source_size", "target", F.col("rate"), "buckets"
+    plan = F.broadcast(plan) if len(totals) <= 10_000 else plan
+    each = rows.groupBy("unit").agg(F.first("source").alias("source"), F.first("size").alias("size"), F.count("*").alias("rows"))
+    dealt = each.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source"))).select("unit", "r.source", "size", "rows", "rate", "buckets")
+    whole = F.floor(F.col("rows") * F.col("rate") + EPS)
+    state = written(
+        dealt.select(
+            "unit", "source", "size", "rows", whole.alias("whole"), F.greatest(F.col("rows") * F.col("rate") - whole, F.lit(0.0)).alias("p"), "buckets",
+            F.pmod(F.xxhash64("unit", F.lit(seed)), F.col("buckets")).alias("bucket"),
+        ),
+        "units", rows=seen["rows"],
     )
-    whole = F.floor(F.col("rate") + EPS)
-    state = dealt.select(
-        "uid", "source", "size", "mix", F.greatest(F.col("rate") - whole, F.lit(0.0)).alias("p"),
-        F.pmod(F.xxhash64("mix", F.lit(seed)), F.col("buckets")).alias("bucket"),
-    )
-    schema = "uid long, source string, size long, mix long, p double, bucket long"
-    at = written(state.groupBy("source", "bucket").applyInArrow(_rounds(seed), schema), "pivot", narrow=True)
-    decided, most = [at.where(f"p = 0 or p = 1")], max([-(-r.n // bucket_rows) for r in totals], default=1)
-    left = at.where("p <> 0 and p <> 1")
-    while most > 1:
-        most = -(-most // fan_in)
-        at = written(left.withColumn("bucket", F.floor(F.col("bucket") / fan_in)).groupBy("source", "bucket").applyInArrow(_rounds(seed), schema), "pivot", narrow=True)
+    schema = "unit long, source string, size long, p double, buckets long, bucket long"
+    left, decided, most = state.select("unit", "source", "size", "p", "buckets", "bucket"), [], max([-(-r.n // bucket_rows) for r in totals], default=1)
+    while True:
+        at = written(left.groupBy("source", "bucket").applyInArrow(_rounds(seed, tries), schema), "pivot", rows=seen["rows"])
         decided.append(at.where("p = 0 or p = 1"))
-        left = at.where("p <> 0 and p <> 1")
-    coin = F.pmod(F.xxhash64("mix", F.lit(seed + 1)), F.lit(1 << 30)) / float(1 << 30)
-    decided.append(left.withColumn("p", (coin < F.col("p")).cast("double")))
+        if most <= 1:
+            break
+        most = -(-most // fan_in)
+        left = at.where("p <> 0 and p <> 1").withColumn("bucket", F.floor(F.col("bucket") / fan_in)).withColumn("buckets", F.ceil(F.col("buckets") / fan_in))
     extra = decided[0]
     for d in decided[1:]:
         extra = extra.union(d)
-    copies = F.when(F.col("size") == 0, 1).otherwise((whole + F.coalesce(F.col("e.p"), F.lit(0.0))).cast("int"))
-    return dealt.alias("d").join(extra.select("uid", "p").alias("e"), "uid", "left").select(
-        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), "mix"
-    )
+    copies = F.when(F.col("size") == 0, F.col("rows")).otherwise((F.col("whole") + F.coalesce(F.col("p"), F.lit(0.0))).cast("long"))
+    units = state.drop("p").join(extra.select("unit", "p"), "unit", "left").select("unit", "rows", copies.alias("copies"))
+    return rows, plan, units, seen["rows"]
+
+
+def mix(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *,
+    weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, seed: int = 17, bucket_rows: int = 5_000, fan_in: int = 64, tries: int = 64, max_sources: int = 1_000_000,
+) -> DataFrame:
+    """One row per row of df: doc_id, source, size, source_size, target, copies and taken.
+
+    A row's expected number of copies is its source's target over its source's
+    size. All get the whole part; the fractional parts are rounded by the pivotal
+    method with words as mass, so that a source's words meet its target to within
+    half a row's size. Units of work are rows that differ in id, text or source; rows
+    that repeat a unit are counted first, rounded as one, and share out its copies,
+    the first ones getting one more if the number can't be divided. Units are dealt by
+    source and hash into buckets of about bucket_rows, each rounded by itself; a
+    bucket leaves one undecided at most, and those meet in a tree, fan_in buckets at
+    a time, until one bucket per source is left. Of its runs with up to `tries` seeds
+    that counts which ends nearest to the target. Coins are hashes, so reruns agree
+    on any layout.
+
+    Nulls: a null text has size 0, a null source is a source, a null id counts as
+    -1 in hashes. Which of the rows repeating a unit gets a copy more is open,
+    how many they get together is not. Rows of size 0 have one copy, which takes
+    no words. An empty table gives an empty table. Sources' totals (one row each;
+    max_sources at most, or this raises) are read by the driver.
+    """
+    rows, plan, units, _ = _units(df, id_col, text_col, source_col, weights, cap, seed, bucket_rows, fan_in, tries, max_sources)
+    met = rows.join(units, "unit")
+    again = written(met.where("rows > 1"), "repeats")
+    all_ = met.where("rows = 1").withColumn("at", F.lit(0).cast("long")).unionByName(_numbered(again).withColumn("at", F.col("at").cast("long")))
+    k = _shared_out()
+    told = all_.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")))
+    return told.select("doc_id", "r.source", "size", "source_size", "target", k.alias("copies"), (k * F.col("size")).cast("long").alias("taken"))
 
 
-def mix_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **args) -> DataFrame:
+def mix_rows(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *,
+    weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, seed: int = 17, bucket_rows: int = 5_000, fan_in: int = 64, tries: int = 64, max_sources: int = 1_000_000,
+) -> DataFrame:
     """df's rows, all columns, each repeated as often as mix() takes it.
 
-    Rows and decisions meet by the hash of id and text, and the source. Rows that
-    share these share out their copies, the first ones getting one more if the
-    number can't be divided.
+    Rows and decisions meet by unit (see mix); rows that repeat one are written
+    and numbered before they share out its copies.
     """
     cols = df.columns
     named = [f"c{i}" for i in range(len(cols))]
     key, text, source = (named[cols.index(c)] for c in (id_col, text_col, source_col))
-    docs = df.toDF(*named)
-    by = mix(docs, key, text, source, **args).groupBy("mix", "source").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
-    met = docs.withColumn("mix", _mark(key, text)).alias("a").join(
-        by.alias("b"), (F.col("a.mix") == F.col("b.mix")) & F.col(f"a.{source}").eqNullSafe(F.col("b.source"))
-    ).select(*[f"a.{c}" for c in named], "b.mix", "copies", "rows")
-    alone = met.where("rows = 1").select(*named, F.col("copies").cast("int").alias("k"))
-    rank = F.row_number().over(Window.partitionBy("mix", source).orderBy(F.lit(0)))
-    shared = met.where("rows > 1").select(*named, (F.floor(F.col("copies") / F.col("rows")) + (rank <= F.col("copies") % F.col("rows")).cast("int")).cast("int").alias("k"))
-    return alone.union(shared).select(*named, F.explode(F.array_repeat(F.lit(0), F.col("k")))).select(*named).toDF(*cols)
+    docs = df.toDF(*named).withColumn("unit", _unit(key, text, source))
+    _, _, units, n = _units(docs, key, text, source, weights, cap, seed, bucket_rows, fan_in, tries, max_sources)
+    units = written(units, "copies", rows=n)
+    alone = docs.join(units.where("rows = 1 and copies > 0"), "unit").select(*named, F.col("copies").cast("int").alias("k"))
+    repeats, seen = counted(units.where("rows > 1"), "repeated", n)
+    if seen["rows"]:
+        bits, blocks = key_filter(repeats, "unit", seen["rows"])
+        some = maybe_in(docs, "unit", written(bits, "repeated"), blocks, "_maybe").where("_maybe").drop("_maybe").join(repeats, "unit")
+        shared = _numbered(written(some.withColumn("uid", F.monotonically_increasing_id()), "repeats"))
+        alone = alone.union(shared.select(*named, _shared_out().alias("k")))
+    return alone.select(*named, F.explode(F.array_repeat(F.lit(0), F.col("k")))).select(*named).toDF(*cols)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glintframe.llm.common import bounded_batches, give_back, written
+from glintframe.llm.common import bounded_batches, counted, give_back, written
 
 #: Texts of these characters only are split alike by both tokenizer libraries.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ‐-‧]*")
@@ -130,7 +130,7 @@ def _packer(size: int, level: int, full: int):
 
 def pack(
     df: DataFrame, tokenizer: tuple, id_col: str = "doc_id", text_col: str = "text", *,
-    size: int = 2048, end: int = 0, full: int = 2016, bucket_items: int = 40_000, fan_in: int = 16,
+    size: int = 2048, end: int = 0, full: int = 2016, bucket_items: int = 40_000, gain: float = 0.02,
 ) -> DataFrame:
     """Every text's pieces with the sequence each is in and its offset there:
     doc_id, piece, start, length, ids_crc32, sequence_id, offset.
@@ -138,9 +138,12 @@ def pack(
     Tokens are found once; afterwards only lengths move. Pieces of full length are
     sequences. The others are dealt at random into buckets of about bucket_items
     and packed there by best fit decreasing. Bins filled to at least `full` tokens
-    are done; the rest meet, fan_in buckets at a time, as items of a further
-    best-fit round, until one bucket is left, whose bins all are sequences. What
-    rises is what couldn't be filled: of a bucket, at most bucket_items rows.
+    are done; the rest meet as items of a further best-fit round, in as many buckets
+    of bucket_items as they take, dealt anew. The tree ends with a round of one bucket, or
+    with one that leaves more than a share 1 - gain of its items underfull: what is
+    left then, like pieces of more than half a sequence, can't be put together, and
+    another round would only move it. So no bucket is larger than others, whatever
+    the lengths.
 
     Null ids stay null, null and empty texts are one piece of one token, repeated
     rows are packed one by one. An empty table gives an empty table.
@@ -149,20 +152,21 @@ def pack(
     cut = written(pieces(df, tokenizer, id_col, text_col, size, end).withColumn("item", F.monotonically_increasing_id()), "pieces")
     whole = cut.where(F.col("length") >= size)
     items = cut.where(F.col("length") < size)
-    buckets = max(1, -(-items.count() // bucket_items))
+    n = items.count()
     schema = "item long, bin long, offset long, fill long, open boolean, bucket long"
-    now = items.select("item", "length", F.pmod(F.xxhash64("item"), F.lit(buckets)).alias("bucket"))
-    levels, level = [], 1
+    now, levels = items.select("item", F.col("length").cast("long").alias("length")), []
     while True:
-        last = buckets == 1
-        at = written(now.groupBy("bucket").applyInArrow(_packer(size, level, 0 if last else full), schema), "bins", narrow=True)
+        level, buckets = len(levels) + 1, max(1, -(-n // bucket_items))
+        dealt = now.withColumn("bucket", F.pmod(F.xxhash64("item", F.lit(level)), F.lit(buckets)))
+        at = written(dealt.groupBy("bucket").applyInArrow(_packer(size, level, 0 if buckets == 1 else full), schema), "bins", rows=n)
         levels.append(at)
-        if last:
+        if buckets == 1:
+            break
+        before = n
+        now, seen = counted(at.where("open").groupBy("bin").agg(F.max("fill").alias("length")).select(F.col("bin").alias("item"), "length"), "underfull", n)
+        n = seen["rows"]
+        if n > (1 - gain) * before or not n:
             break
-        buckets, level = -(-buckets // fan_in), level + 1
-        now = at.where("open").groupBy("bin").agg(F.max("fill").alias("length"), F.max("bucket").alias("bucket")).select(
-            F.col("bin").alias("item"), "length", F.floor(F.col("bucket") / fan_in).alias("bucket")
-        )
     where = levels[-1].select("item", "bin", "offset")
     for at in reversed(levels[:-1]):  # an item is where its bin is now, or where it was put
         up = where.select(F.col("item").alias("bin"), F.col("bin").alias("higher"), F.col("offset").alias("before"))

@@ -95,7 +95,7 @@ def references(
     """
     words = df.select(_key(lang_col).alias("lang"), F.explode(_words(F.coalesce(F.col(text_col), F.lit("")))).alias("w"))
     told = words.select("lang", F.when(F.length("w") <= longest, F.col("w")).otherwise("").alias("w"))
-    sums = written(told.groupBy("lang", "w").agg(F.count("*").alias("n")), "words", narrow=True)
+    sums = written(told.groupBy("lang", "w").agg(F.count("*").alias("n")), "words")
     sizes = sums.groupBy("lang").agg(F.sum("n").alias("all_words"))
     largest = sizes.orderBy(F.desc("all_words"), "lang").limit(max_languages)
     named = sums.join(F.broadcast(largest), "lang").withColumn("pooled", F.lit(False))

@@ -55,7 +55,7 @@ def byte_shards(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text_co
     )
     order = ["doc_id", "text_crc32", "size", "uid"]
     laid = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("uid").withColumn("part", F.spark_partition_id())
-    local = written(laid.mapInArrow(_running, "doc_id long, size long, text_crc32 long, part int, start long, row long"), "laid", narrow=True)
+    local = written(laid.mapInArrow(_running, "doc_id long, size long, text_crc32 long, part int, start long, row long"), "laid", rows=df.count())
 
     sums = sorted(local.groupBy("part").agg(F.sum("size"), F.count("*")).collect())  # one row per partition
     total, count, before = 0, 0, []

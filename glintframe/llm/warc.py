@@ -6,15 +6,18 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glintframe.llm.common import bounded_batches, give_back, scratch, written
+from glintframe.llm.common import bounded_batches, counted, give_back, key_filter, maybe_in, scratch, written
+from glintframe.llm.dedup import maybe_repeated, repeat_filter
 
 INDEX = "file string, offset long, length long, url string, digest string, record_type string, page_id long"
+#: What stands for itself in a URI, but for the percent sign.
+URI = "!#$&'()*+,/:;=?@[]~"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
@@ -27,17 +30,20 @@ def _page(urn: str) -> int | None:
     return None if name == "none" else int(name)
 
 
-def record(page: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
-    """One record as a gzip member: an HTTP response with the payload, or, where it
-    refers to another page's, a revisit with the response's header alone."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def record(page: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None, date: str) -> bytes:
+    """One record as a gzip member: an HTTP response with the payload, of `size` bytes, or,
+    where it refers to another page's, a revisit with the response's header alone."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http + payload if refers_to is None else http
     head = [
         "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_urn(page)}", f"WARC-Date: {date}",
         f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     if url is not None:
-        head.append("WARC-Target-URI: " + quote(url, safe="!#$&'()*+,/:;=?@[]~%"))
+        plain = quote(url, safe=f"{URI}%")
+        head.append(f"WARC-Target-URI: {plain}")
+        if plain != url:  # what isn't a URI is told as it was, too
+            head.append(f"X-Target-As-Written: {quote(url, safe=URI)}")
     if refers_to is not None:
         head += [f"WARC-Refers-To: {_urn(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     packer = zlib.compressobj(1, zlib.DEFLATED, 31)
@@ -59,11 +65,15 @@ def parse(raw: bytes) -> tuple:
     kind = fields["WARC-Type"]
     if kind == "response" and (len(payload) != told or hashlib.sha256(payload).hexdigest() != digest):
         raise ValueError(f"payload of {fields['WARC-Record-ID']} doesn't match its digest")
+    url = unquote(fields["X-Target-As-Written"]) if "X-Target-As-Written" in fields else fields.get("WARC-Target-URI")
     refers = _page(fields["WARC-Refers-To"]) if "WARC-Refers-To" in fields else None
-    return _page(fields["WARC-Record-ID"]), fields.get("WARC-Target-URI"), told, digest, kind, refers, payload if kind == "response" else None
+    return _page(fields["WARC-Record-ID"]), url, told, digest, kind, refers, payload if kind == "response" else None
 
 
 def _writer(folder: str, date: str, batch: int = 2000):
+    """Writes rows (page, url, html, bytes, sha, refers): where refers is set, a
+    revisit of what has `bytes` bytes and the digest sha, html being of no account."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
@@ -77,11 +87,14 @@ def _writer(folder: str, date: str, batch: int = 2000):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[x.split()[0] for x in INDEX.split(", ")])
 
         for b in batches:
-            for page, url, html, refers in zip(*(b.column(i) for i in range(4))):
+            for page, url, html, n, digest, refers in zip(*(b.column(i) for i in range(6))):
                 page, url, refers = page.as_py(), url.as_py(), refers.as_py()
-                payload = (html.as_py() or "").encode()
-                digest = hashlib.sha256(payload).hexdigest()
-                raw = record(page, url, payload, digest, refers, date)
+                if refers is None:
+                    payload = (html.as_py() or "").encode()
+                    n, digest = len(payload), hashlib.sha256(payload).hexdigest()
+                else:
+                    payload, n, digest = b"", n.as_py(), digest.as_py()
+                raw = record(page, url, payload, n, digest, refers, date)
                 out = out or store.open_output_stream(f"{at}/{name}", compression=None)
                 out.write(raw)
                 rows.append((name, offset, len(raw), url, digest, "response" if refers is None else "revisit", page))
@@ -107,19 +120,42 @@ def write_archives(df: DataFrame, folder: str, id_col: str = "page_id", url_col:
     so are those that repeat the smallest id. Other columns aren't read. An empty
     table gives an empty index.
 
-    Digests are compared by narrow rows, counted within tasks first; only repeated
-    ones meet their pages again. Each task writes one file of its own name, and the
-    index counts it only if the task ended well: files of lost attempts are never
-    referred to.
+    A first pass writes narrow rows with digests; those that a filter of repeated
+    digests lets through are compared. Revisits are written from narrow rows alone.
+    The second pass over the texts writes all rows that can't be repeated as they
+    come; of the others only the responses, one per payload, are shuffled, to meet
+    what was decided. Each task writes one file of its own name, and the index
+    counts it only if the task ended well: files of lost attempts are never referred to.
     """
     bounded_batches(df.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keys = df.select(F.col(id_col).cast("long").alias("page"), F.sha2(text, 256).alias("sha"), F.octet_length(text).alias("n")).where(F.col("n") >= min_revisit)
-    first = keys.groupBy("sha").agg(F.min("page").alias("keep"), F.count("*").alias("rows")).where("rows > 1")
-    again = keys.join(written(first, "repeated", narrow=True), "sha").where("page > keep").select("page", F.col("keep").alias("refers")).distinct()
-    pages = df.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), F.col(text_col).alias("html"))
-    decided = pages.join(again, "page", "left").select("page", "url", "html", "refers")
-    return written(decided.mapInArrow(give_back(_writer(folder, date)), INDEX), "warc-index")
+    pages = df.select(
+        F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), F.col(text_col).alias("html"), F.octet_length(text).cast("long").alias("n"),
+        F.unhex(F.sha2(text, 256)).alias("sha"),
+    )
+    narrow, seen = counted(pages.drop("html"), "digests")
+    bits, blocks = repeat_filter(narrow.where(F.col("n") >= min_revisit), seen["rows"])
+    bits = written(bits, "filter")
+    some = maybe_repeated(narrow.where(F.col("n") >= min_revisit), bits, blocks).where("maybe").drop("maybe")
+    first = written(some.groupBy("sha").agg(F.min("page").alias("keep")), "repeated", rows=seen["rows"])
+    decided, told = counted(
+        some.join(first, "sha").select("page", "url", "n", "sha", F.when(F.col("page") > F.col("keep"), F.col("keep")).alias("refers")), "decided", seen["rows"]
+    )
+    tested = maybe_repeated(pages, bits, blocks).withColumn("maybe", F.col("maybe") & (F.col("n") >= min_revisit))
+    none = F.lit(None).cast("long")
+    cols = ["page", "url", "html", "n", F.lower(F.hex("sha")).alias("digest")]
+    out = tested.where("not maybe").select(*cols, none.alias("refers"))
+    if told["rows"]:
+        key = lambda: F.xxhash64("page", "sha").alias("key")
+        stay = decided.where("refers is null").select("page", "sha", key()).distinct()
+        held, many = key_filter(stay, "key", told["rows"])
+        again = maybe_in(tested.where("maybe").withColumn("key", key()), "key", written(held, "responses"), many, "there").where("there").alias("t")
+        s = stay.alias("s")
+        match = (F.col("t.key") == F.col("s.key")) & (F.col("t.sha") == F.col("s.sha")) & F.col("t.page").eqNullSafe(F.col("s.page"))
+        responses = again.join(s, match, "left_semi").select(*cols, none.alias("refers"))
+        revisits = decided.where("refers is not null").select("page", "url", F.lit(None).cast("string").alias("html"), *cols[3:], "refers")
+        out = out.union(responses).union(revisits)
+    return written(out.mapInArrow(give_back(_writer(folder, date)), INDEX), "warc-index")
 
 
 def _reader(folder: str, gap: int, run_bytes: int, payloads: bool):
@@ -132,6 +168,8 @@ def _reader(folder: str, gap: int, run_bytes: int, payloads: bool):
 
         def fetch(file: str, todo: list[tuple[int, int]]) -> pa.RecordBatch:
             if opened[0] != file:
+                if opened[1]:
+                    opened[1].close()
                 opened[:] = [file, store.open_input_file(f"{at}/{file}")]
             start = todo[0][0]
             raw = opened[1].read_at(todo[-1][0] + todo[-1][1] - start, start)
@@ -151,6 +189,8 @@ def _reader(folder: str, gap: int, run_bytes: int, payloads: bool):
                 todo.append((o, n))
         if todo:
             yield fetch(file, todo)
+        if opened[1]:
+            opened[1].close()
 
     return run
 

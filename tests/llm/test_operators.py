@@ -94,6 +94,27 @@ def test_mix(spark):
     assert Counter(r.doc_id for r in flat.collect()) == Counter({r.doc_id: r.copies for r in got if r.copies})
 
 
+def test_mix_of_small_sources(spark):
+    """A source of a few rows comes near its target too, though one of them is large."""
+    rows = [(100 * s + i, " ".join(["w"] * (900 if i == 0 else 10 + i)), f"s{s}") for s in range(9) for i in range(25)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for s in {r.source for r in got}:
+        mine = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 0.02 * mine[0].target
+
+
+def test_mix_of_a_hot_row(spark):
+    """100,000 rows that repeat id, text and source are one unit, whose copies they share out."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(100_000, numPartitions=4).select(F.lit(5).cast("long").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("s").alias("source"))
+    rest = spark.createDataFrame([(i, "w " * 30, "t") for i in range(50)], "doc_id long, text string, source string")
+    got = mixing.mix(df.union(rest))
+    hot = got.where("source = 's'").agg(F.sum("taken"), F.max("copies") - F.min("copies"), F.first("target"), F.count("*")).first()
+    assert hot[3] == 100_000 and abs(hot[0] - hot[2]) <= 3 and hot[1] <= 1
+    assert mixing.mix_rows(df.union(rest)).where("source = 's'").count() * 3 == hot[0]
+
+
 def test_mix_odd_rows(spark):
     got = mixing.mix(helpers.docs(spark)).collect()
     assert Counter((r.doc_id, r.size) for r in got) == Counter((i, len(WORD.findall(t or ""))) for i, t, *_ in helpers.rows())
@@ -133,11 +154,26 @@ def test_pack(spark):
 
 def test_pack_in_levels(spark):
     rows = [(i, " ".join(["the"] * (i * 37 % 900 + 1))) for i in range(600)]
-    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), queries.tokenizer(), bucket_items=40, fan_in=3).collect()
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), queries.tokenizer(), bucket_items=40).collect()
     used, least = check_packing(rows, got)
     assert used <= 1.02 * least + 1
 
 
+def test_pack_what_cannot_be_joined(spark):
+    """Pieces of more than half a sequence end in one round, and fill no bucket but their own."""
+    rows = [(i, " ".join(["the"] * 1100)) for i in range(400)] + [(1000, " ".join(["the"] * 900))]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), queries.tokenizer(), bucket_items=40).collect()
+    used, _ = check_packing(rows, got)
+    assert used in (400, 401)
+
+
+def test_pack_a_whole_table(spark):
+    """All of a given table, ids by the tokenizers library alone; nearly no room is lost."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    used, least = check_packing([tuple(r) for r in df.collect()], packing.pack(df, queries.tokenizer(), bucket_items=300).collect())
+    assert used <= 1.01 * least + 1
+
+
 def test_best_fit_takes_the_fullest_bin():
     at, offset, fill = packing.best_fit([6, 5, 4, 3, 1], 10)
     assert fill == [10, 9] and at == [0, 1, 0, 1, 1] and offset == [0, 0, 6, 5, 8]
@@ -195,7 +231,7 @@ def test_chat(spark):
 
 def test_warc(spark):
     same = "<p>" + "same " * 40
-    pages = [(5, "http://a/é b\r\nX: y", same), (3, None, same), (9, "http://c", same), (1, "", "short"), (2, "u", "short"), (4, "u", None), (6, "u", ""), (None, "n", same), (7, "big", "é" * 3_000_000), (3, "again", same)]
+    pages = [(5, "http://a/é b\r\nX: y", same), (3, None, same), (9, "http://c", same), (1, "", "short"), (2, "u%20%", "short"), (4, "u", None), (6, "u", ""), (None, "n", same), (7, "big", "é" * 3_000_000), (3, "again", same)]
     df = spark.createDataFrame([(*p, "x", 1) for p in pages], "page_id long, url string, html string, file string, offset int").repartition(3)
     folder = warc.archive_folder(spark)
     index = warc.write_archives(df, folder)
@@ -207,6 +243,7 @@ def test_warc(spark):
         want[p, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if again else "response", 3 if again else None] += 1
     assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == want
     assert all(r.payload is None or hashlib.sha256(r.payload).hexdigest() == r.payload_digest for r in got)
+    assert Counter((r.page_id, r.url) for r in got) == Counter((p, u) for p, u, _ in pages)
     one = warc.read_records(index.where("page_id = 7"), folder).collect()
     assert len(one) == 1 and len(one[0].payload) == 6_000_000
     spans = index.orderBy("file", "offset").collect()
@@ -296,6 +333,55 @@ def test_ngram_join(spark, width, num):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, width, num, 100)
 
 
+def near_rows(rng, bases=6, variants=25, words=400, sizes=(8, 30, 120)):
+    """Groups of texts with a few words changed."""
+    known = [f"v{i}" for i in range(words)]
+    rows = []
+    for base in range(bases):
+        text = [rng.choice(known) for _ in range(rng.choice(sizes))]
+        for k in range(variants):
+            t = list(text)
+            for _ in range(rng.choice([0, 1, 1, 2, 3])):
+                t[rng.randrange(len(t))] = rng.choice(known)
+            rows.append((1000 * base + 20 + k, " ".join(t)))
+    return rows
+
+
+def test_ngram_join_of_crowded_grams(spark):
+    """Groups of over `crowd` different near copies, and boilerplate that many texts share."""
+    import random
+
+    rng = random.Random(8)
+    rows = near_rows(rng, bases=3, variants=70, sizes=(60, 90))
+    common = " ".join(f"c{i}" for i in range(60))
+    rows += [(9000 + i, f"{common} {' '.join(rng.choice('abcdefgh') for _ in range(rng.randrange(1, 7)))}") for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for crowd in (2, 32):
+        got = ngram_join.components(df, width=3, num=90, crowd=crowd).collect()
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 3, 90, 100)
+
+
+def test_ngram_join_over_null_ids(spark):
+    """A row with a null id links two others that aren't near each other."""
+    words = [f"w{i}" for i in range(200)]
+    a, b, c = (" ".join(words[k : k + 180]) for k in (0, 9, 18))
+    rows = [(1, a), (None, b), (2, c), (None, "one more text without partner in this table"), (None, "another one of these texts here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.components(df, width=3, num=90).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 3, 90, 100)
+    assert sorted(r.component_id or 0 for r in got) == [0, 0, 1, 1, 1]
+    kept = ngram_join.one_of_each(df, width=3, num=90).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([rows[0], *rows[3:]])
+
+
+def test_ngram_join_finds_all_of_a_table(spark):
+    """All rows of a given table, against sets held in memory."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    for width, num in ((3, 90), (5, 80)):
+        got = ngram_join.components(df, width=width, num=num).collect()
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components([tuple(r) for r in df.collect()], width, num, 100)
+
+
 def test_one_of_each(spark):
     out = ngram_join.one_of_each(helpers.docs(spark), width=3, num=90)
     assert out.columns == helpers.docs(spark).columns
@@ -303,6 +389,16 @@ def test_one_of_each(spark):
     assert ngram_join.one_of_each(helpers.none(spark)).count() == 0 and ngram_join.components(helpers.none(spark)).count() == 0
 
 
+@pytest.mark.parametrize("again", [None, 5])
+def test_one_of_each_tells_texts_of_one_id_apart(spark, again):
+    """An id, or null, that stands for an unrelated text as well loses that by no means."""
+    a, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"x{i}" for i in range(60))
+    rows = [(1, a), (again, a), (again, a + " end"), (again, other), (7, other), (7, other), (8, "a b"), (8, "b a")]
+    got = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = [(1, a), (7 if again is None else 5, other), (8, "a b"), (8, "b a")]
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(want)
+
+
 def test_word_hashes_over_chunks():
     import pyarrow as pa
 
