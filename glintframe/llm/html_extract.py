@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import html
 import math
 import re
@@ -28,8 +29,9 @@ OUTER_MARKS = set("header masthead topbar".split())
 BLOCKS = set(
     "address article blockquote body caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Blocks that are made of blocks.
-HOLDERS = {"article", "main", "section", "div"}
+#: Elements that are parts of a line: they belong to their block, and stand for nothing themselves.
+INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+HEADLINES = set("h1 h2 h3 h4 h5 h6 hgroup header".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is text up to their own end tag.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp"}
@@ -60,8 +62,20 @@ class Node:
 
 
 def tree(page: str) -> Node:
-    """The page's elements and texts, unclosed and stray tags mended."""
-    root = at = Node("html", "", None)
+    """The page's elements and texts, unclosed and stray tags mended. For each tag
+    the depths of its open elements are kept, so that time is linear in the page,
+    however deep or broken it is."""
+    root = Node("html", "", None)
+    path, opened = [root], {}  # the open elements; depths of those of a tag
+
+    def close(depth: int) -> None:
+        """Leaves the elements from this depth on."""
+        while len(path) > depth:
+            opened[path.pop().tag].pop()
+
+    def deepest(tags) -> int:
+        return max((opened[t][-1] for t in tags if opened.get(t)), default=0)
+
     pos, end = 0, len(page)
     while pos < end:
         m = TOKEN.match(page, pos) or BROKEN.match(page, pos)
@@ -69,45 +83,37 @@ def tree(page: str) -> Node:
             break
         pos = m.end()
         closing, tag, attrs, text = m.groups()
-        while at.tag == "head" and (text.strip() if text else tag and not closing and tag.lower() not in HEADS):
-            at = at.parent
+        while path[-1].tag == "head" and (text.strip() if text else tag and not closing and tag.lower() not in HEADS):
+            close(len(path) - 1)
         if text:
-            at.items.append(text)
+            path[-1].items.append(text)
             continue
         if not tag:
             continue
         tag = tag.lower()
         if closing:
-            x = at
-            while x is not root and x.tag != tag:
-                x = x.parent
-            if x is not root:
-                at = x.parent
+            if opened.get(tag):
+                close(opened[tag][-1])
             continue
         if tag in ("html", "body"):
             root.attrs += attrs if tag == "body" else ""
             continue
-        if tag in P_CLOSERS:
-            x = at
-            while x is not root and x.tag != "p" and x.tag not in SCOPES:
-                x = x.parent
-            if x.tag == "p":
-                at = x.parent
+        if tag in P_CLOSERS and opened.get("p") and opened["p"][-1] > deepest(SCOPES):
+            close(opened["p"][-1])
         if tag in ENDS:
             over, scope = ENDS[tag]
-            x, last = at, None
-            while x is not root and x.tag not in scope:
-                last = x if x.tag in over else last
-                x = x.parent
-            if last:
-                at = last.parent
-        node = Node(tag, attrs, at)
-        at.items.append(node)
+            edge = deepest(scope)
+            first = [depths[bisect.bisect_right(depths, edge)] for depths in (opened.get(t) for t in over) if depths and depths[-1] > edge]
+            if first:
+                close(min(first))
+        node = Node(tag, attrs, path[-1])
+        path[-1].items.append(node)
         if tag in RAW:
             stop = re.compile(rf"</{tag}\s*>", re.I).search(page, pos)
             pos = stop.end() if stop else end
         elif tag not in VOID and not m.group().endswith("/>"):
-            at = node
+            opened.setdefault(tag, []).append(len(path))
+            path.append(node)
     return root
 
 
@@ -146,7 +152,7 @@ def prune(nodes: list[Node]) -> None:
 
 
 def measure(nodes: list[Node]) -> None:
-    """Each element's composite text density, and the sum of its children's."""
+    """Each element's composite text density, and the sum of its children's, parts of lines left out."""
     for x in reversed(nodes):
         if x.gone:
             continue
@@ -167,7 +173,7 @@ def measure(nodes: list[Node]) -> None:
         base = math.log(x.chars / plain * x.link_chars + whole * x.chars + math.e)
         x.density = x.chars / tags * max(math.log(x.chars / max(x.link_chars, 1) * tags / max(x.links, 1)) / max(base, 1e-9), 0.0)
     for x in nodes:
-        if not x.gone and x.parent:
+        if not x.gone and x.parent and x.tag not in INLINE:
             x.parent.total += x.density
 
 
@@ -178,53 +184,41 @@ def _path(x: Node) -> list[Node]:
     return out
 
 
-def _thin_out(top: Node, limit: float) -> None:
-    """Mark blocks of top that are mostly links and sparser than limit."""
-    stack = [top]
-    while stack:
-        for x in stack.pop().items:
-            if isinstance(x, str) or x.gone or x.tag not in BLOCKS:
-                continue
-            if x.link_chars * 2 > x.chars and x.density < limit:
-                x.gone = True
-            elif x.tag in HOLDERS:
-                stack.append(x)
-
-
 def select(nodes: list[Node]) -> list[Node]:
-    """Subtrees that hold the main text, in page order: that with the largest sum
-    of densities, and what else hangs on its path to the body and is as dense as
-    the path's sparsest element.
-
-    An article or main element is a hint only: what lies around the outermost isn't
-    tried as a whole, and a subtree inside one is widened to it and to the articles
-    beside it, but for blocks that are mostly links and sparser than the path.
+    """Subtrees that hold the main text, in page order: that with the largest sum of
+    densities, and what else hangs on its path to the body and is as dense as the
+    path's sparsest element, or a headline before it, or an article like it, and no
+    list of links. Blocks in the chosen subtree that are mostly links, and sparser
+    than the path, are marked gone.
     """
     there = [x for x in nodes if not x.gone and x.chars]
     if not there:
         return []
-    named = {x for x in there if x.tag in ("article", "main") or 'role="main"' in x.attrs}
-    around = {p for x in named if not named.intersection(_path(x)[1:]) for p in _path(x)[1:]}
-    best = max((x for x in there if x not in around), key=lambda x: (x.total, x.density))
-    if not best.total and best.tag not in BLOCKS:
-        best = best.parent or best
+    best = max((x for x in there if x.tag not in INLINE), key=lambda x: (x.total, x.density))
     path = _path(best)
-    limit = min(x.density for x in path[:-1]) if len(path) > 1 else 0.0
-    hints = [x for x in path if x.tag == "article"][-1:] or [x for x in path if x in named][:1]
-    if hints:
-        best = hints[0]
-        path = _path(best)
-        _thin_out(best, limit)
-    parts = [x for x in best.parent.items if isinstance(x, Node) and x is not best and not x.gone and x.tag == "article" and x.link_chars * 2 <= x.chars] if hints and best.tag == "article" and best.parent else []
-    for x in parts:
-        _thin_out(x, limit)
-    on = set(path)
-    out = [x for p in path[1:] for x in p.items if isinstance(x, Node) and x not in on and not x.gone and x.chars and x.density >= limit and x.links * 3 <= max(x.tags, 3)]
-    loose = [x for x in path[1:] if any(isinstance(k, str) and k.strip() for k in x.items)]
-    if loose and not named:  # text that stands in the body itself
-        return [loose[-1]]
-    chosen = {*out, *(x for x in parts if x.chars), best}
-    return [x for x in _ordered(nodes[0]) if x in chosen]
+    limit = min((x.density for x in path[:-1]), default=0.0)
+    on, links = set(path), lambda x: x.link_chars * 2 > x.chars
+    for x in _ordered(best):
+        if x is not best and x.tag in BLOCKS and not x.gone and links(x) and x.density < limit:
+            x.gone = True
+    chosen = {best}
+    for p in path[1:]:
+        before = True
+        for x in p.items:
+            if x in on:
+                before = False
+            elif isinstance(x, Node) and not x.gone and x.chars and not links(x) and (x.density >= limit or (before and x.tag in HEADLINES) or x.tag == best.tag == "article"):
+                chosen.add(x)
+    loose = [p for p in path[1:] if any(isinstance(k, str) and k.strip() for k in p.items)]
+    if loose:  # text that stands beside the subtree, in a block around it
+        chosen.add(loose[-1])
+    out, under = [], set()  # of nested ones the outermost
+    for x in _ordered(nodes[0]):
+        if x.parent in chosen or x.parent in under:
+            under.add(x)
+        elif x in chosen:
+            out.append(x)
+    return out
 
 
 def _ordered(root: Node) -> Iterator[Node]:
@@ -292,7 +286,8 @@ def extract(df: DataFrame, html_col: str = "html", text_col: str = "text", n_col
     """
     bounded_batches(df.sparkSession)
     rest = [c for c in df.columns if c not in (html_col, text_col, n_col)]
-    flat = df.select(*[F.col(f"`{c}`") for c in rest], F.col(html_col).alias("_page"))
+    coded = [f"c{i}" for i in range(len(rest))]  # whatever their names are
+    flat = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(rest, coded)], F.col(f"`{html_col}`").alias("_page"))
     schema = flat.drop("_page").schema.add("_text", "string")
     out = flat.mapInArrow(give_back(_extract), schema)
-    return out.select(*[F.col(f"`{c}`") for c in rest], F.col("_text").alias(text_col), F.length("_text").cast("long").alias(n_col))
+    return out.select(*[F.col(k).alias(c) for c, k in zip(rest, coded)], F.col("_text").alias(text_col), F.length("_text").cast("long").alias(n_col))

@@ -84,7 +84,7 @@ def _chunks(offsets: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
         lo = min(hi, n)
 
 
-def gram_sets(texts: pa.Array, width: int, chunk: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def gram_sets(texts: pa.Array, width: int, chunk: int = 1 << 16) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first text, past the last, size of each one's set, all sets' hashes one
     after the other, each sorted), chunk by chunk. A text's set has its distinct
     `width`-word n-grams; with fewer words, all of them as one; with none, nothing."""
@@ -169,11 +169,11 @@ def _surveyed(width: int, counters: int, remembered: int = 100_000):
     names, kinds = zip(*((x.split()[0], _ARROW[x.split()[1]]) for x in SURVEY.split(", ")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, told, uid = np.zeros(1 << counters, dtype=np.int64), set(), TaskContext.get().partitionId() << 40
+        counts, told, uid = np.zeros(1 << counters, dtype=np.int32), set(), TaskContext.get().partitionId() << 40
         for b in batches:
             for lo, hi, size, values in gram_sets(b.column("text"), width):
                 at, k = np.unique(values >> U(64 - counters), return_counts=True)
-                counts[at.astype(np.int64)] += k
+                counts[at.astype(np.int64)] += k.astype(np.int32)
                 sid = _set_id(values, size)
                 if len(told) > remembered:
                     told.clear()
@@ -199,7 +199,7 @@ def _surveyed(width: int, counters: int, remembered: int = 100_000):
                 uid += hi - lo
         if counts.any():
             for k, part in enumerate(np.split(counts, 64)):
-                row = [pa.nulls(1, t) for t in kinds[:-2]] + [pa.array([k], pa.int32()), pa.array([zlib.compress(part.astype("<i8").tobytes(), 1)], pa.binary())]
+                row = [pa.nulls(1, t) for t in kinds[:-2]] + [pa.array([k], pa.int32()), pa.array([zlib.compress(part.astype("<i4").tobytes(), 1)], pa.binary())]
                 yield pa.RecordBatch.from_arrays(row, names=list(names))
 
     return run
@@ -210,7 +210,7 @@ def _sum_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for b in batches:
         for k, raw in zip(b.column("part").to_pylist(), b.column("counts").to_pylist()):
-            got = np.frombuffer(zlib.decompress(raw), dtype="<i8")
+            got = np.frombuffer(zlib.decompress(raw), dtype="<i4").astype(np.int64)
             sums[k] = sums[k] + got if k in sums else got
     rows = [(k, zlib.compress((np.log2(v + 1.0) * 1000).astype("<u2").tobytes(), 1)) for k, v in sums.items()]
     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "counts"])

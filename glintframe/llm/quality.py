@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from glintframe.llm.common import SPACE, SPACE_CHARS, written
+from glintframe.llm.common import SPACE, SPACE_CHARS, counted, written
 
 #: Character classes, each counted in what the classes before it leave over; the
 #: last class is what none of them matches.
@@ -14,118 +16,114 @@ CLASSES = (
     ("lower", "[a-z]+"), ("space", f"[{SPACE}]+"), ("upper", "[A-Z]+"), ("letter", r"[\p{L}\p{M}]+"), ("digit", r"\p{N}+"),
     ("stop", r"[.,;:!?'\"()\-]+"), ("other", None),
 )
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 WINDOW = 8
+#: Languages whose references, of some 300 bytes each, are sent to all tasks; more meet their texts by a join.
+BROADCAST = 10_000
 
 
-def _words(text: Column) -> Column:
-    whole = F.btrim(text, F.lit(SPACE_CHARS))
-    return F.when(whole == "", F.array().cast("array<string>")).otherwise(F.split(whole, f"[{SPACE}]+"))
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value being found once, and not copied into rows in between."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def with_classes(df: DataFrame, text: Column) -> DataFrame:
-    """df with `chars`, the number of characters in each of CLASSES."""
-    out, rests = df.withColumn("_r0", text), ["_r0"]
-    for i, (_, pattern) in enumerate(CLASSES[:-1]):
-        rests.append(f"_r{i + 1}")
-        out = out.withColumn(rests[-1], F.regexp_replace(rests[-2], pattern, ""))
-    counts = [F.length(a) - F.length(b) for a, b in zip(rests, rests[1:])] + [F.length(rests[-1])]
-    return out.withColumn("chars", F.transform(F.array(*counts), lambda n: n.cast("long"))).drop(*rests)
+def class_counts(text: Column) -> Column:
+    """How many of the text's characters are in each of CLASSES, as an array."""
+    taken = F.array(*[F.lit(p) for _, p in CLASSES[:-1]])
+    rests = F.aggregate(taken, F.array(text), lambda acc, p: F.concat(acc, F.array(F.regexp_replace(F.element_at(acc, -1), p, F.lit("")))))
+    sizes = F.transform(rests, lambda r: F.length(r).cast("long"))
+    return _let(sizes, lambda n: F.transform(n, lambda x, i: x - F.coalesce(F.get(n, i + 1), F.lit(0).cast("long"))))
 
 
-def _pairs(h: Column, step: int) -> Column:
-    """Hash of each item and the one `step` after it (past the end: of itself)."""
-    return F.zip_with(h, F.slice(h, step + 1, F.greatest(F.size(h) - step, F.lit(0))), lambda a, b: F.xxhash64(a, b))
+def repeat_words(words: Column) -> Column:
+    """Words in windows of 8 words that the text has twice or more, the first ones included.
 
+    Windows' hashes come by doubling, four per word, where there are two windows or
+    more; those of the last seven words, which begin no window, are like no others.
+    Only where they aren't all different are they sorted with their places, to find
+    which ones are repeated.
+    """
 
-def with_repeats(df: DataFrame) -> DataFrame:
-    """df(words) with `hashes`, of each word, and n_repeat_words: words in windows
-    of 8 words that the text has twice or more, the first ones included.
+    def doubled(h: Column, step: Column) -> Column:
+        """Hash of each item and the one `step` after it (past the end: of itself alone)."""
+        return F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + step)))
 
-    Windows' hashes come by doubling, four per word. Only where they aren't all
-    different are they sorted with their places, to find which ones are repeated.
-    """
-    out = df.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
-    out = out.withColumn("_p", _pairs(F.col("hashes"), 1))
-    out = out.withColumn("_q", _pairs(F.col("_p"), 2))
-    out = out.withColumn("_w", F.slice(_pairs(F.col("_q"), 4), F.lit(1), F.greatest(F.size("hashes") - (WINDOW - 1), F.lit(0))))
-    out = out.withColumn("_more", F.size(F.array_distinct("_w")) < F.size("_w"))
-    out = out.withColumn("_s", F.when(F.col("_more"), F.sort_array(F.transform("_w", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    s = F.col("_s")
-    again = F.filter(s, lambda x, i: (x["h"] == F.get(s, i - 1)["h"]) | (x["h"] == F.get(s, i + 1)["h"]))
-    out = out.withColumn("_at", F.when(F.col("_more"), F.array_sort(F.transform(again, lambda x: x["i"]))))
-    covered = F.aggregate(
-        "_at", F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n")),
-        lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(WINDOW), i - acc["last"])).alias("n")), lambda acc: acc["n"],
-    )
-    return out.withColumn("n_repeat_words", F.when(F.col("_more"), covered).otherwise(0).cast("long")).drop("_p", "_q", "_w", "_more", "_s", "_at")
+    def covered(s: Column) -> Column:
+        again = F.filter(s, lambda x, i: (x["h"] == F.get(s, i - 1)["h"]) | (x["h"] == F.get(s, i + 1)["h"]))
+        return F.aggregate(
+            F.array_sort(F.transform(again, lambda x: x["i"])), F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n")),
+            lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(WINDOW), i - acc["last"])).alias("n")), lambda acc: acc["n"],
+        )
+
+    hashes = F.aggregate(F.array(*[F.lit(1 << k) for k in range(WINDOW.bit_length() - 1)]), F.transform(words, lambda w: F.xxhash64(w)), doubled)
+    found = _let(hashes, lambda w: F.when(F.size(F.array_distinct(w)) < F.size(w), _let(F.sort_array(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), covered)).otherwise(0))
+    return F.when(F.size(words) > WINDOW, found).otherwise(0).cast("long")
 
 
-def base_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """df with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and
-    base_failed, and, for further rules, chars and hashes."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    out = with_repeats(with_classes(df, text).withColumn("words", _words(text)))
+def base_counts(df: DataFrame, common: Column | None = None) -> DataFrame:
+    """df(text, ...) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and
+    base_failed, and, for further rules, chars (see class_counts) and hits, how
+    often the text has each of the words in `common`; without text."""
+    text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(f"[^{SPACE}]"))
-    out = out.withColumn("_lines", lines).withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")).drop("_lines")
+    doubles = F.when(F.contains(text, F.lit("\n")), _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))).otherwise(0)
+    none = F.array().cast("array<string>")
+    common = none if common is None else common
+    words = _let(F.btrim(text, F.lit(SPACE_CHARS)), lambda t: F.when(t == "", none).otherwise(F.split(t, f"[{SPACE}]+")))
+    of_words = _let(
+        words,
+        lambda w: F.struct(F.size(w).cast("long").alias("n"), repeat_words(w).alias("again"), F.transform(common, lambda c: (F.size(w) - F.size(F.array_remove(w, c))).cast("long")).alias("hits")),
+    )
+    out = df.select(
+        *[c for c in df.columns if c != "text"], of_words.alias("_w"), class_counts(text).alias("chars"), doubles.cast("long").alias("n_dup_lines"),
+        (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+    )
     space = [k for k, _ in CLASSES].index("space")
+    total = F.aggregate("chars", F.lit(0).cast("long"), lambda a, n: a + n)
     out = out.withColumns({
-        "n_words": F.size("words").cast("long"),
-        "word_chars": (F.aggregate("chars", F.lit(0).cast("long"), lambda a, n: a + n) - F.get("chars", F.lit(space))).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-    })
-    return out.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))).drop("words")
+        "n_words": F.col("_w.n"), "n_repeat_words": F.col("_w.again"), "hits": F.col("_w.hits"), "word_chars": total - F.get("chars", F.lit(space)),
+    }).drop("_w")
+    return out.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
 def _key(lang_col: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(lang_col)), F.lit(""))
 
 
-def references(
-    df: DataFrame, text_col: str = "text", lang_col: str = "lang", *, top: int = 12, least_share: float = 0.005, longest: int = 8, max_languages: int = 64
-) -> DataFrame:
-    """What words texts of a language hold: lang (coded), common (hashes of its common
-    words), word_share (of each of them, then of all other words), pooled.
+def _small(table: DataFrame, languages: int) -> DataFrame:
+    """A table of a row for each language, to be sent to all tasks if it is small."""
+    return F.broadcast(table) if languages <= BROADCAST else table
+
+
+def references(df: DataFrame, text_col: str = "text", lang_col: str = "lang", *, top: int = 12, least_share: float = 0.005) -> tuple[DataFrame, int]:
+    """What words texts of a language hold, a written row for each language, and their
+    number: lang (coded), common (its common words), word_share (of each of them, then
+    of all other words).
 
     Counts are over all words of all rows; a null lang is a language. Common words
     are the `top` most frequent ones that make up least_share of the words or more
-    and have at most `longest` characters (ties by the word). The max_languages
-    languages with most words have a reference of their own; if there are more, one,
-    marked by `pooled`, is of all rows, for the other languages: so this is always small.
+    (ties by the word).
     """
-    words = df.select(_key(lang_col).alias("lang"), F.explode(_words(F.coalesce(F.col(text_col), F.lit("")))).alias("w"))
-    told = words.select("lang", F.when(F.length("w") <= longest, F.col("w")).otherwise("").alias("w"))
-    sums = written(told.groupBy("lang", "w").agg(F.count("*").alias("n")), "words")
-    sizes = sums.groupBy("lang").agg(F.sum("n").alias("all_words"))
-    largest = sizes.orderBy(F.desc("all_words"), "lang").limit(max_languages)
-    named = sums.join(F.broadcast(largest), "lang").withColumn("pooled", F.lit(False))
-    if sizes.limit(max_languages + 1).count() > max_languages:
-        whole = sums.agg(F.sum("n").alias("all_words"))
-        pool = sums.groupBy("w").agg(F.sum("n").alias("n")).crossJoin(F.broadcast(whole))
-        named = named.union(pool.select(F.lit(None).cast("string").alias("lang"), "w", "n", "all_words", F.lit(True).alias("pooled")))
+    words = df.select(_key(lang_col).alias("lang"), F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), f"[{SPACE}]+")).alias("w")).where("w <> ''")
+    sums, seen = counted(words.groupBy("lang", "w").agg(F.count("*").alias("n")), "words")
+    sizes, told = counted(sums.groupBy("lang").agg(F.sum("n").alias("all_words")), "languages", seen["rows"])
     # at most 1 / least_share words are left of a language
-    often = named.where((F.col("w") != "") & (F.col("n") >= least_share * F.col("all_words")))
-    rank = F.row_number().over(Window.partitionBy("lang", "pooled").orderBy(F.desc("n"), "w"))
+    often = sums.join(_small(sizes, told["rows"]), "lang").where(F.col("n") >= least_share * F.col("all_words"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))
     kept = often.withColumn("r", rank).where(F.col("r") <= top)
-    by = named.select("lang", "pooled", "all_words").distinct().join(
-        kept.groupBy("lang", "pooled").agg(F.sort_array(F.collect_list(F.struct("r", F.xxhash64("w").alias("h"), "n"))).alias("c")).select(F.col("lang").alias("l"), F.col("pooled").alias("p"), "c"),
-        F.col("lang").eqNullSafe(F.col("l")) & (F.col("pooled") == F.col("p")), "left",
-    )
-    c = F.coalesce("c", F.array().cast("array<struct<r:int,h:bigint,n:bigint>>"))
+    by = sizes.join(kept.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("r", "w", "n"))).alias("c")), "lang", "left")
+    c = F.coalesce("c", F.array().cast("array<struct<r:int,w:string,n:bigint>>"))
     rest = F.col("all_words") - F.aggregate(c["n"], F.lit(0).cast("long"), lambda x, n: x + n)
     shares = F.transform(F.concat(c["n"], F.array(rest)), lambda n: n / F.greatest("all_words", F.lit(1)))
-    return by.select("lang", "pooled", c["h"].alias("common"), shares.alias("word_share"))
+    return written(by.select("lang", c["w"].alias("common"), shares.alias("word_share")), "references", rows=told["rows"]), told["rows"]
 
 
-def class_references(scored: DataFrame, refs: list) -> dict[str | None, list[float]]:
-    """Shares of CLASSES in all texts of each language of refs, and, under None, in
-    all rows, from scored(key, chars)."""
+def class_references(scored: DataFrame) -> DataFrame:
+    """(lang, class_share): shares of CLASSES in all texts of each language, from scored(key, chars)."""
     sums = [F.sum(F.get("chars", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))]
-    wanted = [r.lang for r in refs if not r.pooled]
-    rows = scored.where(F.col("key").isin(wanted)).groupBy("key").agg(*sums).collect() if wanted else []  # a row for each of refs
-    if any(r.pooled for r in refs):
-        rows += scored.agg(F.lit(None).cast("string").alias("key"), *sums).collect()
-    return {r[0]: [x / max(sum(r[1:]), 1) for x in r[1:]] for r in rows if r[1] is not None}
+    each = scored.groupBy(F.col("key").alias("lang")).agg(*sums)
+    total = F.greatest(sum((F.col(f"c{i}") for i in range(len(CLASSES))), F.lit(0)), F.lit(1))
+    return each.select("lang", F.array(*[F.col(f"c{i}") / total for i in range(len(CLASSES))]).alias("class_share"))
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -140,7 +138,7 @@ def js_distance(p: Column, q: Column) -> Column:
 
 def judged(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *,
-    min_words: int = 40, min_chars: int = 200, max_class_distance: float = 0.3, max_word_distance: float = 0.45, refs: DataFrame | None = None,
+    min_words: int = 40, min_chars: int = 200, max_class_distance: float = 0.3, max_word_distance: float = 0.45, top: int = 12, least_share: float = 0.005,
 ) -> DataFrame:
     """For each row its id, as doc_id, the base counts, class_distance,
     word_distance and kept.
@@ -150,31 +148,21 @@ def judged(
     distance). The first distance is judged from min_chars characters on, the
     second from min_words words on, since short texts are far from any reference
     by chance. Null and empty texts have no words and fail; a null lang is a
-    language; repeated rows are judged alike; other columns aren't read. An empty
-    table gives an empty table.
+    language, of which there may be any number; repeated rows are judged alike;
+    other columns aren't read. An empty table gives an empty table.
     """
     df = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    text_col, lang_col = "text", "lang"
-    small = (references(df) if refs is None else refs).collect()  # one row for each of at most max_languages languages
-    fallback = next((r for r in small if r.pooled), None)
-
-    def met(frame: DataFrame, on: str, cols: dict[str, str], rows: list, other: list | None) -> DataFrame:
-        """frame with the columns of its language's row, or those of `other`."""
-        table = df.sparkSession.createDataFrame(rows, "_lang string, " + ", ".join(f"{c} {t}" for c, t in cols.items()))
-        out = frame.join(F.broadcast(table), F.col(on) == F.col("_lang"), "left").drop("_lang")
-        return out if other is None else out.withColumns({c: F.coalesce(c, F.array(*map(F.lit, v)).cast(cols[c])) for c, v in zip(cols, other)})
-
-    out = base_counts(df.withColumn("key", _key(lang_col)), text_col)
-    known = [(r.lang, r.common, r.word_share) for r in small if not r.pooled]
-    out = met(out, "key", {"common": "array<bigint>", "word_share": "array<double>"}, known, fallback and [fallback.common, fallback.word_share])
-    out = out.withColumn("_met", F.filter("hashes", lambda h: F.array_contains("common", h)))
-    bins = F.concat(F.transform("common", lambda h: F.size("_met") - F.size(F.array_remove("_met", h))), F.array((F.col("n_words") - F.size("_met")).cast("int")))
+    refs, languages = references(df, top=top, least_share=least_share)
+    met = lambda frame, table: frame.join(_small(table.withColumnRenamed("lang", "_lang"), languages), F.col("key") == F.col("_lang"), "left").drop("_lang")
+
+    out = base_counts(met(df.withColumn("key", _key("lang")).drop("lang"), refs), F.coalesce("common", F.array().cast("array<string>")))
+    rest = F.col("n_words") - F.aggregate("hits", F.lit(0).cast("long"), lambda a, n: a + n)
     share = lambda a, n: F.transform(a, lambda x: x / F.greatest(n, F.lit(1)))
-    out = out.withColumn("word_distance", F.when(F.col("n_words") >= min_words, js_distance(share(bins, F.col("n_words")), F.col("word_share"))))
+    own = share(F.concat("hits", F.array(rest)), F.col("n_words"))
+    out = out.withColumn("word_distance", F.when(F.col("n_words") >= min_words, js_distance(own, F.col("word_share"))))
     # the texts are done with: what follows is about a few numbers per row
-    out = written(out.drop("text", "lang", "hashes", "common", "word_share", "_met"), "scored")
-    classes = class_references(out, small)
-    out = met(out, "key", {"class_share": "array<double>"}, [(k, v) for k, v in classes.items() if k is not None], [classes[None]] if None in classes else None)
+    out = written(out.drop("hits", "common", "word_share"), "scored")
+    out = met(out, class_references(out))
     length = F.aggregate("chars", F.lit(0).cast("long"), lambda a, n: a + n)
     out = out.withColumn("class_distance", F.when(length >= min_chars, js_distance(share(F.col("chars"), length), F.col("class_share"))))
     near = (F.coalesce("class_distance", F.lit(0.0)) <= max_class_distance) & (F.coalesce("word_distance", F.lit(0.0)) <= max_word_distance)

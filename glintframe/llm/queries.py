@@ -161,7 +161,7 @@ SQL = {
         cls AS (SELECT lang, k, sum(kinds[k])::DOUBLE AS n FROM base, range(1, 8) r(k) GROUP BY ALL),
         cref AS (SELECT lang, k, n / greatest(sum(n) OVER (PARTITION BY lang), 1) AS q FROM cls),
         tot AS (SELECT lang, sum(n_words) AS n FROM base GROUP BY lang),
-        cnt AS (SELECT lang, x, count(*) AS n FROM (SELECT lang, unnest(w) AS x FROM base) WHERE length(x) <= 8 GROUP BY ALL),
+        cnt AS (SELECT lang, x, count(*) AS n FROM (SELECT lang, unnest(w) AS x FROM base) GROUP BY ALL),
         com AS (SELECT lang, x, cnt.n AS n FROM cnt JOIN tot USING (lang) WHERE cnt.n >= 0.005 * tot.n QUALIFY row_number() OVER (PARTITION BY lang ORDER BY cnt.n DESC, x) <= 12),
         wref AS (SELECT lang, x, com.n / greatest(tot.n, 1)::DOUBLE AS q FROM com JOIN tot USING (lang)
                  UNION ALL SELECT lang, NULL, (tot.n - coalesce((SELECT sum(n) FROM com WHERE com.lang = tot.lang), 0)) / greatest(tot.n, 1)::DOUBLE FROM tot),

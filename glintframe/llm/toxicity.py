@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import math
 import re
@@ -201,8 +202,8 @@ def restored_text(text: str | None, model: np.ndarray) -> str:
 
 
 def features(word: str) -> list[str]:
-    """A word, up to 40 letters, and the beginnings that it may share with its inflections."""
-    return [f"={word}"] * (2 <= len(word) <= 40) + [word[:n] for n in (4, 5, 6) if len(word) >= n]
+    """A word, and the beginnings that it may share with its inflections."""
+    return [f"={word}"] * (len(word) >= 2) + [word[:n] for n in (4, 5, 6) if len(word) >= n]
 
 
 @dataclass
@@ -234,21 +235,14 @@ def _train_rows(characters):
             for text, y in zip(b.column("text"), b.column("toxic").to_pylist()):
                 tokens, runs = words_of(text.as_py())
                 found = sorted({w for t in tokens + runs for w in readings(t, model)})
-                marks = sorted(hash_of(w) for w in found)
                 label.append(y)
                 words.append(found)
-                sig.append(str(marks[:3]))
+                sig.append(hashlib.sha256(" ".join(found).encode("utf-8", "replace")).hexdigest())
             yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(words, pa.list_(pa.string())), pa.array(sig, pa.string())], names=["toxic", "words", "sig"])
 
     return run
 
 
-def hash_of(word: str) -> int:
-    import zlib
-
-    return (zlib.crc32(word.encode()) * 2654435761) % (1 << 32)
-
-
 def fit(
     df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *,
     sample: int = 20_000, min_g2: float = 27.0, min_odds: float = math.log(4), max_features: int = 20_000,
@@ -258,7 +252,7 @@ def fit(
 
     The character model is from all rows. The classifier is fitted on at most
     `sample` labelled rows, those with the smallest id hashes; of rows with one
-    label that agree in the three smallest word hashes (copies), one counts.
+    label and the same set of words (copies), one counts.
     Features are words and beginnings of words, each with its log odds of being in
     a toxic text, as far as its log-likelihood ratio is min_g2 or more. Without
     labels of both kinds every score is low.
@@ -308,7 +302,7 @@ def fit(
 
 def _features(w):
     none = F.array().cast("array<string>")
-    whole = F.when(F.length(w).between(2, 40), F.array(F.concat(F.lit("="), w))).otherwise(none)
+    whole = F.when(F.length(w) >= 2, F.array(F.concat(F.lit("="), w))).otherwise(none)
     return F.concat(whole, *[F.when(F.length(w) >= n, F.array(F.substring(w, 1, n))).otherwise(none) for n in (4, 5, 6)])
 
 

@@ -268,7 +268,7 @@ def test_quality(spark):
     more = [
         (100, "a b c d e f g h i " * 3), (101, " ".join(f"w{i}" for i in range(50)) + " " + " ".join(f"w{i}" for i in range(9))), (102, "x " * 25), (103, "# * $ | <p> % & " * 9), (104, "w " * 7),
     ]
-    df = spark.createDataFrame([*helpers.rows(), *[(i, t, "en", "a", 0, 0, "", 1, 2, 3, "", 4, 5) for i, t in more]], helpers.DOCS)
+    df = spark.createDataFrame([*helpers.rows(), *[(i, t, "en", "a", *helpers.rows()[0][4:]) for i, t in more]], helpers.DOCS)
     got = quality.judged(df).collect()
     want = Counter((i, *brute_quality(t)) for i, t in [r[:2] for r in helpers.rows()] + more)
     assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got) == want
@@ -283,11 +283,30 @@ def test_quality_divergence(spark):
     assert not got[900] and not got[901] and sum(got[i] or brute_quality(t)[5] for i, t, _ in good) == len(good)
 
 
-def test_references_with_many_languages(spark):
-    df = spark.createDataFrame([(i, "the of and " * (20 + i), f"l{i}") for i in range(6)], "doc_id long, text string, lang string")
-    refs = quality.references(df, max_languages=4).collect()
-    assert sorted(str(r.lang) for r in refs) == ["=l2", "=l3", "=l4", "=l5", "None"] and sum(r.pooled for r in refs) == 1
-    assert quality.judged(df, refs=quality.references(df, max_languages=4), min_words=1).count() == 6
+@pytest.mark.parametrize("broadcast", [10_000, 5])
+def test_quality_of_many_languages(spark, tmp_path, monkeypatch, broadcast):
+    """70 languages, against the query's SQL, references sent to all tasks or joined."""
+    import random
+
+    import duckdb
+
+    monkeypatch.setattr(quality, "BROADCAST", broadcast)
+    rng = random.Random(2)
+    rows = []
+    for lang in range(70):
+        common = [f"{rng.choice('abcdefghij')}{'verylongword' * (k % 2)}{lang}" for k in range(8)]
+        for i in range(6):
+            text = [rng.choice(common) if rng.random() < 0.5 else f"{rng.randrange(9999)}" * (i != 5) + "x" for _ in range(rng.randrange(30, 90))]
+            rows.append((lang * 10 + i, " ".join(text), f"l{lang}" if lang else None))
+    rows += [(9000, "%$ " * 100, "l3"), (9001, "other words altogether in this text " * 9, "l4")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    df.write.parquet(str(tmp_path / "documents"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    want = con.execute(queries.SQL["op6_divergence_rules"]).fetchall()
+    names = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept".split()
+    got = [tuple(r[c] for c in names) for r in quality.judged(df).collect()]
+    assert Counter(got) == Counter(want) and len({g[-1] for g in got}) == 2
 
 
 def brute_components(rows, width, num, den):
@@ -461,6 +480,89 @@ def test_head_ends_where_the_body_starts(start):
     assert html_extract.main_text(f"{start}just text") == "just text"
 
 
+def brute_densities(root):
+    """Link-adjusted characters per tag of each element, and the sums over children,
+    found anew for every element from all texts below it."""
+    import math
+
+    def below(x):
+        for k in x.items:
+            if not isinstance(k, str) and not k.gone:
+                yield k
+                yield from below(k)
+
+    def texts(x):
+        return sum(len(" ".join(k.split())) for y in [x, *below(x)] for k in y.items if isinstance(k, str))
+
+    def linked(x):
+        return sum(texts(k) if k.tag == "a" else linked(k) for k in x.items if not isinstance(k, str) and not k.gone)
+
+    share = linked(root) / max(texts(root), 1)
+    density = {}
+    for x in [root, *below(root)]:
+        c, t, lc, links = texts(x), sum(1 for _ in below(x)), linked(x), sum(k.tag == "a" for k in below(x))
+        t = max(t, 1)
+        if c:
+            base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
+            density[x] = c / t * max(math.log(c / max(lc, 1) * t / max(links, 1)) / max(base, 1e-9), 0.0)
+    return density, {x: sum(density.get(k, 0.0) for k in x.items if not isinstance(k, str) and not k.gone and k.tag not in html_extract.INLINE) for x in density}
+
+
+def given_pages(spark):
+    return [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").where("html is not null").collect()]
+
+
+def test_densities_against_brute_force(spark):
+    for page in given_pages(spark)[:60]:
+        nodes = html_extract._elements(html_extract.tree(page))
+        html_extract.prune(nodes)
+        html_extract.measure(nodes)
+        density, total = brute_densities(nodes[0])
+        for x in density:
+            assert x.density == pytest.approx(density[x]) and x.total == pytest.approx(total[x])
+
+
+def test_densities_decide(spark, monkeypatch):
+    """With densities in disorder many pages have another text, though all else of a page is dropped for its names."""
+    import random
+
+    pages = given_pages(spark)
+    plain = [html_extract.main_text(p) for p in pages]
+    measure, rng = html_extract.measure, random.Random(1)
+
+    def scrambled(nodes):
+        measure(nodes)
+        values = [(x.density, x.total) for x in nodes]
+        rng.shuffle(values)
+        for x, (x.density, x.total) in zip(nodes, values):
+            pass
+
+    monkeypatch.setattr(html_extract, "measure", scrambled)
+    assert sum(html_extract.main_text(p) != t for p, t in zip(pages, plain)) > len(pages) / 6
+
+
+def test_text_is_found_without_hints(spark):
+    """Where article and main are plain div elements, the same lines are found."""
+    lines = found = told = 0
+    for page in given_pages(spark):
+        want = Counter(html_extract.main_text(page).split("\n"))
+        got = Counter(html_extract.main_text(re.sub(r"(?i)<(/?)(?:article|main)\b", r"<\1div", page)).split("\n"))
+        lines, found, told = lines + want.total(), found + (want & got).total(), told + got.total()
+    assert found >= 0.98 * lines and found >= 0.98 * told, (lines, found, told)
+
+
+@pytest.mark.parametrize("part", ["</i>", "<li>", "<td>", "<div>", "<div></p>", "<ul><li>", "<article>", "<p><b>", "<table><td>", "</div><p>"])
+def test_broken_pages_take_linear_time(part):
+    import time
+
+    took = []
+    for n in (4000, 32000):
+        began = time.perf_counter()
+        html_extract.main_text("<div>" * 500 + part * n + "text")
+        took.append(time.perf_counter() - began)
+    assert took[1] < 24 * took[0] + 0.5
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, "u", "<p>a&amp;b", "old", 0), (2, None, None, None, None), (None, "", "<p>" + "é " * 20000, "t", 1), (1, "u", "<p>a&amp;b", "old", 0)], "page_id long, url string, html string, text string, n_chars int")
     got = html_extract.extract(df)
@@ -540,7 +642,7 @@ def test_toxicity_of_digits_and_long_tokens(spark, toxic_world):
     clean = "la men tor ik osun dra pelsa vimen torla"
     df = spark.createDataFrame([(0, clean + " 2024 1b9c 0815"), (1, clean + " 5n0723l 9rum84k"), (2, clean + " " + "vimen-" * 20 + "grumbak " + "snot-" + "-" * 80 + "zel")], "doc_id long, text string")
     assert {r.id: r.score >= 0.7 for r in toxicity.scored(df, model).collect()} == {0: False, 1: True, 2: True}
-    assert toxicity.features("grumbak" + "la" * 30) == ["grum", "grumb", "grumba"]
+    assert toxicity.features("grumbak" + "la" * 30) == ["=grumbak" + "la" * 30, "grum", "grumb", "grumba"]
 
 
 def test_toxicity_without_labels(spark):
