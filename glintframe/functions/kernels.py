@@ -156,9 +156,12 @@ def positive_lasso(x: np.ndarray, y: np.ndarray, alpha: float, sweeps: int = 500
     """w >= 0 that minimises |y - xw - c|^2 / 2T + alpha * sum(w), with intercept c:
     coordinate descent on centred data."""
     x, y = x - x.mean(0), y - y.mean()
-    t = len(y)
-    gram, want = x.T @ x / t, x.T @ y / t
-    w, grad = np.zeros(x.shape[1]), -want.copy()
+    return positive_lasso_of(x.T @ x / len(y), x.T @ y / len(y), alpha, sweeps, tol)
+
+
+def positive_lasso_of(gram: np.ndarray, want: np.ndarray, alpha: float, sweeps: int = 500, tol: float = 1e-9) -> np.ndarray:
+    """The same from the covariances of x and those of x with y."""
+    w, grad = np.zeros(len(want)), -want.copy()
     for _ in range(sweeps):
         most = 0.0
         for k in range(len(w)):
@@ -206,7 +209,8 @@ def deconvolve(
 
     The norm isn't squared; as |r| = min over h > 0 of |r|^2 / 2h + h / 2, each outer
     step solves the squared problem, of weight h = |r|, by accelerated projected
-    gradients, and then sets h anew. Traces without finite values give zeros.
+    gradients, and then sets h anew, at first not much smaller than before, as a
+    residual of 0 would hold it there. Traces without finite values give zeros.
     """
     t = len(y)
     if not np.isfinite(y).all() or not np.isfinite(g).all() or t < 3:
@@ -223,7 +227,8 @@ def deconvolve(
         probe = _generate_back(g, _generate(g, probe))
         probe /= np.linalg.norm(probe)
     lipschitz = 1.05 * (np.linalg.norm(_generate_back(g, _generate(g, probe))) + count.max() + float(decay @ decay))
-    h = max(np.linalg.norm(y - _generate(g, s) - b[part]), 1e-9)
+    scale = max(np.linalg.norm(y - _generate(g, s) - b[part]), 1e-9)
+    h = scale
     zs, zb, zd, k = s.copy(), b.copy(), d, 1.0
     for i in range(iterations):
         r = y - _generate(g, zs) - zb[part] - zd * decay
@@ -236,7 +241,7 @@ def deconvolve(
         zs, zb, zd = ns + m * (ns - s), nb + m * (nb - b), nd + m * (nd - d)
         s, b, d, k = ns, nb, nd, nk
         if i % 20 == 19:
-            h = max(np.linalg.norm(y - _generate(g, s) - b[part] - d * decay), 1e-9)
+            h = max(np.linalg.norm(y - _generate(g, s) - b[part] - d * decay), scale * max(0.8 ** (i // 20), 1e-5))
     c = _generate(g, s)
     clean = lambda v: np.where(v > zero, v, 0.0)
     return clean(c), clean(s), clean(b[part]), clean(d * decay)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glintframe.functions import kernels
-from glintframe.operators import VOXEL
+from glintframe.operators import PIXEL, VOXEL
 from glintframe.operators.frames import map_frames, to_frames, to_movie
 from glintframe.runtime import written
 
@@ -27,6 +27,15 @@ def _pair(src: np.ndarray, dst: np.ndarray, upsample: int, mesh: tuple[int, int]
     return -kernels.elastic_registration(dst, src, mesh, steps)
 
 
+def _arrays(column: pa.ChunkedArray) -> list[np.ndarray | None]:
+    """The lists of a column, as views of its buffer."""
+    out = []
+    for part in column.chunks:
+        ends, values = part.offsets.to_numpy(), part.values.to_numpy()
+        out += [values[a:b] if there else None for a, b, there in zip(ends[:-1], ends[1:], part.is_valid().to_numpy(zero_copy_only=False))]
+    return out
+
+
 def align(stack: list, *, alt_error: float | None, aggregation: str, upsample: int, most: int, round_at: float | None, mesh: tuple[int, int] | None, steps: int, floor: float | None = None) -> tuple[np.ndarray, tuple]:
     """Coefficients that align a chunk, and what stands for it: (first, template, last).
 
@@ -82,18 +91,18 @@ def estimate(
     lead = keys + ", " if keys else ""
 
     def level(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["child"])
-        im = lambda r, c: np.array(r[c], dtype=float).reshape(r["h"], r["w"])
-        stack = []
-        for r in rows:
-            t = im(r, "template")
-            stack.append((t, t, t) if r["first"] is None else (im(r, "first"), t, im(r, "last")))
-        moves, (first, template, last) = align(stack, **args)
-        out = [{**{c: r[c] for c in by}, "node": r["node"], "child": r["child"], "coef": m.ravel().tolist(), "rows": m.shape[1], "columns": m.shape[2], "first": None, "template": None, "last": None, "h": None, "w": None} for r, m in zip(rows, moves)]
-        out[0] |= {"first": first.ravel().tolist(), "template": template.ravel().tolist(), "last": last.ravel().tolist(), "h": template.shape[0], "w": template.shape[1]}
-        fields = [*[(c, table.schema.field(c).type) for c in by], ("node", pa.int64()), ("child", pa.int64()), ("coef", pa.list_(pa.float64())), ("rows", pa.int32()), ("columns", pa.int32()),
-                  *[(c, pa.list_(pa.float64())) for c in ("first", "template", "last")], ("h", pa.int32()), ("w", pa.int32())]
-        return pa.Table.from_pylist(out, schema=pa.schema(fields))
+        table = table.sort_by("child")
+        h, w, child = (table.column(c).to_pylist() for c in ("h", "w", "child"))
+        first, template, last = (_arrays(table.column(c)) for c in ("first", "template", "last"))
+        im = lambda v, i: v[i].reshape(h[i], w[i])
+        stack = [(im(template, i),) * 3 if first[i] is None else (im(first, i), im(template, i), im(last, i)) for i in range(len(child))]
+        moves, stands = align(stack, **args)
+        rest, double = [None] * (len(child) - 1), pa.list_(pa.float64())
+        cols = {c: table.column(c) for c in by} | {"node": table.column("node"), "child": table.column("child"), "coef": pa.array([m.ravel() for m in moves], double)}
+        cols |= {k: pa.array([v] * len(child), pa.int32()) for k, v in (("rows", moves.shape[2]), ("columns", moves.shape[3]))}
+        cols |= {k: pa.array([v.ravel(), *rest], double) for k, v in zip(("first", "template", "last"), stands)}
+        cols |= {k: pa.array([v, *rest], pa.int32()) for k, v in zip("hw", stands[1].shape)}
+        return pa.table(cols)
 
     both = f"{lead}{MOVES}, first array<double>, template array<double>, last array<double>, h int, w int"
     frames = to_frames(movie, by)
@@ -115,6 +124,41 @@ def estimate(
     return total.select(*by, frame, F.col("coef")[0].alias("dy"), F.col("coef")[1].alias("dx"))
 
 
+def accumulated(steps: DataFrame, by: tuple = (), block: int = 10_000) -> DataFrame:
+    """(by..., frame, dy, dx) of steps from frame to frame: their running sums, less the
+    mean over all frames. Sums run within blocks of frames, and over blocks before them."""
+    at = steps.withColumn("_b", F.floor(F.col("frame") / block))
+    each = at.groupBy(*by, "_b").agg(F.sum("dy").alias("_y"), F.sum("dx").alias("_x"))
+    ahead = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
+    before = each.select(*by, "_b", *[F.coalesce(F.sum(c).over(ahead), F.lit(0.0)).alias(c) for c in ("_y", "_x")])
+    own = Window.partitionBy(*by, "_b").orderBy("frame")
+    run = at.withColumn("dy", F.sum("dy").over(own)).withColumn("dx", F.sum("dx").over(own)).join(before, [*by, "_b"])
+    run = run.select(*by, "frame", (F.col("dy") + F.col("_y")).alias("dy"), (F.col("dx") + F.col("_x")).alias("dx"))
+    mean = run.groupBy(*by).agg(F.avg("dy").alias("_y"), F.avg("dx").alias("_x"))
+    met = run.join(mean, list(by)) if by else run.crossJoin(F.broadcast(mean))  # one row
+    return met.select(*by, "frame", (F.col("dy") - F.col("_y")).alias("dy"), (F.col("dx") - F.col("_x")).alias("dx"))
+
+
+def mean_image(movie: DataFrame) -> np.ndarray:
+    """The mean projection, one image, on the driver."""
+    rows = movie.groupBy(*PIXEL).agg(F.avg("value").alias("value")).collect()
+    out = np.zeros((max(r.height for r in rows) + 1, max(r.width for r in rows) + 1))
+    for y, x, v in rows:
+        out[y, x] = v
+    return out
+
+
+def circularities(movie: DataFrame, most: int = 100) -> DataFrame:
+    """(frame, circularity): how round the region is in which a frame resembles itself when moved."""
+
+    def run(batches):
+        for b in batches:
+            out = [kernels.circularity(np.array(r["pixels"], dtype=float).reshape(r["h"], r["w"]), most) for r in b.to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("frame"), pa.array(out, pa.float64())], names=["frame", "circularity"])
+
+    return to_frames(movie).mapInArrow(run, "frame int, circularity double")
+
+
 def apply_integer(movie: DataFrame, motion: DataFrame, fill: float = 0.0, by: tuple = ()) -> DataFrame:
     """Frames moved by whole pixels (dy, dx): one join by frame, one by place."""
     moved = movie.join(motion, [*by, "frame"]).select(*by, "frame", (F.col("height") + F.col("dy")).cast("int").alias("height"), (F.col("width") + F.col("dx")).cast("int").alias("width"), "value")

@@ -94,6 +94,23 @@ def merge(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return out.select(*on, *[one(c) for c in dict.fromkeys([*left.columns, *right.columns]) if c not in on])
 
 
+def concat_nested(parts, dims: list[str]) -> DataFrame:
+    """Movies in lists of lists put together: the outermost list along the first of
+    dims, and so on; each part follows the one before it in its list."""
+    if not dims:
+        return parts
+    return concat([concat_nested(p, dims[1:]) for p in parts], dims[0])
+
+
+def layout_statistics(movie: DataFrame, chunk_bytes: int = 256 << 20, cell_bytes: int = 8, by: tuple = ()) -> DataFrame:
+    """What a layout in chunks of whole frames of about chunk_bytes comes to: (chunk,
+    frames, cells, bytes), chunk being the frame over the frames that a chunk holds."""
+    size = movie.agg(F.countDistinct("height").alias("_h"), F.countDistinct("width").alias("_w"))
+    per = F.greatest(F.floor(F.lit(float(chunk_bytes)) / (F.col("_h") * F.col("_w") * cell_bytes)), F.lit(1)).cast("long")
+    at = movie.crossJoin(F.broadcast(size.select(per.alias("_per")))).withColumn("chunk", F.floor(F.col("frame") / F.col("_per")))  # one row
+    return at.groupBy(*by, "chunk").agg(F.countDistinct("frame").alias("frames"), F.count("*").alias("cells"), (F.count("*") * cell_bytes).alias("bytes"))
+
+
 def rolling_windows(n_frames: int, size: int, step: int) -> list[tuple[int, int, int]]:
     """(window, first frame, past the last) around evenly spread centres, so many
     that they lie `step` apart at most; windows are cut at the movie's ends."""

@@ -62,6 +62,12 @@ def ptp(traces: DataFrame, q: tuple[float, float] = (0.1, 99.9), keys: tuple = (
     return traces.groupBy(*keys).agg(both.alias("_q")).select(*keys, (F.col("_q")[1] - F.col("_q")[0]).alias("ptp"))
 
 
+def percentiles(traces: DataFrame, q: tuple[float, ...], keys: tuple = ("unit_id",)) -> DataFrame:
+    """Percentiles (in percent) of each trace, between values linearly, as q25 and so on."""
+    at = F.percentile("value", F.array(*[F.lit(x / 100) for x in q]))
+    return traces.groupBy(*keys).agg(at.alias("_q")).select(*keys, *[F.col("_q")[i].alias(f"q{x:g}") for i, x in enumerate(q)])
+
+
 def peak_to_noise(traces: DataFrame, freq: float = 0.25, q: tuple[float, float] = (0.1, 99.9), keys: tuple = ("unit_id",)) -> DataFrame:
     """Range of each trace over the range of its high frequencies; infinite if those have none."""
     return on_traces(arrays(traces, list(keys)), lambda x: kernels.peak_to_noise(x, freq, q), "pnr").drop("trace")

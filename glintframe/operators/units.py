@@ -43,40 +43,44 @@ def against(movie: DataFrame, A: DataFrame) -> DataFrame:
     return movie.join(A.select(UNIT, *PIXEL, F.col("value").alias("_a")), PIXEL).groupBy(UNIT, "frame").agg(F.sum(F.col("value") * F.col("_a")).alias("value"))
 
 
-def init_traces(movie: DataFrame, A: DataFrame, iterations: int = 10, max_units: int = 4000) -> DataFrame:
-    """C: ten steps of least squares per frame, from 0 and unconstrained. Frames meet
-    footprints by a join; the units' products with each other, max_units squared at
-    most, are sent to the frames, which are solved in batches."""
-    spark = movie.sparkSession
-    ids = [r[0] for r in A.select(UNIT).distinct().orderBy(UNIT).limit(max_units + 1).collect()]
-    if len(ids) > max_units:
-        raise ValueError(f"more than {max_units} units: solve them by parts")
-    place = {u: i for i, u in enumerate(ids)}
-    g = np.zeros((len(ids), len(ids)))
-    for u1, u2, v in gram(A).collect():
-        g[place[u1], place[u2]] = v
-    shared = spark.sparkContext.broadcast((ids, g))
-    sums = against(movie, A).groupBy("frame").agg(F.map_from_entries(F.collect_list(F.struct(UNIT, "value"))).alias("m"))
+def init_traces(movie: DataFrame, A: DataFrame, iterations: int = 10, frames: int = 500) -> DataFrame:
+    """C: ten steps of least squares per frame, from 0 and unconstrained.
 
-    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, g = shared.value
-        for b in batches:
-            y = np.array([[m.get(u, 0.0) for u in ids] for m in (dict(x) for x in b.column("m").to_pylist())]).T.reshape(len(ids), len(b))
-            x = _normal_equations(g, y, iterations)
-            frames = b.column("frame").to_numpy()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(np.array(ids, dtype=np.int64), len(frames))), pa.array(np.tile(frames, len(ids))), pa.array(x.ravel())], names=[UNIT, "frame", "value"]
-            )
-
-    return sums.mapInArrow(solve, f"{UNIT} long, frame int, value double")
-
-
-def _normal_equations(g: np.ndarray, y: np.ndarray, iterations: int) -> np.ndarray:
-    """Conjugate gradients on g x = y, a column each."""
+    Units whose footprints overlap, over any number of steps, are a group; groups
+    don't depend on each other. Each group is solved for `frames` frames at a time:
+    its units' products with the frames meet the units' products with each other,
+    of overlapping ones alone. Nothing is collected or broadcast.
+    """
+    pairs = written(gram(A), "gram")
+    links = graph.connected(pairs.where("u1 < u2").select(F.col("u1").alias("a"), F.col("u2").alias("b")))
+    units_ = A.select(UNIT).distinct().join(links.select(F.col("id").alias(UNIT), "component"), UNIT, "left").select(UNIT, F.coalesce("component", UNIT).alias("label"))
+    units_ = written(units_, "groups")
+    sums = against(movie, A).join(units_, UNIT).withColumn("block", F.floor(F.col("frame") / frames))
+    sums = written(sums.select("label", "block", UNIT, "frame", "value"), "sums")
+    inner = pairs.join(units_.select(F.col(UNIT).alias("u1"), "label"), "u1").join(sums.select("label", "block").distinct(), "label").select("label", "block", "u1", "u2", F.col("value").alias("g"))
+    inner = inner.toDF(*inner.columns)  # columns of its own, as both sides come from one table
+
+    def solve(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, at = np.unique(left.column(UNIT).to_numpy(), return_inverse=True)
+        times, when = np.unique(left.column("frame").to_numpy(), return_inverse=True)
+        y = np.zeros((len(ids), len(times)))
+        y[at, when] = left.column("value").to_numpy()
+        u1, u2, g = (right.column(c).to_numpy() for c in ("u1", "u2", "g"))
+        order = np.argsort(u1, kind="stable")
+        rows, cols, g = np.searchsorted(ids, u1[order]), np.searchsorted(ids, u2[order]), g[order]
+        starts = np.searchsorted(rows, np.arange(len(ids)))  # each unit's product with itself is there
+        x = _normal_equations(lambda d: np.add.reduceat(g[:, None] * d[cols], starts, axis=0), y, iterations)
+        return pa.table({UNIT: np.repeat(ids, len(times)), "frame": pa.array(np.tile(times, len(ids)), pa.int32()), "value": x.ravel()})
+
+    return sums.groupBy("label", "block").cogroup(inner.groupBy("label", "block")).applyInArrow(solve, f"{UNIT} long, frame int, value double")
+
+
+def _normal_equations(times, y: np.ndarray, iterations: int) -> np.ndarray:
+    """Conjugate gradients on g x = y, a column each; times(d) is g d."""
     x, r = np.zeros_like(y), y.copy()
     d, norm = r.copy(), (r * r).sum(0)
     for _ in range(iterations):
-        q = g @ d
+        q = times(d)
         size = (d * q).sum(0)
         step = np.divide(norm, size, out=np.zeros_like(norm), where=size > 1e-300)
         x, r = x + step * d, r - step * q
@@ -88,7 +92,7 @@ def _normal_equations(g: np.ndarray, y: np.ndarray, iterations: int) -> np.ndarr
 def overlaps(A: DataFrame) -> DataFrame:
     """(src, dst, shared, jaccard) of units that share a pixel, src being the smaller."""
     on = A.where("value > 0")
-    size = on.groupBy(UNIT).agg(F.count("*").alias("n"))
+    size = sizes(on)
     a, b = on.select(F.col(UNIT).alias("src"), *PIXEL), on.select(F.col(UNIT).alias("dst"), *PIXEL)
     met = a.join(b, PIXEL).where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("shared"))
     full = met.join(size.select(F.col(UNIT).alias("src"), F.col("n").alias("_n1")), "src").join(size.select(F.col(UNIT).alias("dst"), F.col("n").alias("_n2")), "dst")
@@ -180,34 +184,92 @@ def spatial_single(rows: DataFrame) -> DataFrame:
     return out.withColumn("value", F.coalesce(F.try_divide(F.greatest(cov - F.col("alpha"), F.lit(0.0)), var), F.lit(0.0))).drop("_mx", "_my")
 
 
+def products(movie: DataFrame, C: DataFrame, where: DataFrame, tile: int = 32, frames: int = 500) -> DataFrame:
+    """(unit_id, height, width, cy): sums over frames of trace times pixel, for the
+    pixels in where(unit_id, height, width).
+
+    A blocked product: tiles of the picture meet the traces of the units on them,
+    `frames` frames at a time, so that the movie is shuffled once, whatever
+    number of units a pixel has, and blocks are of one size.
+    """
+    tiled = lambda df: df.withColumns({"ty": F.floor(F.col("height") / tile), "tx": F.floor(F.col("width") / tile)})
+    block = F.floor(F.col("frame") / frames)
+    left = tiled(movie.select("frame", *PIXEL, "value")).withColumn("block", block)
+    on = tiled(where).select(UNIT, "ty", "tx").distinct()
+    right = C.select(UNIT, "frame", "value").join(on, UNIT).withColumn("block", block)
+    right = right.toDF(*right.columns)  # columns of its own, as C may come from the movie
+
+    def multiply(a: pa.Table, b: pa.Table) -> pa.Table:
+        empty = pa.table({UNIT: pa.array([], pa.int64()), "height": pa.array([], pa.int32()), "width": pa.array([], pa.int32()), "cy": pa.array([], pa.float64())})
+        if not len(a) or not len(b):
+            return empty
+        times, when = np.unique(np.concatenate((a.column("frame").to_numpy(), b.column("frame").to_numpy())), return_inverse=True)
+        at = a.column("height").to_numpy().astype(np.int64) << 32 | a.column("width").to_numpy()
+        pixels, px = np.unique(at, return_inverse=True)
+        units_, un = np.unique(b.column(UNIT).to_numpy(), return_inverse=True)
+        y, x = np.zeros((len(pixels), len(times))), np.zeros((len(units_), len(times)))
+        y[px, when[: len(a)]], x[un, when[len(a) :]] = a.column("value").to_numpy(), b.column("value").to_numpy()
+        return pa.table({
+            UNIT: np.repeat(units_, len(pixels)), "height": np.tile((pixels >> 32).astype(np.int32), len(units_)), "width": np.tile((pixels & 0xFFFFFFFF).astype(np.int32), len(units_)),
+            "cy": (x @ y.T).ravel(),
+        })
+
+    keys = ("ty", "tx", "block")
+    parts = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(multiply, f"{UNIT} long, height int, width int, cy double")
+    return parts.join(where.select(UNIT, *PIXEL), [UNIT, *PIXEL], "left_semi").groupBy(UNIT, *PIXEL).agg(F.sum("cy").alias("cy"))
+
+
+def covariances(C: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(u1, u2, cov) of the traces of pairs(u1, u2)."""
+    x = signal.arrays(C, [UNIT])
+    met = pairs.join(x.select(F.col(UNIT).alias("u1"), F.col("trace").alias("_a")), "u1").join(x.select(F.col(UNIT).alias("u2"), F.col("trace").alias("_b")), "u2")
+    plus = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    n = F.size("_a")
+    means = met.withColumn("_ma", plus(F.col("_a")) / n).withColumn("_mb", plus(F.col("_b")) / n)
+    return means.select("u1", "u2", (plus(F.zip_with("_a", "_b", lambda a, b: (a - F.col("_ma")) * (b - F.col("_mb")))) / n).alias("cov"))
+
+
 def spatial_weights(movie: DataFrame, C: DataFrame, where: DataFrame, sn: DataFrame, penalty: float = 0.5) -> DataFrame:
     """(unit_id, height, width, value > 0): for each pixel, non-negative lasso weights of
     the units in where(unit_id, height, width), at alpha = penalty * sn.
 
-    Pixels of one unit have a closed form; those of several are solved in batches.
+    All that a pixel's weights depend on are covariances: of its units' traces with
+    the pixel's, and with each other. Those come from products of blocks, and
+    from the pairs of units that share a pixel; pixels are then solved in batches.
     """
-    x = signal.arrays(C, [UNIT]).withColumnRenamed("trace", "x")
-    met = where.join(x, UNIT).groupBy(*PIXEL).agg(F.sort_array(F.collect_list(F.struct(UNIT, "x"))).alias("xs"))
-    rows = signal.arrays(movie, PIXEL).join(met, PIXEL).join(sn.select(*PIXEL, (F.col("sn") * penalty).alias("alpha")), PIXEL)
-    one = spatial_single(rows.where(F.size("xs") == 1).select(*PIXEL, F.col("xs")[0][UNIT].alias(UNIT), "trace", F.col("xs")[0]["x"].alias("x"), "alpha"))
+    where = written(where.select(UNIT, *PIXEL).distinct(), "support")
+    traces_ = C.groupBy(UNIT).agg(F.avg("value").alias("_mc"), F.count("*").alias("_n"))
+    pixel = movie.groupBy(*PIXEL).agg(F.avg("value").alias("_my"))
+    got = products(movie, C, where).join(traces_, UNIT).join(pixel, PIXEL)
+    got = written(got.select(UNIT, *PIXEL, (F.col("cy") / F.col("_n") - F.col("_mc") * F.col("_my")).alias("want")), "products")
+    a, b = got.select(F.col(UNIT).alias("u1"), *PIXEL), got.select(F.col(UNIT).alias("u2"), *PIXEL)
+    both = a.join(b, PIXEL)
+    cov = covariances(C, both.select("u1", "u2").distinct())
+    gram_ = both.join(cov, ["u1", "u2"]).groupBy(*PIXEL).agg(F.sort_array(F.collect_list(F.struct("u1", "u2", "cov"))).alias("gs"))
+    want = got.groupBy(*PIXEL).agg(F.sort_array(F.collect_list(F.struct(UNIT, "want"))).alias("us"))
+    rows = want.join(gram_, PIXEL).join(sn.select(*PIXEL, (F.col("sn") * penalty).alias("alpha")), PIXEL)
+    rows = rows.select(*PIXEL, F.col(f"us.{UNIT}").alias("ids"), F.col("us.want").alias("want"), F.col("gs.cov").alias("cov"), "alpha")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for r in b.to_pylist():
-                w = kernels.positive_lasso(np.array([u["x"] for u in r["xs"]], dtype=float).T, np.array(r["trace"], dtype=float), r["alpha"])
-                out += [(u[UNIT], r["height"], r["width"], float(v)) for u, v in zip(r["xs"], w)]
-            cols = list(zip(*out)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.float64()))], names=[UNIT, *PIXEL, "value"])
+            size = np.diff(b.column("ids").offsets.to_numpy())
+            ids, want, cov = (b.column(c).flatten().to_numpy() for c in ("ids", "want", "cov"))
+            first, second = np.cumsum(size) - size, np.cumsum(size * size) - size * size
+            w = [kernels.positive_lasso_of(cov[k : k + n * n].reshape(n, n), want[i : i + n], al) for i, k, n, al in zip(first, second, size, b.column("alpha").to_numpy())]
+            out = [pa.array(ids), *(pa.array(np.repeat(b.column(c).to_numpy(), size)) for c in PIXEL), pa.array(np.concatenate(w) if w else np.zeros(0))]
+            yield pa.RecordBatch.from_arrays(out, names=[UNIT, *PIXEL, "value"])
+
+    return rows.mapInArrow(solve, f"{UNIT} long, height int, width int, value double").where("value > 0")
+
 
-    many = rows.where(F.size("xs") > 1).select(*PIXEL, "trace", "xs", "alpha").mapInArrow(solve, f"{UNIT} long, height int, width int, value double")
-    return one.select(UNIT, *PIXEL, "value").union(many).where("value > 0")
+def sizes(A: DataFrame) -> DataFrame:
+    """(unit_id, n): pixels of each footprint."""
+    return A.where("value > 0").groupBy(UNIT).agg(F.count("*").alias("n"))
 
 
 def sized(A: DataFrame, low: int | None = 9, high: int | None = None) -> DataFrame:
     """Units with more than low and fewer than high pixels."""
-    n = A.where("value > 0").groupBy(UNIT).agg(F.count("*").alias("_n"))
-    keep = n.where((F.col("_n") > low) if low else F.lit(True)).where((F.col("_n") < high) if high else F.lit(True))
+    keep = sizes(A).where((F.col("n") > low) if low else F.lit(True)).where((F.col("n") < high) if high else F.lit(True))
     return A.join(keep.select(UNIT), UNIT, "left_semi")
 
 

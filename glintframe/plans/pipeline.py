@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -98,6 +100,13 @@ PLANTED = {
     "first_temporal": {"noise_freq": 0.25, "sparse_penal": 1, "p": 1, "add_lag": 10, "jac_thres": 0.2}, "first_merge": {"thres_corr": 0.8},
     "second_spatial": {"dl_wnd": 2, "sparse_penal": 0.01, "size_thres": (5, None)}, "second_temporal": {"noise_freq": 0.25, "sparse_penal": 1, "p": 1, "add_lag": 10, "jac_thres": 0.4},
 }
+#: What the movie of line items, small, noisy and at rest, is analysed with.
+TABLE = PLANTED | {
+    "remove_background": {"method": "tophat", "wnd": 5}, "estimate_motion": None, "seeds_init": {"wnd_size": 30, "stp_size": 10, "max_wnd": 4, "diff_thres": 2},
+    "pnr_refine": {"noise_freq": 0.25, "thres": 1.0}, "ks_refine": {"sig": 0.5}, "seeds_merge": {"thres_dist": 3, "thres_corr": 0.3, "noise_freq": 0.25},
+    "initialize": {"thres_corr": 0.1, "wnd": 3, "noise_freq": 0.25}, "init_merge": {"thres_corr": 0.8},
+    "first_spatial": {"dl_wnd": 1, "sparse_penal": 0.01, "size_thres": (1, None)}, "second_spatial": {"dl_wnd": 1, "sparse_penal": 0.01, "size_thres": (1, None)},
+}
 CENTRES = ((7, 8), (8, 24), (20, 15), (25, 27), (26, 5))
 
 
@@ -130,19 +139,24 @@ def planted(spark: SparkSession) -> DataFrame:
     return spark.range(1).coalesce(1).mapInArrow(make, "frame int, height int, width int, value double")
 
 
-def run_parts(movie: DataFrame, size: int = 100, params: dict | None = None) -> dict[str, DataFrame]:
+def run_parts(movie: DataFrame, size: int = 100, params: dict | None = None, parallel: int = 4) -> dict[str, DataFrame]:
     """The analysis of each part of `size` frames (and the next one's first), after a
-    common correction: A and C with a leading column part. Parts follow each other;
-    units of different parts aren't matched."""
+    common correction: A and C with a leading column part. `parallel` parts are
+    analysed at the same time, so that their small steps share the cluster; units of
+    different parts aren't matched."""
     p = DEFAULTS | (params or {})
     Y = corrected(movie, p)
     parts = written(project.split_overlap(Y, size), "parts")
     last, out = parts.agg(F.max("part")).first()[0], {}
-    for k in range(last + 1):
+
+    def analysed(k: int) -> dict[str, DataFrame]:
         one = parts.where(F.col("part") == k).select((F.col("frame") - k * size).alias("frame"), *PIXEL, "value")
         got = run(one, p | {"remove_glow": {}, "denoise": None, "remove_background": None, "estimate_motion": None})
-        for name in ("A", "C"):
-            var = got[name].withColumn("part", F.lit(k))
-            var = var.withColumn("frame", F.col("frame") + k * size) if name == "C" else var
-            out[name] = out[name].unionByName(var) if name in out else var
+        named = {name: got[name].withColumn("part", F.lit(k)) for name in ("A", "C")}
+        return named | {"C": named["C"].withColumn("frame", F.col("frame") + k * size)}
+
+    with ThreadPoolExecutor(parallel) as pool:
+        for got in pool.map(analysed, range(last + 1)):
+            for name, var in got.items():
+                out[name] = out[name].unionByName(var) if name in out else var
     return out | {"Y": Y}

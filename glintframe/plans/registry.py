@@ -5,7 +5,7 @@ Values that aren't exact in binary are rounded to six digits on both sides.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glintframe.functions import expr
@@ -68,6 +68,13 @@ query("merge_datasets", sql("L", """SELECT height, width, hi, lo FROM (SELECT he
     FULL JOIN (SELECT height, width, min(value) AS lo FROM L WHERE height > 4 GROUP BY ALL) USING (height, width)"""))(
     lambda i: project.merge(project.projection(i.L.where("height < 11")).withColumnRenamed("value", "hi"), project.projection(i.L.where("height > 4"), "min").withColumnRenamed("value", "lo"), PIXEL)
 )
+query("concat_nested", sql("L", """SELECT frame, height, width, value FROM L UNION ALL SELECT frame, height, (width + 16)::INT, value * 2 FROM L
+    UNION ALL SELECT frame, (height + 16)::INT, width, value * 3 FROM L UNION ALL SELECT frame, (height + 16)::INT, (width + 16)::INT, value * 4 FROM L"""))(
+    lambda i: project.concat_nested([[i.L.withColumn("value", F.col("value") * (2 * y + x + 1)) for x in range(2)] for y in range(2)], ["height", "width"])
+)
+query("layout_frames", sql("L", """, n AS (SELECT count(DISTINCT frame) AS f, count(DISTINCT height) AS h, count(DISTINCT width) AS w FROM L),
+    s AS (SELECT greatest(floor(65536 / (h * w * 8.0)), 1)::BIGINT AS per, f, h, w FROM n)
+    SELECT frame // per AS chunk, count(DISTINCT frame) AS frames, count(*) AS cells, count(*) * 8 AS bytes FROM L, s GROUP BY ALL"""))(lambda i: project.layout_statistics(i.L, 65536))
 query("split_overlap", sql("L", """SELECT (frame // 20)::INT AS part, * FROM L UNION ALL SELECT (frame // 20 - 1)::INT, * FROM L WHERE frame % 20 = 0 AND frame > 0"""))(lambda i: project.split_overlap(i.L, 20))
 query("part_projections", sql("L", """, p AS (SELECT (frame // 20)::INT AS part, * FROM L UNION ALL SELECT (frame // 20 - 1)::INT, * FROM L WHERE frame % 20 = 0 AND frame > 0)
     SELECT part, height, width, max(value - lo) AS value FROM (SELECT *, min(value) OVER (PARTITION BY part, height, width) AS lo FROM p) GROUP BY ALL"""))(
@@ -94,8 +101,11 @@ def _box(half: int, agg: str, border: str, where: str = "true", source: str = "L
 _GAUSS = "list_value(0.0625, 0.25, 0.375, 0.25, 0.0625)"
 query("denoise_gaussian", sql("L", f"SELECT frame, height, width, s AS value FROM ({_box(2, f'sum(n.value * {_GAUSS}[(dy + 3)::INT] * {_GAUSS}[(dx + 3)::INT]) AS s', _REFLECT101)})"))(lambda i: stencil.denoise(i.L, "gaussian", 5))
 query("denoise_median", sql("L", f"SELECT frame, height, width, m AS value FROM ({_box(1, 'median(n.value) AS m', _REPLICATE)})"))(lambda i: stencil.denoise(i.L, "median", 3))
-query("denoise_bilateral", None)(lambda i: stencil.denoise(i.L, "bilateral", 5))
-query("denoise_anisotropic", None)(lambda i: stencil.denoise(i.L, "anisotropic"))
+_LIKE = "exp(-(dy * dy + dx * dx) / (2 * 75.0 * 75.0) - pow(n.value - c.value, 2) / (2 * 75.0 * 75.0))"
+query("denoise_bilateral", sql("L", f"SELECT frame, height, width, round(m, 6) + 0.0 AS value FROM ({_box(2, f'sum({_LIKE} * n.value) / sum({_LIKE}) AS m', _REFLECT101, 'dy * dy + dx * dx <= 4')})"), 6)(lambda i: stencil.denoise(i.L, "bilateral", 5))
+_FLOW = "coalesce(exp(-pow(({d}) / 50.0, 2)) * ({d}), 0)"
+query("denoise_anisotropic", sql("L", f"""SELECT frame, height, width, round(value + 0.1 * ({' + '.join(_FLOW.format(d=f'{k}(value) OVER {w} - value') for k in ('lead', 'lag') for w in ('y', 'x'))}), 6) + 0.0 AS value
+    FROM L WINDOW y AS (PARTITION BY frame, width ORDER BY height), x AS (PARTITION BY frame, height ORDER BY width)"""), 6)(lambda i: stencil.denoise(i.L, "anisotropic"))
 query("bg_uniform", sql("L", f"SELECT frame, height, width, round(own - m, 6) + 0.0 AS value FROM ({_box(2, 'avg(n.value) AS m', _REFLECT)})"), 6)(lambda i: stencil.remove_background(i.L, "uniform", 5))
 _DISK = "dy * dy + dx * dx <= {r2}"
 query("dilate", sql("L", f"SELECT frame, height, width, m AS value FROM ({_box(2, 'max(n.value) AS m', '', _DISK.format(r2=4))})"))(lambda i: stencil.dilate(i.L, 2))
@@ -140,13 +150,17 @@ _WINDOWS = """, n AS (SELECT max(frame) + 1 AS n, (ceil((max(frame) + 1) / 10.0)
 query("window_projections", sql("L", _WINDOWS + ' SELECT frame AS "window", height, width, value FROM shots'))(lambda i: project.window_projections(i.L, project.rolling_windows(_frames(i.L), 30, 10)))
 query("seeds_init", sql("L", _WINDOWS + _tops("shots", 2, 4, 2) + """, votes AS (SELECT height, width, count(DISTINCT frame)::INT AS seeds FROM spots GROUP BY ALL)
     SELECT row_number() OVER (ORDER BY height, width) - 1 AS seed_id, height, width, seeds FROM votes""", True))(lambda i: seeds.find(i.L, _frames(i.L), 30, 10, 4, 2))
-query("seeds_init_random", None)(lambda i: seeds.find(i.L, _frames(i.L), 20, 10, 4, 2, method="random", draws=5))
+#: The draws from the movie's 83 frames, which its seed fixes.
+_DRAWN = ", ".join(f"({i}, {f})" for i, fs in project.random_windows(83, 20, 5) for f in sorted(set(fs)))
+query("seeds_init_random", sql("L", f", shots AS (SELECT i::INT AS frame, height, width, max(value) AS value FROM L JOIN (VALUES {_DRAWN}) d(i, f) ON L.frame = f GROUP BY ALL)" + _tops("shots", 2, 4, 2) + """,
+    votes AS (SELECT height, width, count(DISTINCT frame)::INT AS seeds FROM spots GROUP BY ALL)
+    SELECT row_number() OVER (ORDER BY height, width) - 1 AS seed_id, height, width, seeds FROM votes""", True))(lambda i: seeds.find(i.L, _frames(i.L), 20, 10, 4, 2, method="random", draws=5))
 
 # --- percentiles, thresholds, masks -------------------------------------------
 
 query("ptp_q", sql("E", "SELECT height, width, round(quantile_cont(value, 0.999) - quantile_cont(value, 0.001), 6) + 0.0 AS ptp FROM E GROUP BY ALL"), 6)(lambda i: signal.ptp(i.E, keys=tuple(PIXEL)))
 query("pixel_percentiles", sql("E", "SELECT height, width, round(quantile_cont(value, 0.25), 6) + 0.0 AS q25, round(quantile_cont(value, 0.5), 6) + 0.0 AS q50, round(quantile_cont(value, 0.9), 6) + 0.0 AS q90 FROM E GROUP BY ALL"), 6)(
-    lambda i: i.E.groupBy(*PIXEL).agg(*[F.percentile("value", F.lit(q / 100)).alias(f"q{q}") for q in (25, 50, 90)])
+    lambda i: signal.percentiles(i.E, (25, 50, 90), tuple(PIXEL))
 )
 query("intensity_refine", sql("L bright", """, img AS (SELECT height, width, max(value) AS v FROM L GROUP BY ALL),
     s AS (SELECT min(v) AS lo, max(v) AS hi, round_even(count(*) / 10.0, 0)::INT AS k FROM img),
@@ -164,19 +178,35 @@ _BAND = """, n AS (SELECT count(DISTINCT frame) AS n FROM T), bins AS (SELECT un
     power AS (SELECT unit_id, k, (pow(sum(value * cos(2 * pi() * k * frame / n)), 2) + pow(sum(value * sin(2 * pi() * k * frame / n)), 2)) / any_value(n) AS p FROM T, bins GROUP BY ALL)"""
 for _method, _sum in (("logmexp", "sqrt(exp(avg(ln(p + 2.220446049250313e-16))))"), ("mean", "sqrt(avg(p))"), ("sum", "sqrt(sum(p))"), ("median", "sqrt(median(p))")):
     query(f"noise_fft_{_method}", sql("T", f"{_BAND} SELECT unit_id, round({_sum}, 6) + 0.0 AS sn FROM power GROUP BY unit_id"), 6)(lambda i, m=_method: signal.noise(i.T, method=m))
-query("noise_welch", None)(lambda i: signal.noise(i.T, estimator="welch"))
+query("noise_welch", sql("T", """, n AS (SELECT count(DISTINCT frame) AS n FROM T), wt AS (SELECT f, n, 0.5 - 0.5 * cos(2 * pi() * f / n) AS w FROM n, LATERAL (SELECT unnest(range(n)) AS f)),
+    x AS (SELECT unit_id, frame, n, w * (value - avg(value) OVER (PARTITION BY unit_id)) AS x FROM T JOIN wt ON f = frame),
+    pw AS (SELECT unit_id, k, (pow(sum(x * cos(2 * pi() * k * frame / n)), 2) + pow(sum(x * sin(2 * pi() * k * frame / n)), 2)) / (SELECT sum(w * w) FROM wt) AS p
+      FROM x, range(1, 129) r(k) WHERE k > 0.25 * n AND k < 0.5 * n GROUP BY ALL)
+    SELECT unit_id, round(sqrt(exp(avg(ln(p)))), 6) + 0.0 AS sn FROM pw GROUP BY unit_id"""), 6)(lambda i: signal.noise(i.T, estimator="welch"))
 _LOW = """, n AS (SELECT count(DISTINCT frame) AS n, floor(0.25 * count(DISTINCT frame))::INT AS c FROM T),
     kern AS (SELECT d, (1 + 2 * coalesce((SELECT sum(cos(2 * pi() * k * d / n)) FROM range(1, 200) r(k) WHERE k < c), 0)) / n AS w FROM n, LATERAL (SELECT unnest(range(-n + 1, n)) AS d)),
     low AS (SELECT a.unit_id, a.frame, any_value(a.value) AS x, sum(b.value * w) AS y FROM T a JOIN T b USING (unit_id) JOIN kern ON d = a.frame - b.frame GROUP BY a.unit_id, a.frame)"""
 query("lowpass_fft", sql("T", f"{_LOW} SELECT unit_id, frame, round(y, 6) + 0.0 AS value FROM low"), 6)(lambda i: signal.smooth(i.T, 0.25))
 query("highpass_fft", sql("T", f"{_LOW} SELECT unit_id, frame, round(x - y, 6) + 0.0 AS value FROM low"), 6)(lambda i: signal.smooth(i.T, 0.25, kind="high"))
-query("butter_lowpass", None, 6)(lambda i: signal.smooth(i.T, 0.1, "butter"))
-query("butter_highpass", None, 6)(lambda i: signal.smooth(i.T, 0.1, "butter", "high"))
+_IIR = """, k AS (SELECT tan(pi() * 0.1) AS k, 1 + sqrt(2) * tan(pi() * 0.1) + pow(tan(pi() * 0.1), 2) AS s), co AS (SELECT {b0} / s AS b0, {b1} / s AS b1, 2 * (k * k - 1) / s AS a1, (1 - sqrt(2) * k + k * k) / s AS a2 FROM k),
+    x AS (SELECT unit_id, frame, value AS x0, coalesce(lag(value) OVER w, 0) AS x1, coalesce(lag(value, 2) OVER w, 0) AS x2 FROM T WINDOW w AS (PARTITION BY unit_id ORDER BY frame)),
+    y(unit_id, frame, y, was) AS (SELECT unit_id, frame, b0 * x0, 0.0::DOUBLE FROM x, co WHERE frame = 0
+      UNION ALL SELECT x.unit_id, x.frame, b0 * x0 + b1 * x1 + b0 * x2 - a1 * y - a2 * was, y FROM y JOIN x ON x.unit_id = y.unit_id AND x.frame = y.frame + 1, co)
+    SELECT unit_id, frame, round(y, 6) + 0.0 AS value FROM y"""
+query("butter_lowpass", sql("T", _IIR.format(b0="k * k", b1="2 * k * k"), True), 6)(lambda i: signal.smooth(i.T, 0.1, "butter"))
+query("butter_highpass", sql("T", _IIR.format(b0="1", b1="-2"), True), 6)(lambda i: signal.smooth(i.T, 0.1, "butter", "high"))
 _PNR = f"""{_LOW}, q AS (SELECT unit_id, (quantile_cont(x, 0.999) - quantile_cont(x, 0.001)) / (quantile_cont(x - y, 0.999) - quantile_cont(x - y, 0.001)) AS pnr FROM low GROUP BY ALL)"""
 query("pnr", sql("T", f"{_PNR} SELECT unit_id, round(pnr, 6) + 0.0 AS pnr, pnr > 1.1 AS mask_pnr FROM q"), 6)(lambda i: signal.peak_to_noise(i.T, 0.25).withColumn("mask_pnr", F.col("pnr") > 1.1))
-query("pnr_refine", None)(lambda i: seeds.pnr_refine(i.L, i.bright, 0.25, 1.05))
+_AT_SEEDS = ", T AS (SELECT seed_id AS unit_id, frame, value FROM L JOIN bright USING (height, width))"
+query("pnr_refine", sql("L bright", f"{_AT_SEEDS}{_PNR} SELECT seed_id, height, width, coalesce(pnr > 1.05, false) AS mask_pnr FROM bright LEFT JOIN q ON unit_id = seed_id"))(lambda i: seeds.pnr_refine(i.L, i.bright, 0.25, 1.05))
 query("pnr_refine_auto", None)(lambda i: seeds.pnr_refine(i.L, i.bright, 0.25, "auto"))
-query("ks_refine", None)(lambda i: seeds.ks_refine(i.L, i.bright, 0.05))
+query("ks_refine", sql("L bright", f"""{_AT_SEEDS}, z AS (SELECT unit_id, row_number() OVER (PARTITION BY unit_id ORDER BY value) AS pos, count(*) OVER (PARTITION BY unit_id) AS n,
+      (value - avg(value) OVER (PARTITION BY unit_id)) / nullif(stddev_pop(value) OVER (PARTITION BY unit_id), 0) / sqrt(2) AS x FROM T),
+    c AS (SELECT unit_id, pos, any_value(n) AS n, 0.5 + 0.5 * exp(-any_value(x * x)) * sum(pow(x, 2 * k + 1) / gamma(k + 1.5)) AS cdf FROM z, range(0, 120) r(k) GROUP BY unit_id, pos),
+    d AS (SELECT unit_id, max(greatest(cdf - (pos - 1) / n::DOUBLE, pos / n::DOUBLE - cdf)) AS d, sqrt(any_value(n)) AS r FROM c GROUP BY unit_id),
+    ks AS (SELECT unit_id, d * (r + 0.12 + 0.11 / r) AS t FROM d),
+    p AS (SELECT unit_id, CASE WHEN any_value(t) < 0.2 THEN 1 ELSE 2 * sum((CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * k * k * t * t)) END AS p FROM ks, range(1, 101) r(k) GROUP BY unit_id)
+    SELECT seed_id, height, width, coalesce(p < 0.05, false) AS mask_ks FROM bright LEFT JOIN p ON unit_id = seed_id"""))(lambda i: seeds.ks_refine(i.L, i.bright, 0.05))
 query("gmm_refine", None)(lambda i: seeds.gmm_refine(i.L, i.bright))
 query("med_baseline", sql("T", """, n AS (SELECT count(DISTINCT frame) AS n FROM T),
     near AS (SELECT unit_id, frame, value, CASE WHEN p < 0 THEN -1 - p WHEN p >= n THEN 2 * n - 1 - p ELSE p END AS q FROM (SELECT unit_id, frame, value, frame + d AS p, n FROM T, n, range(-2, 3) r(d))),
@@ -188,15 +218,20 @@ query("rising_runs", sql("T", """, up AS (SELECT *, coalesce(lead(value) OVER w
     SELECT u.unit_id, coalesce(arg_max(k, (rise, -run)), 0)::BIGINT AS rise_frames, round(coalesce(max(rise), 0), 6) + 0.0 AS rise FROM (SELECT DISTINCT unit_id FROM T) u LEFT JOIN runs USING (unit_id) GROUP BY u.unit_id"""), 6)(
     lambda i: signal.longest_rise(i.T)
 )
-_ACOV = """, z AS (SELECT unit_id, frame, value - avg(value) OVER (PARTITION BY unit_id) AS z, count(*) OVER (PARTITION BY unit_id) AS n FROM T),
-    acov AS (SELECT a.unit_id, k::INT AS lag, coalesce(sum(a.z * b.z), 0) / any_value(a.n) AS acov FROM z a CROSS JOIN range(4) r(k) LEFT JOIN z b ON b.unit_id = a.unit_id AND b.frame = a.frame + k GROUP BY a.unit_id, k)"""
+_ACOV_TO = """, z AS (SELECT unit_id, frame, value - avg(value) OVER (PARTITION BY unit_id) AS z, count(*) OVER (PARTITION BY unit_id) AS n FROM T),
+    acov AS (SELECT a.unit_id, k::INT AS lag, coalesce(sum(a.z * b.z), 0) / any_value(a.n) AS acov FROM z a CROSS JOIN range({lags}) r(k) LEFT JOIN z b ON b.unit_id = a.unit_id AND b.frame = a.frame + k GROUP BY a.unit_id, k)"""
+_ACOV = _ACOV_TO.format(lags=4)
 query("acov_lags", sql("T", f"{_ACOV} SELECT unit_id, lag, round(acov, 6) + 0.0 AS acov FROM acov"), 6)(lambda i: signal.autocovariance(i.T, 3))
 query("ar1_coef", sql("T", f"""{_ACOV}{_BAND}, sn AS (SELECT unit_id, avg(p) AS sn2 FROM power GROUP BY ALL),
     c AS (SELECT unit_id, lag, CASE WHEN lag = 0 THEN acov - sn2 ELSE acov END AS x, acov AS y FROM acov JOIN sn USING (unit_id))
     SELECT a.unit_id, round(coalesce(sum(a.x * b.y) / nullif(sum(a.x * a.x), 0), 0), 6) + 0.0 AS g FROM c a JOIN c b ON a.unit_id = b.unit_id AND b.lag = a.lag + 1 WHERE a.lag < 2 GROUP BY a.unit_id"""), 6)(
     lambda i: signal.ar1(i.T, signal.noise(i.T, method="mean"), 2)
 )
-query("ar_coef", None, 6)(lambda i: signal.ar(i.T, signal.noise(i.T, method="mean"), 2, 5))
+query("ar_coef", sql("T", f"""{_ACOV_TO.format(lags=8)}{_BAND}, sn AS (SELECT unit_id, avg(p) AS sn2 FROM power GROUP BY ALL),
+    m AS (SELECT r.unit_id, x.acov - (CASE WHEN r.lag = 1 THEN sn2 ELSE 0 END) AS m0, y.acov - (CASE WHEN r.lag = 2 THEN sn2 ELSE 0 END) AS m1, r.acov AS v
+      FROM acov r JOIN acov x ON x.unit_id = r.unit_id AND x.lag = r.lag - 1 JOIN acov y ON y.unit_id = r.unit_id AND y.lag = abs(r.lag - 2) JOIN sn ON sn.unit_id = r.unit_id WHERE r.lag > 0),
+    e AS (SELECT unit_id, sum(m0 * m0) AS p, sum(m0 * m1) AS q, sum(m1 * m1) AS r, sum(m0 * v) AS u, sum(m1 * v) AS w FROM m GROUP BY ALL)
+    SELECT unit_id, lag::INT AS lag, round(CASE WHEN lag = 0 THEN r * u - q * w ELSE p * w - q * u END / (p * r - q * q), 6) + 0.0 AS g FROM e, range(2) l(lag)"""), 6)(lambda i: signal.ar(i.T, signal.noise(i.T, method="mean"), 2, 5))
 query("lstsq_scale", sql("T", f"{_LOW} SELECT unit_id, round(coalesce(sum(y * x) / nullif(sum(y * y), 0), 0), 6) + 0.0 AS scale FROM low GROUP BY unit_id"), 6)(lambda i: signal.scale_to(signal.smooth(i.T, 0.25), i.T))
 
 # --- graph --------------------------------------------------------------------
@@ -235,24 +270,24 @@ query("seeds_merge", sql("L bright", _POINTS + _PAIRS.format(r2=9) + _CORR + _GR
 
 # --- units --------------------------------------------------------------------
 
-_SEEDS = ", sd AS (SELECT row_number() OVER (ORDER BY v DESC, height, width) - 1 AS unit_id, height, width FROM (SELECT height, width, max(value) AS v FROM E GROUP BY ALL) ORDER BY v DESC, height, width LIMIT 6)"
+_SEEDS = ", sd AS (SELECT row_number() OVER (ORDER BY height, width) - 1 AS unit_id, height, width FROM (SELECT DISTINCT height, width FROM E))"
 query("initA", sql("E", _SEEDS + """, pr AS (SELECT s.unit_id, s.height AS sh, s.width AS sw, p.height, p.width FROM sd s JOIN (SELECT DISTINCT height, width FROM E) p
       ON pow(s.height - p.height, 2) + pow(s.width - p.width, 2) <= 9 AND (s.height <> p.height OR s.width <> p.width)),
     cr AS (SELECT unit_id, pr.height, pr.width, covar_pop(a.value, b.value) / (stddev_pop(a.value) * stddev_pop(b.value)) AS r FROM pr JOIN E a ON a.height = sh AND a.width = sw JOIN E b ON b.height = pr.height AND b.width = pr.width AND b.frame = a.frame GROUP BY ALL)
     SELECT unit_id, height, width, round(r, 6) + 0.0 AS value FROM cr WHERE r > 0.02 UNION ALL SELECT unit_id, height, width, 1.0 FROM sd"""), 6)(
-    lambda i: units.init_footprints(i.E, seeds_of_top(i), 0.02, 3)
+    lambda i: units.init_footprints(i.E, seeds.numbered(i.E.select(*PIXEL).distinct()), 0.02, 3)
 )
-
-
-def seeds_of_top(i: Inputs) -> DataFrame:
-    top = project.top_pixels(project.projection(i.E), 6)
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.orderBy(F.desc("value"), *PIXEL)) - 1  # six rows
-    return top.select(rank.cast("long").alias("unit_id"), *PIXEL)
-
-
-query("initC", None, 6)(lambda i: units.init_traces(i.E, i.A))
+_GRAM = """, k AS (SELECT count(DISTINCT unit_id) AS k FROM A), ids AS (SELECT unit_id, row_number() OVER (ORDER BY unit_id) AS pos FROM (SELECT DISTINCT unit_id FROM A)),
+    pair AS (SELECT a.unit_id AS u1, b.unit_id AS u2, sum(a.value * b.value) AS v FROM A a JOIN A b USING (height, width) GROUP BY ALL),
+    line AS (SELECT i.pos, list(coalesce(v, 0.0) ORDER BY j.pos) AS g FROM ids i CROSS JOIN ids j LEFT JOIN pair ON u1 = i.unit_id AND u2 = j.unit_id GROUP BY i.pos),
+    gram AS (SELECT list(g ORDER BY pos) AS g FROM line)"""
+query("initC", sql("E A", _GRAM + """, dot AS (SELECT unit_id, frame, sum(E.value * A.value) AS v FROM E JOIN A USING (height, width) GROUP BY ALL),
+    y AS (SELECT frame, list(v ORDER BY pos) AS y FROM dot JOIN ids USING (unit_id) GROUP BY frame),
+    cg(frame, step, x, r, d, norm) AS (SELECT frame, 0, list_transform(y, lambda v: 0.0::DOUBLE), y, y, list_dot_product(y, y) FROM y
+      UNION ALL SELECT frame, step + 1, list_transform(range(1, len(x) + 1), lambda i: x[i] + a * d[i]), rr, list_transform(range(1, len(x) + 1), lambda i: rr[i] + new / norm * d[i]), new
+      FROM (SELECT *, list_dot_product(rr, rr) AS new FROM (SELECT *, list_transform(range(1, len(x) + 1), lambda i: r[i] - a * q[i]) AS rr
+        FROM (SELECT *, norm / list_dot_product(d, q) AS a FROM (SELECT cg.*, list_transform(g, lambda row: list_dot_product(row, d)) AS q FROM cg, gram WHERE step < 10)))))
+    SELECT unit_id, frame, round(x[pos], 6) + 0.0 AS value FROM cg, ids WHERE step = 10""", True), 6)(lambda i: units.init_traces(i.E, i.A))
 _OVER = """, sz AS (SELECT unit_id, count(*) AS n FROM A GROUP BY ALL), ov AS (SELECT a.unit_id AS src, b.unit_id AS dst, count(*) AS shared FROM A a JOIN A b USING (height, width) WHERE a.unit_id < b.unit_id GROUP BY ALL),
     jac AS (SELECT src, dst, shared, shared / (p.n + q.n - shared)::DOUBLE AS jaccard FROM ov JOIN sz p ON p.unit_id = src JOIN sz q ON q.unit_id = dst)"""
 query("unit_overlap", sql("E A", _OVER + " SELECT src, dst, shared, round(jaccard, 6) AS jaccard FROM jac"), 6)(lambda i: units.overlaps(i.A))
@@ -311,14 +346,69 @@ def _single(i: Inputs) -> DataFrame:
 
 query("spatial_size_filter", sql("E A", "SELECT unit_id, height, width, round(value, 6) + 0.0 AS value FROM A WHERE unit_id IN (SELECT unit_id FROM A GROUP BY unit_id HAVING count(*) > 30 AND count(*) < 40)"), 6)(lambda i: units.sized(i.A, 30, 40))
 query("spatial_normalize", sql("E A", "SELECT unit_id, height, width, round(value / max(value) OVER (PARTITION BY unit_id), 6) + 0.0 AS value FROM A"), 6)(lambda i: units.normalised(i.A)[0])
-query("unit_size", sql("E A", "SELECT unit_id, count(*) AS n FROM A WHERE value > 0 GROUP BY unit_id"))(lambda i: i.A.where("value > 0").groupBy("unit_id").agg(F.count("*").alias("n")))
-query("spatial_lasso_multi", None, 6)(lambda i: units.update_spatial(i.E, i.A, i.C, signal.noise(i.E, keys=tuple(PIXEL)), shape=(8, 8), radius=1, penalty=0.05, size=(3, None))[0])
+query("unit_size", sql("E A", "SELECT unit_id, count(*) AS n FROM A WHERE value > 0 GROUP BY unit_id"))(lambda i: units.sizes(i.A))
+_LASSO = """, T AS (SELECT height * 8 + width AS unit_id, frame, value FROM E)""" + _BAND + """, sn AS MATERIALIZED (SELECT unit_id AS px, 0.05 * sqrt(exp(avg(ln(p + 2.220446049250313e-16)))) AS alpha FROM power GROUP BY ALL),
+    sup AS (SELECT DISTINCT unit_id, (height + dy) * 8 + width + dx AS px FROM A, range(-1, 2) a(dy), range(-1, 2) b(dx) WHERE dy * dy + dx * dx <= 1 AND height + dy BETWEEN 0 AND 7 AND width + dx BETWEEN 0 AND 7),
+    ids AS (SELECT unit_id, row_number() OVER (ORDER BY unit_id) AS pos FROM (SELECT DISTINCT unit_id FROM A)),
+    line AS (SELECT i.pos, list(v ORDER BY j.pos) AS g FROM ids i CROSS JOIN ids j JOIN (SELECT a.unit_id AS u1, b.unit_id AS u2, covar_pop(a.value, b.value) AS v FROM C a JOIN C b USING (frame) GROUP BY ALL) ON u1 = i.unit_id AND u2 = j.unit_id GROUP BY i.pos),
+    gram AS MATERIALIZED (SELECT list(g ORDER BY pos) AS g, count(*) AS k FROM line),
+    want AS MATERIALIZED (SELECT px, list(CASE WHEN sup.unit_id IS NULL THEN NULL ELSE v END ORDER BY pos) AS want FROM (SELECT C.unit_id, T.unit_id AS px, covar_pop(C.value, T.value) AS v FROM C JOIN T USING (frame) GROUP BY ALL) c JOIN ids USING (unit_id) LEFT JOIN sup USING (unit_id, px) GROUP BY px),
+    cd(px, step, w) AS (SELECT px, 0, list_transform(want, lambda v: 0.0::DOUBLE) FROM want
+      UNION ALL SELECT px, step + 1, list_transform(range(1, len(w) + 1), lambda i: CASE WHEN i = j THEN coalesce(greatest(0, w[j] + (want[j] - alpha - list_dot_product(g[j], w)) / g[j][j]), 0) ELSE w[i] END)
+      FROM (SELECT cd.*, want, alpha, g, (step % k + 1)::INT AS j FROM cd JOIN want USING (px) JOIN sn USING (px), gram WHERE step < 40 * k)),
+    fit AS (SELECT unit_id, (px // 8)::INT AS height, (px % 8)::INT AS width, w[pos] AS value FROM cd, ids, gram WHERE step = 40 * k AND w[pos] > 0)
+    SELECT unit_id, height, width, round(value / max(value) OVER (PARTITION BY unit_id), 6) + 0.0 AS value FROM fit QUALIFY count(*) OVER (PARTITION BY unit_id) > 3"""
+query("spatial_lasso_multi", sql("E A C", _LASSO, True), 6)(lambda i: units.update_spatial(i.E, i.A, i.C, signal.noise(i.E, keys=tuple(PIXEL)), shape=(8, 8), radius=1, penalty=0.05, size=(3, None))[0])
 query("temporal_deconv", None, 6)(lambda i: units.update_temporal(i.T.select("unit_id", F.lit(0).alias("height"), F.col("unit_id").cast("int").alias("width"), F.lit(1.0).alias("value")).distinct(), i.T, penalty=0.1).drop("g"))
+query("temporal_invariants", sql("T", "SELECT unit_id, count(*) AS frames, true AS feasible, true AS better FROM T GROUP BY unit_id HAVING max(value) > 0"))(lambda i: _temporal(i))
+
+
+def _temporal(i: Inputs) -> DataFrame:
+    """What deconvolved traces must keep: c and s not negative, s what c's autoregression
+    leaves, and an objective, at the best baseline, no greater than that of a constant."""
+    one = i.T.select("unit_id", F.lit(0).alias("height"), F.col("unit_id").cast("int").alias("width"), F.lit(1.0).alias("value")).distinct()
+    t = written(units.update_temporal(one, i.T, penalty=0.1), "temporal")
+    y = signal.smooth(i.T, 0.25).withColumnRenamed("value", "y")
+    sn = signal.noise(i.T, (0.25, 1.0)).join(i.T.groupBy("unit_id").agg(F.avg("value").alias("m")), "unit_id")  # traces are solved over their means
+    was = F.coalesce(F.lag("c").over(Window.partitionBy("unit_id").orderBy("frame")), F.lit(0.0))
+    rows = t.withColumn("ok", (F.col("c") >= 0) & (F.col("s") >= 0) & (F.abs(F.col("c") - F.col("g")[0] * was - F.col("s")) <= 1e-6 * (1 + F.col("c"))))
+    rows = rows.join(y, ["unit_id", "frame"]).withColumn("r", F.col("y") - F.col("c") - F.col("b") - F.col("c0"))
+    each = rows.groupBy("unit_id").agg(F.count("*").alias("frames"), F.min("ok").alias("feasible"), (F.stddev_pop("r") * F.sqrt(F.count("*"))).alias("off"), F.sum("s").alias("s"), (F.stddev_pop("y") * F.sqrt(F.count("*"))).alias("flat"))
+    return each.join(sn, "unit_id").select("unit_id", "frames", "feasible", (F.col("off") + F.col("sn") / F.col("m") * 0.1 * F.col("s") <= F.col("flat") * (1 + 1e-6)).alias("better"))
+
 
 # --- motion -------------------------------------------------------------------
 
 query("motion_rigid", None, 3)(lambda i: motion.estimate(i.L, upsample=10))
-query("motion_elastic", None)(lambda i: motion.estimate(i.L, mesh=(1, 1)).select("frame", "rows", "columns"))
+query("motion_elastic", None, 3)(lambda i: motion.estimate(i.L, mesh=(1, 1)).select("frame", F.posexplode("coef").alias("place", "shift")))
+#: A picture of the line items, 32 pixels wide, moved about: its shifts are known.
+query("motion_planted", """WITH f AS (SELECT unnest(range(60)) AS frame), s AS (SELECT frame, 5 - frame * 7 % 11 AS dy, 4 - frame * 5 % 9 AS dx FROM f)
+    SELECT frame::INT AS frame, (dy - lag(dy) OVER w)::DOUBLE AS dy, (dx - lag(dx) OVER w)::DOUBLE AS dx FROM s WINDOW w AS (ORDER BY frame) QUALIFY frame > 0""")(lambda i: _steps(motion.estimate(_moved_picture(i), upsample=20, alt_error=None)))
+
+
+def _steps(moved: DataFrame) -> DataFrame:
+    """Whole pixels from frame to frame."""
+    w = Window.orderBy("frame")  # 60 rows
+    return moved.select("frame", *[(F.round(F.col(c) - F.lag(c).over(w)) + F.lit(0.0)).alias(c) for c in ("dy", "dx")]).where("frame > 0")
+
+
+def _moved_picture(i: Inputs) -> DataFrame:
+    cells = i.table("lineitem").groupBy((F.col("l_orderkey") % 32).cast("int").alias("height"), (F.col("l_partkey") % 32).cast("int").alias("width")).agg(F.sum("l_quantity").alias("v"))
+    grid = i.spark.range(32 * 32).select(F.floor(F.col("id") / 32).cast("int").alias("height"), (F.col("id") % 32).cast("int").alias("width"))
+    picture = grid.join(cells, PIXEL, "left").select(*PIXEL, F.coalesce("v", F.lit(0.0)).alias("value"))
+    frames = i.spark.range(60).select(F.col("id").cast("int").alias("frame"), (F.col("id") * 7 % 11 - 5).alias("dy"), (F.col("id") * 5 % 9 - 4).alias("dx"))
+    at = lambda c, d: F.pmod(F.col(c) + F.col(d), F.lit(32)).cast("int").alias(c)
+    return picture.crossJoin(F.broadcast(frames)).select("frame", at("height", "dy"), at("width", "dx"), "value")  # 60 rows
+
+
+_NCC = """, tpl AS (SELECT height, width, value - avg(value) OVER () AS d FROM (SELECT height, width, avg(value) AS value FROM L GROUP BY ALL)),
+    win AS (SELECT f.frame, dy, dx, t.d, coalesce(L.value, 0.0) AS v FROM (SELECT DISTINCT frame FROM L) f CROSS JOIN range(-3, 4) a(dy) CROSS JOIN range(-3, 4) b(dx) CROSS JOIN tpl t
+      LEFT JOIN L ON L.frame = f.frame AND L.height = t.height + dy AND L.width = t.width + dx),
+    ncc AS (SELECT frame, dy, dx, sum(v * d) / nullif(sqrt(var_pop(v) * count(*) * sum(d * d)), 0) AS c FROM win GROUP BY frame, dy, dx)"""
+query("match_template", sql("L", _NCC + " SELECT frame, (-arg_max(dy, (c, -dy, -dx)))::DOUBLE AS dy, (-arg_max(dx, (c, -dy, -dx)))::DOUBLE AS dx FROM ncc GROUP BY frame"))(
+    lambda i: motion.template_motion(i.L, motion.mean_image(i.L), 3)
+)
+query("circularity", None, 6)(lambda i: motion.circularities(i.L, 3))
 query("apply_shift_integer", sql("L", """SELECT c.frame, c.height, c.width, coalesce(n.value, 0.0) AS value FROM L c
     LEFT JOIN L n ON n.frame = c.frame AND n.height = c.height - (c.frame % 3 - 1) AND n.width = c.width - c.frame % 2"""))(
     lambda i: motion.apply_integer(i.L, i.L.select("frame").distinct().select("frame", (F.col("frame") % 3 - 1).alias("dy"), (F.col("frame") % 2).alias("dx")))
@@ -328,14 +418,9 @@ query("apply_shift_bilinear", sql("L", f"""SELECT c.frame, c.height, c.width, CA
     lambda i: motion.apply(i.L, i.L.select("frame").distinct().select("frame", F.lit(0.5).alias("dy"), F.lit(-0.25).alias("dx")))
 )
 query("motion_centred", sql("L", """, m AS (SELECT DISTINCT frame, (frame % 7) * 1.0 AS step FROM L),
-    c AS (SELECT frame, sum(step) OVER (ORDER BY frame) AS sh FROM m) SELECT frame, round(sh - avg(sh) OVER (), 6) + 0.0 AS dy FROM c"""), 6)(lambda i: _centred(i))
-
-
-def _centred(i: Inputs) -> DataFrame:
-    from pyspark.sql import Window
-
-    steps = i.L.select("frame").distinct().withColumn("at", F.sum((F.col("frame") % 7) * 1.0).over(Window.orderBy("frame")))  # one row per frame
-    return steps.crossJoin(F.broadcast(steps.agg(F.avg("at").alias("m")))).select("frame", (F.col("at") - F.col("m")).alias("dy"))
+    c AS (SELECT frame, sum(step) OVER (ORDER BY frame) AS sh FROM m) SELECT frame, round(sh - avg(sh) OVER (), 6) + 0.0 AS dy, 0.0::DOUBLE AS dx FROM c"""), 6)(
+    lambda i: motion.accumulated(i.L.select("frame").distinct().select("frame", (F.col("frame") % 7).cast("double").alias("dy"), F.lit(0.0).alias("dx")))
+)
 
 
 # --- parameters, paths, clips ---------------------------------------------------
@@ -388,7 +473,8 @@ query("pipeline_end_to_end", None, 6)(lambda i: _pipeline(i))
 
 
 def _pipeline(i: Inputs) -> DataFrame:
-    from glintframe.plans.pipeline import PLANTED, planted, run
+    """Footprints and traces of all of L: the whole analysis of a movie at rest."""
+    from glintframe.plans.pipeline import TABLE, run
 
-    out = run(planted(i.spark), PLANTED)
-    return out["C"].groupBy("unit_id").agg(F.count("*").alias("frames"), F.max("value").alias("peak")).join(out["A"].groupBy("unit_id").agg(F.count("*").alias("pixels")), "unit_id")
+    out = run(i.L, TABLE)
+    return _both(out["A"], out["C"])

@@ -176,7 +176,7 @@ def test_elastic_motion_is_found(spark):
 
 def test_elastic_query_moves_all_frames(spark):
     run = registry.queries()
-    rigid, elastic = (sorted(r.frame for r in run[q](spark, "/root/testdata/sf0.001").collect()) for q in ("motion_rigid", "motion_elastic"))
+    rigid, elastic = (sorted({r.frame for r in run[q](spark, "/root/testdata/sf0.001").collect()}) for q in ("motion_rigid", "motion_elastic"))
     assert elastic == rigid == list(range(83))
 
 
@@ -254,6 +254,9 @@ def test_videos(spark, tmp_path):
     (tmp_path / "v1.avi").write_bytes(avi(grey, 8))
     (tmp_path / "v2.avi").write_bytes(avi(np.repeat(grey[..., None], 3, -1), 24))
     assert (array_of(video.load(spark, str(tmp_path), video.avi_frames, glob="*.avi"), (6, 4, 5)) == np.concatenate([grey, grey])).all()
+    own = lambda path, data: iter(np.frombuffer(data, dtype=np.uint8).reshape(-1, 4, 5))
+    assert (array_of(video.load(spark, str(tmp_path), own, glob="*.raw"), whole.shape) == whole).all()
+    assert (array_of(video.load(spark, str(tmp_path), video.raw_decoder(4, 5), glob="*.raw", frames_a_task=1), whole.shape) == whole).all()
     with pytest.raises(FileNotFoundError):
         video.load(spark, str(tmp_path), video.tiff_pages, glob="*.none")
 
@@ -317,3 +320,54 @@ def test_session(spark, tmp_path):
 def test_parts(spark):
     out = pipeline.run_parts(pipeline.planted(spark).where("frame < 80"), 40, pipeline.PLANTED)
     assert {r.part for r in out["C"].select("part").distinct().collect()} == {0, 1} and out["C"].agg(F.max("frame")).first()[0] >= 78
+
+
+def test_products_over_tiles_and_blocks(spark):
+    rng = np.random.default_rng(4)
+    a, c = rng.normal(size=(13, 5, 7)), rng.normal(size=(3, 13))
+    where = [(u, y, x) for u in range(3) for y in range(5) for x in range(7) if (u + y * x) % 3]
+    C = spark.createDataFrame([(u, t, float(c[u, t])) for u in range(3) for t in range(13)], "unit_id long, frame int, value double")
+    got = units.products(movie_of(spark, a), C, spark.createDataFrame(where, "unit_id long, height int, width int"), tile=2, frames=4).collect()
+    assert {(r.unit_id, r.height, r.width) for r in got} == set(where)
+    assert all(np.isclose(r.cy, (c[r.unit_id] * a[:, r.height, r.width]).sum()) for r in got)
+
+
+def test_spatial_weights_by_covariances(spark):
+    """The same weights as from whole traces, for pixels of one and of several units."""
+    from glintframe.functions import kernels
+
+    rng = np.random.default_rng(5)
+    c = rng.random((3, 40))
+    mix = rng.random((3, 4, 4)) * (rng.random((3, 4, 4)) < 0.6)
+    a = np.einsum("ut,uyx->tyx", c, mix) + rng.normal(0, 0.05, (40, 4, 4))
+    where = [(u, y, x) for u in range(3) for y in range(4) for x in range(4) if u == 0 or (y + x) % 3 == 0]
+    C = spark.createDataFrame([(u, t, float(c[u, t])) for u in range(3) for t in range(40)], "unit_id long, frame int, value double")
+    sn = spark.createDataFrame([(y, x, 0.02) for y in range(4) for x in range(4)], "height int, width int, sn double")
+    got = {(r.unit_id, r.height, r.width): r.value for r in units.spatial_weights(movie_of(spark, a), C, spark.createDataFrame(where, "unit_id long, height int, width int"), sn, 0.5).collect()}
+    for y in range(4):
+        for x in range(4):
+            ids = [u for u, i, j in where if (i, j) == (y, x)]
+            for u, w in zip(ids, kernels.positive_lasso(c[ids].T, a[:, y, x], 0.01)):
+                assert np.isclose(got.get((u, y, x), 0.0), w, atol=1e-6)
+
+
+def test_traces_by_groups_of_units(spark):
+    """Units that overlap are solved together, others apart, in blocks of frames."""
+    rng = np.random.default_rng(6)
+    foot = np.zeros((4, 6, 6))
+    foot[0, :3, :2], foot[1, 1:4, 1:3], foot[2, 4:, 4:], foot[3, 0, 5] = (rng.random(s) + 0.5 for s in ((3, 2), (3, 2), (2, 2), ()))
+    true = rng.random((4, 11))
+    A = spark.createDataFrame([(u, y, x, float(foot[u, y, x])) for u, y, x in np.argwhere(foot > 0).tolist()], "unit_id long, height int, width int, value double")
+    got = units.init_traces(movie_of(spark, np.einsum("ut,uyx->tyx", true, foot)), A, frames=4).collect()
+    assert len(got) == 44 and all(np.isclose(r.value, true[r.unit_id, r.frame], atol=1e-6) for r in got)
+
+
+def test_accumulated_over_blocks(spark):
+    rng = np.random.default_rng(7)
+    steps = rng.normal(size=(30, 2))
+    df = spark.createDataFrame([(t, *map(float, s)) for t, s in enumerate(steps)], "frame int, dy double, dx double")
+    want = steps.cumsum(0) - steps.cumsum(0).mean(0)
+    for r in motion.accumulated(df, block=7).collect():
+        assert np.allclose((r.dy, r.dx), want[r.frame])
+    both = df.withColumn("part", F.lit(0)).union(df.withColumn("part", F.lit(1)))
+    assert motion.accumulated(both, ("part",), 7).count() == 60

@@ -69,7 +69,7 @@ def test_lsqr_reaches_least_squares():
     assert np.allclose(K.lsqr(a, y, 20), np.linalg.lstsq(a, y, rcond=None)[0])
     from glintframe.operators.units import _normal_equations
 
-    assert np.allclose(_normal_equations(a.T @ a, a.T @ y, 10), K.lsqr(a, y, 10))
+    assert np.allclose(_normal_equations(lambda d: a.T @ (a @ d), a.T @ y, 10), K.lsqr(a, y, 10))
 
 
 @pytest.mark.parametrize("alpha", [0.0, 0.05, 0.5])
