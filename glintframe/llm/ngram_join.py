@@ -11,6 +11,7 @@ reach the overlap that their sizes ask for.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -297,6 +298,11 @@ def _may_link(num: int, den: int) -> Column:
     )
 
 
+def _size_class(n: Column, num: int, den: int) -> Column:
+    """Sizes of linked sets are of one class, or of two next to each other."""
+    return F.floor(F.log(n) / (1.000001 * math.log(den / num))) if num < den else n
+
+
 def _paired(met: DataFrame, hub: Column) -> DataFrame:
     """Rows a and b of one n-gram as pairs (lo, hi, hub) of sets, each pair once. Of a
     pair with a set that many are paired with, hub says which that is."""
@@ -385,10 +391,12 @@ def _members(df: DataFrame, id_col: str, text_col: str, width: int, num: int, de
         return some.select(*df.columns, name).union(told.where("not there").select(*df.columns, F.col(of).alias(name)))
 
     leads = met(front.select("gram", F.col("sid").alias("lead")), "lead", "group").drop("lead")
-    mixed = written(met(crowded, "sid", "component").join(leads, "gram"), "mixed")  # a crowded n-gram's rows can be split again
-    across = mixed.where("component <> group").alias("a").join(
+    mixed = met(crowded, "sid", "component").join(leads, "gram").withColumn("class", _size_class(_n(F.col("np")), num, den))
+    mixed = written(mixed, "mixed")  # a crowded n-gram's rows can be split again
+    outside = mixed.where("component <> group").withColumn("class", F.explode(F.array(*[F.col("class") + k for k in (-1, 0, 1)])))
+    across = outside.alias("a").join(
         mixed.alias("b"),
-        (F.col("a.gram") == F.col("b.gram")) & (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("b.group")) | (F.col("a.sid") < F.col("b.sid"))) & _may_link(num, den),
+        (F.col("a.gram") == F.col("b.gram")) & (F.col("a.class") == F.col("b.class")) & (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("b.group")) | (F.col("a.sid") < F.col("b.sid"))) & _may_link(num, den),
     )
     more = _linked(_paired(across, none), sets, nodes, num, den)
     if more.take(1):

@@ -637,6 +637,8 @@ def test_toxicity_of_digits_and_long_tokens(spark, toxic_world):
     rows = model.characters.tolist()
     for hidden in ("9rum84k", "5n0723l", "5n07z31", "g-----------r-----------u-----------m-----------b-----------a-----------k", "gr" + "u" * 100 + "mbak", " ".join("grumbak") + "  " + "  ".join(map(" ".join, ["dra"] * 20)), "vimen-" * 20 + "grumbak"):
         assert {"grumbak", "snotzel"} & set(toxicity.readings(hidden, rows)), (hidden, toxicity.readings(hidden, rows))
+    for hidden in ("g" + "r" * 70 + "umbak", "grum8ak" + "!" * 60, ("." * 13).join("grumbak"), "g" + "r" * 120 + "um8@k"):
+        assert "grumbak" in toxicity.readings(hidden, rows), (hidden, toxicity.readings(hidden, rows))
     for number in ("2024", "10", "1999", "3000000", "12/2024", "7", "0" * 100):
         assert toxicity.restore(number, rows) == number.replace("/", " ") or "/" in number, (number, toxicity.restore(number, rows))
     clean = "la men tor ik osun dra pelsa vimen torla"
