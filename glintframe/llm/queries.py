@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glintframe.llm import chat, dedup, html_extract, mixing, ngram_join, packing, quality, sharding, toxicity, warc
+from glintframe.llm import chat, dedup, divergence, html_extract, mixing, ngram_join, packing, quality, sharding, token_files, toxicity, warc, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,8 +80,28 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_files.token_folder(spark)
+    files = token_files.write_tokens(table(spark, sf_dir, "documents"), folder, tokenizer())
+    return token_files.read_tokens(files, folder, ids=False)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc, op2_prefix_targets, op3_exact_dedup, op4_byte_shards, op5_ngram_join, op6_divergence_rules, op7_text_density, op8_pivotal_mix, op9_toxicity, op10_best_fit_packing)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_warc, op2_prefix_targets, op3_exact_dedup, op4_byte_shards, op5_ngram_join, op6_divergence_rules, op7_text_density, op8_pivotal_mix, op9_toxicity, op10_best_fit_packing,
+            op11_source_divergence, op12_whitening, op13_token_files,
+        )
+    }
 
 
 SQL = {
@@ -181,4 +201,22 @@ SQL = {
         SELECT doc_id, n_words::BIGINT AS n_words, coalesce(word_chars, 0) AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
                base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM far) AS kept
         FROM done""",
+    "op11_source_divergence": r"""
+        WITH d AS (
+          SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                 regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        occ AS (SELECT lang, source, r, term, count(*) AS n FROM (SELECT lang, source, r, unnest(w) AS term FROM d) GROUP BY ALL),
+        kept AS (SELECT lang, term, sum(n) AS n FROM occ GROUP BY lang, term HAVING count(*) >= 3),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        c AS (SELECT lang, source, term, sum(n) AS n FROM occ GROUP BY ALL),
+        cnt AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN kept k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        p AS (SELECT *, (1 + (1000000000 * (n + 1)) // (sum(n) OVER w + count(*) OVER w))::BIGINT AS p FROM cnt WINDOW w AS (PARTITION BY lang, source)),
+        q AS (SELECT *, (1 + (1000000000 * (n + 1)) // (sum(n) OVER w + count(*) OVER w))::BIGINT AS p FROM kept WINDOW w AS (PARTITION BY lang)),
+        apart AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        part AS (
+          SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+          UNION ALL SELECT p.lang, p.source, 'term', p.term, ((p.p - q.p) * (p.p - q.p)) // q.p FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE p.n > 0 AND p.p > q.p)
+        SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
+        FROM part QUALIFY part = 'pair' OR rank <= 200""",
 }

@@ -20,6 +20,9 @@ COLUMNS = {
     "op8_pivotal_mix": "doc_id size source_size target taken",
     "op9_toxicity": "doc_id held_out score predicted",
     "op10_best_fit_packing": "doc_id piece start length ids_crc32 sequence_id offset",
+    "op11_source_divergence": "lang source part item value rank",
+    "op12_whitening": "vec_id component n deviation whitened explained identity_error",
+    "op13_token_files": "doc_id start n_tokens ids_crc32",
 }
 
 
