@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,13 +40,62 @@ def unit_length(rows: DataFrame) -> DataFrame:
     return centred.withColumn("trace", F.transform("trace", lambda v: F.when(flat | (F.col("_size") == 0), F.lit(0.0)).otherwise(v / F.col("_size")))).drop("_mean", "_size")
 
 
-def edge_correlation(edges: DataFrame, rows: DataFrame) -> DataFrame:
-    """edges(src, dst, ...) with corr, of rows(id, trace); only pairs that are edges
-    are looked at. 0 where either trace doesn't vary."""
-    z = unit_length(rows)
-    met = edges.join(z.select(F.col("id").alias("src"), F.col("trace").alias("_a")), "src").join(z.select(F.col("id").alias("dst"), F.col("trace").alias("_b")), "dst")
-    dot = F.aggregate(F.zip_with("_a", "_b", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-    return met.withColumn("corr", dot).drop("_a", "_b")
+def tiles(points: DataFrame, side: int = 24) -> DataFrame:
+    """(id, part) of points(id, height, width): square tiles of the picture, so that of
+    pixels a part has side * side at most, and most near pairs lie within one."""
+    return points.select("id", (F.floor(F.col("height") / side) * (1 << 24) + F.floor(F.col("width") / side)).cast("long").alias("part"))
+
+
+def members(edges: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """(part, id, others): which traces each part of the graph edges(src, dst) needs. An
+    edge belongs to the part of its dst, whose row lists the srcs as `others`; nodes
+    of other parts on its edges are its halo, with an empty list. A node is there
+    once for each part, however many edges it has there. Without parts, every dst is
+    one. (Of a hub's edges, let it be src, and each part has a few.)"""
+    if parts is None:
+        home = edges.select("src", "dst", F.col("dst").alias("part"))
+    else:
+        home = edges.select("src", "dst").join(parts.select(F.col("id").alias("dst"), "part"), "dst")
+    ends = F.explode(F.array(F.struct(F.col("dst").alias("id"), F.col("src").alias("other")), F.struct(F.col("src").alias("id"), F.lit(None).cast("long").alias("other")))).alias("e")
+    return home.select("part", ends).groupBy("part", "e.id").agg(F.collect_list("e.other").alias("others"))
+
+
+def edge_products(edges: DataFrame, rows: DataFrame, parts: DataFrame | None = None, frames: int = 1000) -> DataFrame:
+    """(src, dst, dot): scalar products of the traces of rows(id, trace), all of one
+    length, along distinct edges(src, dst); ids are long numbers.
+
+    The graph goes by parts: a trace moves once to every part that needs it, and
+    there, `frames` frames at a time, meets its neighbours in one matrix product.
+    What a task holds are one part's traces, with its halo, in these frames.
+    """
+    k = F.sequence(F.lit(0).cast("long"), F.floor((F.size("trace") - 1) / frames))
+    block = F.explode(F.transform(k, lambda i: F.struct(i.alias("block"), F.slice("trace", (i * frames + 1).cast("int"), F.lit(frames)).alias("x")))).alias("b")
+    met = members(edges, parts).join(rows.select("id", "trace"), "id").select("part", "id", "others", block).select("part", "id", "others", "b.block", "b.x")
+
+    def multiply(group: pa.Table) -> pa.Table:
+        ids, n = group.column("id").to_numpy(), len(group)
+        x = np.zeros((n, max(len(v) for v in group.column("x"))))
+        for i, v in enumerate(group.column("x")):
+            x[i, : len(v)] = v.values.to_numpy()
+        others = group.column("others").combine_chunks()
+        many = np.diff(others.offsets.to_numpy())
+        order = np.argsort(ids, kind="stable")
+        at = order[np.searchsorted(ids, others.flatten().to_numpy(), sorter=order)]
+        own = np.repeat(np.arange(n), many)
+        home = np.flatnonzero(many)
+        dots = (x[home] @ x.T)[np.searchsorted(home, own), at]
+        return pa.table({"src": ids[at], "dst": ids[own], "dot": dots})
+
+    parts_ = met.groupBy("part", "block").applyInArrow(multiply, "src long, dst long, dot double")
+    return parts_.groupBy("src", "dst").agg(F.sum("dot").alias("dot"))
+
+
+def edge_correlation(edges: DataFrame, rows: DataFrame, points: DataFrame | None = None, side: int = 24) -> DataFrame:
+    """Distinct edges(src, dst, ...) with corr, of rows(id, trace); only pairs that are
+    edges are looked at. 0 where either trace doesn't vary. With points(id, height,
+    width), traces move by tiles of the picture (see edge_products)."""
+    got = edge_products(edges, unit_length(rows), None if points is None else tiles(points, side)).withColumnRenamed("dot", "corr")
+    return got if edges.columns == ["src", "dst"] else edges.join(got, ["src", "dst"])
 
 
 def labels(nodes: DataFrame, edges: DataFrame, only_connected: bool = False) -> DataFrame:

@@ -120,7 +120,7 @@ def merge(movie: DataFrame, image: DataFrame, seeds: DataFrame, distance: float
     if freq is not None:
         traces = signal.smooth(traces, freq, keys=("seed_id",))
     rows = signal.arrays(traces, ["seed_id"]).withColumnRenamed("seed_id", "id")
-    edges = graph.edge_correlation(graph.radius_pairs(points, distance), rows).where(F.col("corr") > correlation)
+    edges = graph.edge_correlation(graph.radius_pairs(points, distance).select("src", "dst"), rows, points).where(F.col("corr") > correlation)
     groups = graph.connected(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
     met = seeds.drop("mask_mrg").join(groups.select(F.col("id").alias("seed_id"), "component"), "seed_id", "left").join(image.select(*PIXEL, F.col("value").alias("_v")), PIXEL, "left")
     best = met.groupBy(F.coalesce("component", "seed_id").alias("_g")).agg(F.max(F.struct("_v", -F.col("seed_id"))).alias("b")).select((-F.col("b.col2")).alias("seed_id"), F.lit(True).alias("mask_mrg"))

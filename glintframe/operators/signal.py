@@ -19,6 +19,14 @@ def arrays(traces: DataFrame, keys: list[str]) -> DataFrame:
     return traces.groupBy(*keys).agg(F.transform(cells, lambda c: c["value"]).alias("trace"))
 
 
+def centred(traces: DataFrame, keys: list[str]) -> DataFrame:
+    """As arrays, less each trace's mean; the mean comes from the aggregation that
+    gathers the trace, so that it isn't found anew for each of its values."""
+    cells = F.sort_array(F.collect_list(F.struct("frame", "value")))
+    rows = traces.groupBy(*keys).agg(cells.alias("_cells"), F.avg("value").alias("_mean"))
+    return rows.select(*keys, F.transform("_cells", lambda c: c["value"] - F.col("_mean")).alias("trace"))
+
+
 def long(rows: DataFrame, keys: list[str], column: str = "trace") -> DataFrame:
     return rows.select(*keys, F.posexplode(column).alias("frame", "value"))
 

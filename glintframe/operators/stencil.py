@@ -2,8 +2,9 @@
 
 Rectangular and separable kernels are two passes of windows; a disk is a row
 window for each of its heights, shifted vertically. All windows of a frame are
-clustered by frame, so an operator has one shuffle at most, and work is linear in
-the kernel's extent, not in its area.
+clustered by frame, so operators have one shuffle at most, together too (none of a
+movie stored by frame, see sources.catalog), and work is linear in the kernel's
+extent, not in its area.
 """
 
 from __future__ import annotations
@@ -13,15 +14,22 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glintframe.operators import VOXEL
+from glintframe.operators import PIXEL, VOXEL
 
 #: Smoothing kernels for sigma 0, by size: fixed values of the common 8-bit tables.
 SMALL_GAUSSIANS = {1: (1.0,), 3: (0.25, 0.5, 0.25), 5: (0.0625, 0.25, 0.375, 0.25, 0.0625), 7: (0.03125, 0.109375, 0.21875, 0.28125, 0.21875, 0.109375, 0.03125)}
 
 
 def by_frame(movie: DataFrame, by: tuple = ()) -> DataFrame:
-    """All of a frame in one partition; later windows within frames don't shuffle."""
-    return movie.repartition(*by, "frame")
+    """The movie with its frames' heights and widths as _h and _w, frame by frame.
+
+    A window over each frame finds them. It needs a frame's rows in one place and in
+    order, as all later windows along rows and columns do; whether that takes an
+    exchange is up to the plan: none where the movie is stored by frame, or comes from
+    another operator of this kind.
+    """
+    w = Window.partitionBy(*by, "frame").orderBy(*PIXEL).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return movie.withColumns({"_h": F.max("height").over(w) + 1, "_w": F.max("width").over(w) + 1})
 
 
 def _along(axis: str, by: tuple):
@@ -29,17 +37,6 @@ def _along(axis: str, by: tuple):
     return Window.partitionBy(*by, "frame", other).orderBy(axis)
 
 
-def extents(movie: DataFrame, by: tuple = ()) -> DataFrame:
-    """Heights and widths, as one row (for each value of by)."""
-    return movie.groupBy(*by).agg((F.max("height") + 1).alias("_h"), (F.max("width") + 1).alias("_w"))
-
-
-def _sized(movie: DataFrame, by: tuple) -> DataFrame:
-    """The movie by frame, with its height and width in every row (one row each is sent)."""
-    size = F.broadcast(extents(movie, by))
-    return by_frame(movie.join(size, list(by)) if by else movie.crossJoin(size), by)
-
-
 def padded(movie: DataFrame, axis: str, before: int, after: int, mode: str, size: Column) -> DataFrame:
     """The movie with rows beyond its borders along an axis: "reflect" repeats the
     edge (b a | a b), "reflect101" doesn't (c b | a b), "replicate" is a a | a b.
@@ -62,7 +59,7 @@ def padded(movie: DataFrame, axis: str, before: int, after: int, mode: str, size
 def correlations(movie: DataFrame, pairs: dict[str, tuple[tuple, tuple]], mode: str, by: tuple = ()) -> DataFrame:
     """The movie with a column for each pair of odd kernels of one length, (along rows,
     along columns): its correlation with their outer product. All in two passes."""
-    out = _sized(movie, by).withColumns({n: F.col("value") for n in pairs})
+    out = by_frame(movie, by).withColumns({n: F.col("value") for n in pairs})
     for axis, size, which in (("width", "_w", 0), ("height", "_h", 1)):
         half = len(next(iter(pairs.values()))[which]) // 2
         w = _along(axis, by)
@@ -98,7 +95,7 @@ def with_box_mean(movie: DataFrame, size: int, mode: str = "reflect", by: tuple
     """The movie with `mean`, that of size x size pixels around; of an even size, the
     further one lies before."""
     before, after = size // 2, (size - 1) // 2
-    out = _sized(movie, by).withColumn("mean", F.col("value"))
+    out = by_frame(movie, by).withColumn("mean", F.col("value"))
     for axis, n in (("width", "_w"), ("height", "_h")):
         mean = F.avg("mean").over(_along(axis, by).rowsBetween(-before, after))
         out = padded(out, axis, before, after, mode, F.col(n)).withColumn("mean", mean).where((F.col(axis) >= 0) & (F.col(axis) < F.col(n)))
@@ -113,7 +110,7 @@ def median(movie: DataFrame, size: int = 5, by: tuple = ()) -> DataFrame:
     """Median over an odd square, borders replicated."""
     size += size % 2 == 0
     half = size // 2
-    out = _sized(movie, by)
+    out = by_frame(movie, by)
     out = padded(out, "width", half, half, "replicate", F.col("_w"))
     out = padded(out, "height", half, half, "replicate", F.col("_h"))
     out = out.withColumn("_c", F.collect_list("value").over(_along("height", by).rowsBetween(-half, half))).where((F.col("height") >= 0) & (F.col("height") < F.col("_h")))
@@ -135,6 +132,9 @@ def ellipse_widths(size: int) -> list[int]:
 def _over_disk(df: DataFrame, names: dict[str, tuple[str, str]], widths: list[int], by: tuple) -> DataFrame:
     """names: output -> (input, "max" or "min") over the disk, pixels outside the frame left out."""
     kinds = {"max": (F.max, F.greatest), "min": (F.min, F.least)}
+    if "_h" not in df.columns:
+        df = by_frame(df, by)
+    df = df.where(F.col("height") < F.col("_h"))  # keeps all; a use of _h, so that the plan keeps frames whole
     along, down = _along("width", by), _along("height", by)
     rows, out = {}, {}
     for name, (source, kind) in names.items():
@@ -150,17 +150,17 @@ def _over_disk(df: DataFrame, names: dict[str, tuple[str, str]], widths: list[in
 
 
 def dilate(movie: DataFrame, radius: int, by: tuple = ()) -> DataFrame:
-    return _over_disk(by_frame(movie, by), {"value": ("value", "max")}, disk_widths(radius), by).select(*by, *VOXEL, "value")
+    return _over_disk(movie, {"value": ("value", "max")}, disk_widths(radius), by).select(*by, *VOXEL, "value")
 
 
 def erode(movie: DataFrame, radius: int, by: tuple = ()) -> DataFrame:
-    return _over_disk(by_frame(movie, by), {"value": ("value", "min")}, disk_widths(radius), by).select(*by, *VOXEL, "value")
+    return _over_disk(movie, {"value": ("value", "min")}, disk_widths(radius), by).select(*by, *VOXEL, "value")
 
 
 def tophat(movie: DataFrame, radius: int | None = None, by: tuple = (), widths: list[int] | None = None) -> DataFrame:
     """The movie less its opening by a disk."""
     widths = widths or disk_widths(radius)
-    low = _over_disk(by_frame(movie, by), {"_low": ("value", "min")}, widths, by)
+    low = _over_disk(movie, {"_low": ("value", "min")}, widths, by)
     high = _over_disk(low, {"_open": ("_low", "max")}, widths, by)
     return high.select(*by, *VOXEL, (F.col("value") - F.col("_open")).alias("value"))
 
@@ -205,7 +205,7 @@ def denoise(movie: DataFrame, method: str = "gaussian", size: int = 5, by: tuple
 def local_extreme(movie: DataFrame, radius: int, kind: str = "max", diff: float = 0.0, by: tuple = ()) -> DataFrame:
     """Where a pixel is the greatest (or least) of its disk, and the disk's range is
     more than diff: the movie with `extreme`."""
-    out = _over_disk(by_frame(movie, by), {"_hi": ("value", "max"), "_lo": ("value", "min")}, disk_widths(radius), by)
+    out = _over_disk(movie, {"_hi": ("value", "max"), "_lo": ("value", "min")}, disk_widths(radius), by)
     top = F.col("_hi") if kind == "max" else F.col("_lo")
     return out.select(*by, *VOXEL, "value", ((F.col("value") == top) & (F.col("_hi") - F.col("_lo") > diff)).alias("extreme"))
 
@@ -215,13 +215,13 @@ def local_max_any(movie: DataFrame, first: int, last: int, diff: float = 0.0, by
     if first >= last:
         raise ValueError("radii must grow")
     names = {f"_{k}{r}": ("value", v) for r in range(first, last) for k, v in (("hi", "max"), ("lo", "min"))}
-    out = by_frame(movie, by)
+    out = movie
     for r in range(first, last):
         out = _over_disk(out, {f"_hi{r}": ("value", "max"), f"_lo{r}": ("value", "min")}, disk_widths(r), by)
     hit = F.lit(False)
     for r in range(first, last):
         hit = hit | ((F.col("value") == F.col(f"_hi{r}")) & (F.col(f"_hi{r}") - F.col(f"_lo{r}") > diff))
-    return out.withColumn("extreme", hit).drop(*names)
+    return out.withColumn("extreme", hit).drop(*names, "_h", "_w")
 
 
 def sobel(movie: DataFrame, by: tuple = ()) -> DataFrame:

@@ -21,14 +21,15 @@ def init_footprints(movie: DataFrame, seeds: DataFrame, correlation: float = 0.8
     """A: around each seed, the correlation of pixels with the seed's where it exceeds
     a threshold, and 1 at the seed. A seed alone within `window` has no footprint."""
     traces = movie if freq is None else signal.smooth(movie, freq, keys=tuple(PIXEL))
-    pixels = signal.arrays(traces, PIXEL)
-    rows = pixels.select(F.struct(*PIXEL).alias("id"), "trace")
-    points = pixels.select(F.struct(*PIXEL).alias("id"), *PIXEL)
-    pairs = graph.near_pairs(points.join(seeds.select(*PIXEL), PIXEL, "left_semi"), points, window)
-    corr = graph.edge_correlation(pairs, rows)
-    named = corr.join(seeds.select(UNIT if UNIT in seeds.columns else F.col("seed_id").alias(UNIT), F.struct(*PIXEL).alias("src")), "src")
-    around = named.where(F.col("corr") > correlation).select(UNIT, "dst.height", "dst.width", F.col("corr").alias("value"))
-    own = named.select(UNIT, "src.height", "src.width").distinct().withColumn("value", F.lit(1.0))
+    place = F.shiftleft(F.col("height").cast("long"), 32) + F.col("width")
+    rows = signal.arrays(traces, PIXEL).select(place.alias("id"), "trace")
+    points = movie.select(place.alias("id"), *PIXEL).distinct()
+    near = graph.near_pairs(seeds.select(place.alias("id"), *PIXEL).distinct(), points, window).select("src", "dst")
+    corr = graph.edge_correlation(near, rows, points)
+    named = corr.join(seeds.select(UNIT if UNIT in seeds.columns else F.col("seed_id").alias(UNIT), place.alias("src")), "src")
+    height, width = (lambda c: F.shiftright(c, 32).cast("int").alias("height")), (lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("width"))
+    around = named.where(F.col("corr") > correlation).select(UNIT, height("dst"), width("dst"), F.col("corr").alias("value"))
+    own = named.select(UNIT, height("src"), width("src")).distinct().withColumn("value", F.lit(1.0))
     return around.union(own)
 
 
@@ -109,7 +110,7 @@ def merge_labels(A: DataFrame, C: DataFrame, correlation: float = 0.9, freq: flo
     """(unit_id, label): overlapping units whose traces correlate, over any number of steps."""
     traces = C if freq is None else signal.smooth(C, freq)
     rows = signal.arrays(traces, [UNIT]).withColumnRenamed(UNIT, "id")
-    edges = graph.edge_correlation(overlaps(A).select("src", "dst"), rows).where(F.col("corr") > correlation)
+    edges = graph.edge_correlation(overlaps(A).select("src", "dst"), rows, centres(A), 64).where(F.col("corr") > correlation)
     return graph.labels(A.select(F.col(UNIT).alias("id")).distinct(), edges).withColumnRenamed("id", UNIT)
 
 
@@ -219,14 +220,18 @@ def products(movie: DataFrame, C: DataFrame, where: DataFrame, tile: int = 32, f
     return parts.join(where.select(UNIT, *PIXEL), [UNIT, *PIXEL], "left_semi").groupBy(UNIT, *PIXEL).agg(F.sum("cy").alias("cy"))
 
 
-def covariances(C: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(u1, u2, cov) of the traces of pairs(u1, u2)."""
-    x = signal.arrays(C, [UNIT])
-    met = pairs.join(x.select(F.col(UNIT).alias("u1"), F.col("trace").alias("_a")), "u1").join(x.select(F.col(UNIT).alias("u2"), F.col("trace").alias("_b")), "u2")
-    plus = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
-    n = F.size("_a")
-    means = met.withColumn("_ma", plus(F.col("_a")) / n).withColumn("_mb", plus(F.col("_b")) / n)
-    return means.select("u1", "u2", (plus(F.zip_with("_a", "_b", lambda a, b: (a - F.col("_ma")) * (b - F.col("_mb")))) / n).alias("cov"))
+def centres(A: DataFrame) -> DataFrame:
+    """(id, height, width): the middle of each unit's pixels."""
+    return A.groupBy(F.col(UNIT).alias("id")).agg(*[F.floor(F.avg(c)).cast("int").alias(c) for c in PIXEL])
+
+
+def covariances(C: DataFrame, pairs: DataFrame, points: DataFrame | None = None) -> DataFrame:
+    """(u1, u2, cov) of the traces of distinct pairs(u1, u2), u1 <= u2: traces are centred
+    once each, and multiplied by parts of the picture (see graph.edge_products)."""
+    rows = signal.centred(C, [UNIT]).withColumnRenamed(UNIT, "id")
+    dots = graph.edge_products(pairs.select(F.col("u1").alias("src"), F.col("u2").alias("dst")), rows.select("id", "trace"), None if points is None else graph.tiles(points, 64))
+    sizes_ = C.groupBy(F.col(UNIT).alias("src")).agg(F.count("*").alias("_n"))
+    return dots.join(sizes_, "src").select(F.col("src").alias("u1"), F.col("dst").alias("u2"), (F.col("dot") / F.col("_n")).alias("cov"))
 
 
 def spatial_weights(movie: DataFrame, C: DataFrame, where: DataFrame, sn: DataFrame, penalty: float = 0.5) -> DataFrame:
@@ -244,7 +249,8 @@ def spatial_weights(movie: DataFrame, C: DataFrame, where: DataFrame, sn: DataFr
     got = written(got.select(UNIT, *PIXEL, (F.col("cy") / F.col("_n") - F.col("_mc") * F.col("_my")).alias("want")), "products")
     a, b = got.select(F.col(UNIT).alias("u1"), *PIXEL), got.select(F.col(UNIT).alias("u2"), *PIXEL)
     both = a.join(b, PIXEL)
-    cov = covariances(C, both.select("u1", "u2").distinct())
+    cov = covariances(C, both.where("u1 <= u2").select("u1", "u2").distinct(), centres(got))
+    cov = cov.union(cov.where("u1 < u2").select(F.col("u2").alias("u1"), F.col("u1").alias("u2"), "cov"))
     gram_ = both.join(cov, ["u1", "u2"]).groupBy(*PIXEL).agg(F.sort_array(F.collect_list(F.struct("u1", "u2", "cov"))).alias("gs"))
     want = got.groupBy(*PIXEL).agg(F.sort_array(F.collect_list(F.struct(UNIT, "want"))).alias("us"))
     rows = want.join(gram_, PIXEL).join(sn.select(*PIXEL, (F.col("sn") * penalty).alias("alpha")), PIXEL)

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from glintframe.functions import expr
 from glintframe.operators import PIXEL, graph, motion, project, seeds, signal, stencil, units
 from glintframe.plans.adapters import SIDE, Inputs, sql
-from glintframe.runtime import written
+from glintframe.runtime import scratch, written
+from glintframe.sources import catalog
 
 _queries: dict = {}
 _sql: dict[str, str] = {}
@@ -156,6 +157,31 @@ query("seeds_init_random", sql("L", f", shots AS (SELECT i::INT AS frame, height
     votes AS (SELECT height, width, count(DISTINCT frame)::INT AS seeds FROM spots GROUP BY ALL)
     SELECT row_number() OVER (ORDER BY height, width) - 1 AS seed_id, height, width, seeds FROM votes""", True))(lambda i: seeds.find(i.L, _frames(i.L), 20, 10, 4, 2, method="random", draws=5))
 
+# --- stored layouts -------------------------------------------------------------
+
+
+def _stored(i: Inputs, layout: str) -> DataFrame:
+    """L, written in a layout and read back."""
+    return catalog.save(i.L, scratch(i.spark, "layouts"), "L", layout=layout)
+
+
+query("stored_by_frame", sql("L", f""", d AS (SELECT frame, height, width, m AS value FROM ({_box(2, 'max(n.value) AS m', '', _DISK.format(r2=4))}))
+    SELECT frame, height, width, 0.5 * abs(gx) + 0.5 * abs(gy) AS value FROM ({_box(1, 'sum(n.value * dx * (2 - abs(dy))) AS gx, sum(n.value * dy * (2 - abs(dx))) AS gy', _REFLECT101, source='d')})"""))(
+    lambda i: stencil.sobel(stencil.dilate(_stored(i, "frames"), 2))
+)
+
+
+@query("stored_by_pixel", sql("L", """, D AS (SELECT height, width, frame, value - min(value) OVER (PARTITION BY height, width) AS value FROM L),
+    T AS (SELECT (height * 256 + width) AS unit_id, frame, value FROM D), n AS (SELECT count(DISTINCT frame) AS n FROM T), bins AS (SELECT unnest(range(round_even(0.25 * n, 0)::INT, round_even(0.5 * n, 0)::INT)) AS k, n FROM n),
+    power AS (SELECT unit_id, k, (pow(sum(value * cos(2 * pi() * k * frame / n)), 2) + pow(sum(value * sin(2 * pi() * k * frame / n)), 2)) / any_value(n) AS p FROM T, bins GROUP BY ALL),
+    sn AS (SELECT unit_id, sqrt(exp(avg(ln(p + 2.220446049250313e-16)))) AS sn FROM power GROUP BY unit_id), top AS (SELECT height, width, max(value) AS peak FROM D GROUP BY ALL)
+    SELECT height, width, peak, round(sn, 6) + 0.0 AS sn, peak > 4.5 * sn AS kept FROM top JOIN sn ON unit_id = height * 256 + width"""), 6)
+def _stored_by_pixel(i: Inputs) -> DataFrame:
+    movie = project.deglow(_stored(i, "pixels"))
+    noise = signal.noise(movie, keys=tuple(PIXEL))
+    return project.projection(movie).withColumnRenamed("value", "peak").join(noise, PIXEL).withColumn("kept", F.col("peak") > 4.5 * F.col("sn"))
+
+
 # --- percentiles, thresholds, masks -------------------------------------------
 
 query("ptp_q", sql("E", "SELECT height, width, round(quantile_cont(value, 0.999) - quantile_cont(value, 0.001), 6) + 0.0 AS ptp FROM E GROUP BY ALL"), 6)(lambda i: signal.ptp(i.E, keys=tuple(PIXEL)))
@@ -253,7 +279,7 @@ def _points(i: Inputs) -> DataFrame:
 
 def _edges(i: Inputs, radius: float) -> DataFrame:
     rows = signal.arrays(seeds.traces_at(i.L, i.bright), ["seed_id"]).withColumnRenamed("seed_id", "id")
-    return graph.edge_correlation(graph.radius_pairs(_points(i), radius).select("src", "dst"), rows)
+    return graph.edge_correlation(graph.radius_pairs(_points(i), radius).select("src", "dst"), rows, _points(i), 6)
 
 
 query("radius_pairs", sql("L bright", _POINTS + _PAIRS.format(r2=9) + " SELECT src, dst, round(distance, 6) AS distance FROM pairs"), 6)(lambda i: graph.radius_pairs(_points(i), 3))

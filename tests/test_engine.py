@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from glintframe.functions import expr
-from glintframe.operators import frames, graph, motion, project, seeds, signal, stencil, units
+from glintframe.operators import PIXEL, frames, graph, motion, project, seeds, signal, stencil, units
 from glintframe.plans import pipeline, registry
+from glintframe.runtime import written
 from glintframe.sources import catalog, params, video
 from glintframe.streaming import traces as stream
 
@@ -371,3 +372,99 @@ def test_accumulated_over_blocks(spark):
         assert np.allclose((r.dy, r.dx), want[r.frame])
     both = df.withColumn("part", F.lit(0)).union(df.withColumn("part", F.lit(1)))
     assert motion.accumulated(both, ("part",), 7).count() == 60
+
+
+def exchanges(df):
+    """The exchanges of a plan, as text."""
+    return [line.strip() for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line]
+
+
+def test_layouts_need_no_exchange(spark, tmp_path, noise):
+    movie = noise[1]
+    frames = catalog.save(movie, str(tmp_path), "f", layout="frames", buckets=3)
+    pixels = catalog.save(movie, str(tmp_path), "p", layout="pixels", buckets=5)
+    plain = catalog.save(movie, str(tmp_path), "x")
+    chain = lambda m: stencil.sobel(stencil.tophat(stencil.median(m, 3), 2))
+    assert exchanges(chain(frames)) == [] and len(exchanges(chain(plain))) == 1
+    key = "hashpartitioning(height"
+    by_pixel = lambda m: signal.noise(project.deglow(m), keys=tuple(PIXEL))
+    assert not any(key in e for e in exchanges(by_pixel(pixels))) and any(key in e for e in exchanges(by_pixel(plain)))
+    near = movie.select(*PIXEL).distinct().limit(7).withColumn("seed_id", F.monotonically_increasing_id())
+    joined = seeds.traces_at(project.deglow(pixels), spark.createDataFrame(near.collect(), near.schema))
+    assert sum(key in e for e in exchanges(joined)) <= 1  # the seeds come to the movie
+    for a, b in ((chain(frames), chain(plain)), (by_pixel(pixels), by_pixel(plain))):
+        cols = sorted(a.columns)
+        assert sorted(map(tuple, a.select(cols).collect())) == sorted(map(tuple, b.select(cols).collect()))
+
+
+def test_layout_is_found_again(spark, tmp_path, noise):
+    """Another session has no table of this name; partition columns and overwriting work, too."""
+    folder = str(tmp_path / "mouse1" / "day2")
+    saved = catalog.save(noise[1], folder, "m", meta={"animal": -2, "session": -1}, layout="frames", buckets=2)
+    other = spark.newSession()
+    other.sql(f"DROP TABLE IF EXISTS {catalog._table(f'{folder}/m')}")
+    again = catalog.load(other, folder, "m")
+    assert exchanges(stencil.dilate(again, 1)) == [] and sorted(map(tuple, again.collect())) == sorted(map(tuple, saved.collect())) and again.first().animal == "mouse1"
+    with pytest.raises(FileExistsError):
+        catalog.save(noise[1], folder, "m", layout="pixels")
+    few = catalog.save(noise[1].where("frame < 2"), folder, "m", overwrite=True, layout="pixels", buckets=2)
+    assert few.count() == noise[1].where("frame < 2").count() and catalog.names(spark, folder) == ["m"]
+
+
+def test_parts_move_each_trace_once(spark):
+    """Correlations by parts are those of numpy; a trace goes once to each part that needs it."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(20, 20, 130)).cumsum(axis=2)
+    x[3, 4] = 7.0
+    points = spark.createDataFrame([(int(h * 20 + w), h, w) for h in range(20) for w in range(20)], "id long, height int, width int")
+    rows = spark.createDataFrame([(int(h * 20 + w), x[h, w].tolist()) for h in range(20) for w in range(20)], "id long, trace array<double>")
+    edges = written(graph.radius_pairs(points, 3), "edges")
+    flat = x.reshape(400, -1)
+    for args in ({"points": points, "side": 10}, {"points": points, "side": 7}, {}):
+        got = graph.edge_correlation(edges, rows, **args).collect()
+        assert len(got) == edges.count()
+        for r in got:
+            a, b = flat[r.src], flat[r.dst]
+            want = 0.0 if a.std() == 0 or b.std() == 0 else np.corrcoef(a, b)[0, 1]
+            assert r.corr == pytest.approx(want, abs=1e-9) and r.distance > 0
+    moved = graph.members(edges, graph.tiles(points, 10)).count()
+    assert moved <= 4 * (10 + 3 + 3) ** 2 and edges.count() * 2 > 10 * moved
+    dots = graph.edge_products(edges.select("src", "dst"), rows, graph.tiles(points, 10), frames=50)
+    assert all(r["dot"] == pytest.approx(float(flat[r.src] @ flat[r.dst]), rel=1e-9, abs=1e-6) for r in dots.collect())
+
+
+def written_bytes(spark):
+    """Bytes that shuffles of this session have written so far."""
+    execs = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    return sum(execs.apply(k).totalShuffleWrite() for k in range(execs.size()))
+
+
+def test_parts_shuffle_less_than_edges(spark):
+    """With 28 neighbours each, traces of 500 frames: what moves is a fraction of a copy for each edge's end."""
+    rng = np.random.default_rng(8)
+    side, frames = 24, 500
+    points = spark.createDataFrame([(h * side + w, h, w) for h in range(side) for w in range(side)], "id long, height int, width int")
+    rows = written(spark.createDataFrame([(i, rng.normal(size=frames).tolist()) for i in range(side * side)], "id long, trace array<double>"), "rows")
+    edges = written(graph.radius_pairs(points, 3).select("src", "dst"), "edges")
+    began = written_bytes(spark)
+    got = graph.edge_correlation(edges, rows, points, 12).count()
+    assert got == edges.count() and written_bytes(spark) - began < 0.2 * edges.count() * 2 * frames * 8
+
+
+def test_covariances_are_linear_in_frames(spark):
+    """Eight times the frames don't take 64 times the work: the trace isn't summed up anew for each of its values."""
+    import time
+
+    took = []
+    for frames in (2_000, 16_000):
+        C = written(spark.range(12).select(F.col("id").alias("unit_id"), F.explode(F.sequence(F.lit(0), F.lit(frames - 1))).alias("frame")).select("unit_id", F.col("frame").cast("int").alias("frame"), F.rand(3).alias("value")), "C")
+        pairs = spark.range(12).select(F.col("id").alias("u1"), F.explode(F.sequence("id", F.lit(11).cast("long"))).alias("u2"))
+        began = time.time()
+        got = {(r.u1, r.u2): r.cov for r in units.covariances(C, pairs).collect()}
+        took.append(time.time() - began)
+        x = np.zeros((12, frames))
+        for r in C.toPandas().itertuples():
+            x[r.unit_id, r.frame] = r.value
+        want = np.cov(x, bias=True)
+        assert len(got) == 78 and all(v == pytest.approx(want[k], abs=1e-12) for k, v in got.items())
+    assert took[1] < 8 * took[0] + 3
