@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glintframe.llm.common import bounded_batches, written
 
@@ -32,6 +33,38 @@ def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start, row = start + int(ends[-1]), row + len(size)
 
 
+ORDER = ["doc_id", "text_crc32", "size", "uid"]
+
+
+def _narrow(id_col: str, text_col: str) -> list[Column]:
+    text = F.col(f"`{text_col}`")
+    return [F.col(f"`{id_col}`").cast("long").alias("doc_id"), byte_size(text).alias("size"), F.crc32(F.coalesce(text, F.lit(""))).cast("long").alias("text_crc32"), F.monotonically_increasing_id().alias("uid")]
+
+
+def _placed(rows: DataFrame, shards: int, n: int, many: int | None = None) -> DataFrame:
+    """rows(doc_id, size, text_crc32, uid, ...) with shard and slot instead of uid: sorted
+    by ranges, summed up within each, and cut by the ranges' totals."""
+    spark = rows.sparkSession
+    laid = rows.repartitionByRange(n, *ORDER).sortWithinPartitions(*ORDER).drop("uid").withColumn("part", F.spark_partition_id())
+    more = [c for c in laid.columns if c != "part"]
+    schema = T.StructType([*laid.schema.fields, T.StructField("start", T.LongType()), T.StructField("row", T.LongType())])
+    local = written(laid.mapInArrow(_running, schema), "laid", rows=many)
+    sums = sorted(local.groupBy("part").agg(F.sum("size"), F.count("*")).collect())  # one row per partition
+    total, count, before = 0, 0, []
+    for part, size, rows_in in sums:
+        before.append((part, total, count))
+        total, count = total + size, count + rows_in
+    if not before:
+        return local.select(*more, F.lit(0).alias("shard"), F.col("row").alias("slot"))
+    offsets = spark.createDataFrame(before, "part int, bytes_before long, rows_before long")
+    # exact also where bytes * shards would overflow: target boundaries are computed here
+    bounds = F.array(*[F.lit(-(-total * k // shards)) for k in range(1, shards)]) if shards > 1 else F.array().cast("array<bigint>")
+    placed = local.join(F.broadcast(offsets), "part").select(*more, (F.col("bytes_before") + F.col("start")).alias("at"), (F.col("rows_before") + F.col("row")).alias("row"))
+    placed = placed.withColumn("shard", F.size(F.filter(bounds, lambda b: b <= F.col("at"))))
+    first = placed.groupBy("shard").agg(F.min("row").alias("first"))  # one row per shard
+    return placed.join(F.broadcast(first), "shard").select(*more, "shard", (F.col("row") - F.col("first")).alias("slot"))
+
+
 def byte_shards(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
     """One row per row of df: doc_id, size, text_crc32, shard, slot.
 
@@ -46,41 +79,24 @@ def byte_shards(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text_co
     rows in one pass; the totals, one row per partition, are summed globally and
     sent back. No window runs over the table.
     """
-    spark = df.sparkSession
     bounded_batches(df.sparkSession)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(
-        F.col(id_col).cast("long").alias("doc_id"), byte_size(F.col(text_col)).alias("size"),
-        F.crc32(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("text_crc32"), F.monotonically_increasing_id().alias("uid"),
-    )
-    order = ["doc_id", "text_crc32", "size", "uid"]
-    laid = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("uid").withColumn("part", F.spark_partition_id())
-    local = written(laid.mapInArrow(_running, "doc_id long, size long, text_crc32 long, part int, start long, row long"), "laid", rows=df.count())
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _placed(df.select(*_narrow(id_col, text_col)), shards, n, df.count()).select("doc_id", "size", "text_crc32", "shard", "slot")
 
-    sums = sorted(local.groupBy("part").agg(F.sum("size"), F.count("*")).collect())  # one row per partition
-    total, count, before = 0, 0, []
-    for part, size, rows_in in sums:
-        before.append((part, total, count))
-        total, count = total + size, count + rows_in
-    if not before:
-        return local.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.col("row").alias("slot"))
-    offsets = spark.createDataFrame(before, "part int, bytes_before long, rows_before long")
-    # exact also where bytes * shards would overflow: target boundaries are computed here
-    bounds = F.array(*[F.lit(-(-total * k // shards)) for k in range(1, shards)]) if shards > 1 else F.array().cast("array<bigint>")
-    placed = local.join(F.broadcast(offsets), "part").select(
-        "doc_id", "size", "text_crc32", (F.col("bytes_before") + F.col("start")).alias("at"), (F.col("rows_before") + F.col("row")).alias("row")
-    )
-    placed = placed.withColumn("shard", F.size(F.filter(bounds, lambda b: b <= F.col("at"))))
-    first = placed.groupBy("shard").agg(F.min("row").alias("first"))  # one row per shard
-    return placed.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("row") - F.col("first")).alias("slot"))
-
-
-def write_shards(df: DataFrame, path: str, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write df's rows to path/shard=k in slot order; returns what byte_shards does.
-    Ids must be unique here, as rows are matched with their shard by id; columns
-    named shard and slot are replaced."""
-    where = byte_shards(df, shards, id_col, text_col)
-    placed = df.drop("shard", "slot").join(where.select(F.col("doc_id").alias(id_col), "shard", "slot"), id_col)
-    n = max(shards, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed.repartitionByRange(n, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
-    return where
+
+def write_shards(df: DataFrame, path: str, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
+    """Write df's rows, all of them and all columns, to path/shard=k in slot order, and
+    return what byte_shards does; columns named shard and slot are replaced.
+
+    The rows themselves are laid out, once, and carry their place from then on:
+    nothing is matched by id, so that null ids and rows that repeat an id, or
+    everything, are written like others. An empty table writes an empty folder.
+    """
+    bounded_batches(df.sparkSession)
+    kept = [c for c in df.columns if c.lower() not in ("shard", "slot")]
+    coded = [f"c{i}" for i in range(len(kept))]
+    n = partitions or max(shards, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = _placed(df.select(*_narrow(id_col, text_col), *[F.col(f"`{c}`").alias(k) for c, k in zip(kept, coded)]), shards, n)
+    out = placed.select(*[F.col(k).alias(c) for c, k in zip(kept, coded)], "slot", "shard")
+    out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    return placed.select("doc_id", "size", "text_crc32", "shard", "slot")
