@@ -169,14 +169,51 @@ def measure(nodes: list[Node]) -> None:
     for x in nodes:
         if x.gone or not x.chars:
             continue
-        tags, plain = max(x.tags, 1), max(x.chars - x.link_chars, 1)
-        base = math.log(x.chars / plain * x.link_chars + whole * x.chars + math.e)
-        x.density = x.chars / tags * max(math.log(x.chars / max(x.link_chars, 1) * tags / max(x.links, 1)) / max(base, 1e-9), 0.0)
+        x.density = density(x.chars, x.tags, x.link_chars, x.links, whole)
     for x in nodes:
         if not x.gone and x.parent and x.tag not in INLINE:
             x.parent.total += x.density
 
 
+def density(chars: int, tags: int, link_chars: int, links: int, whole: float) -> float:
+    """Composite text density; whole is the body's share of link text."""
+    tags, plain = max(tags, 1), max(chars - link_chars, 1)
+    base = math.log(chars / plain * link_chars + whole * chars + math.e)
+    return chars / tags * max(math.log(chars / max(link_chars, 1) * tags / max(links, 1)) / max(base, 1e-9), 0.0)
+
+
+def box_loose_text(p: Node, on: set, whole: float) -> None:
+    """Give each run of text and parts of lines that stands in a block beside other blocks
+    a block of its own, measured like others, so that it is weighed by itself."""
+    items, run = [], []
+
+    def close() -> None:
+        if any(isinstance(k, str) and k.strip() for k in run):
+            box = Node("div", "", p)
+            box.items = list(run)
+            for k in run:
+                if isinstance(k, str):
+                    box.chars += len(" ".join(k.split()))
+                elif not k.gone:
+                    k.parent = box
+                    box.chars, box.tags = box.chars + k.chars, box.tags + k.tags + 1
+                    box.link_chars, box.links = box.link_chars + (k.chars if k.tag == "a" else k.link_chars), box.links + k.links + (k.tag == "a")
+            box.density = density(box.chars, box.tags, box.link_chars, box.links, whole) if box.chars else 0.0
+            items.append(box)
+        else:
+            items.extend(run)
+        run.clear()
+
+    for k in p.items:
+        if k in on or not (isinstance(k, str) or k.tag in INLINE):
+            close()
+            items.append(k)
+        else:
+            run.append(k)
+    close()
+    p.items = items
+
+
 def _path(x: Node) -> list[Node]:
     out = [x]
     while out[-1].parent:
@@ -188,7 +225,7 @@ def select(nodes: list[Node]) -> list[Node]:
     """Subtrees that hold the main text, in page order: that with the largest sum of
     densities, and what else hangs on its path to the body and is as dense as the
     path's sparsest element, or a headline before it, or an article like it, and no
-    list of links. Blocks in the chosen subtree that are mostly links, and sparser
+    list of links; text that stands loose in a block of the path is weighed alone. Blocks in the chosen subtree that are mostly links, and sparser
     than the path, are marked gone.
     """
     there = [x for x in nodes if not x.gone and x.chars]
@@ -201,17 +238,15 @@ def select(nodes: list[Node]) -> list[Node]:
     for x in _ordered(best):
         if x is not best and x.tag in BLOCKS and not x.gone and links(x) and x.density < limit:
             x.gone = True
-    chosen = {best}
+    chosen, whole = {best}, nodes[0].link_chars / nodes[0].chars
     for p in path[1:]:
+        box_loose_text(p, on, whole)
         before = True
         for x in p.items:
             if x in on:
                 before = False
             elif isinstance(x, Node) and not x.gone and x.chars and not links(x) and (x.density >= limit or (before and x.tag in HEADLINES) or x.tag == best.tag == "article"):
                 chosen.add(x)
-    loose = [p for p in path[1:] if any(isinstance(k, str) and k.strip() for k in p.items)]
-    if loose:  # text that stands beside the subtree, in a block around it
-        chosen.add(loose[-1])
     out, under = [], set()  # of nested ones the outermost
     for x in _ordered(nodes[0]):
         if x.parent in chosen or x.parent in under:
