@@ -20,14 +20,17 @@ from glintframe.llm.common import bounded_batches, give_back, written
 #: Letters that a sign may stand for.
 LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
-    "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l",
+    "@": "a", "$": "s", "!": "il", "¡": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l",
 }
-#: What a hidden letter may be.
-HIDDEN = "aeiou"
+#: Letters of other scripts that pass for Latin ones, in tokens that have Latin ones too.
+FOREIGN = str.maketrans("аеорсухіјѕԁһӏԛԝαοιρυνκτ", "aeopcyxijsdhlqwaoipuvkt")
 #: Log probabilities of the channel: a letter written as a sign that looks like
 #: it; such a sign put in for nothing at an edge of a word (the same, for a digit)
-#: and inside it; a sign repeated; a letter hidden by a star; a star for nothing.
-SWAPPED, EDGE, DIGIT_EDGE, INSIDE, AGAIN, STARRED, STAR = (math.log(p) for p in (0.3, 0.3, 0.02, 1e-5, 0.3, 0.1, 0.3))
+#: and inside it; a sign repeated; a vowel and another letter hidden by a star; a
+#: star for nothing; a letter written twice that is meant twice, and once.
+SWAPPED, EDGE, DIGIT_EDGE, INSIDE, AGAIN, STARRED, STARRED_OTHER, STAR, TWICE, ONCE = (math.log(p) for p in (0.3, 0.3, 0.02, 1e-5, 0.3, 0.1, 0.01, 0.3, 0.99, 0.01))
+#: What a hidden letter may be.
+HIDDEN = [(chr(c), STARRED if chr(c) in "aeiou" else STARRED_OTHER) for c in range(97, 123)]
 #: A sign or gap between letters for nothing and for a word's edge; a gap wider than
 #: others for these; a sign that looks like a letter for an edge; letters of a run
 #: on both sides of an edge.
@@ -40,10 +43,15 @@ BEAM, LONG = 64, 60
 CLASSES = 28
 #: Three or more characters that stand alone, one after the other.
 SPACED = re.compile(r"(?<!\S)(?:\S[ \t]+){2,}\S(?!\S)")
-PLAIN = re.compile(r"[^\W\d_]+")
+#: Greek and Cyrillic letters; tokens that have such and Latin ones.
+OTHER_SCRIPT = re.compile(r"[Ͱ-ԯ]")
+MIXED = re.compile(r"(?=[^\sa-z]*[a-z])(?=[^\sͰ-ԯ]*[Ͱ-ԯ])\S+")
 RUN = re.compile(r"([^\W\d_])\1{2,}")
+DOUBLE = re.compile(r"([^\W\d_])\1")
+#: Characters without a width or a look of their own: those of the category Cf.
+UNSEEN = re.compile("[" + "".join(map(chr, filter(lambda c: unicodedata.category(chr(c)) == "Cf", range(0x110000)))) + "]")
 PARTS = re.compile(r"[0-9]+|[^\s0-9]+")
-NEEDS = re.compile(r"[0-9@$!|+(<€£*]|([^\W\d_])\1\1|[^\W\d_](?:[.\-_~,'/\\:;\"&%#=^?)\[\]{}>’…–—·•]|\s)+[^\W\d_]")
+NEEDS = re.compile(r"[0-9@$!¡|+(<€£*]|([^\W\d_])\1\1|[^\W\d_](?:[.\-_~,'/\\:;\"&%#=^?)\[\]{}>’…–—·•]|\s)+[^\W\d_]")
 _STRIP = ".,;:?\"'()[]{}%&#*~^=_-/\\><"
 
 
@@ -87,8 +95,8 @@ def lattice(token: str, edges: bool = True) -> list[list[tuple[str, float]]]:
     """For each sign of a lower-case token or run of lone characters, what it may be
     and at what log probability; "" is nothing, " " a word's edge (with edges only),
     a digit itself.
-    Of a letter written three times or more, one or two are meant, or words that
-    meet in it."""
+    Of a letter written twice, two or one are meant; three times or more, one or two,
+    or words that meet in it. Each star has a place of its own."""
     out, i, n = [], 0, len(token)
     gaps = [len(g) for g in re.findall(r"\s+", token)]
     least = min(gaps, default=0)
@@ -105,8 +113,10 @@ def lattice(token: str, edges: bool = True) -> list[list[tuple[str, float]]]:
             spaced = edges and end - i > run
             if run < 3 and spaced:
                 out += [[(ch, 0.0)], [("", KEPT), (" ", SPLIT)], [(ch, 0.0)]]
-            elif run < 3:
-                out += [[(ch, 0.0)]] * run
+            elif run == 2:
+                out += [[(ch, 0.0)], [(ch, TWICE), ("", ONCE)]]
+            elif run == 1:
+                out.append([(ch, 0.0)])
             else:
                 out += [[(ch, 0.0)], [(ch, -0.7), ("", -0.7)] + ([(f" {ch}", RUN_SPLIT), (f"{ch} {ch}", RUN_SPLIT)] if spaced else [])]
         elif ch.isspace():
@@ -126,7 +136,7 @@ def lattice(token: str, edges: bool = True) -> list[list[tuple[str, float]]]:
                     if run > 1:
                         out.append([*one, ("", AGAIN)])
             elif ch == "*" and not edge:
-                out += [[(x, STARRED) for x in HIDDEN] + [("", STAR)] + split] * min(run, 3)
+                out += [[*HIDDEN, ("", STAR), *split]] * run
             elif edges and not edge and not unicodedata.category(ch).startswith("M"):
                 out.append([("", KEPT), (" ", SPLIT)])
         i = end
@@ -168,16 +178,27 @@ def decode(token: str, model: list, edges: bool = True) -> str:
     return "".join(reversed(out)).strip()
 
 
+def doubled(token: str, model: list) -> bool:
+    """Whether a letter written twice is likelier meant once, by its neighbours alone."""
+    for m in DOUBLE.finditer(token):
+        i, c = m.start(), _class(m.group(1))
+        a, b = (_class(token[i - 2]) if i > 1 else 0), (_class(token[i - 1]) if i else 0)
+        d, e = (_class(token[i + 2]) if i + 2 < len(token) else 0), (_class(token[i + 3]) if i + 3 < len(token) else 0)
+        two = model[a][b][c] + model[b][c][c] + model[c][c][d] + (model[c][d][e] if d else 0.0)
+        one = model[a][b][c] + model[b][c][d] + (model[c][d][e] if d else 0.0)
+        if one + ONCE > two + TWICE:
+            return True
+    return False
+
+
 def restore(token: str, model: list, edges: bool = True) -> str:
     """A lower-case token, or run of lone characters, as the word or words it stands
     for: signs around it gone, and decoded, whatever its length, where it holds more
     than letters."""
-    if token.isalpha() and not RUN.search(token):
-        return token
-    core = token.strip(_STRIP)
+    core = token if token.isalpha() else token.strip(_STRIP)
     if core.isalpha() and not RUN.search(core):
-        return core
-    if not NEEDS.search(core):
+        return decode(core, model, edges) if doubled(core, model) else core
+    if not NEEDS.search(core) and not doubled(core, model):
         return core
     return decode(core, model, edges)
 
@@ -189,16 +210,26 @@ def readings(token: str, model: list) -> list[str]:
     return words if len(words) < 2 else list({*words, "".join(restore(token, model, False).split())})
 
 
+def plain(text: str | None) -> str:
+    """The text in lower case, compatibility forms (full width and the like) made plain,
+    characters without a look of their own gone, and look-alikes of other scripts
+    made Latin in tokens that are Latin beside."""
+    if not text or text.isascii():
+        return (text or "").lower()
+    low = UNSEEN.sub("", unicodedata.normalize("NFKC", text)).lower()
+    return MIXED.sub(lambda m: m.group().translate(FOREIGN), low) if OTHER_SCRIPT.search(low) else low
+
+
 def words_of(text: str | None) -> tuple[list[str], list[str]]:
     """A text's distinct lower-case tokens, and its runs of lone characters."""
-    low = (text or "").lower()
+    low = plain(text)
     return list(set(low.split())), [m.group() for m in SPACED.finditer(low)]
 
 
 def restored_text(text: str | None, model: np.ndarray) -> str:
     """The whole text in lower case, each token and each run of lone characters restored."""
     rows = model.tolist()
-    return re.sub(rf"{SPACED.pattern}|\S+", lambda m: restore(m.group(), rows), (text or "").lower())
+    return re.sub(rf"{SPACED.pattern}|\S+", lambda m: restore(m.group(), rows), plain(text))
 
 
 def features(word: str) -> list[str]:
