@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,57 +72,77 @@ def _pivot(rows: Iterator[tuple[int, int, int, float]], seed: int) -> Iterator[t
         yield held[0], held[3]
 
 
-def _scaled(todo: list[tuple], mass: float) -> list[tuple]:
-    """todo with its fractions raised or lowered in proportion, none above 1, until
-    their words come to `mass`, or as near as they can."""
-    full, free = 0.0, sorted(todo, key=lambda r: -r[3])
-    have = sum(n * p for _, _, n, p in todo)
-    while free:
-        c = max(mass - full, 0.0) / have if have > 0 else 0.0
-        if c * free[0][3] <= 1:
-            return [(u, m, n, min(1.0, c * p)) for u, m, n, p in todo]
-        _, _, n, p = free.pop(0)
-        full, have = full + n, have - n * p
-    return [(u, m, n, 1.0) for u, m, n, _ in todo]
-
-
-def _settled(todo: list[tuple], goal: float, seed: int, tries: int, depth: int = 3) -> tuple[float, dict[int, float]]:
-    """How far from `goal` the words end, and outcomes, all 0 or 1, that come near it.
-
-    Of a number of runs of coins that one counts which leaves least undecided. If
-    what it leaves is a row so large that the others can't settle it in pairs, that is
-    tried on either side, the others' fractions making up for it."""
-    size, near, best = {u: n for u, _, n, _ in todo}, 0.001 * max(goal, 0.0), None
-    for k in range(tries):
-        got = dict(_pivot(todo, seed + k))
-        left = max(got, key=lambda u: min(got[u], 1 - got[u]) * size[u], default=None)
-        over = 0.0 if left is None else min(got[left], 1 - got[left]) * size[left]
-        if best is None or over < best[0]:
-            best = (over, left, got)
-        if over <= near:
-            break
-    over, left, got = best
-    done = {u: float(p >= 0.5) for u, p in got.items()}
-    out = (abs(sum(size[u] * p for u, p in done.items()) - goal), done)
-    if left is not None and over > near and depth:
-        rest = [r for r in todo if r[0] != left]
-        for side in (0.0, 1.0):
-            mass = goal - side * size[left]
-            off, more = _settled(_scaled(rest, mass), mass, seed, max(tries // 8, 4), depth - 1)
-            out = min(out, (off, {**more, left: side}), key=lambda x: x[0])
-    return out
+#: A row up to this share of the words of its source's last group isn't forced: it goes on in pairs.
+NEAR = 0.03
 
 
-def _rounds(seed: int, tries: int):
-    """Rounds one group. In a source's last group nothing stays undecided, and large
-    rows come first, as the others have to settle them (see _settled)."""
+def _against_the_rest(row: tuple, size: np.ndarray, p: np.ndarray, seed: int, force: bool) -> tuple[float | None, np.ndarray, bool]:
+    """A pivotal step whose other side is many rows together: the row (unit, hash, size,
+    fraction) is taken with the probability that is its fraction, and the rest give
+    the words that it lacks, or get those that it had, in proportion to their
+    fractions p, or else to what these lack of 1, so that each one's expectation
+    stays what it was. Returns the outcome, the rest's new fractions, and whether
+    it was forced.
+
+    Where neither way has room on both sides, nothing is decided (None); with force,
+    the side that ends nearer is taken.
+    """
+    _, mark, n, q = row
+    have, lack, give, get = float(size @ p), float(size @ (1 - p)), n * (1 - q), n * q
+    by_share = have > 0 and give <= have and (1 + get / have) * p.max(initial=0) <= 1
+    by_lack = lack > 0 and get <= lack and (1 + give / lack) * (1 - p).max(initial=0) <= 1
+    if not by_share and not by_lack and not force:
+        return None, p, False
+    fair = by_share or by_lack
+    taken = _coin(seed, mark, -1) < q if fair else max(give - have, 0.0) < max(get - lack, 0.0)
+    words = give if taken else -get  # that the rest give
+    if by_share or (not fair and words > 0):
+        p = p * (1 - min(words / have, 1.0)) if have else p
+    else:
+        p = 1 - (1 - p) * (1 + max(words / lack, -1.0)) if lack else p
+    return float(taken), np.clip(p, 0.0, 1.0), not fair
+
+
+def _settled(todo: list[tuple], seed: int) -> tuple[dict[int, float], set[int]]:
+    """Outcomes, all 0 or 1, of a source's last group of (unit, hash, size, fraction), and
+    the units that were forced.
+
+    Rows go by falling size, those within a factor of two at a time, in pairs. What
+    these leave undecided, one row, meets all smaller rows together, so that its
+    words end among rows that can settle them. If they have no room for it, it
+    goes on in pairs with smaller rows, or, being more than NEAR of all words, is
+    forced. A coin decides the last one."""
+    rows = sorted(todo, key=lambda r: (-r[2], r[0]))
+    size, p = np.array([r[2] for r in rows], dtype=float), np.array([r[3] for r in rows], dtype=float)
+    goal, done, forced, held, k = float(size @ p), {}, set(), [], 0
+    while k < len(rows):
+        end = k + int(np.searchsorted(-size[k:], -size[k] / 2, side="left")) if size[k] > 0 else len(rows)
+        end = max(end, k + 1)
+        now = held + [(u, m, n, float(x)) for (u, m, n, _), x in zip(rows[k:end], p[k:end])]
+        got, held, k = dict(_pivot(now, seed)), [], end
+        for row in now:
+            if got[row[0]] not in (0.0, 1.0):
+                row = (*row[:3], got[row[0]])
+                taken, p[k:], hard = _against_the_rest(row, size[k:], p[k:], seed, row[2] > NEAR * goal)
+                if taken is None:
+                    held = [row]
+                got[row[0]] = taken
+                forced |= {row[0]} if hard else set()
+        done |= {u: x for u, x in got.items() if x is not None}
+    return done | {u: float(_coin(seed, m, -2) < x) for u, m, _, x in held}, forced
+
+
+def _rounds(seed: int):
+    """Rounds one group. In a source's last group nothing stays undecided."""
 
     def run(rows: pa.Table) -> pa.Table:
         last = rows.column("buckets")[0].as_py() == 1
-        rows = rows.sort_by([("size", "descending")] * last + [("unit", "ascending")])
+        rows = rows.sort_by([("unit", "ascending")])
         todo = list(zip(*(rows.column(c).to_pylist() for c in ("unit", "unit", "size", "p"))))
-        got = _settled(todo, sum(n * p for _, _, n, p in todo), seed, tries)[1] if last else dict(_pivot(todo, seed))
-        return rows.set_column(rows.schema.get_field_index("p"), "p", pa.array([got[u] for u in rows.column("unit").to_pylist()], pa.float64()))
+        got, forced = _settled(todo, seed) if last else (dict(_pivot(todo, seed)), set())
+        units = rows.column("unit").to_pylist()
+        rows = rows.set_column(rows.schema.get_field_index("p"), "p", pa.array([got[u] for u in units], pa.float64()))
+        return rows.append_column("forced", pa.array([u in forced for u in units], pa.bool_()))
 
     return run
 
@@ -149,7 +170,7 @@ def _numbered(df: DataFrame) -> DataFrame:
     return df.withColumn("_own", own).join(each, ["unit", "_part"]).withColumn("at", F.col("_before") + F.col("_own")).drop("_part", "_own", "_before")
 
 
-def _units(df: DataFrame, id_col: str, text_col: str, source_col: str, weights, cap, seed, bucket_rows, fan_in, tries, max_sources) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+def _units(df: DataFrame, id_col: str, text_col: str, source_col: str, weights, cap, seed, bucket_rows, fan_in, max_sources) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     """The table's narrow rows (written), what is planned for each source, its units
     (unit, rows, copies of all these), and how many rows there are."""
     spark = df.sparkSession
@@ -176,40 +197,45 @@ def _units(df: DataFrame, id_col: str, text_col: str, source_col: str, weights,
         ),
         "units", rows=seen["rows"],
     )
-    schema = "unit long, source string, size long, p double, buckets long, bucket long"
+    schema = "unit long, source string, size long, p double, buckets long, bucket long, forced boolean"
     left, decided, most = state.select("unit", "source", "size", "p", "buckets", "bucket"), [], max([-(-r.n // bucket_rows) for r in totals], default=1)
     while True:
-        at = written(left.groupBy("source", "bucket").applyInArrow(_rounds(seed, tries), schema), "pivot", rows=seen["rows"])
+        at = written(left.groupBy("source", "bucket").applyInArrow(_rounds(seed), schema), "pivot", rows=seen["rows"])
         decided.append(at.where("p = 0 or p = 1"))
         if most <= 1:
             break
         most = -(-most // fan_in)
-        left = at.where("p <> 0 and p <> 1").withColumn("bucket", F.floor(F.col("bucket") / fan_in)).withColumn("buckets", F.ceil(F.col("buckets") / fan_in))
+        left = at.where("p <> 0 and p <> 1").drop("forced").withColumn("bucket", F.floor(F.col("bucket") / fan_in)).withColumn("buckets", F.ceil(F.col("buckets") / fan_in))
     extra = decided[0]
     for d in decided[1:]:
         extra = extra.union(d)
     copies = F.when(F.col("size") == 0, F.col("rows")).otherwise((F.col("whole") + F.coalesce(F.col("p"), F.lit(0.0))).cast("long"))
-    units = state.drop("p").join(extra.select("unit", "p"), "unit", "left").select("unit", "rows", copies.alias("copies"))
+    units = state.drop("p").join(extra.select("unit", "p", "forced"), "unit", "left").select("unit", "rows", copies.alias("copies"), F.coalesce("forced", F.lit(False)).alias("forced"))
     return rows, plan, units, seen["rows"]
 
 
 def mix(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *,
-    weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, seed: int = 17, bucket_rows: int = 5_000, fan_in: int = 64, tries: int = 64, max_sources: int = 1_000_000,
+    weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, seed: int = 17, bucket_rows: int = 5_000, fan_in: int = 64, max_sources: int = 1_000_000,
 ) -> DataFrame:
-    """One row per row of df: doc_id, source, size, source_size, target, copies and taken.
+    """One row per row of df: doc_id, source, size, source_size, target, copies, taken and forced.
 
     A row's expected number of copies is its source's target over its source's
     size. All get the whole part; the fractional parts are rounded by the pivotal
-    method with words as mass, so that a source's words meet its target to within
-    half a row's size. Units of work are rows that differ in id, text or source; rows
-    that repeat a unit are counted first, rounded as one, and share out its copies,
-    the first ones getting one more if the number can't be divided. Units are dealt by
-    source and hash into buckets of about bucket_rows, each rounded by itself; a
-    bucket leaves one undecided at most, and those meet in a tree, fan_in buckets at
-    a time, until one bucket per source is left. Of its runs with up to `tries` seeds
-    that counts which ends nearest to the target. Coins are hashes, so reruns agree
-    on any layout.
+    method with words as mass, each row's expectation being kept, so that a source's
+    words meet its target to within the size of one small row. Units of work are rows
+    that differ in id, text or source; rows that repeat a unit are counted first,
+    rounded as one, and share out its copies, the first ones getting one more if the
+    number can't be divided. Units are dealt by source and hash into buckets of about
+    bucket_rows, each rounded by itself; a bucket leaves one undecided at most, and
+    those meet in a tree, fan_in buckets at a time, until one bucket per source is
+    left. There, rows go by falling size, and a large one that is left undecided meets
+    all smaller ones together. Coins are hashes, so reruns agree on any layout.
+
+    Where a row is so large that the rest of its last bucket can't make up for it on
+    either side, no fair coin ends near the target: it is `forced` to the side that
+    ends nearer. Such rows' copies are biased, and so are, by what they would have
+    had on the average, those of the others of their bucket.
 
     Nulls: a null text has size 0, a null source is a source, a null id counts as
     -1 in hashes. Which of the rows repeating a unit gets a copy more is open,
@@ -217,18 +243,18 @@ def mix(
     no words. An empty table gives an empty table. Sources' totals (one row each;
     max_sources at most, or this raises) are read by the driver.
     """
-    rows, plan, units, _ = _units(df, id_col, text_col, source_col, weights, cap, seed, bucket_rows, fan_in, tries, max_sources)
+    rows, plan, units, _ = _units(df, id_col, text_col, source_col, weights, cap, seed, bucket_rows, fan_in, max_sources)
     met = rows.join(units, "unit")
     again = written(met.where("rows > 1"), "repeats")
     all_ = met.where("rows = 1").withColumn("at", F.lit(0).cast("long")).unionByName(_numbered(again).withColumn("at", F.col("at").cast("long")))
     k = _shared_out()
     told = all_.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")))
-    return told.select("doc_id", "r.source", "size", "source_size", "target", k.alias("copies"), (k * F.col("size")).cast("long").alias("taken"))
+    return told.select("doc_id", "r.source", "size", "source_size", "target", k.alias("copies"), (k * F.col("size")).cast("long").alias("taken"), "forced")
 
 
 def mix_rows(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *,
-    weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, seed: int = 17, bucket_rows: int = 5_000, fan_in: int = 64, tries: int = 64, max_sources: int = 1_000_000,
+    weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, seed: int = 17, bucket_rows: int = 5_000, fan_in: int = 64, max_sources: int = 1_000_000,
 ) -> DataFrame:
     """df's rows, all columns, each repeated as often as mix() takes it.
 
@@ -239,7 +265,7 @@ def mix_rows(
     named = [f"c{i}" for i in range(len(cols))]
     key, text, source = (named[cols.index(c)] for c in (id_col, text_col, source_col))
     docs = df.toDF(*named).withColumn("unit", _unit(key, text, source))
-    _, _, units, n = _units(docs, key, text, source, weights, cap, seed, bucket_rows, fan_in, tries, max_sources)
+    _, _, units, n = _units(docs, key, text, source, weights, cap, seed, bucket_rows, fan_in, max_sources)
     units = written(units, "copies", rows=n)
     alone = docs.join(units.where("rows = 1 and copies > 0"), "unit").select(*named, F.col("copies").cast("int").alias("k"))
     repeats, seen = counted(units.where("rows > 1"), "repeated", n)

@@ -63,10 +63,19 @@ def test_byte_shards(spark):
 
 
 def test_write_shards(spark, tmp_path):
-    docs = helpers.docs(spark).where("doc_id > 2")
-    where = {r.doc_id: (r.shard, r.slot) for r in sharding.write_shards(docs, str(tmp_path / "out"), 3).collect()}
-    back = spark.read.parquet(str(tmp_path / "out")).collect()
-    assert {r.doc_id: (r.shard, r.slot) for r in back} == where and len(back) == docs.count()
+    """Null and repeated ids, repeated rows and clashing columns: what is written is what was there, in order."""
+    docs = helpers.docs(spark)
+    where = sharding.write_shards(docs, str(tmp_path / "out"), 3, partitions=4).collect()
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert set(back.columns) == set(docs.columns) | {"slot"}
+    rows = back.collect()
+    assert Counter((r.doc_id, r.text, r.lang, r.source, r.maybe) for r in rows) == Counter((r.doc_id, r.text, r.lang, r.source, r.maybe) for r in docs.collect())
+    assert Counter((r.doc_id, r.shard, r.slot, zlib.crc32((r.text or "").encode())) for r in rows) == Counter((r.doc_id, r.shard, r.slot, r.text_crc32) for r in where)
+    assert {(r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in where} == {tuple(r) for r in sharding.byte_shards(docs, 3).collect()}
+    for k in range(3):
+        slots = [r.slot for r in spark.read.parquet(str(tmp_path / "out" / f"shard={k}")).collect()]
+        assert sorted(slots) == list(range(len(slots)))
+    assert sharding.write_shards(helpers.none(spark), str(tmp_path / "none"), 3).count() == 0
 
 
 def test_targets():
@@ -103,6 +112,33 @@ def test_mix_of_small_sources(spark):
         assert abs(sum(r.taken for r in mine) - mine[0].target) <= 0.02 * mine[0].target
 
 
+def test_each_row_is_taken_as_often_as_it_should():
+    """Over seeds, rows of any size are taken at their fraction, though a source's words stay near the target."""
+    rng = np.random.default_rng(4)
+    sizes = [*rng.integers(5, 60, 60).tolist(), *[300] * 6, 480]
+    for fraction in (0.3, 0.55, 0.8):
+        todo = [(i, i * 7919 + 3, n, fraction) for i, n in enumerate(sizes)]
+        goal, hits, runs = sum(n * p for _, _, n, p in todo), Counter(), 1500
+        for seed in range(runs):
+            got, forced = mixing._settled(todo, seed)
+            assert not forced and set(got.values()) <= {0.0, 1.0} and len(got) == len(todo)
+            assert abs(sum(sizes[u] * p for u, p in got.items()) - goal) <= 60
+            hits.update(u for u, p in got.items() if p)
+        off = 4.5 * (fraction * (1 - fraction) / runs) ** 0.5
+        assert all(abs(hits[u] / runs - fraction) < off for u in range(len(sizes)))
+
+
+def test_a_row_beyond_the_rest_is_forced():
+    """One row of 900 words beside 24 small ones: no fair coin ends near 40 % of all; told, and as near as can be."""
+    sizes = [900, *[20] * 24]
+    for seed in range(20):
+        got, forced = mixing._settled([(i, i, n, 0.4) for i, n in enumerate(sizes)], seed)
+        assert forced == {0} and sum(sizes[u] * p for u, p in got.items()) == 480
+    assert mixing._settled([], 1) == ({}, set()) and mixing._settled([(1, 1, 50, 0.0)], 1)[0] == {1: 0.0}
+    alone = Counter(mixing._settled([(1, 1, 50, 0.4)], s)[0][1] for s in range(9))
+    assert set(alone) == {0.0}
+
+
 def test_mix_of_a_hot_row(spark):
     """100,000 rows that repeat id, text and source are one unit, whose copies they share out."""
     from pyspark.sql import functions as F
@@ -512,6 +548,47 @@ def given_pages(spark):
     return [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").where("html is not null").collect()]
 
 
+def made_page(rng):
+    """A page without a name to prune by: (html, blocks that are its text, all others)."""
+    say = lambda n: " ".join("".join(rng.choice("abcdefghilmnoprstuv") for _ in range(rng.randint(3, 9))) for _ in range(n))
+    own, other = [], []
+
+    def block(n, kept):
+        t = say(n)
+        (own if kept else other).append(t)
+        return t
+
+    links = lambda n: "<ul>" + "".join(f"<li><a href='/{k}'>{block(rng.randint(1, 3), False)}</a></li>" for k in range(n)) + "</ul>"
+    paragraphs = lambda n: "".join(f"<p>{block(rng.randint(25, 80), True)}</p>" for _ in range(n))
+    loose = block(rng.randint(2, 3), False)
+    body = [loose, f"<div>{links(rng.randint(6, 12))}</div>", f"<div><h1>{block(5, True)}</h1>{paragraphs(rng.randint(3, 8))}</div>"]
+    if rng.random() < 0.5:
+        body[2] = f"<div>{body[2]}</div>"
+    if rng.random() < 0.5:  # text of the article's own kind, loose in the body
+        body.append(block(rng.randint(60, 90), True))
+    body.append(f"<div>{links(rng.randint(4, 9))}<div>{block(2, False)}</div></div>")
+    return "<html><body>" + "\n".join(body) + "</body></html>", own, other
+
+
+def test_made_pages_with_loose_text():
+    """Known blocks, stray text and no names: what is found, and what is found beside it."""
+    import random
+
+    rng, found, missed, wrong = random.Random(12), 0, 0, 0
+    for _ in range(150):
+        page, own, other = made_page(rng)
+        lines = set(html_extract.main_text(page).split("\n"))
+        found, missed, wrong = found + len(lines & set(own)), missed + len(set(own) - lines), wrong + len(lines - set(own))
+    assert found / (found + missed) >= 0.99 and found / (found + wrong) >= 0.99, (found, missed, wrong)
+
+
+def test_loose_text_brings_nothing_else():
+    page = "<body>Skip to content<div><ul>" + "<li><a href=x>menu entry</a></li>" * 9 + "</ul></div><div><p>" + "one long line of prose about a thing. " * 9 + "</p><p>" + "and more of it to read. " * 12 + "</p></div></body>"
+    assert "menu" not in html_extract.main_text(page) and "Skip" not in html_extract.main_text(page) and "prose" in html_extract.main_text(page)
+    both = page.replace("Skip to content", "This stands <b>loose</b> in the body, " + "and is as much prose as the rest of it is. " * 12)
+    assert html_extract.main_text(both).startswith("This stands loose in") and "menu" not in html_extract.main_text(both)
+
+
 def test_densities_against_brute_force(spark):
     for page in given_pages(spark)[:60]:
         nodes = html_extract._elements(html_extract.tree(page))
@@ -647,6 +724,55 @@ def test_toxicity_of_digits_and_long_tokens(spark, toxic_world):
     assert toxicity.features("grumbak" + "la" * 30) == ["=grumbak" + "la" * 30, "grum", "grumb", "grumba"]
 
 
+def test_toxicity_of_what_looks_alike(toxic_world):
+    """Doubled letters, characters without a look, other forms and scripts, and stars for any letters."""
+    model = toxic_world[4]
+    for hidden in (
+        "gruumbak", "ggrummbaakk", "g\u200bru\u00admb\u2060ak", "\uff47\uff52\uff55\uff4d\uff42\uff41\uff4b", "grumb\u0430k", "gr\u03c5mbak", "g\u2024r\u2024u\u2024m\u2024b\u2024a\u2024k",
+        "gr*mb*k", "g*umb*k", "gr**bak", "GRUM**K",
+    ):
+        assert toxicity.restored_text(f"la {hidden} men", model.characters).split() == ["la", "grumbak", "men"], (hidden, toxicity.restored_text(hidden, model.characters))
+    rows = model.characters.tolist()
+    for stars in range(1, 6):  # each star has a place
+        hidden = "g" + "*" * stars + "grumbak"[stars + 1 :]
+        assert max(map(len, toxicity.readings(hidden, rows))) <= 7 and len(toxicity.lattice(hidden)) == len(hidden)
+    assert toxicity.restored_text("\u0441\u043e\u043d \u03bb\u03cc\u03b3\u03bf\u03c2", model.characters) == "\u0441\u043e\u043d \u03bb\u03cc\u03b3\u03bf\u03c2"  # words of one script stay
+
+
+def test_decoder_against_all_paths(toxic_world):
+    """On short tokens Viterbi finds what trying out every path of the lattice finds."""
+    import itertools
+    import random
+
+    model, rng = toxic_world[4].characters.tolist(), random.Random(9)
+
+    def best(token):
+        top = None
+        for path in itertools.product(*toxicity.lattice(token)):
+            p = q = 0
+            score, number, out = 0.0, False, ""
+            for text, cost in path:
+                score += cost
+                for ch in text:
+                    if ch == " " and not q:
+                        number = False
+                    elif ch in toxicity.LOOKALIKES:
+                        score += 0.0 if number else toxicity.NUMBER
+                        if q:
+                            score, p, q = score + model[p][q][0], q, 0
+                        number, out = True, out + ch
+                    else:
+                        c = 0 if ch == " " else toxicity._class(ch)
+                        score, p, q, number, out = score + model[p][q][c], q, c, False, out + ch
+            score += model[p][q][0] if q else 0.0
+            top = max(top or (score, out.strip()), (score, out.strip()), key=lambda x: x[0])
+        return top
+
+    for _ in range(150):
+        token = "".join(rng.choice("gruumbaalno01345@$*.-") for _ in range(rng.randint(1, 4)))
+        assert toxicity.decode(token, model) == best(token)[1], (token, toxicity.decode(token, model), best(token))
+
+
 def test_toxicity_without_labels(spark):
     docs = helpers.docs(spark)
     model = toxicity.fit(docs, spark.createDataFrame([(1, None), (None, 1), (2, 7)], "doc_id long, toxic int"))
