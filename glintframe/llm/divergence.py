@@ -11,42 +11,52 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glintframe.llm.common import BLOCK_BITS, bounded_batches, counted, give_back, is_set, scratch, written
+from glintframe.llm.common import bounded_batches, counted, give_back, scratch, written
 
 #: Shares are in units of 1 / UNIT.
 UNIT = 1_000_000_000
 #: As bytes of UTF-8: letters A-Z in lower case, a-z and all above ASCII stay, anything else separates.
 TERM_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
-SEEN = "lang string, source string, term string, n long, df long"
+SEEN = "lang string, term string, df long, sources array<struct<source: string, n: long>>"
+#: Counters of one row of a block of the sketch.
+WIDTH = 1 << 13
 
 
 def _tally(most: int):
-    """Rows (lang, source, text) -> SEEN: each group's terms with their occurrences and
-    documents among the task's rows. Up to `most` terms are held at a time; what is told
-    of a term in several rows adds up. A row with an empty term stands for its group."""
-    names = [c.split()[0] for c in SEEN.split(", ")]
+    """Rows (lang, source, text) -> SEEN: each language's terms with the number of the
+    task's rows that have them, and their occurrences by source. Up to `most` terms of
+    sources are held at a time; what is told of a term in several rows adds up. A
+    language's row with an empty term has all its sources."""
+    names = [c.split()[0] for c in SEEN.split(", ")[:4]]
+    pair = pa.struct([("source", pa.string()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        times: dict[tuple, Counter] = defaultdict(Counter)
-        docs: dict[tuple, Counter] = defaultdict(Counter)
+        times: dict[str, dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
+        docs: dict[str, Counter] = defaultdict(Counter)
 
         def told() -> Iterator[pa.RecordBatch]:
-            for (lang, source), got in times.items():
-                df = docs[lang, source]
-                terms = [b"", *got]
-                cols = [pa.array([lang] * len(terms), pa.string()), pa.array([source] * len(terms), pa.string()), pa.array(terms, pa.binary()).cast(pa.string())]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array([0, *got.values()], pa.int64()), pa.array([0, *(df[t] for t in got)], pa.int64())], names=names)
+            for lang, by in times.items():
+                df = docs.pop(lang)
+                place = {t: k for k, t in enumerate(df, 1)}
+                at = np.concatenate([np.zeros(len(by), dtype=np.int64), *(np.fromiter(map(place.__getitem__, c), np.int64, len(c)) for c in by.values())])
+                n = np.concatenate([np.zeros(len(by), dtype=np.int64), *(np.fromiter(c.values(), np.int64, len(c)) for c in by.values())])
+                code = np.concatenate([np.arange(len(by)), np.repeat(np.arange(len(by)), [len(c) for c in by.values()])])
+                order = np.argsort(at, kind="stable")
+                offsets = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(df) + 1))))
+                source = pa.array(list(by), pa.string()).take(pa.array(code[order]))
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([source, pa.array(n[order])], fields=list(pair)))
+                terms = pa.array([b"", *df], pa.binary()).cast(pa.string())
+                yield from pa.Table.from_arrays([pa.array([lang] * (len(df) + 1), pa.string()), terms, pa.array([0, *df.values()], pa.int64()), lists], names=names).to_batches(20_000)
             times.clear()
-            docs.clear()
 
         held = 0
         for b in batches:
             for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary())):
-                got = Counter(text.as_py().translate(TERM_BYTES).split())
-                mine = times[lang, source]
+                terms = text.as_py().translate(TERM_BYTES).split()
+                mine = times[lang][source]
                 held -= len(mine)
-                mine.update(got)
-                docs[lang, source].update(got.keys())
+                mine.update(terms)
+                docs[lang].update(set(terms))
                 held += len(mine)
                 if held > most:
                     yield from told()
@@ -62,59 +72,68 @@ def term_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     return df.select(none(lang_col).alias("lang"), none(source_col).alias("source"), none(text_col).alias("text")).mapInArrow(give_back(_tally(most)), SEEN)
 
 
-def _slots(mark: Column, width: int, depth: int) -> list[Column]:
-    """The counter that a term's hash falls on in each of the sketch's rows, over all rows."""
-    return [F.pmod(F.xxhash64(mark, F.lit(k)), F.lit(width)) + k * width for k in range(depth)]
+def _slots(depth: int) -> list[Column]:
+    """The counter of its block that a mark falls on, in each row of the block."""
+    draw = F.xxhash64("mark")
+    return [F.shiftright(draw, 13 * k).bitwiseAND(F.lit(WIDTH - 1)) + k * WIDTH for k in range(depth)]
 
 
-def sketch(marks: DataFrame, width: int, depth: int, at_least: int, tasks: int | None = None) -> DataFrame:
-    """(block, bits): of a count-min sketch of marks(mark, df), which counters reach `at_least`.
+def _block(blocks: int) -> Column:
+    return F.pmod("mark", F.lit(blocks))
 
-    Every task adds up its own sketch, counters that stop at at_least (a byte each
-    below 128, width * depth in all); the tasks' sketches are merged block by block. No
-    counter is below the document frequency of any term on it, or it reached
-    at_least. Few large tasks, as each sends what it has met of the sketch.
+
+def sketch(marks: DataFrame, blocks: int, depth: int, at_least: int, tasks: int | None = None) -> DataFrame:
+    """(block, bits): of a count-min sketch of marks(mark, df), which counters reach
+    at_least, 64 to a number.
+
+    A mark's hash gives its block, and one counter in each of the block's depth (at
+    most 4) rows. Every task adds up its own sketch, counters that stop at at_least (a
+    byte each below 128); the tasks' sketches are merged block by block. No counter
+    is below the document frequency of any term on it, or it reached at_least. Few
+    large tasks, as each sends what it has met of the sketch.
     """
     kind = np.uint8 if at_least < 128 else np.int64
-    names, slots = [f"s{k}" for k in range(depth)], _slots(F.col("mark"), width, depth)
-    placed = marks.select(F.least(F.col("df"), F.lit(at_least)).cast("int").alias("df"), *[s.alias(n) for s, n in zip(slots, names)])
+    size = WIDTH * depth
+    names = [f"s{k}" for k in range(depth)]
+    first = _block(blocks) * size
+    placed = marks.select(F.least(F.col("df"), F.lit(at_least)).cast("int").alias("df"), *[(first + s).alias(n) for s, n in zip(_slots(depth), names)])
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(width * depth, dtype=kind)
+        table = np.zeros(blocks * size, dtype=kind)
         for b in batches:
             df = b.column(0).to_numpy()
             for n in names:
                 slot, at = np.unique(b.column(n).to_numpy(), return_inverse=True)
-                more = np.minimum(np.bincount(at, df, len(slot)), at_least)
-                table[slot] = np.minimum(table[slot] + more, at_least)
-        blocks = table.reshape(-1, min(BLOCK_BITS, width))
-        for k in np.flatnonzero(blocks.any(axis=1)):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([blocks[k].tobytes()], pa.binary())], names=["block", "counters"])
+                table[slot] = np.minimum(table[slot] + np.minimum(np.bincount(at, df, len(slot)), at_least), at_least)
+        rows = table.reshape(-1, size)
+        for k in np.flatnonzero(rows.any(axis=1)):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([rows[k].tobytes()], pa.binary())], names=["block", "counters"])
 
     def merge(rows: pa.Table) -> pa.Table:
         total = None
         for c in rows.column("counters"):
             one = np.frombuffer(c.as_buffer(), dtype=kind)
             total = one.copy() if total is None else np.minimum(total + one, at_least)
-        return pa.table({"block": rows.column("block")[:1].cast(pa.int64()), "bits": pa.array([np.packbits(total >= at_least, bitorder="little").tobytes()], pa.binary())})
+        bits = np.packbits(total >= at_least, bitorder="little").view("<i8")
+        return pa.table({"block": rows.column("block")[:1].cast(pa.int64()), "bits": pa.array([bits], pa.list_(pa.int64()))})
 
     few = placed.coalesce(tasks or 2 * marks.sparkSession.sparkContext.defaultParallelism)
-    return few.mapInArrow(give_back(own), "block long, counters binary").groupBy("block").applyInArrow(merge, "block long, bits binary")
+    return few.mapInArrow(give_back(own), "block long, counters binary").groupBy("block").applyInArrow(merge, "block long, bits array<long>")
 
 
-def possible(df: DataFrame, bits: DataFrame, width: int, depth: int) -> DataFrame:
+def possible(df: DataFrame, bits: DataFrame, blocks: int, depth: int) -> DataFrame:
     """Rows of df(mark, ...) whose counters all reach the sketch's bound; the others' terms can't."""
-    out = df
-    for k, slot in enumerate(_slots(F.col("mark"), width, depth)):
-        size = min(BLOCK_BITS, width)
-        mine = F.broadcast(bits.where((F.col("block") >= k * width // size) & (F.col("block") < (k + 1) * width // size)).select(F.col("block").alias(f"_b{k}"), F.col("bits").alias(f"_bits{k}")))
-        out = out.withColumn("_at", slot).withColumn(f"_b{k}", F.floor(F.col("_at") / size)).join(mine, f"_b{k}").where(is_set(F.col(f"_bits{k}"), F.col("_at") % size)).drop("_at", f"_b{k}", f"_bits{k}")
-    return out
+    out = df.withColumn("_block", _block(blocks)).join(F.broadcast(bits.select(F.col("block").alias("_block"), F.col("bits").alias("_bits"))), "_block")
+    for s in _slots(depth):
+        word = F.get("_bits", F.shiftright(s, 6).cast("int"))
+        out = out.where(F.getbit(word, s.bitwiseAND(F.lit(63)).cast("int")) == 1)
+    return out.drop("_block", "_bits")
 
 
 def kept_terms(seen: DataFrame, types: int, at_least: int = 3, *, depth: int = 4, max_counters: int = 1 << 26) -> tuple[DataFrame, dict]:
-    """(lang, source, term, n) of the terms that at_least documents of their language use,
-    counted exactly, as a written table; and what the sketch did (ranges, survivors).
+    """(lang, source, term, n, whole, first) of the terms that at_least documents of their
+    language use, counted exactly, as a written table, with the language's count and
+    a mark on one row of each term; and what the sketch did (ranges, survivors).
 
     seen is SEEN, types about how many (lang, term) it has. The sketch has two
     counters a type in each of its rows, and max_counters at most, so that what
@@ -122,27 +141,30 @@ def kept_terms(seen: DataFrame, types: int, at_least: int = 3, *, depth: int = 4
     their turn, each with a sketch of its own over its own rows.
     """
     spark = seen.sparkSession
-    per_type = 2 * depth
-    ranges = max(1, -(-types * per_type // max_counters))
-    width = 1 << max(10, (-(-types * 2 // ranges) - 1).bit_length())
-    if ranges > 1:
-        width = min(width, 1 << (max_counters // depth).bit_length() - 1)
+    size = WIDTH * depth
+    most = max(1, max_counters // size)
+    blocks = max(1, -(-types * 2 * depth // size))
+    ranges = -(-blocks // most)
     marked = seen.where("term <> ''").withColumn("mark", F.xxhash64("lang", "term"))
     if ranges > 1:
-        path = scratch(spark, "ranges")
-        marked.withColumn("range", F.pmod(F.shiftright("mark", 20), F.lit(ranges)).cast("int")).write.partitionBy("range").parquet(path)
+        blocks, path = most, scratch(spark, "ranges")
+        marked.withColumn("range", F.pmod(F.shiftright("mark", 32), F.lit(ranges)).cast("int")).write.partitionBy("range").parquet(path)
         marked = spark.read.parquet(path)
     out, survivors = None, 0
     for r in range(ranges):
         mine = marked.where(F.col("range") == r) if ranges > 1 else marked
-        bits = written(sketch(mine.select("mark", "df"), width, depth, at_least), "sketch")
-        some = possible(mine, bits, width, depth)
-        exact, told = counted(some.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("df").alias("df")), "survivors")
+        bits = written(sketch(mine.select("mark", "df"), blocks, depth, at_least), "sketch")
+        # one exchange, by term; a source's counts, and one row's df, are summed where they are then
+        dealt = possible(mine, bits, blocks, depth).select("lang", "term", "df", "sources").repartition("lang", "term")
+        flat = dealt.select("lang", "term", F.posexplode("sources").alias("k", "s"), "df").select("lang", "term", "s.source", "s.n", F.when(F.col("k") == 0, F.col("df")).otherwise(0).alias("df"))
+        exact = flat.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
         w = Window.partitionBy("lang", "term")
-        good = exact.withColumn("_df", F.sum("df").over(w)).where(F.col("_df") >= at_least).select("lang", "source", "term", "n")
+        all_ = exact.select("lang", "source", "term", "n", F.sum("df").over(w).alias("_df"), F.sum("n").over(w).alias("whole"), (F.row_number().over(w.orderBy("source")) == 1).alias("first"))
+        exact, told = counted(all_, "survivors")
+        good = exact.where(F.col("_df") >= at_least).drop("_df")
         out = good if out is None else out.union(good)
         survivors += told["rows"]
-    return written(out, "kept"), {"ranges": ranges, "survivors": survivors}
+    return out, {"ranges": ranges, "survivors": survivors}
 
 
 def _share(count: Column, total: Column, types: Column) -> Column:
@@ -185,16 +207,16 @@ def audit(
     seen, told = counted(term_counts(df, text_col, lang_col, source_col), "terms", None, F.approx_count_distinct(F.xxhash64("lang", "term")).alias("types"))
     kept, _ = kept_terms(seen, told["types"] or 0, at_least, depth=depth, max_counters=max_counters)
     sums = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("own"))
-    lang = kept.groupBy("lang").agg(F.sum("n").alias("whole"), F.count_distinct("term").alias("V"))
+    lang = kept.groupBy("lang").agg(F.sum("n").alias("all"), F.sum(F.col("first").cast("long")).alias("V"))
     # one row per source of a language, and its share of a term that it doesn't have
-    groups = seen.select("lang", "source").distinct().join(sums, ["lang", "source"], "left").join(lang, "lang", "left").na.fill(0, ["total", "own", "whole", "V"])
+    there = seen.where("term = ''").select("lang", F.explode("sources.source").alias("source")).distinct()
+    groups = there.join(sums, ["lang", "source"], "left").join(lang, "lang", "left").na.fill(0, ["total", "own", "all", "V"])
     p0 = F.when(F.col("V") > 0, _share(F.lit(0), F.col("total"), F.col("V")))
     groups = written(groups.withColumn("p0", p0), "sources")
 
-    shares = kept.join(groups.select("lang", "source", "total", "V", "p0"), ["lang", "source"]).select("lang", "source", "term", "n", _share(F.col("n"), F.col("total"), F.col("V")).alias("p"), "p0")
+    shares = kept.join(groups, ["lang", "source"]).select("lang", "source", "term", _share(F.col("n"), F.col("total"), F.col("V")).alias("p"), _share(F.col("whole"), F.col("all"), F.col("V")).alias("q"), "p0")
     shares = written(shares, "shares")
-    whole = kept.groupBy("lang", "term").agg(F.sum("n").alias("n")).join(lang, "lang").select("lang", "term", _share(F.col("n"), F.col("whole"), F.col("V")).alias("q"))
-    over = shares.join(whole, ["lang", "term"]).where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), _far("p", "q").alias("value"))
+    over = shares.where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), _far("p", "q").alias("value"))
 
     # what each source's own terms add where the other has none, and the other way round, by counts that occur
     a = groups.select("lang", "source", F.col("p0").alias("a0"), F.col("own").alias("na"), "V")
