@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glintframe.llm.common import bounded_batches, give_back, scratch, written
+from glintframe.llm.common import bounded_batches, drop_written, give_back, scratch, written
 from glintframe.llm.packing import Ids
 
 # Fixed values of the zstandard seekable format (its public description): a skippable frame's magic number
@@ -28,28 +28,39 @@ FRAME = np.dtype([("packed", "<u4"), ("plain", "<u4"), ("checksum", "<u4")])
 FILES = "part int, file string, docs long, ids long, bytes long"
 
 
-class Writer:
-    """Writes documents to a binary stream, in the order in which they come."""
+class Frames:
+    """Packs documents' ids, at `width` bytes each, into frames of frame_ids ids at most."""
 
-    def __init__(self, out, width: int = 2, frame_ids: int = 1 << 18, level: int = 3) -> None:
+    def __init__(self, width: int = 2, frame_ids: int = 1 << 18, level: int = 3) -> None:
         import zstandard
 
-        self.out, self.kind, self.frame_ids = out, np.dtype(f"<u{width}"), frame_ids
+        self.kind, self.frame_ids = np.dtype(f"<u{width}"), frame_ids
         self.packer = zstandard.ZstdCompressor(level=level, write_checksum=False, write_content_size=True)
-        self.documents, self.frames, self.ids, self.bytes = bytearray(), bytearray(), 0, 0
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        """A frame for each frame_ids ids of the document, one at least."""
+    def __call__(self, ids: np.ndarray) -> tuple[bytes, bytes]:
+        """A document's frames, one at least, and their rows of the seek table."""
         import xxhash
 
-        starts = range(0, max(len(ids), 1), self.frame_ids)
-        for at in starts:
+        packed, table = [], []
+        for at in range(0, max(len(ids), 1), self.frame_ids):
             plain = ids[at : at + self.frame_ids].astype(self.kind).tobytes()
-            packed = self.packer.compress(plain)
-            self._put(packed)
-            self.frames += struct.pack("<III", len(packed), len(plain), xxhash.xxh64_intdigest(plain) & 0xFFFFFFFF)
-        self.documents += struct.pack("<BqIQ", doc_id is not None, doc_id or 0, len(starts), len(ids))
-        self.ids += len(ids)
+            packed.append(self.packer.compress(plain))
+            table.append(struct.pack("<III", len(packed[-1]), len(plain), xxhash.xxh64_intdigest(plain) & 0xFFFFFFFF))
+        return b"".join(packed), b"".join(table)
+
+
+class Writer:
+    """Writes packed documents to a binary stream, in the order in which they come."""
+
+    def __init__(self, out, width: int = 2) -> None:
+        self.out, self.width = out, width
+        self.documents, self.frames, self.ids, self.bytes = bytearray(), bytearray(), 0, 0
+
+    def add(self, doc_id: int | None, n_ids: int, packed: bytes, table: bytes) -> None:
+        self._put(packed)
+        self.frames += table
+        self.documents += struct.pack("<BqIQ", doc_id is not None, doc_id or 0, len(table) // FRAME.itemsize, n_ids)
+        self.ids += n_ids
 
     def _put(self, raw: bytes) -> None:
         self.out.write(raw)
@@ -57,7 +68,7 @@ class Writer:
 
     def close(self) -> None:
         """The two tables, each in frames that other readers skip."""
-        head = DOCUMENTS_MAGIC + struct.pack("<IQ", self.kind.itemsize, len(self.documents) // DOCUMENT.itemsize)
+        head = DOCUMENTS_MAGIC + struct.pack("<IQ", self.width, len(self.documents) // DOCUMENT.itemsize)
         body = head + bytes(self.documents)
         body += struct.pack("<QQ", len(self.documents), zlib.crc32(body))
         self._put(struct.pack("<II", DOCUMENTS_FRAME, len(body)) + body)
@@ -136,30 +147,43 @@ class Reader:
             yield from fetch()
 
 
-def _encode(args: tuple, end: int):
+PACKED = "doc_id long, uid long, n_ids long, packed binary, frames binary"
+
+
+def _encode(args: tuple, end: int, width: int, frame_ids: int):
+    names = [c.split()[0] for c in PACKED.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = None
+        ids_of = pack = None
         for b in batches:
-            ids_of = ids_of or Ids(*args)
-            ids = [np.append(ids_of(t.as_py() or ""), np.uint32(end)).astype("<u4").tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(ids, pa.binary())], names=["doc_id", "uid", "ids"])
+            ids_of, pack = ids_of or Ids(*args), pack or Frames(width, frame_ids)
+            n, packed, frames = [], [], []
+            for text in b.column(1):
+                ids = np.append(ids_of(text.as_py() or ""), np.uint32(end))
+                if width < 4 and int(ids.max()) >> 8 * width:
+                    raise ValueError(f"ids of {width} bytes don't hold {ids.max()}")
+                one = pack(ids)
+                n.append(len(ids))
+                packed.append(one[0])
+                frames.append(one[1])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(packed, pa.binary()), pa.array(frames, pa.binary())], names=names)
 
     return run
 
 
-def _write(folder: str, width: int, frame_ids: int):
+def _write(folder: str, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         to, part, docs = None, 0, 0
         for b in batches:
-            for doc, where, ids in zip(b.column("doc_id").to_pylist(), b.column("part").to_pylist(), b.column("ids")):
+            for doc, where, n, packed, frames in zip(b.column("doc_id").to_pylist(), b.column("part").to_pylist(), b.column("n_ids").to_pylist(), b.column("packed"), b.column("frames")):
                 if to is None:
                     store, at = fs.FileSystem.from_uri(folder)
                     store.create_dir(at)
                     part, name = where, f"tokens-{where:06d}-{uuid.uuid4().hex}.zst"
-                    to = Writer(store.open_output_stream(f"{at}/{name}", compression=None), width, frame_ids)
-                to.add(doc, np.frombuffer(ids.as_buffer(), dtype="<u4"))
+                    to = Writer(store.open_output_stream(f"{at}/{name}", compression=None), width)
+                to.add(doc, n, packed.as_py(), frames.as_py())
                 docs += 1
         if to:
             to.close()
@@ -175,7 +199,7 @@ def write_tokens(
     """Write every text's ids, with the id `end` after them, to files in `folder` by rising
     id; returns the files (FILES), their ids' place in the whole being that of `part`.
 
-    Texts are encoded once, and the ids written; these, which are narrower than
+    Texts are encoded and packed once; the packed documents, which are a fraction of
     the texts, are then dealt by ranges of ids, sorted, and each range becomes a
     file. A document starts a frame of its own and has one frame, or as many as it
     takes at frame_ids ids each. width: bytes of an id, 2 where the vocabulary
@@ -191,9 +215,11 @@ def write_tokens(
     bounded_batches(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("uid"))
-    ids = written(texts.mapInArrow(give_back(_encode(tokenizer, end)), "doc_id long, uid long, ids binary"), "ids")
-    laid = ids.repartitionByRange(n, "doc_id", "uid").sortWithinPartitions("doc_id", "uid").withColumn("part", F.spark_partition_id())
-    return written(laid.mapInArrow(give_back(_write(folder, width, frame_ids)), FILES), "token-files")
+    packed = written(texts.mapInArrow(give_back(_encode(tokenizer, end, width, frame_ids)), PACKED), "packed")
+    laid = packed.repartitionByRange(n, "doc_id", "uid").sortWithinPartitions("doc_id", "uid").withColumn("part", F.spark_partition_id())
+    files = written(laid.mapInArrow(give_back(_write(folder, width)), FILES), "token-files")
+    drop_written(packed)
+    return files
 
 
 def _read(folder: str, docs: int, ids: bool):
