@@ -483,6 +483,19 @@ def _clips(i: Inputs) -> DataFrame:
     return video.clips(i.L, times, 10.0)
 
 
+def _filmed(i: Inputs, layout: str) -> DataFrame:
+    """L, written to files of 20 frames and read from them."""
+    from glintframe.sources import movies
+
+    path = scratch(i.spark, "films")
+    movies.write_movie(i.L.withColumn("value", F.least("value", F.lit(255.0))), path, layout, frames_a_file=20)
+    return movies.read_movie(i.spark, path, layout=layout)
+
+
+query("movie_avi", sql("L", "SELECT frame, height, width, least(value, 255.0) AS value FROM L"))(lambda i: _filmed(i, "avi"))
+query("movie_tif_range", sql("L", "SELECT frame, height, width, least(value, 255.0) AS value FROM L WHERE frame BETWEEN 15 AND 47 AND height >= 5 AND width < 11"))(
+    lambda i: _filmed(i, "tif").where("frame BETWEEN 15 AND 47 AND height >= 5 AND width < 11")
+)
 query("factors", "SELECT p_partkey, f::INT AS factor FROM part, LATERAL (SELECT unnest(range(1, p_partkey + 1)) AS f) WHERE p_partkey % f = 0")(
     lambda i: i.table("part").select("p_partkey", F.explode(expr.factors(F.col("p_partkey"))).alias("factor"))
 )

@@ -1,4 +1,4 @@
-"""Frames from files of raw grey video, grey TIFF pages, uncompressed AVI, or decoded frames.
+"""Frames from files of raw grey video, grey TIFF pages, plain or Motion-JPEG AVI, or decoded frames.
 
 A layout tells where a file's frames lie, from headers alone, and makes a picture of
 a frame's bytes: so frames, and not files, are dealt to tasks, whatever a file's size.
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from glintframe.functions.expr import file_number
 from glintframe.operators import project
 from glintframe.runtime import written
+from glintframe.sources import codecs
 
 FRAMES = "path string, n int, h int, w int, pixels array<double>"
 SPANS = "path string, n int, ranges array<long>, h int, w int, note string"
@@ -35,12 +36,13 @@ class RawFrames:
         for at in range(0, length, size):
             yield [at, min(size, length - at)], self.h, self.w, ""
 
-    def picture(self, raw: bytes, h: int, w: int, note: str) -> np.ndarray:
+    def picture(self, raw: bytes, h: int, w: int, note: str, sizes: list[int]) -> np.ndarray:
         return np.frombuffer(raw.ljust(h * w, b"\0"), dtype=np.uint8).reshape(h, w)
 
 
 class TiffPages:
-    """Pages of an uncompressed grey TIFF of 8 or 16 bits."""
+    """Pages of a grey TIFF of 8 or 16 bits, in strips or tiles, plain or compressed by
+    LZW, PackBits or deflate, with or without differences along rows."""
 
     def spans(self, path: str, read: Read, length: int) -> Iterator[tuple[list[int], int, int, str]]:
         order = {b"II": "<", b"MM": ">"}[read(0, 2)]
@@ -59,40 +61,83 @@ class TiffPages:
                 if n * size > 4:
                     raw = read(struct.unpack_from(order + "I", entries, 12 * k + 8)[0], n * size)
                 tags[tag] = struct.unpack_from(f"{order}{n}{code}", raw)
-            if tags.get(259, (1,))[0] != 1:
-                raise ValueError(f"{path}: compressed pages")
             bits = tags.get(258, (8,))[0]
-            yield [x for pair in zip(tags[273], tags[279]) for x in pair], tags[257][0], tags[256][0], order + {8: "u1", 16: "u2"}[bits]
+            if tags.get(277, (1,))[0] != 1 or bits not in (8, 16):
+                raise ValueError(f"{path}: pages that aren't grey, of 8 or 16 bits")
+            h, w = tags[257][0], tags[256][0]
+            at_, many = (tags[324], tags[325]) if 324 in tags else (tags[273], tags[279])
+            bh, bw = (tags[323][0], tags[322][0]) if 324 in tags else (min(tags.get(278, (h,))[0], h), w)
+            note = f"{order}{ {8: 'u1', 16: 'u2'}[bits]} {tags.get(259, (1,))[0]} {tags.get(317, (1,))[0]} {bh} {bw} {int(324 in tags)}"
+            yield [x for pair in zip(at_, many) for x in pair], h, w, note
             at = struct.unpack_from(order + "I", entries, 12 * count)[0]
 
-    def picture(self, raw: bytes, h: int, w: int, note: str) -> np.ndarray:
-        return np.frombuffer(raw, dtype=note, count=w * h).reshape(h, w)
+    def picture(self, raw: bytes, h: int, w: int, note: str, sizes: list[int]) -> np.ndarray:
+        """sizes: the bytes of each strip or tile."""
+        kind, scheme, predictor, bh, bw, tiled = note.split()
+        bh, bw = int(bh), int(bw)
+        out, across, at = np.zeros((h, w), dtype=np.dtype(kind).newbyteorder("=")), -(-w // bw), 0
+        for k, size in enumerate(sizes):
+            y, x = k // across * bh, k % across * bw
+            rows = bh if tiled == "1" else min(bh, h - y)
+            im = codecs.block(raw[at : at + size], int(scheme), predictor == "2", rows, bw, kind)
+            out[y : y + bh, x : x + bw] = im[: h - y, : w - x]
+            at += size
+        return out
 
 
 class AviFrames:
-    """Frames of an uncompressed AVI of 8-bit grey or 24-bit colour pictures; colour
-    becomes grey by its luma. Other codecs need a decoder of one's own for load()."""
+    """Frames of an AVI of 8-bit grey or 24-bit colour pictures, or Motion-JPEG ones;
+    colour becomes grey by its luma. Frames are found by the file's index, where it
+    has one. Other codecs need a decoder of one's own for load()."""
 
     def spans(self, path: str, read: Read, length: int) -> Iterator[tuple[list[int], int, int, str]]:
         head = read(0, 12)
         if head[:4] != b"RIFF" or head[8:12] != b"AVI ":
             raise ValueError(f"{path}: not an AVI file")
-        at, shape = 12, None
+        at, shape, movi = 12, None, 0
         while at + 8 <= length:
             name, size = struct.unpack("<4sI", read(at, 8))
             if name == b"LIST":
+                if read(at + 8, 4) == b"movi":
+                    movi = at + 8
+                    end = at + 8 + size + size % 2
+                    found = self._index(read, movi, end, length) if shape else None
+                    if found is not None:
+                        yield from ([[a, n], *shape] for a, n in found)
+                        return
                 at += 12
                 continue
             if name == b"strf" and shape is None and size >= 40:
                 _, w, h, _, bits, codec = struct.unpack("<IiiHH4s", read(at + 8, 20))
-                if codec not in (b"\0\0\0\0", b"Y800", b"GREY", b"Y8  ") or bits not in (8, 24):
+                jpeg = codec.upper() in (b"MJPG", b"JPEG")
+                if not jpeg and (codec not in (b"\0\0\0\0", b"Y800", b"GREY", b"Y8  ") or bits not in (8, 24)):
                     raise ValueError(f"{path}: codec {codec!r} with {bits} bits")
-                shape = (abs(h), w, f"{bits // 8}{'u' if h > 0 and codec == bytes(4) else 'd'}")
+                shape = (abs(h), w, "jpeg" if jpeg else f"{bits // 8}{'u' if h > 0 and codec == bytes(4) else 'd'}")
             elif shape and name[2:] in (b"db", b"dc"):
                 yield [at + 8, size], *shape
             at += 8 + size + size % 2
 
-    def picture(self, raw: bytes, h: int, w: int, note: str) -> np.ndarray:
+    def _index(self, read: Read, movi: int, at: int, length: int) -> list[tuple[int, int]] | None:
+        """(offset, bytes) of the frames that an index after the frames tells, in one
+        read; None without one, or if it doesn't fit."""
+        if at + 8 > length:
+            return None
+        name, size = struct.unpack("<4sI", read(at, 8))
+        if name != b"idx1" or at + 8 + size > length:
+            return None
+        rows = np.frombuffer(read(at + 8, size - size % 16), dtype=[("name", "S4"), ("flags", "<u4"), ("at", "<u4"), ("n", "<u4")])
+        rows = rows[[n[2:] in (b"db", b"dc") for n in rows["name"]]]
+        if not len(rows):
+            return None
+        for base in (movi, 0):  # offsets count from the list, or from the file's start
+            first, size = struct.unpack("<4sI", read(base + int(rows["at"][0]), 8))
+            if (first, size) == (rows["name"][0], rows["n"][0]):
+                return [(base + int(a) + 8, int(n)) for a, n in zip(rows["at"], rows["n"])]
+        return None
+
+    def picture(self, raw: bytes, h: int, w: int, note: str, sizes: list[int]) -> np.ndarray:
+        if note == "jpeg":
+            return codecs.jpeg_grey(raw)
         planes = int(note[0])
         line = -(-w * planes // 4) * 4 if len(raw) >= -(-w * planes // 4) * 4 * h else w * planes
         im = np.frombuffer(raw, dtype=np.uint8, count=line * h).reshape(h, line)[:, : w * planes]
@@ -141,7 +186,7 @@ def _laid_out(files: DataFrame, layout, flip: bool, frames: int) -> tuple[DataFr
                         f.close()
                     now, f = path, _open(path)
                 raw = b"".join(f.read_at(size, at) for at, size in zip(ranges[::2], ranges[1::2]))
-                yield _row(path, n, layout.picture(raw, h, w, note), flip)
+                yield _row(path, n, layout.picture(raw, h, w, note, ranges[1::2]), flip)
         if f:
             f.close()
 
