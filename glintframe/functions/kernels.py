@@ -199,52 +199,177 @@ def _generate_back(g: np.ndarray, r: np.ndarray) -> np.ndarray:
     return _generate(g, r[::-1])[::-1]
 
 
-def deconvolve(
-    y: np.ndarray, g: np.ndarray, sn: float, penalty: float = 1.0, zero: float = 1e-8, iterations: int = 600, segments: np.ndarray | None = None, start: np.ndarray | None = None
-) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(c, s, b, c0): the calcium trace with non-negative spikes s, a baseline b >= min(y),
-    one value for each of the segments (numbers of frames; none: one), and a decaying
-    start c0 that minimise |y - c - b - c0| + sn * penalty * sum(s). `start` is a
-    trace to begin with.
-
-    The norm isn't squared; as |r| = min over h > 0 of |r|^2 / 2h + h / 2, each outer
-    step solves the squared problem, of weight h = |r|, by accelerated projected
-    gradients, and then sets h anew, at first not much smaller than before, as a
-    residual of 0 would hold it there. Traces without finite values give zeros.
+def _rows_generate(g: np.ndarray, s: np.ndarray, back: bool = False) -> np.ndarray:
+    """Rows c with Gc = s, each with its coefficients g; back: by G's transpose."""
+    c = s[:, ::-1].copy() if back else s.copy()
+    for t in range(1, c.shape[1]):
+        for k in range(1, min(g.shape[1], t) + 1):
+            c[:, t] += g[:, k - 1] * c[:, t - k]
+    return c[:, ::-1] if back else c
+
+
+def _rows_apply(g: np.ndarray, c: np.ndarray, back: bool = False) -> np.ndarray:
+    """Rows Gc, or of G's transpose."""
+    x = c[:, ::-1] if back else c
+    s = x.copy()
+    for k in range(1, g.shape[1] + 1):
+        s[:, k:] -= g[:, k - 1 : k] * x[:, :-k]
+    return s[:, ::-1] if back else s
+
+
+def solve_banded(diagonals: list[np.ndarray], rhs: np.ndarray) -> np.ndarray:
+    """Solutions of n symmetric positive definite systems of bandwidth p, as (n, t, m) for
+    m right-hand sides each; diagonals[k][:, i] is the entry (i, i + k). An LDL
+    factorisation, row after row, of all systems at once."""
+    n, t = diagonals[0].shape
+    p = len(diagonals) - 1
+    d, low = np.zeros((t, n)), np.zeros((p, t, n))  # low[k - 1][i]: the factor's entry (i, i - k)
+    a, x = [np.ascontiguousarray(v.T) for v in diagonals], np.ascontiguousarray(rhs.transpose(1, 0, 2))
+    for i in range(t):
+        most = min(p, i)
+        for k in range(most, 0, -1):
+            v = a[k][i - k].copy()
+            for j in range(k + 1, most + 1):
+                v -= low[j - 1, i] * low[j - k - 1, i - k] * d[i - j]
+            low[k - 1, i] = v / d[i - k]
+        here = a[0][i].copy()
+        for k in range(1, most + 1):
+            here -= low[k - 1, i] ** 2 * d[i - k]
+            x[i] -= low[k - 1, i][:, None] * x[i - k]
+        d[i] = here
+    x /= d[:, :, None]
+    for i in range(t - 1, -1, -1):
+        for k in range(1, min(p, t - 1 - i) + 1):
+            x[i] -= low[k - 1, i + k][:, None] * x[i + k]
+    return x.transpose(1, 0, 2)
+
+
+def decays(g: np.ndarray, t: int) -> np.ndarray:
+    """Rows of the decay of a start that lies before the first frame: the powers of the
+    largest real part of the autoregression's roots, between 0 and 1."""
+    top = [float(np.clip(np.roots(np.concatenate(([1.0], -x))).real.max(initial=0.0), 0.0, 0.999999)) for x in g]
+    return np.array(top)[:, None] ** np.arange(t)
+
+
+def deconvolve_rows(y: np.ndarray, g: np.ndarray, lam: np.ndarray, segments: np.ndarray | None = None, zero: float | None = 1e-8, steps: int = 80, gap: float = 1e-11) -> tuple[np.ndarray, ...]:
+    """(c, s, b, c0, u) for each row of y: the calcium trace with non-negative spikes s = Gc, a
+    baseline b >= min(y), one value for each of the segments (numbers of frames; none:
+    one), and a decaying start c0 >= 0, that minimise |y - c - b - c0| + lam * sum(s),
+    the norm not squared; and u, which proves it (see deconvolution_bound).
+
+    A primal-dual interior-point method. In c, the system of a step is banded, as G is,
+    beside a few dense columns (baseline, start) and the rank-one part of the norm's
+    curvature, so that a step's work is linear in the frames; all rows take their
+    steps together. What is below `zero` is returned as 0, baselines and traces too; with
+    None the solution comes as it is. Rows that aren't finite, or of under 3 frames,
+    give zeros, flat ones their baseline alone.
     """
-    t = len(y)
-    if not np.isfinite(y).all() or not np.isfinite(g).all() or t < 3:
-        return np.zeros(t), np.zeros(t), np.zeros(t), np.zeros(t)
+    n, t = y.shape
     part = np.zeros(t, dtype=int) if segments is None else np.asarray(segments, dtype=int)
-    count = np.maximum(np.bincount(part), 1)
-    roots = np.roots(np.concatenate(([1.0], -g)))
-    decay = float(np.clip(roots.real.max(initial=0.0), 0.0, 0.999999)) ** np.arange(t)
-    low, lam = float(y.min()), sn * penalty
-    s = np.zeros(t) if start is None else np.maximum(_apply(g, start), 0)
-    b, d = np.full(len(count), max(low, float(np.median(y)))), 0.0
-    probe = np.random.default_rng(0).standard_normal(t)
-    for _ in range(30):  # the largest singular value of spikes -> trace
-        probe = _generate_back(g, _generate(g, probe))
-        probe /= np.linalg.norm(probe)
-    lipschitz = 1.05 * (np.linalg.norm(_generate_back(g, _generate(g, probe))) + count.max() + float(decay @ decay))
-    scale = max(np.linalg.norm(y - _generate(g, s) - b[part]), 1e-9)
-    h = scale
-    zs, zb, zd, k = s.copy(), b.copy(), d, 1.0
-    for i in range(iterations):
-        r = y - _generate(g, zs) - zb[part] - zd * decay
-        ns = np.maximum(zs + (_generate_back(g, r) - h * lam) / lipschitz, 0)
-        nb, nd = np.maximum(zb + np.bincount(part, r, len(count)) / lipschitz, low), max(zd + decay @ r / lipschitz, 0.0)
-        nk = (1 + math.sqrt(1 + 4 * k * k)) / 2
-        m = (k - 1) / nk
-        if (zs - ns) @ (ns - s) + (zb - nb) @ (nb - b) + (zd - nd) * (nd - d) > 0:
-            m, nk = 0.0, 1.0  # restart where momentum leads astray
-        zs, zb, zd = ns + m * (ns - s), nb + m * (nb - b), nd + m * (nd - d)
-        s, b, d, k = ns, nb, nd, nk
-        if i % 20 == 19:
-            h = max(np.linalg.norm(y - _generate(g, s) - b[part] - d * decay), scale * max(0.8 ** (i // 20), 1e-5))
-    c = _generate(g, s)
-    clean = lambda v: np.where(v > zero, v, 0.0)
-    return clean(c), clean(s), clean(b[part]), clean(d * decay)
+    m = int(part.max(initial=0)) + 1
+    out = [np.zeros((n, t)) for _ in range(5)]
+    good = np.isfinite(y).all(axis=1) & np.isfinite(g).all(axis=1) & np.isfinite(lam) & (t >= 3)
+    flat = good & (np.ptp(np.where(good[:, None], y, 0.0), axis=1) <= 1e-12 * np.abs(np.where(good[:, None], y, 0.0)).max(axis=1))
+    clean = lambda v: v if zero is None else np.where(v > zero, v, 0.0)
+    out[2][flat] = clean(y[flat])
+    todo = np.flatnonzero(good & ~flat)
+    if not len(todo):
+        return tuple(out)
+    y, g, lam = y[todo], g[todo], np.maximum(lam[todo], 1e-12)
+    n, low = len(todo), y.min(axis=1)
+    more = np.zeros((n, t, m + 1))  # the baseline's columns, and the start's
+    more[:, np.arange(t), part], more[:, :, m] = 1.0, decays(g, t)
+    size = np.linalg.norm(y - low[:, None], axis=1)[:, None]
+    goal, weight = (y - low[:, None]) / size, lam[:, None]  # of length 1; the objective is in units of it
+    taps = np.concatenate((np.ones((n, 1)), -g), axis=1)
+    across, along = (lambda x: np.einsum("ntm,nm->nt", more, x)), (lambda r: np.einsum("ntm,nt->nm", more, r))
+    unit = 1 / np.sqrt(t)
+    s, x = np.full((n, t), 0.1 * unit), np.full((n, m + 1), 0.5 * unit)
+    z, zx = np.repeat(0.5 * weight, t, axis=1) + 1e-3, np.full((n, m + 1), 0.1)
+    c, total = _rows_generate(g, s), t + m + 1
+    for _ in range(steps):
+        r = goal - c - across(x)
+        rho = np.maximum(np.linalg.norm(r, axis=1), 1e-13)
+        u, wide = r / rho[:, None], rho[:, None, None]
+        slack = (s * z).sum(1) + (x * zx).sum(1)
+        off = np.maximum(np.abs(_rows_apply(g, weight - z, back=True) - u).max(1), np.abs(along(u) + zx).max(1))
+        live = (slack > gap) | (off > 1e-9)
+        if not live.any():
+            break
+        mu = np.maximum(0.1 * slack / total, 0.05 * gap / total)[:, None]
+        heavy, diagonals = z / s, []
+        for j in range(g.shape[1] + 1):
+            line = np.zeros((n, t))
+            for k in range(g.shape[1] - j + 1):
+                line[:, : t - j - k] += taps[:, j + k, None] * taps[:, k, None] * heavy[:, j + k :]
+            diagonals.append(line)
+        diagonals[0] = diagonals[0] + 1 / rho[:, None]
+        want, wantx = u - _rows_apply(g, weight - mu / s, back=True), along(u) + mu / x
+        solved = solve_banded(diagonals, np.concatenate((want[:, :, None], more / wide, u[:, :, None]), axis=2))
+        base, cols, bent = solved[:, :, 0], solved[:, :, 1:-1], solved[:, :, -1]
+        dense = (np.einsum("ntm,ntk->nmk", more, more) - np.einsum("ntm,ntk->nmk", more, cols)) / wide + np.eye(m + 1) * (zx / x)[:, :, None]
+
+        def both(first: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            dx = np.linalg.solve(dense, (rest - along(first) / rho[:, None])[:, :, None])[:, :, 0]
+            return first - np.einsum("ntm,nm->nt", cols, dx), dx
+
+        pull = along(u)
+        (c1, x1), (c2, x2) = both(base, wantx), both(bent, pull)
+        lean = lambda dc, dx: (u * dc).sum(1) + (pull * dx).sum(1)
+        k = (lean(c1, x1) / (rho - lean(c2, x2)))[:, None]
+        dc, dx = c1 + k * c2, x1 + k * x2
+        ds = _rows_apply(g, dc)
+        dz, dzx = mu / s - z - heavy * ds, mu / x - zx - zx / x * dx
+        room = lambda v, dv: np.where(dv < 0, -v / np.where(dv < 0, dv, -1.0), np.inf).min(axis=1)
+        step = np.minimum(1.0, 0.99 * np.minimum.reduce([room(s, ds), room(x, dx), room(z, dz), room(zx, dzx)]))
+        step = np.where(live & np.isfinite(dc).all(1) & np.isfinite(dx).all(1), step, 0.0)
+
+        def away(a: np.ndarray) -> np.ndarray:
+            """How far from a solution at this mu the point after steps a is."""
+            a = a[:, None]
+            r = goal - (c + a * dc) - across(x + a * dx)
+            u = r / np.maximum(np.linalg.norm(r, axis=1), 1e-13)[:, None]
+            parts = (
+                _rows_apply(g, weight - z - a * dz, back=True) - u, along(u) + zx + a * dzx,
+                ((s + a * ds) * (z + a * dz) - mu) * total, ((x + a * dx) * (zx + a * dzx) - mu) * total,
+            )
+            return np.sqrt(sum((p * p).sum(1) for p in parts))
+
+        # the norm's curvature is that of this point: where it leads astray, steps are halved
+        was = away(np.zeros(n))
+        for _ in range(15):
+            far = (away(step) > (1 - 1e-4 * step) * was) & (step > 0)
+            if not far.any():
+                break
+            step = np.where(far, step / 2, step)
+        step = step[:, None]
+        take = lambda v, dv: np.where(step > 0, v + step * dv, v)
+        s, x, z, zx = take(s, ds), take(x, dx), take(z, dz), take(zx, dzx)
+        c = _rows_generate(g, s)
+    s = clean(s * size) / size
+    c, r = _rows_generate(g, s), goal - c - across(x)
+    u = r / np.maximum(np.linalg.norm(r, axis=1), 1e-300)[:, None]
+    for o, v in zip(out, (clean(c * size), s * size, clean(x[:, :m][:, part] * size + low[:, None]), clean(x[:, m:] * more[:, :, m] * size), u)):
+        o[todo] = v
+    return tuple(out)
+
+
+def deconvolution_bound(y: np.ndarray, g: np.ndarray, lam: float, u: np.ndarray, segments: np.ndarray | None = None) -> float:
+    """A lower bound of what any (s, b, c0) can reach, from any vector u: made feasible for
+    the dual problem (length 1 at most, no response to a spike above lam, and none
+    to a baseline or start above 0), its product with y - min(y) is one."""
+    part = np.zeros(len(y), dtype=int) if segments is None else np.asarray(segments, dtype=int)
+    decay = decays(g[None], len(y))[0]
+    count = np.bincount(part)
+    above = max(0.0, float((np.bincount(part, u) / np.maximum(count, 1)).max()), float(decay @ u / decay.sum()))
+    u = u - above
+    u = u / max(1.0, float(np.linalg.norm(u)), float(_generate_back(g, u).max()) / lam if lam > 0 else 1.0)
+    return float(u @ (y - y.min()))
+
+
+def deconvolve(y: np.ndarray, g: np.ndarray, sn: float, penalty: float = 1.0, zero: float = 1e-8, segments: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """deconvolve_rows of one trace, at lam = sn * penalty: (c, s, b, c0, u)."""
+    return tuple(v[0] for v in deconvolve_rows(y[None], g[None], np.array([sn * penalty]), segments, zero))
 
 
 def deconvolution_objective(y: np.ndarray, g: np.ndarray, sn: float, penalty: float, s: np.ndarray, b: np.ndarray | float, c0: np.ndarray) -> float:

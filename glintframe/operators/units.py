@@ -306,22 +306,24 @@ def update_spatial(
     return new, factors, back
 
 
-TEMPORAL = "unit_id long, frame int, c double, s double, b double, c0 double, g array<double>"
+TEMPORAL = "unit_id long, frame int, c double, s double, b double, c0 double, g array<double>, u double, lam double"
 
 
 def update_temporal(
     A: DataFrame, YrA: DataFrame, *, freq: float = 0.25, p: int = 1, add_lag: int | str = "p", jaccard: float = 0.1, penalty: float = 1.0, smooth: bool = True,
-    median_window: int | None = None, normalize: bool = True, zero: float = 1e-8, scale: bool = False, smooth_in_place: bool = True,
+    median_window: int | None = None, normalize: bool = True, zero: float | None = 1e-8, scale: bool = False, smooth_in_place: bool = True,
     segments: list[int] | None = None, warm: DataFrame | None = None,
 ) -> DataFrame:
-    """(unit_id, frame, c, s, b, c0, g): deconvolved traces of units with anything above 0,
-    groups of overlapping units sharing a normalisation; units without spikes are left
-    out. With scale, all but g are brought to YrA by a least-squares factor.
+    """(unit_id, frame, c, s, b, c0, g, u, lam): deconvolved traces of units with anything
+    above 0, groups of overlapping units sharing a normalisation; units without spikes
+    are left out. With scale, c, s, b and c0 are brought to YrA by a least-squares factor.
 
     Group means are taken first, so that units, however many a group has, are solved
     one by one: the joint problem of a group is a sum over its units, and has the same
-    solution. smooth_in_place deconvolves the smoothed trace; segments gives each
-    frame's baseline segment; warm, traces (unit_id, frame, value) to begin with.
+    solution. Solutions are exact, and u proves it: see kernels.deconvolve_rows, at
+    the penalty lam for s. What is below zero is 0 (None: nothing is). smooth_in_place deconvolves the smoothed trace; segments
+    gives each frame's baseline segment; warm, traces that others would begin with,
+    isn't needed, as there is one solution, whatever the start.
     """
     alive = YrA.groupBy(UNIT).agg(F.max("value").alias("m")).where("m > 0").select(UNIT)
     rows = signal.arrays(YrA.join(alive, UNIT, "left_semi"), [UNIT])
@@ -333,33 +335,34 @@ def update_temporal(
     else:
         rows = rows.withColumn("k", F.lit(1.0))
 
-    if warm is not None:
-        rows = rows.join(signal.arrays(warm, [UNIT]).withColumnRenamed("trace", "start"), UNIT, "left")
-    else:
-        rows = rows.withColumn("start", F.lit(None).cast("array<double>"))
-
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for unit, trace, k, start in zip(*(b.column(c).to_pylist() for c in (UNIT, "trace", "k", "start"))):
-                y = np.array([trace], dtype=float) * k
-                sn = kernels.noise_fft(y, freq, 1.0)
-                base = kernels.fft_filter(y, freq, "low") if smooth else y
-                g = kernels.ar_coefficients(base, kernels.noise_fft(base, freq, 1.0) if smooth else sn, p, add_lag)[0]
-                y = base if smooth and smooth_in_place else y
-                y = kernels.above_baseline(y, median_window) if median_window else y
-                c, s, b0, c0 = kernels.deconvolve(y[0], g, float(np.nan_to_num(sn[0])), penalty, zero, segments=segments, start=None if start is None else np.array(start) * k)
-                n = len(c)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, unit, dtype=np.int64)), pa.array(np.arange(n, dtype=np.int32)), *[pa.array(v / k) for v in (c, s, b0, c0)], pa.array([g.tolist()] * n, pa.list_(pa.float64()))],
-                    names=[UNIT, "frame", "c", "s", "b", "c0", "g"],
-                )
+            trace, k = b.column("trace"), b.column("k").to_numpy()
+            flat, ends, units_ = trace.flatten().to_numpy(), np.cumsum(np.diff(trace.offsets.to_numpy())), b.column(UNIT).to_numpy()
+            length = np.diff(ends, prepend=0)
+            for n in np.unique(length):
+                for at in np.array_split(same := np.flatnonzero(length == n), -(-len(same) * int(n) // 2_000_000) or 1):
+                    y = np.stack([flat[ends[i] - n : ends[i]] for i in at]) * k[at, None]
+                    sn = kernels.noise_fft(y, freq, 1.0)
+                    base = kernels.fft_filter(y, freq, "low") if smooth else y
+                    g = kernels.ar_coefficients(base, kernels.noise_fft(base, freq, 1.0) if smooth else sn, p, add_lag)
+                    y = base if smooth and smooth_in_place else y
+                    y = kernels.above_baseline(y, median_window) if median_window else y
+                    lam = np.nan_to_num(sn) * penalty
+                    *parts, u = kernels.deconvolve_rows(y, g, lam, segments, zero)
+                    for j, i in enumerate(at):
+                        cols = [pa.array(np.full(n, units_[i])), pa.array(np.arange(n, dtype=np.int32)), *[pa.array(v[j] / k[i]) for v in parts]]
+                        yield pa.RecordBatch.from_arrays(
+                            [*cols, pa.array([g[j].tolist()] * int(n), pa.list_(pa.float64())), pa.array(u[j]), pa.array(np.full(n, lam[j]))],
+                            names=[UNIT, "frame", "c", "s", "b", "c0", "g", "u", "lam"],
+                        )
 
     out = rows.mapInArrow(solve, TEMPORAL)
     spikes = out.withColumn("_s", F.sum("s").over(Window.partitionBy(UNIT))).where("_s > 0").drop("_s")
     if not scale:
         return spikes
     k = signal.scale_to(spikes.select(UNIT, "frame", (F.col("c") + F.col("b") + F.col("c0")).alias("value")), YrA)
-    return spikes.join(k, UNIT).select(UNIT, "frame", *[(F.col(c) * F.col("scale")).alias(c) for c in ("c", "s", "b", "c0")], "g")
+    return spikes.join(k, UNIT).select(UNIT, "frame", *[(F.col(c) * F.col("scale")).alias(c) for c in ("c", "s", "b", "c0")], "g", "u", "lam")
 
 
 def trace_of(temporal: DataFrame, column: str) -> DataFrame:

@@ -385,7 +385,7 @@ _LASSO = """, T AS (SELECT height * 8 + width AS unit_id, frame, value FROM E)""
     fit AS (SELECT unit_id, (px // 8)::INT AS height, (px % 8)::INT AS width, w[pos] AS value FROM cd, ids, gram WHERE step = 40 * k AND w[pos] > 0)
     SELECT unit_id, height, width, round(value / max(value) OVER (PARTITION BY unit_id), 6) + 0.0 AS value FROM fit QUALIFY count(*) OVER (PARTITION BY unit_id) > 3"""
 query("spatial_lasso_multi", sql("E A C", _LASSO, True), 6)(lambda i: units.update_spatial(i.E, i.A, i.C, signal.noise(i.E, keys=tuple(PIXEL)), shape=(8, 8), radius=1, penalty=0.05, size=(3, None))[0])
-query("temporal_deconv", None, 6)(lambda i: units.update_temporal(i.T.select("unit_id", F.lit(0).alias("height"), F.col("unit_id").cast("int").alias("width"), F.lit(1.0).alias("value")).distinct(), i.T, penalty=0.1).drop("g"))
+query("temporal_deconv", None, 6)(lambda i: units.update_temporal(i.T.select("unit_id", F.lit(0).alias("height"), F.col("unit_id").cast("int").alias("width"), F.lit(1.0).alias("value")).distinct(), i.T, penalty=0.1).drop("g", "u", "lam"))
 query("temporal_invariants", sql("T", "SELECT unit_id, count(*) AS frames, true AS feasible, true AS better FROM T GROUP BY unit_id HAVING max(value) > 0"))(lambda i: _temporal(i))
 
 
@@ -499,6 +499,40 @@ query("movie_tif_range", sql("L", "SELECT frame, height, width, least(value, 255
 query("factors", "SELECT p_partkey, f::INT AS factor FROM part, LATERAL (SELECT unnest(range(1, p_partkey + 1)) AS f) WHERE p_partkey % f = 0")(
     lambda i: i.table("part").select("p_partkey", F.explode(expr.factors(F.col("p_partkey"))).alias("factor"))
 )
+@query("temporal_certified", sql("T", """SELECT p::INT AS p, unit_id, count(*) AS frames, true AS feasible, true AS proves, true AS exact
+    FROM T, (VALUES (1), (2)) v(p) GROUP BY p, unit_id HAVING max(value) > 0"""))
+def _certified(i: Inputs) -> DataFrame:
+    """For orders 1 and 2, from the returned columns alone: whether a trace's parts are
+    feasible, whether u is for the dual problem, and whether the objective is within
+    1e-6 of the bound that u gives, in units of the objective."""
+    one = i.T.select("unit_id", F.lit(0).alias("height"), F.col("unit_id").cast("int").alias("width"), F.lit(1.0).alias("value")).distinct()
+    y = signal.smooth(i.T, 0.25).select("unit_id", "frame", F.col("value").alias("y"))
+    out = None
+    for p in (1, 2):
+        t = written(units.update_temporal(one, i.T, penalty=0.1, p=p, zero=None), "temporal").join(y, ["unit_id", "frame"])
+        cells = F.sort_array(F.collect_list(F.struct("frame", "y", "c", "s", "b", "c0", "u")))
+        rows = t.groupBy("unit_id").agg(cells.alias("x"), F.first("g").alias("g"), F.first("lam").alias("lam"), F.min("y").alias("low"))
+        of = lambda name: F.transform("x", lambda v: v[name])
+        plus = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+        g1, g2 = F.get("g", F.lit(0)), F.coalesce(F.get("g", F.lit(1)), F.lit(0.0))
+        # G's transpose, from the last frame on: the response to a spike at each frame, and the largest of them
+        start = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), F.lit(-1e300).cast("double").alias("most"))
+        step = lambda s, v: F.struct((v + g1 * s["a"] + g2 * s["b"]).alias("a"), s["a"].alias("b"), F.greatest(s["most"], v + g1 * s["a"] + g2 * s["b"]).alias("most"))
+        begin = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("most"))
+        miss = lambda s, v: F.struct(v["c"].alias("a"), s["a"].alias("b"), F.greatest(s["most"], F.abs(v["c"] - g1 * s["a"] - g2 * s["b"] - v["s"])).alias("most"))
+        told = rows.select(
+            "unit_id", "low", "lam", F.size("x").alias("frames"), F.aggregate(F.reverse(of("u")), start, step)["most"].alias("response"), F.aggregate("x", begin, miss)["most"].alias("miss"),
+            F.sqrt(plus(F.transform("x", lambda v: F.pow(v["y"] - v["c"] - v["b"] - v["c0"], 2.0)))).alias("rest"), plus(of("s")).alias("spikes"), F.array_min(of("s")).alias("least"), F.array_min(of("b")).alias("floor"),
+            plus(of("u")).alias("level"), plus(F.transform("x", lambda v: v["u"] * v["u"])).alias("length"), plus(F.transform("x", lambda v: v["u"] * (v["y"] - F.col("low")))).alias("bound"),
+        )
+        goal = F.col("rest") + F.col("lam") * F.col("spikes")
+        fits = (F.col("least") >= 0) & (F.col("floor") >= F.col("low") - 1e-6 * F.abs("low")) & (F.col("miss") <= 1e-6 * (1 + goal))
+        proof = (F.col("length") <= 1 + 1e-9) & (F.col("response") <= F.col("lam") * (1 + 1e-6) + 1e-9) & (F.col("level") <= 1e-7)
+        now = told.select(F.lit(p).alias("p"), "unit_id", F.col("frames").cast("long").alias("frames"), fits.alias("feasible"), proof.alias("proves"), (F.abs(goal - F.col("bound")) <= 1e-6 * goal).alias("exact"))
+        out = now if out is None else out.union(now)
+    return out
+
+
 query("event_windows", """SELECT user_id AS unit_id, time_bucket(INTERVAL 1 DAY, ts)::TIMESTAMP AS start, round(sum(value), 6) + 0.0 AS value, count(*) AS n FROM events GROUP BY ALL""", 6)(lambda i: _events(i))
 
 

@@ -93,7 +93,7 @@ def test_deconvolution():
     s = np.where(np.random.default_rng(1).random(t) < 0.05, 10.0, 0.0)
     c = K._generate(g, s)
     y = c + 5 + np.random.default_rng(2).normal(0, 0.3, t)
-    got_c, got_s, b, c0 = K.deconvolve(y, g, 0.3)
+    got_c, got_s, b, c0, _ = K.deconvolve(y, g, 0.3)
     assert np.corrcoef(got_c, c)[0, 1] > 0.98 and (got_s >= 0).all() and (b >= y.min()).all()
     best = K.deconvolution_objective(y, g, 0.3, 1.0, got_s, b, c0)
     assert best <= K.deconvolution_objective(y, g, 0.3, 1.0, s, 5.0, np.zeros(t)) * 1.001
@@ -103,10 +103,35 @@ def test_deconvolution():
         assert K.deconvolution_objective(y, g, 0.3, 1.0, other, np.maximum(b + rng.normal(0, 0.05), y.min()), c0) >= best - 1e-3
     assert not K.deconvolve(np.full(10, np.nan), g, 1.0)[0].any()
     step = np.repeat([0, 1], t // 2)
-    warm = K.deconvolve(y + 20 * step, g, 0.3, segments=step, start=c)
+    warm = K.deconvolve(y + 20 * step, g, 0.3, segments=step)
     assert np.corrcoef(warm[0], c)[0, 1] > 0.95 and warm[2][-1] - warm[2][0] == pytest.approx(20, abs=1.5)
 
 
+def test_deconvolution_is_proved_exact():
+    """Objective and dual bound agree to ten digits, for one and two coefficients, segments, noise of any size, many rows at once."""
+    rng = np.random.default_rng(7)
+    for g0 in ([0.9], [1.5, -0.55], [0.3, 0.2]):
+        for scale in (1.0, 1e4, 1e-3):
+            g = np.repeat([g0], 4, 0)
+            s = (rng.random((4, 150)) < 0.06) * rng.gamma(3, 1, (4, 150))
+            y = scale * (np.stack([K._generate(g[0], x) for x in s]) + 4 + 0.3 * rng.normal(size=s.shape))
+            lam = np.array([0.3, 0.05, 1.0, 4.0])
+            for segments in (None, np.arange(150) // 60):
+                c, s_, b, c0, u = K.deconvolve_rows(y, g, lam, segments, 1e-8 * scale)
+                for i in range(4):
+                    goal = np.linalg.norm(y[i] - c[i] - b[i] - c0[i]) + lam[i] * s_[i].sum()
+                    assert 0 <= goal - K.deconvolution_bound(y[i], g[i], lam[i], u[i], segments) + 1e-9 * goal <= 2e-8 * goal
+                    assert (s_[i] >= 0).all() and np.allclose(K._apply(g[i], c[i]), s_[i], atol=1e-7 * scale)
+
+
+def test_deconvolution_of_odd_rows():
+    g = np.repeat([[0.9]], 5, 0)
+    y = np.stack([np.full(40, 3.0), np.arange(40.0), np.full(40, np.nan), np.zeros(40), np.where(np.arange(40) == 20, 50.0, 1.0)])
+    c, s, b, c0, _ = K.deconvolve_rows(y, g, np.array([0.1, 0.0, 0.1, 0.1, 0.1]))
+    assert all(np.isfinite(v).all() for v in (c, s, b, c0)) and not c[[0, 2, 3]].any() and (b[0] == 3).all() and s[4].argmax() == 20
+    assert K.deconvolve(np.array([1.0, 2.0]), np.array([0.5]), 1.0)[0].tolist() == [0, 0]
+
+
 def scene(n=48):
     y, x = np.mgrid[:n, :n]
     r = np.random.default_rng(5)
