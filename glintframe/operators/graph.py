@@ -123,6 +123,30 @@ def region_labels(mask: DataFrame, by: tuple = ("frame",), diagonal: bool = Fals
     return rows.groupBy(*by).applyInArrow(run, schema)
 
 
+def contours(mask: DataFrame, by: tuple = ("frame",)) -> DataFrame:
+    """(by..., contour, hole, place, height, width): the borders of the regions of each image
+    of mask(by..., height, width), outer ones and those of holes, each as its pixels in
+    order. Regions also touch by corners; what is beyond an image counts as empty. Contours
+    are numbered from 0 in the order in which a scan by rows meets them, see
+    kernels.borders; an image is one group, as a border may run all over it."""
+    rows = mask.select(*by, *PIXEL)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in by)
+
+    def run(image: pa.Table) -> pa.Table:
+        at = np.stack([image.column(c).to_numpy() for c in PIXEL])
+        low = at.min(axis=1)
+        cells = np.zeros(at.max(axis=1) - low + 1, dtype=bool)
+        cells[tuple(at - low[:, None])] = True
+        found = kernels.borders(cells)
+        many = [len(p) for _, p in found]
+        place = np.array([x for _, p in found for x in p]) + low
+        cols = [np.repeat(np.arange(len(found), dtype=np.int32), many), np.repeat([h for h, _ in found], many), np.concatenate([np.arange(n, dtype=np.int32) for n in many]), *place.T.astype(np.int32)]
+        own = [pa.array([image.column(c)[0].as_py()] * sum(many), image.schema.field(c).type) for c in by]
+        return pa.Table.from_arrays([*own, *map(pa.array, cols)], names=[*by, "contour", "hole", "place", *PIXEL])
+
+    return rows.groupBy(*by).applyInArrow(run, f"{kinds}{', ' if by else ''}contour int, hole boolean, place int, height int, width int")
+
+
 def region_centres(mask: DataFrame, by: tuple = ("frame",)) -> DataFrame:
     """One pixel for each 8-connected region of mask(by..., height, width): whole
     parts of the medians of its rows and columns."""

@@ -141,6 +141,27 @@ query("region_labels", sql("L", """, m AS (SELECT frame, height, width, (height
 )
 
 
+def _bright_parts(i: Inputs) -> DataFrame:
+    return i.L.crossJoin(F.broadcast(i.L.agg(F.avg("value").alias("t")))).where("value > t")
+
+
+_PARTS = ", m AS (SELECT frame, height, width FROM L WHERE value > (SELECT avg(value) FROM L))"
+query("contour_pixels", sql("L", _PARTS + """ SELECT frame, height, width FROM m WHERE (SELECT count(*) FROM m n
+    WHERE n.frame = m.frame AND abs(n.height - m.height) + abs(n.width - m.width) = 1) < 4"""))(
+    lambda i: graph.contours(_bright_parts(i)).select("frame", *PIXEL).distinct()
+)
+query("contour_counts", sql("L", _PARTS + f""", e AS (SELECT frame, height, width FROM L ANTI JOIN m USING (frame, height, width)),
+    p AS (SELECT 'm' AS kind, frame, height * 256 + width AS id, height, width FROM m UNION ALL SELECT 'e', frame, height * 256 + width, height, width FROM e),
+    touch AS (SELECT a.kind, a.frame, a.id AS a, b.id AS b FROM p a JOIN p b ON a.kind = b.kind AND a.frame = b.frame AND abs(a.height - b.height) <= 1 AND abs(a.width - b.width) <= 1
+      AND (a.kind = 'm' OR abs(a.height - b.height) + abs(a.width - b.width) <= 1)),
+    reach(kind, frame, a, b) AS (SELECT kind, frame, id, id FROM p UNION SELECT r.kind, r.frame, r.a, t.b FROM reach r JOIN touch t ON r.kind = t.kind AND r.frame = t.frame AND r.b = t.a),
+    part AS (SELECT kind, frame, a, min(b) AS g, bool_or(b // 256 IN (0, {SIDE - 1}) OR b % 256 IN (0, {SIDE - 1})) AS outside FROM reach GROUP BY kind, frame, a)
+    SELECT frame, count(DISTINCT g) FILTER (kind = 'm') AS outer_borders, count(DISTINCT g) FILTER (kind = 'e' AND NOT outside) AS holes FROM part GROUP BY frame
+    HAVING count(*) FILTER (kind = 'm') > 0""", True))(
+    lambda i: graph.contours(_bright_parts(i)).where("place = 0").groupBy("frame").agg(F.count_if(~F.col("hole")).alias("outer_borders"), F.count_if("hole").alias("holes"))
+)
+
+
 def _frames(df: DataFrame) -> int:
     return df.agg(F.max("frame") + 1).first()[0]
 
@@ -233,6 +254,18 @@ query("ks_refine", sql("L bright", f"""{_AT_SEEDS}, z AS (SELECT unit_id, row_nu
     ks AS (SELECT unit_id, d * (r + 0.12 + 0.11 / r) AS t FROM d),
     p AS (SELECT unit_id, CASE WHEN any_value(t) < 0.2 THEN 1 ELSE 2 * sum((CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * k * k * t * t)) END AS p FROM ks, range(1, 101) r(k) GROUP BY unit_id)
     SELECT seed_id, height, width, coalesce(p < 0.05, false) AS mask_ks FROM bright LEFT JOIN p ON unit_id = seed_id"""))(lambda i: seeds.ks_refine(i.L, i.bright, 0.05))
+_DISTANCE = f"""{_AT_SEEDS}, z AS (SELECT unit_id, row_number() OVER (PARTITION BY unit_id ORDER BY value) AS pos, count(*) OVER (PARTITION BY unit_id) AS n,
+      (value - avg(value) OVER (PARTITION BY unit_id)) / nullif(stddev_pop(value) OVER (PARTITION BY unit_id), 0) / sqrt(2) AS x FROM T),
+    c AS (SELECT unit_id, pos, any_value(n) AS n, 0.5 + 0.5 * exp(-any_value(x * x)) * sum(pow(x, 2 * k + 1) / gamma(k + 1.5)) AS cdf FROM z, range(0, 120) r(k) GROUP BY unit_id, pos),
+    d AS (SELECT unit_id, any_value(n) AS n, max(greatest(cdf - (pos - 1) / n::DOUBLE, pos / n::DOUBLE - cdf)) AS d FROM c GROUP BY unit_id HAVING max(cdf) IS NOT NULL)"""
+query("ks_exact", sql("L bright", _DISTANCE + """, w AS (SELECT unit_id, n, floor(n * d)::INT + 1 AS k, 2 * floor(n * d)::INT + 1 AS m, floor(n * d) + 1 - n * d AS h FROM d),
+    walk AS (SELECT *, list_transform(range(m), lambda j: list_transform(range(m), lambda i: ((CASE WHEN i - j + 1 < 0 THEN 0 ELSE 1 END) - (CASE WHEN j = 0 THEN pow(h, i + 1) ELSE 0 END)
+      - (CASE WHEN i = m - 1 THEN pow(h, m - j) ELSE 0 END) + (CASE WHEN i = m - 1 AND j = 0 THEN pow(greatest(2 * h - 1, 0), m) ELSE 0 END)) / gamma(greatest(i - j + 1, 0) + 1.0))) AS cols FROM w),
+    go(unit_id, t, v) AS (SELECT unit_id, 0, list_transform(range(m), lambda i: CASE WHEN i = k - 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) FROM walk
+      UNION ALL SELECT go.unit_id, t + 1, list_transform(cols, lambda c: list_dot_product(c, v) * (t + 1) / n) FROM go JOIN walk ON walk.unit_id = go.unit_id WHERE t < n)
+    SELECT go.unit_id AS seed_id, round(1 - v[k], 6) + 0.0 AS p FROM go JOIN walk ON walk.unit_id = go.unit_id AND t = n""", True), 6)(
+    lambda i: signal.normality(seeds.traces_at(i.L, i.bright), ("seed_id",)).where("p is not null and not isnan(p)")
+)
 query("gmm_refine", None)(lambda i: seeds.gmm_refine(i.L, i.bright))
 query("med_baseline", sql("T", """, n AS (SELECT count(DISTINCT frame) AS n FROM T),
     near AS (SELECT unit_id, frame, value, CASE WHEN p < 0 THEN -1 - p WHEN p >= n THEN 2 * n - 1 - p ELSE p END AS q FROM (SELECT unit_id, frame, value, frame + d AS p, n FROM T, n, range(-2, 3) r(d))),

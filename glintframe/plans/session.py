@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glintframe.operators import PIXEL, motion, project, seeds, signal, stencil, units
+from glintframe.operators import PIXEL, graph, motion, project, seeds, signal, stencil, units
 from glintframe.runtime import written
 from glintframe.sources import params as tables
 
@@ -40,7 +40,7 @@ class Session:
         if name == "seeds_init":
             return seeds.find_in_frame(one.drop("frame"), p.get("max_wnd", 10), p.get("diff_thres", 2))
         if name == "contours":
-            return stencil.edge_mask(one)
+            return graph.contours(stencil.edge_mask(one).where("edge"))
         raise ValueError(f"no preview of {name}")
 
     def save_params(self, path: str) -> None:

@@ -107,6 +107,68 @@ def test_deconvolution():
     assert np.corrcoef(warm[0], c)[0, 1] > 0.95 and warm[2][-1] - warm[2][0] == pytest.approx(20, abs=1.5)
 
 
+def exact_kolmogorov(n, d):
+    """P(D < d) by Steck's determinant, in fractions; Hessenberg, so a recursion."""
+    from fractions import Fraction as Q
+    from math import factorial
+
+    d = Q(d)
+    up = [min(Q(1), Q(i, n) + d) for i in range(n)]  # upper ends of the i-th value, and lower ones
+    low = [max(Q(0), Q(i + 1, n) - d) for i in range(n)]
+    entry = lambda i, j: max(up[i] - low[j], Q(0)) ** (j - i + 1) / factorial(j - i + 1) if j - i + 1 >= 0 else Q(0)
+    det = [Q(1)]
+    for j in range(n):
+        total, sign = Q(0), 1
+        for i in range(j, -1, -1):
+            total += sign * entry(i, j) * det[i]
+            sign = -sign
+        det.append(total)
+    return float(det[n] * factorial(n))
+
+
+def test_kolmogorov_is_exact():
+    for n, ds in ((1, (0.6, 0.9)), (10, (0.06, 0.12, 0.274, 0.4, 0.55, 0.8)), (40, (0.05, 0.1, 0.2, 0.316, 0.34)), (83, (0.04, 0.09, 0.15, 0.21, 0.23))):
+        for d in ds:
+            assert K.kolmogorov(n, d) == pytest.approx(1 - exact_kolmogorov(n, d), abs=1e-10), (n, d)
+    # values in print (Marsaglia, Tsang and Wang 2003; Simard and L'Ecuyer 2011)
+    assert 1 - K.kolmogorov(10, 0.274) == pytest.approx(0.6284796154565043, abs=1e-12)
+    assert 1 - K.kolmogorov(2000, 0.04) == pytest.approx(0.9967694319171368, abs=1e-10)
+    assert K.kolmogorov(1000, 0.0632) == pytest.approx(K.kolmogorov(1000, 0.06325), rel=0.02)  # no step where the way to find it changes
+    assert K.kolmogorov(50, 0.0) == 1.0 and K.kolmogorov(50, 1.0) == 0.0 and K.kolmogorov(3, 0.999) < 1e-8
+    fine = [K.kolmogorov(1000, d) for d in np.linspace(0.001, 0.12, 60)]
+    assert all(a >= b for a, b in zip(fine, fine[1:]))
+
+
+def test_borders():
+    """Of a ring: outside and hole; of a dot, a line and a blob in the hole: theirs. Every border pixel, and no other, is on one."""
+    ring = np.ones((7, 9), dtype=bool)
+    ring[2:5, 2:7] = False
+    got = K.borders(ring)
+    assert [h for h, _ in got] == [False, True] and got[0][1][0] == (0, 0) and got[1][1][0] == (2, 1)
+    assert len(got[0][1]) == len(set(got[0][1])) == 2 * (7 + 9) - 4 and len(set(got[1][1])) == 2 * (3 + 5)
+    ring[3, 4] = True
+    assert [(h, len(p)) for h, p in K.borders(ring)][2] == (False, 1)
+    line = np.zeros((3, 6), dtype=bool)
+    line[1, 1:5] = True
+    assert K.borders(line) == [(False, [(1, 1), (1, 2), (1, 3), (1, 4), (1, 3), (1, 2)])]
+    rng = np.random.default_rng(2)
+    for share in (0.2, 0.5, 0.8):
+        for _ in range(20):
+            m = rng.random((12, 11)) < share
+            found = K.borders(m)
+            p = np.pad(m, 1)
+            inner = p[:-2, 1:-1] & p[2:, 1:-1] & p[1:-1, :-2] & p[1:-1, 2:]
+            assert {x for _, b in found for x in b} == set(map(tuple, np.argwhere(m & ~inner).tolist()))
+            y, x = np.nonzero(m)
+            assert sum(not h for h, _ in found) == max(K.label_pixels(y.tolist(), x.tolist(), True), default=0)
+            y, x = np.nonzero(~p)
+            assert sum(h for h, _ in found) == max(K.label_pixels(y.tolist(), x.tolist(), False)) - 1
+            for _, b in found:
+                steps = np.abs(np.diff([*b, b[0]], axis=0)).max(axis=1)
+                assert (steps <= 1).all() and (len(b) == 1 or (steps > 0).all())
+    assert K.borders(np.zeros((3, 3), dtype=bool)) == []
+
+
 def test_deconvolution_is_proved_exact():
     """Objective and dual bound agree to ten digits, for one and two coefficients, segments, noise of any size, many rows at once."""
     rng = np.random.default_rng(7)
