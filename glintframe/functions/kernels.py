@@ -620,10 +620,15 @@ def circularity(im: np.ndarray, most: int) -> float:
     """How round the region is within which an image resembles itself when moved:
     4 pi area / perimeter^2 of where the normalised squared difference is below 1;
     0 if there are several regions."""
-    p = np.pad(im.astype(float), most)
-    windows = np.lib.stride_tricks.sliding_window_view(p, im.shape)
-    scale = np.sqrt((windows**2).sum((2, 3)) * (im.astype(float) ** 2).sum())
-    diff = ((windows - im) ** 2).sum((2, 3))
+    im = im.astype(float)
+    p, (h, w), own = np.pad(im, most), im.shape, float((im * im).sum())
+    # sums over the windows: of squares by prefix sums, of products with the image by the spectrum
+    total = np.pad((p * p).cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+    squares = np.maximum(total[h:, w:] - total[:-h, w:] - total[h:, :-w] + total[:-h, :-w], 0.0)
+    alike = np.fft.irfft2(np.fft.rfft2(p) * np.conj(np.fft.rfft2(im, p.shape)), p.shape)[: 2 * most + 1, : 2 * most + 1]
+    if (im == np.rint(im)).all() and own < 2.0**50:
+        alike = np.rint(alike)  # as exact as whole numbers are
+    scale, diff = np.sqrt(squares * own), squares - 2 * alike + own
     near = np.divide(diff, scale, out=np.ones_like(diff), where=scale > 0) < 1
     if not near.any() or regions(near) != 1:
         return 0.0

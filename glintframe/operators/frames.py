@@ -24,14 +24,22 @@ def to_movie(frames: DataFrame, by: tuple = ()) -> DataFrame:
     return at.select(*by, "frame", F.floor(F.col("i") / F.col("w")).cast("int").alias("height"), (F.col("i") % F.col("w")).cast("int").alias("width"), "value")
 
 
+def pictures(b: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """The images of a batch's h, w and pixels, without a copy."""
+    pixels = b.column("pixels")
+    flat, ends = pixels.flatten().to_numpy(zero_copy_only=False), np.cumsum(np.diff(pixels.offsets.to_numpy()))
+    for end, h, w in zip(ends.tolist(), b.column("h").to_pylist(), b.column("w").to_pylist()):
+        yield flat[end - h * w : end].astype(float, copy=False).reshape(h, w)
+
+
 def map_frames(frames: DataFrame, fn) -> DataFrame:
     """frames with fn(image, row) in place of each image; no shuffle."""
     names = frames.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = b.to_pylist()
-            out = [fn(np.array(r["pixels"], dtype=float).reshape(r["h"], r["w"]), r).ravel() for r in rows]
+            rows = b.select([n for n in names if n != "pixels"]).to_pylist()
+            out = [fn(im, r).ravel() for im, r in zip(pictures(b), rows)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.float64())) if n == "pixels" else b.column(n) for n in names], names=names)
 
     return frames.mapInArrow(run, frames.schema)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from glintframe.functions import kernels
 from glintframe.operators import PIXEL, VOXEL
-from glintframe.operators.frames import map_frames, to_frames, to_movie
+from glintframe.operators.frames import map_frames, pictures, to_frames, to_movie
 from glintframe.runtime import written
 
 CHUNK = "node long, first array<double>, template array<double>, last array<double>, h int, w int"
@@ -153,7 +153,7 @@ def circularities(movie: DataFrame, most: int = 100) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            out = [kernels.circularity(np.array(r["pixels"], dtype=float).reshape(r["h"], r["w"]), most) for r in b.to_pylist()]
+            out = [kernels.circularity(im, most) for im in pictures(b)]
             yield pa.RecordBatch.from_arrays([b.column("frame"), pa.array(out, pa.float64())], names=["frame", "circularity"])
 
     return to_frames(movie).mapInArrow(run, "frame int, circularity double")
@@ -185,7 +185,7 @@ def template_motion(movie: DataFrame, template: np.ndarray, most: int = 10, loca
 
     def run(batches):
         for b in batches:
-            out = [kernels.template_shift(np.array(r["pixels"], dtype=float).reshape(r["h"], r["w"]), template, most, local, subpixel) for r in b.to_pylist()]
+            out = [kernels.template_shift(im, template, most, local, subpixel) for im in pictures(b)]
             yield pa.RecordBatch.from_arrays([b.column("frame"), pa.array([float(o[0]) for o in out]), pa.array([float(o[1]) for o in out])], names=["frame", "dy", "dx"])
 
     return frames.mapInArrow(run, "frame int, dy double, dx double")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,13 +37,14 @@ def on_traces(rows: DataFrame, fn, out: str, kind: str = "double") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            traces, groups = b.column("trace").to_pylist(), defaultdict(list)
-            for i, t in enumerate(traces):
-                groups[len(t)].append(i)
-            got: list = [None] * len(traces)
-            for at in groups.values():
-                for i, v in zip(at, fn(np.array([traces[i] for i in at], dtype=float))):
-                    got[i] = v.tolist() if kind.startswith("array") else float(v)
+            trace = b.column("trace")
+            flat, length = trace.flatten().to_numpy(zero_copy_only=False), np.diff(trace.offsets.to_numpy())
+            ends = np.cumsum(length)
+            got: list = [None] * len(length)
+            for n in np.unique(length):
+                at = np.flatnonzero(length == n)
+                for i, v in zip(at, fn(flat[(ends[at] - n)[:, None] + np.arange(n)].astype(float, copy=False))):
+                    got[i] = v if kind.startswith("array") else float(v)
             arrow = pa.list_(pa.float64()) if kind.startswith("array") else pa.float64()
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names if n != out), pa.array(got, arrow)], names=[*(n for n in names if n != out), out])
 

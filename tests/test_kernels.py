@@ -139,6 +139,36 @@ def test_kolmogorov_is_exact():
     assert all(a >= b for a, b in zip(fine, fine[1:]))
 
 
+def test_circularity_by_the_spectrum():
+    """Where an image resembles itself when moved: as all windows written out tell; and a large one needs no room for them."""
+
+    def near(im, most):
+        p = np.pad(im.astype(float), most)
+        windows = np.lib.stride_tricks.sliding_window_view(p, im.shape)
+        scale = np.sqrt((windows**2).sum((2, 3)) * (im.astype(float) ** 2).sum())
+        return np.divide(((windows - im) ** 2).sum((2, 3)), scale, out=np.ones_like(scale), where=scale > 0) < 1
+
+    def plain(im, most):
+        m = near(im, most)
+        if not m.any() or K.regions(m) != 1:
+            return 0.0
+        y, x = np.array(K._outline(m), dtype=float).T
+        dy, dx = np.roll(y, -1) - y, np.roll(x, -1) - x
+        length = np.hypot(dy, dx).sum()
+        return 4 * np.pi * abs((x * np.roll(y, -1) - y * np.roll(x, -1)).sum()) / 2 / length**2 if length else 0.0
+
+    rng = np.random.default_rng(4)
+    yy, xx = np.mgrid[:21, :25]
+    disk = 200.0 * ((yy - 10) ** 2 + (xx - 12) ** 2 <= 36)
+    for im in (disk, disk + rng.integers(0, 30, disk.shape), rng.integers(0, 50, (9, 14)), rng.random((11, 7)) + 1, np.zeros((5, 6)), 100.0 * (abs(yy - 10) < 2)):
+        for most in (1, 3, 6):
+            assert K.circularity(im, most) == pytest.approx(plain(np.asarray(im), most), abs=1e-12)
+    assert K.circularity(disk, 8) > 0.7
+    big = np.zeros((480, 752))
+    big[200:260, 300:380] = 90.0
+    assert 0 < K.circularity(big, 100) <= 1
+
+
 def test_borders():
     """Of a ring: outside and hole; of a dot, a line and a blob in the hole: theirs. Every border pixel, and no other, is on one."""
     ring = np.ones((7, 9), dtype=bool)

@@ -263,3 +263,81 @@ def test_motion_jpeg(spark, tmp_path, film):
         few = movies.read_movie(spark, str(tmp_path / f"f{index}.avi"), frames_a_task=4).where("frame >= 20")
         assert few.count() == 3 * h * w
     assert (array_of(video.load(spark, str(tmp_path), video.avi_frames, glob="fTrue.avi"), SHAPE) == array_of(movies.read_movie(spark, str(tmp_path / "fTrue.avi")), SHAPE)).all()
+
+
+def read_netcdf(raw):
+    """A reader of the classic format: (dimensions, attributes, {variable: (dimension names, array)})."""
+    at = [4]
+
+    def word():
+        at[0] += 4
+        return struct.unpack_from(">I", raw, at[0] - 4)[0]
+
+    def text():
+        n = word()
+        out = raw[at[0] : at[0] + n].decode()
+        at[0] += -(-n // 4) * 4
+        return out
+
+    def attributes():
+        tag, n = word(), word()
+        assert (tag, n) == (0, 0) or tag == 12
+        out = {}
+        for _ in range(n):
+            key = text()
+            assert word() == 2
+            out[key] = text()
+        return out
+
+    assert raw[:4] == b"CDF\x02" and word() == 0 and word() == 10
+    dims = [(text(), word()) for _ in range(word())]
+    atts, out = attributes(), {}
+    assert word() == 11
+    for _ in range(word()):
+        name = text()
+        ids = [word() for _ in range(word())]
+        attributes()
+        kind = {4: ">i4", 5: ">f4", 6: ">f8"}[word()]
+        size, begin = word(), struct.unpack_from(">Q", raw, at[0])[0]
+        at[0] += 8
+        shape = [dims[i][1] for i in ids]
+        n = int(np.prod(shape))
+        assert size == -(-n * np.dtype(kind).itemsize // 4) * 4 and begin % 4 == 0
+        out[name] = ([dims[i][0] for i in ids], np.frombuffer(raw, dtype=kind, count=n, offset=begin).reshape(shape))
+    return dict(dims), atts, out
+
+
+def test_netcdf(spark, tmp_path, film):
+    from pyspark.sql import functions as F
+
+    from glintframe.sources import netcdf
+
+    movie = movie_of(spark, film)
+    holes = movie.where("not (frame = 3 and height = 2) and frame <> 7").withColumn("frame", F.col("frame") * 2 + 10)
+    path = str(tmp_path / "a" / "film.nc")
+    netcdf.write_netcdf(holes, path, attributes={"animal": "m1", "säson": "2"}, slab=4)
+    dims, atts, got = read_netcdf((tmp_path / "a" / "film.nc").read_bytes())
+    assert dims == {"frame": 22, "height": 6, "width": 7} and atts == {"animal": "m1", "säson": "2"}
+    frames = [n for n in range(23) if n != 7]
+    assert got["frame"][1].tolist() == [2 * n + 10 for n in frames] and got["height"][1].tolist() == list(range(6))
+    want = film[frames].astype(float)
+    want[3, 2] = np.nan
+    assert got["value"][0] == ["frame", "height", "width"] and np.array_equal(got["value"][1], want, equal_nan=True)
+    with pytest.raises(FileExistsError):
+        netcdf.write_netcdf(holes, path)
+    for kind in ("f4", "i4"):
+        netcdf.write_netcdf(movie, path, kind=kind, name="Y", overwrite=True, slab=1)
+        assert (read_netcdf((tmp_path / "a" / "film.nc").read_bytes())[2]["Y"][1] == film).all()
+    traces = spark.createDataFrame([(5, 0.5, 1.0), (2, 1.5, 2.0), (None, 0.5, 9.0)], "unit_id long, t double, value double")
+    netcdf.write_netcdf(traces, path, dims=("unit_id", "t"), overwrite=True)
+    told = read_netcdf((tmp_path / "a" / "film.nc").read_bytes())[2]
+    assert told["t"][1].tolist() == [0.5, 1.5] and np.array_equal(told["value"][1], [[np.nan, 2.0], [1.0, np.nan]], equal_nan=True)
+    netcdf.write_netcdf(traces.limit(0), path, dims=("unit_id", "t"), overwrite=True)
+    assert read_netcdf((tmp_path / "a" / "film.nc").read_bytes())[0] == {"unit_id": 0, "t": 0}
+    (tmp_path / "a" / "film.nc").unlink()
+    broken = movie.withColumn("value", F.when(F.col("frame") == 21, F.raise_error(F.lit("no"))).otherwise(F.col("value")))
+    with pytest.raises(Exception):
+        netcdf.write_netcdf(broken, path)
+    assert list((tmp_path / "a").iterdir()) == []
+    with pytest.raises(ValueError):
+        netcdf.write_netcdf(movie, "s3://bucket/film.nc")
