@@ -341,3 +341,62 @@ def test_netcdf(spark, tmp_path, film):
     assert list((tmp_path / "a").iterdir()) == []
     with pytest.raises(ValueError):
         netcdf.write_netcdf(movie, "s3://bucket/film.nc")
+
+
+def zarr_store(folder, a, chunks, dims, *, kind="<f8", order="C", compressor=None, fill=0, sep=".", leave=()):
+    """A version 2 array, chunk by chunk; `leave` are chunks of fill values that aren't stored."""
+    import gzip
+    import json
+    from itertools import product
+
+    folder.mkdir(parents=True)
+    meta = {"zarr_format": 2, "shape": list(a.shape), "chunks": list(chunks), "dtype": kind, "order": order, "compressor": compressor and {"id": compressor, "level": 1}, "fill_value": fill, "filters": None, "dimension_separator": sep}
+    (folder / ".zarray").write_text(json.dumps(meta))
+    (folder / ".zattrs").write_text(json.dumps({"_ARRAY_DIMENSIONS": list(dims)}))
+    for at in product(*(range(-(-n // c)) for n, c in zip(a.shape, chunks))):
+        if at in leave:
+            continue
+        full = np.zeros(chunks, dtype=kind)
+        part = a[tuple(slice(k * c, (k + 1) * c) for k, c in zip(at, chunks))]
+        full[tuple(slice(0, n) for n in part.shape)] = part
+        raw = full.tobytes(order=order)
+        raw = {None: bytes, "zlib": zlib.compress, "gzip": gzip.compress}[compressor](raw)
+        f = folder / sep.join(map(str, at))
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_bytes(raw)
+
+
+@pytest.mark.parametrize("args", [{}, {"compressor": "zlib", "kind": ">i2"}, {"compressor": "gzip", "order": "F", "sep": "/"}, {"kind": "|u1", "fill": 7, "leave": ((1, 0, 0), (2, 1, 1))}, {"fill": "NaN", "leave": ((0, 0, 0),), "compressor": "zlib"}])
+def test_zarr(spark, tmp_path, film, args):
+    from glintframe.sources import zarr
+
+    chunks, want = (10, 4, 5), film.astype(float)
+    for at in args.get("leave", ()):
+        want[tuple(slice(k * c, (k + 1) * c) for k, c in zip(at, chunks))] = float(args["fill"])
+    zarr_store(tmp_path / "Y", film, chunks, ("frame", "height", "width"), **args)
+    whole = zarr.read_zarr(spark, str(tmp_path / "Y"), 3)
+    assert whole.columns == ["frame", "height", "width", "value"]
+    assert np.array_equal(array_of(whole, SHAPE), want, equal_nan=True) and whole.count() == film.size
+    some = whole.where("frame >= 8 and frame < 12 and height in (1, 5) and width > 4")
+    assert sorted((r.frame, r.height, r.width) for r in some.collect()) == [(n, y, x) for n in range(8, 12) for y in (1, 5) for x in (5, 6)]
+    # coordinates beside the array take the place of places
+    zarr_store(tmp_path / "frame", np.arange(23) * 2 + 100, (8,), ("frame",), kind="<i8", compressor="zlib")
+    assert {r.frame for r in zarr.read_zarr(spark, str(tmp_path / "Y")).where("frame > 140").select("frame").distinct().collect()} == {142, 144}
+
+
+def test_zarr_reads_no_other_chunks(tmp_path, film):
+    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, LessThan
+
+    from glintframe.sources import zarr
+
+    zarr_store(tmp_path / "Y", film, (5, 2, 7), ("frame", "height", "width"))
+    r = zarr.ZarrReader({"path": str(tmp_path / "Y")})
+    left = list(r.pushFilters([GreaterThanOrEqual(("frame",), 4), LessThan(("frame",), 6), EqualTo(("height",), 3), EqualTo(("value",), 1)]))
+    assert len(left) == 1 and [c for p in r.partitions() for c in p.at] == [(0, 1, 0), (1, 1, 0)]
+    none = zarr.ZarrReader({"path": str(tmp_path / "Y")})
+    list(none.pushFilters([EqualTo(("frame",), 900)]))
+    assert [c for p in none.partitions() for c in p.at] == []
+    with pytest.raises(FileNotFoundError):
+        zarr.Array(str(tmp_path / "no"))
+    with pytest.raises(ValueError):
+        zarr.unpacker({"id": "blosc"})
