@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glintframe.operators import PIXEL, graph, project, signal, stencil
+from glintframe.runtime import written
 
 
 def numbered(pixels: DataFrame) -> DataFrame:
@@ -63,21 +66,55 @@ def ks_refine(movie: DataFrame, seeds: DataFrame, significance: float = 0.01) ->
     return _masked(seeds, p.select("seed_id", (F.col("p") < significance).alias("mask_ks")), "mask_ks")
 
 
+def mixture(values: DataFrame, components: int = 2, iterations: int = 100, tol: float = 1e-6) -> list[tuple[float, float, float]]:
+    """(weight, mean, variance) of each of a mixture of Gaussian components, fitted to
+    values(value) by expectation maximisation.
+
+    It begins with equal weights, means at the middle quantiles of as many equal
+    parts, and the variance of all; a millionth of that is added to each variance. It
+    ends when the mean log-likelihood rises by less than tol. So the fit depends on
+    the values alone. Each step is one aggregation; what the driver holds are the
+    components."""
+    k = range(components)
+    first = values.agg(F.var_pop("value").alias("v"), F.percentile("value", F.array(*[F.lit((i + 0.5) / components) for i in k])).alias("m")).first()
+    floor = 1e-6 * first["v"]
+    now, was = [(1 / components, first["m"][i], first["v"] + floor) for i in k], None
+    for _ in range(iterations):
+        logs = [F.lit(math.log(w) - 0.5 * math.log(v)) - (F.col("value") - m) * (F.col("value") - m) / (2 * v) for w, m, v in now]
+        top = F.greatest(*logs) if components > 1 else logs[0]
+        told = values.select("value", top.alias("_top"), *[x.alias(f"_l{i}") for i, x in enumerate(logs)])
+        told = told.select("value", (F.col("_top") + F.log(sum((F.exp(F.col(f"_l{i}") - F.col("_top")) for i in k), F.lit(0.0)))).alias("_all"), *[f"_l{i}" for i in k])
+        share = [F.exp(F.col(f"_l{i}") - F.col("_all")) for i in k]
+        # about the old means, so that one aggregation gives means and variances
+        sums = [F.sum(x) for r, (_, m, _) in zip(share, now) for x in (r, r * (F.col("value") - m), r * (F.col("value") - m) * (F.col("value") - m))]
+        got = told.agg(F.count("*"), F.avg("_all"), *sums).first()
+        new = []
+        for i in k:
+            n, one, two = got[2 + 3 * i], got[3 + 3 * i], got[4 + 3 * i]
+            n = max(n, 1e-300)
+            new.append((max(n / got[0], 1e-12), now[i][1] + one / n, max(two / n - (one / n) ** 2, 0.0) + floor))
+        now = new
+        if was is not None and got[1] - was < tol:
+            break
+        was = got[1]
+    return now
+
+
 def gaussian_split(values: DataFrame, components: int = 2, valid: int = 1, iterations: int = 100) -> DataFrame:
     """values(seed_id, value) with `upper`: whether a value belongs to one of the
-    `valid` mixture components with the greatest means, and exceeds the least mean."""
-    from pyspark.ml.clustering import GaussianMixture
-    from pyspark.ml.feature import VectorAssembler
-
+    `valid` mixture components with the greatest means, and exceeds the least mean.
+    Values that aren't finite don't; with fewer distinct ones than components, all do."""
+    values = written(values.select("seed_id", F.col("value").cast("double").alias("value")), "mixture")
     finite = values.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")))
-    rows = VectorAssembler(inputCols=["value"], outputCol="features").transform(finite)
     if len(finite.select("value").distinct().take(components)) < components:  # nothing to tell apart
         return values.select("seed_id", "value", F.lit(True).alias("upper"))
-    model = GaussianMixture(k=components, seed=1, maxIter=iterations).fit(rows)
-    means = [(i, float(g.mean[0])) for i, g in enumerate(model.gaussians)]
-    top = [i for i, _ in sorted(means, key=lambda m: m[1])[-valid:]]
-    told = model.transform(rows).select("seed_id", F.col("prediction").isin(top).alias("_top"))
-    return values.join(told, "seed_id", "left").select("seed_id", "value", (F.coalesce("_top", F.lit(False)) & (F.col("value") > min(m for _, m in means))).alias("upper"))
+    fit = mixture(finite, components, iterations)
+    order = sorted(range(components), key=lambda i: fit[i][1])
+    like = F.array(*[F.lit(math.log(w) - 0.5 * math.log(v)) - (F.col("value") - m) * (F.col("value") - m) / (2 * v) for w, m, v in (fit[i] for i in order)])
+    rank = F.array_position(like, F.array_max(like))  # by rising means, from 1
+    upper = (rank > components - valid) & (F.col("value") > fit[order[0]][1])
+    told = finite.select("seed_id", upper.alias("_up"))
+    return values.join(told, "seed_id", "left").select("seed_id", "value", F.coalesce("_up", F.lit(False)).alias("upper"))
 
 
 def gmm_refine(movie: DataFrame, seeds: DataFrame, q: tuple[float, float] = (0.1, 99.9), components: int = 2, valid: int = 1) -> DataFrame:

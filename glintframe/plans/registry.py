@@ -246,7 +246,19 @@ _PNR = f"""{_LOW}, q AS (SELECT unit_id, (quantile_cont(x, 0.999) - quantile_con
 query("pnr", sql("T", f"{_PNR} SELECT unit_id, round(pnr, 6) + 0.0 AS pnr, pnr > 1.1 AS mask_pnr FROM q"), 6)(lambda i: signal.peak_to_noise(i.T, 0.25).withColumn("mask_pnr", F.col("pnr") > 1.1))
 _AT_SEEDS = ", T AS (SELECT seed_id AS unit_id, frame, value FROM L JOIN bright USING (height, width))"
 query("pnr_refine", sql("L bright", f"{_AT_SEEDS}{_PNR} SELECT seed_id, height, width, coalesce(pnr > 1.05, false) AS mask_pnr FROM bright LEFT JOIN q ON unit_id = seed_id"))(lambda i: seeds.pnr_refine(i.L, i.bright, 0.25, 1.05))
-query("pnr_refine_auto", None)(lambda i: seeds.pnr_refine(i.L, i.bright, 0.25, "auto"))
+_MIXTURE = """, fin AS (SELECT unit_id, x FROM one WHERE x IS NOT NULL AND isfinite(x)), vals AS (SELECT list(x) AS v, var_pop(x) AS var, quantile_cont(x, 0.25) AS a, quantile_cont(x, 0.75) AS b FROM fin),
+    em(t, w, m1, m2, v1, v2, ll, was) AS (SELECT 0, 0.5::DOUBLE, a, b, var * (1 + 1e-6), var * (1 + 1e-6), 0.0::DOUBLE, NULL::DOUBLE FROM vals
+      UNION ALL SELECT t + 1, n1 / n, s1 / n1, s2 / (n - n1), list_sum(list_transform(range(1, n + 1), lambda i: r[i] * pow(v[i] - s1 / n1, 2))) / n1 + var * 1e-6,
+        list_sum(list_transform(range(1, n + 1), lambda i: (1 - r[i]) * pow(v[i] - s2 / (n - n1), 2))) / (n - n1) + var * 1e-6, now, CASE WHEN t > 0 THEN ll END
+      FROM (SELECT *, list_sum(r) AS n1, list_dot_product(r, v) AS s1, list_sum(v) - list_dot_product(r, v) AS s2 FROM (
+        SELECT t, ll, v, var, len(v) AS n, list_transform(list_zip(d1, d2), lambda z: 1 / (1 + exp(z[2] - z[1]))) AS r,
+          list_avg(list_transform(list_zip(d1, d2), lambda z: greatest(z[1], z[2]) + ln(1 + exp(-abs(z[1] - z[2]))))) AS now FROM (
+          SELECT em.*, v, var, list_transform(v, lambda x: ln(w) - 0.5 * ln(v1) - pow(x - m1, 2) / (2 * v1)) AS d1, list_transform(v, lambda x: ln(1 - w) - 0.5 * ln(v2) - pow(x - m2, 2) / (2 * v2)) AS d2
+          FROM em, vals WHERE t < 100 AND (t < 2 OR ll - was >= 1e-6))))),
+    fit AS (SELECT * FROM em ORDER BY t DESC LIMIT 1),
+    up AS (SELECT unit_id, x > least(m1, m2) AND (ln(w) - 0.5 * ln(v1) - pow(x - m1, 2) / (2 * v1) > ln(1 - w) - 0.5 * ln(v2) - pow(x - m2, 2) / (2 * v2)) = (m1 > m2) AS upper FROM fin, fit)"""
+query("pnr_refine_auto", sql("L bright", f"""{_AT_SEEDS}{_PNR}, one AS (SELECT unit_id, pnr AS x FROM q){_MIXTURE}
+    SELECT seed_id, height, width, coalesce(upper, false) AS mask_pnr FROM bright LEFT JOIN up ON unit_id = seed_id""", True))(lambda i: seeds.pnr_refine(i.L, i.bright, 0.25, "auto"))
 query("ks_refine", sql("L bright", f"""{_AT_SEEDS}, z AS (SELECT unit_id, row_number() OVER (PARTITION BY unit_id ORDER BY value) AS pos, count(*) OVER (PARTITION BY unit_id) AS n,
       (value - avg(value) OVER (PARTITION BY unit_id)) / nullif(stddev_pop(value) OVER (PARTITION BY unit_id), 0) / sqrt(2) AS x FROM T),
     c AS (SELECT unit_id, pos, any_value(n) AS n, 0.5 + 0.5 * exp(-any_value(x * x)) * sum(pow(x, 2 * k + 1) / gamma(k + 1.5)) AS cdf FROM z, range(0, 120) r(k) GROUP BY unit_id, pos),
@@ -266,7 +278,8 @@ query("ks_exact", sql("L bright", _DISTANCE + """, w AS (SELECT unit_id, n, floo
     SELECT go.unit_id AS seed_id, round(1 - v[k], 6) + 0.0 AS p FROM go JOIN walk ON walk.unit_id = go.unit_id AND t = n""", True), 6)(
     lambda i: signal.normality(seeds.traces_at(i.L, i.bright), ("seed_id",)).where("p is not null and not isnan(p)")
 )
-query("gmm_refine", None)(lambda i: seeds.gmm_refine(i.L, i.bright))
+query("gmm_refine", sql("L bright", f"""{_AT_SEEDS}, one AS (SELECT unit_id, quantile_cont(value, 0.999) - quantile_cont(value, 0.001) AS x FROM T GROUP BY unit_id){_MIXTURE}
+    SELECT seed_id, height, width, coalesce(upper, false) AS mask_gmm FROM bright LEFT JOIN up ON unit_id = seed_id""", True))(lambda i: seeds.gmm_refine(i.L, i.bright))
 query("med_baseline", sql("T", """, n AS (SELECT count(DISTINCT frame) AS n FROM T),
     near AS (SELECT unit_id, frame, value, CASE WHEN p < 0 THEN -1 - p WHEN p >= n THEN 2 * n - 1 - p ELSE p END AS q FROM (SELECT unit_id, frame, value, frame + d AS p, n FROM T, n, range(-2, 3) r(d))),
     mid AS (SELECT a.unit_id, a.frame, any_value(a.value) AS v, median(b.value) AS m FROM near a JOIN T b ON b.unit_id = a.unit_id AND b.frame = q GROUP BY a.unit_id, a.frame)

@@ -468,3 +468,26 @@ def test_covariances_are_linear_in_frames(spark):
         want = np.cov(x, bias=True)
         assert len(got) == 78 and all(v == pytest.approx(want[k], abs=1e-12) for k, v in got.items())
     assert took[1] < 8 * took[0] + 3
+
+
+def test_mixture_against_plain_steps(spark):
+    """The same expectation maximisation in numpy; and what can't be told apart is all upper."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(0, 1, 80), rng.normal(6, 2, 40), [50.0]])
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "seed_id long, value double").repartition(3)
+    for k in (2, 3):
+        w, m, v, was = np.full(k, 1 / k), np.quantile(x, (np.arange(k) + 0.5) / k), np.full(k, x.var() * (1 + 1e-6)), None
+        for _ in range(100):
+            logs = np.log(w) - 0.5 * np.log(v) - (x[:, None] - m) ** 2 / (2 * v)
+            top = np.logaddexp.reduce(logs, axis=1)
+            r = np.exp(logs - top[:, None])
+            w, m = r.mean(0), (r * x[:, None]).sum(0) / r.sum(0)
+            v = (r * (x[:, None] - m) ** 2).sum(0) / r.sum(0) + 1e-6 * x.var()
+            if was is not None and top.mean() - was < 1e-6:
+                break
+            was = top.mean()
+        assert np.array(seeds.mixture(df, k)) == pytest.approx(np.stack([w, m, v], axis=1), rel=1e-6)
+    odd = spark.createDataFrame([(0, 1.0), (1, 1.0), (2, None), (3, float("nan"))], "seed_id long, value double")
+    assert all(r.upper for r in seeds.gaussian_split(odd).collect())
+    some = seeds.gaussian_split(df.union(spark.createDataFrame([(900, None), (901, float("inf"))], "seed_id long, value double"))).collect()
+    assert not any(r.upper for r in some if r.seed_id >= 900) and sum(r.upper for r in some) > 10
