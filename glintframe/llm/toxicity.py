@@ -48,8 +48,22 @@ OTHER_SCRIPT = re.compile(r"[Ͱ-ԯ]")
 MIXED = re.compile(r"(?=[^\sa-z]*[a-z])(?=[^\sͰ-ԯ]*[Ͱ-ԯ])\S+")
 RUN = re.compile(r"([^\W\d_])\1{2,}")
 DOUBLE = re.compile(r"([^\W\d_])\1")
-#: Characters without a width or a look of their own: those of the category Cf.
-UNSEEN = re.compile("[" + "".join(map(chr, filter(lambda c: unicodedata.category(chr(c)) == "Cf", range(0x110000)))) + "]")
+PAIR = re.compile(r"(\w)\1")
+
+
+def _class_of(category: str) -> str:
+    """A regex class of all characters of a category, as ranges."""
+    out, last = [], -2
+    for c in range(0x110000):
+        if unicodedata.category(chr(c)) == category:
+            if c != last + 1:
+                out.append([c, c])
+            out[-1][1] = last = c
+    return "[" + "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in out) + "]"
+
+
+#: Characters without a width or a look of their own.
+UNSEEN = re.compile(_class_of("Cf"))
 PARTS = re.compile(r"[0-9]+|[^\s0-9]+")
 NEEDS = re.compile(r"[0-9@$!¡|+(<€£*]|([^\W\d_])\1\1|[^\W\d_](?:[.\-_~,'/\\:;\"&%#=^?)\[\]{}>’…–—·•]|\s)+[^\W\d_]")
 _STRIP = ".,;:?\"'()[]{}%&#*~^=_-/\\><"
@@ -178,17 +192,16 @@ def decode(token: str, model: list, edges: bool = True) -> str:
     return "".join(reversed(out)).strip()
 
 
-def doubled(token: str, model: list) -> bool:
-    """Whether a letter written twice is likelier meant once, by its neighbours alone."""
+def meant_once(token: str, model: list) -> list[int]:
+    """Where a letter is written twice that is likelier meant once, by its neighbours (all
+    that the character model asks of it, as far as these aren't in doubt themselves)."""
+    out = []
     for m in DOUBLE.finditer(token):
         i, c = m.start(), _class(m.group(1))
-        a, b = (_class(token[i - 2]) if i > 1 else 0), (_class(token[i - 1]) if i else 0)
-        d, e = (_class(token[i + 2]) if i + 2 < len(token) else 0), (_class(token[i + 3]) if i + 3 < len(token) else 0)
-        two = model[a][b][c] + model[b][c][c] + model[c][c][d] + (model[c][d][e] if d else 0.0)
-        one = model[a][b][c] + model[b][c][d] + (model[c][d][e] if d else 0.0)
-        if one + ONCE > two + TWICE:
-            return True
-    return False
+        b, d = (_class(token[i - 1]) if i else 0), (_class(token[i + 2]) if i + 2 < len(token) else 0)
+        if model[b][c][d] + ONCE > model[b][c][c] + model[c][c][d] + TWICE:
+            out.append(i)
+    return out
 
 
 def restore(token: str, model: list, edges: bool = True) -> str:
@@ -196,11 +209,16 @@ def restore(token: str, model: list, edges: bool = True) -> str:
     for: signs around it gone, and decoded, whatever its length, where it holds more
     than letters."""
     core = token if token.isalpha() else token.strip(_STRIP)
-    if core.isalpha() and not RUN.search(core):
-        return decode(core, model, edges) if doubled(core, model) else core
-    if not NEEDS.search(core) and not doubled(core, model):
+    if not PAIR.search(core):
+        return core if core.isalpha() or not NEEDS.search(core) else decode(core, model, edges)
+    if not RUN.search(core) and (core.isalpha() or not NEEDS.search(core)):
+        once = meant_once(core, model)
+        if any(b - a < 4 for a, b in zip(once, once[1:])):
+            return decode(core, model, edges)
+        for i in reversed(once):
+            core = core[:i] + core[i + 1 :]
         return core
-    return decode(core, model, edges)
+    return decode(core, model, edges) if NEEDS.search(core) else core
 
 
 def readings(token: str, model: list) -> list[str]:

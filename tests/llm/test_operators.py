@@ -773,6 +773,23 @@ def test_decoder_against_all_paths(toxic_world):
         assert toxicity.decode(token, model) == best(token)[1], (token, toxicity.decode(token, model), best(token))
 
 
+def test_doubled_letters_by_their_neighbours(toxic_world):
+    """Tokens of letters alone take a shorter way; it ends where the lattice does."""
+    import random
+
+    model, rng = toxic_world[4].characters.tolist(), random.Random(2)
+    same = 0
+    for _ in range(400):
+        token = "".join(c * rng.choice((1, 1, 1, 1, 2)) for c in "".join(rng.choice(("la", "men", "tor", "ik", "grum", "bak", "zel")) for _ in range(rng.randint(1, 4))))
+        if not toxicity.RUN.search(token):
+            spots = toxicity.meant_once(token, model)
+            got = toxicity.restore(token, model)
+            doubles = [m.start() for m in toxicity.DOUBLE.finditer(token)]
+            assert got == toxicity.decode(token, model) or any(b - a < 4 for a, b in zip(doubles, doubles[1:])), (token, got, spots)
+            same += got == toxicity.decode(token, model)
+    assert same > 330
+
+
 def test_toxicity_without_labels(spark):
     docs = helpers.docs(spark)
     model = toxicity.fit(docs, spark.createDataFrame([(1, None), (None, 1), (2, 7)], "doc_id long, toxic int"))
