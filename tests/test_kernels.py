@@ -216,6 +216,33 @@ def test_deconvolution_is_proved_exact():
                     assert (s_[i] >= 0).all() and np.allclose(K._apply(g[i], c[i]), s_[i], atol=1e-7 * scale)
 
 
+def test_deconvolution_without_a_rest_is_proved():
+    """Of these, with roots that aren't real, nothing stays unexplained, so that the norm has no gradient."""
+    x = np.array(
+        [
+            [477, 338, 11, 3, 103, 4, 51, 92, 286, 85, 182, 178, 123, 287, 143, 153, 164, 76, 86, 52, 74, 16, 0, 143, 175, 277, 9, 0, 151, 325],
+            [0, 122, 0, 71, 225, 130, 255, 50, 68, 49, 23, 255, 110, 141, 281, 25, 69, 17, 49, 120, 77, 290, 250, 245, 50, 25, 248, 66, 95, 25],
+        ]
+    )
+    y = x / x.mean(axis=1, keepdims=True)
+    lam, y = 0.1 * K.noise_fft(y, 0.25, 1.0), K.fft_filter(y, 0.25, "low")
+    g = K.ar_coefficients(y, K.noise_fft(y, 0.25, 1.0), 2)
+    assert all(np.iscomplex(np.roots([1, *-v])).all() for v in g)
+    _, s, b, c0, u = K.deconvolve_rows(y, g, lam, zero=None)
+    for i in range(2):
+        got = K.deconvolution_objective(y[i], g[i], lam[i], 1.0, s[i], b[i], c0[i])
+        assert got - K.deconvolution_bound(y[i], g[i], lam[i], u[i]) <= 1e-6 * got
+
+
+def test_deconvolution_of_a_long_trace_that_is_zero_but_for_its_end():
+    rng = np.random.default_rng(3)
+    y = np.concatenate((np.zeros(900), rng.exponential(60.0, 30)))[None]
+    for g in ([[0.85]], [[0.92, -0.03]]):
+        _, s, b, c0, u = (v[0] for v in K.deconvolve_rows(y, np.array(g), np.array([0.4]), zero=None))
+        got = K.deconvolution_objective(y[0], np.array(g[0]), 0.4, 1.0, s, b, c0)
+        assert got - K.deconvolution_bound(y[0], np.array(g[0]), 0.4, u) <= 1e-6 * got
+
+
 def test_deconvolution_of_odd_rows():
     g = np.repeat([[0.9]], 5, 0)
     y = np.stack([np.full(40, 3.0), np.arange(40.0), np.full(40, np.nan), np.zeros(40), np.where(np.arange(40) == 20, 50.0, 1.0)])
