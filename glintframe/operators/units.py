@@ -312,11 +312,11 @@ TEMPORAL = "unit_id long, frame int, c double, s double, b double, c0 double, g
 def update_temporal(
     A: DataFrame, YrA: DataFrame, *, freq: float = 0.25, p: int = 1, add_lag: int | str = "p", jaccard: float = 0.1, penalty: float = 1.0, smooth: bool = True,
     median_window: int | None = None, normalize: bool = True, zero: float | None = 1e-8, scale: bool = False, smooth_in_place: bool = True,
-    segments: list[int] | None = None, warm: DataFrame | None = None,
+    segments: list[int] | None = None, warm: DataFrame | None = None, silent: bool = False,
 ) -> DataFrame:
     """(unit_id, frame, c, s, b, c0, g, u, lam): deconvolved traces of units with anything
     above 0, groups of overlapping units sharing a normalisation; units without spikes
-    are left out. With scale, c, s, b and c0 are brought to YrA by a least-squares factor.
+    are left out, unless `silent` ones are wanted. With scale, c, s, b and c0 are brought to YrA by a least-squares factor.
 
     Group means are taken first, so that units, however many a group has, are solved
     one by one: the joint problem of a group is a sum over its units, and has the same
@@ -358,7 +358,7 @@ def update_temporal(
                         )
 
     out = rows.mapInArrow(solve, TEMPORAL)
-    spikes = out.withColumn("_s", F.sum("s").over(Window.partitionBy(UNIT))).where("_s > 0").drop("_s")
+    spikes = out if silent else out.withColumn("_s", F.sum("s").over(Window.partitionBy(UNIT))).where("_s > 0").drop("_s")
     if not scale:
         return spikes
     k = signal.scale_to(spikes.select(UNIT, "frame", (F.col("c") + F.col("b") + F.col("c0")).alias("value")), YrA)

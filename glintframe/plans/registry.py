@@ -439,7 +439,7 @@ def _temporal(i: Inputs) -> DataFrame:
     """What deconvolved traces must keep: c and s not negative, s what c's autoregression
     leaves, and an objective, at the best baseline, no greater than that of a constant."""
     one = i.T.select("unit_id", F.lit(0).alias("height"), F.col("unit_id").cast("int").alias("width"), F.lit(1.0).alias("value")).distinct()
-    t = written(units.update_temporal(one, i.T, penalty=0.1), "temporal")
+    t = written(units.update_temporal(one, i.T, penalty=0.1, silent=True), "temporal")
     y = signal.smooth(i.T, 0.25).withColumnRenamed("value", "y")
     sn = signal.noise(i.T, (0.25, 1.0)).join(i.T.groupBy("unit_id").agg(F.avg("value").alias("m")), "unit_id")  # traces are solved over their means
     was = F.coalesce(F.lag("c").over(Window.partitionBy("unit_id").orderBy("frame")), F.lit(0.0))
@@ -555,7 +555,7 @@ def _certified(i: Inputs) -> DataFrame:
     y = signal.smooth(i.T, 0.25).select("unit_id", "frame", F.col("value").alias("y"))
     out = None
     for p in (1, 2):
-        t = written(units.update_temporal(one, i.T, penalty=0.1, p=p, zero=None), "temporal").join(y, ["unit_id", "frame"])
+        t = written(units.update_temporal(one, i.T, penalty=0.1, p=p, zero=None, silent=True), "temporal").join(y, ["unit_id", "frame"])
         cells = F.sort_array(F.collect_list(F.struct("frame", "y", "c", "s", "b", "c0", "u")))
         rows = t.groupBy("unit_id").agg(cells.alias("x"), F.first("g").alias("g"), F.first("lam").alias("lam"), F.min("y").alias("low"))
         of = lambda name: F.transform("x", lambda v: v[name])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from glintframe.functions import expr
 from glintframe.operators import PIXEL, frames, graph, motion, project, seeds, signal, stencil, units
 from glintframe.plans import pipeline, registry
+from glintframe.plans.adapters import Inputs
 from glintframe.runtime import written
 from glintframe.sources import catalog, params, video
 from glintframe.streaming import traces as stream
@@ -267,6 +268,20 @@ def test_factors(spark):
     assert all(f == [k for k in range(1, x + 1) if x % k == 0] for x, f in got.items())
 
 
+@pytest.mark.parametrize("name", ["temporal_invariants", "temporal_certified"])
+def test_units_without_spikes_are_told_of(spark, tmp_path, name):
+    """Unit 0 is a decaying start and noise; unit 1 is active in later frames; unit 2 has nothing above 0."""
+    start = [292.7, 120.0, 701.7, 212.8, 98.0, 73.3, 110.7, 243.0, 56.5, 152.6, 146.3, 158.3, 94.2, 0.0, 55.0, 379.2, 0.0, 41.9, 39.2, 177.8, 35.7, 26.6, 0.0, 65.0, 24.6, 283.4, 37.3, 43.3, 139.3, 206.4]
+    rows = [(0, d, v) for d, v in enumerate(start)] + [(1, 900 + d, v) for d, v in enumerate(start)] + [(2, 5, 0.0)] + [(1, 1799, 1.0)]
+    day = F.expr("timestampadd(DAY, day, timestamp '2024-01-01 12:00:00')").cast("timestamp_ntz").alias("ts")
+    spark.createDataFrame(rows, "user_id long, day int, value double").select("user_id", day, "value").write.parquet(str(tmp_path / "events.parquet"))
+    silent = units.update_temporal(*(lambda i: (i.T.select("unit_id", F.lit(0).alias("height"), F.col("unit_id").cast("int").alias("width"), F.lit(1.0).alias("value")).distinct(), i.T))(Inputs(spark, str(tmp_path))), penalty=0.1)
+    assert {r.unit_id for r in silent.select("unit_id").distinct().collect()} == {1}
+    got = registry.queries()[name](spark, str(tmp_path)).collect()
+    assert sorted(r.unit_id for r in got) == ([0, 1] if name == "temporal_invariants" else [0, 0, 1, 1])
+    assert all(r.frames == 1800 and all(v for k, v in r.asDict().items() if isinstance(v, bool)) for r in got)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     import shutil
 
