@@ -263,6 +263,14 @@ def test_videos(spark, tmp_path):
         video.load(spark, str(tmp_path), video.tiff_pages, glob="*.none")
 
 
+def test_divisors_of_a_batch():
+    for x in (np.arange(0, 3000), np.arange(60_000, 60_400), np.array([7, -3, 0, 7, 1, 99_991, 99_856]), np.array([], dtype=np.int64)):
+        size, value = expr._divisors(x)
+        assert [v.tolist() for v in np.split(value, np.cumsum(size)[:-1])][: len(x)] == [[k for k in range(1, n + 1) if n % k == 0] for n in x.tolist()]
+    size, value = expr._divisors(np.array([2**31 - 1, 46337 * 46337]))
+    assert value.tolist() == [1, 2**31 - 1, 1, 46337, 46337 * 46337]
+
+
 def test_factors(spark):
     got = {r.x: r.f for r in spark.range(0, 61).select(F.col("id").alias("x"), expr.factors(F.col("id")).alias("f")).collect()}
     assert all(f == [k for k in range(1, x + 1) if x % k == 0] for x, f in got.items())
