@@ -172,7 +172,7 @@ def _numbered(df: DataFrame) -> DataFrame:
 
 def _units(df: DataFrame, id_col: str, text_col: str, source_col: str, weights, cap, seed, bucket_rows, fan_in, max_sources) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     """The table's narrow rows (written), what is planned for each source, its units
-    (unit, rows, copies of all these), and how many rows there are."""
+    (unit, rows, whole copies, copies of all these), and how many rows there are."""
     spark = df.sparkSession
     narrow = df.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), _unit(id_col, text_col, source_col).alias("unit")
@@ -210,7 +210,7 @@ def _units(df: DataFrame, id_col: str, text_col: str, source_col: str, weights,
     for d in decided[1:]:
         extra = extra.union(d)
     copies = F.when(F.col("size") == 0, F.col("rows")).otherwise((F.col("whole") + F.coalesce(F.col("p"), F.lit(0.0))).cast("long"))
-    units = state.drop("p").join(extra.select("unit", "p", "forced"), "unit", "left").select("unit", "rows", copies.alias("copies"), F.coalesce("forced", F.lit(False)).alias("forced"))
+    units = state.drop("p").join(extra.select("unit", "p", "forced"), "unit", "left").select("unit", "rows", "whole", copies.alias("copies"), F.coalesce("forced", F.lit(False)).alias("forced"))
     return rows, plan, units, seen["rows"]
 
 
@@ -244,7 +244,7 @@ def mix(
     max_sources at most, or this raises) are read by the driver.
     """
     rows, plan, units, _ = _units(df, id_col, text_col, source_col, weights, cap, seed, bucket_rows, fan_in, max_sources)
-    met = rows.join(units, "unit")
+    met = rows.join(units.drop("whole"), "unit")
     again = written(met.where("rows > 1"), "repeats")
     all_ = met.where("rows = 1").withColumn("at", F.lit(0).cast("long")).unionByName(_numbered(again).withColumn("at", F.col("at").cast("long")))
     k = _shared_out()
@@ -258,20 +258,32 @@ def mix_rows(
 ) -> DataFrame:
     """df's rows, all columns, each repeated as often as mix() takes it.
 
-    Rows and decisions meet by unit (see mix); rows that repeat one are written
-    and numbered before they share out its copies.
+    A row that is its unit's only one has its source's whole copies, or one more. Filters
+    tell which, so that texts don't move: one of the units with one more, and one of
+    those that it is wrong about, and of all that are otherwise. Only rows that this
+    second filter lets through meet their decisions; those that repeat a unit are
+    written and numbered before they share out its copies.
     """
     cols = df.columns
     named = [f"c{i}" for i in range(len(cols))]
     key, text, source = (named[cols.index(c)] for c in (id_col, text_col, source_col))
     docs = df.toDF(*named).withColumn("unit", _unit(key, text, source))
-    _, _, units, n = _units(docs, key, text, source, weights, cap, seed, bucket_rows, fan_in, max_sources)
-    units = written(units, "copies", rows=n)
-    alone = docs.join(units.where("rows = 1 and copies > 0"), "unit").select(*named, F.col("copies").cast("int").alias("k"))
-    repeats, seen = counted(units.where("rows > 1"), "repeated", n)
+    _, plan, units, n = _units(docs, key, text, source, weights, cap, seed, bucket_rows, fan_in, max_sources)
+    units = written(units.withColumn("over", F.when(F.col("rows") == 1, F.col("copies") - F.col("whole"))), "copies", rows=n)
+    bits, blocks = key_filter(units.where("over = 1"), "unit", n)
+    more = written(bits, "more")
+    tested = maybe_in(units, "unit", more, blocks, "_more").withColumn("_odd", F.coalesce(~F.col("over").isin(0, 1), F.lit(True)) | ((F.col("over") == 0) & F.col("_more")))
+    odd, seen = counted(tested.where("_odd").select("unit"), "odd", n)
+    bits, odd_blocks = key_filter(odd, "unit", max(seen["rows"], 1))
+    bits = written(bits, "odd")
+
+    told = maybe_in(docs, "unit", bits, odd_blocks, "_odd")
+    plain = maybe_in(told.where("not _odd").drop("_odd"), "unit", more, blocks, "_more")
+    plain = plain.join(plan.select(F.col("source").alias("_source"), F.floor(F.col("rate") + EPS).alias("_whole")), F.col(source).cast("string").eqNullSafe(F.col("_source")))
+    alone = plain.select(*named, (F.col("_whole") + F.col("_more").cast("int")).cast("int").alias("k"))
     if seen["rows"]:
-        bits, blocks = key_filter(repeats, "unit", seen["rows"])
-        some = maybe_in(docs, "unit", written(bits, "repeated"), blocks, "_maybe").where("_maybe").drop("_maybe").join(repeats, "unit")
-        shared = _numbered(written(some.withColumn("uid", F.monotonically_increasing_id()), "repeats"))
-        alone = alone.union(shared.select(*named, _shared_out().alias("k")))
-    return alone.select(*named, F.explode(F.array_repeat(F.lit(0), F.col("k")))).select(*named).toDF(*cols)
+        few = maybe_in(units, "unit", bits, odd_blocks, "_odd").where("_odd").select("unit", "rows", "copies")
+        some = written(told.where("_odd").drop("_odd").join(few, "unit").withColumn("uid", F.monotonically_increasing_id()), "met")
+        alone = alone.union(some.where("rows = 1").select(*named, F.col("copies").cast("int").alias("k")))
+        alone = alone.union(_numbered(some.where("rows > 1")).select(*named, _shared_out().alias("k")))
+    return alone.where("k > 0").select(*named, F.explode(F.array_repeat(F.lit(0), F.col("k")))).select(*named).toDF(*cols)

@@ -795,3 +795,25 @@ def test_toxicity_without_labels(spark):
     model = toxicity.fit(docs, spark.createDataFrame([(1, None), (None, 1), (2, 7)], "doc_id long, toxic int"))
     assert all(r.score < 0.7 for r in toxicity.scored(docs, model).collect())
     assert toxicity.fit(helpers.none(spark), spark.createDataFrame([], "doc_id long, toxic int")).weights == {}
+
+
+def test_mix_moves_no_texts_but_few(spark):
+    """Rows and decisions meet by filters: where all units are single, next to no text is shuffled, and counts are those of mix()."""
+    import collections
+
+    df = spark.range(3000).selectExpr("id doc_id", "repeat(concat('w', id, ' '), cast(1 + id % 40 as int)) text", "element_at(array('a', 'b', 'c', null), cast(1 + id % 4 as int)) source")
+    df = df.union(df.where("doc_id < 40")).union(df.where("doc_id < 5"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = mixing.mix_rows(df, bucket_rows=50, fan_in=4)
+        got = collections.Counter(r.doc_id for r in rows.select("doc_id").collect())
+        want = collections.Counter()
+        for r in mixing.mix(df, bucket_rows=50, fan_in=4).collect():
+            want[r.doc_id] += r.copies
+        assert got == +want
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    # the rows that aren't odd come by filters and the table of sources, all of them broadcast
+    assert plan.count("strategy=broadcast") >= 3
